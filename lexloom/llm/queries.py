@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": packing.op1_packing,
         "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_token_files": token_files.op7_token_files,
     }
 
 
