@@ -76,3 +76,14 @@ def running_base(totals: DataFrame, order: str, value: str, out: str, by: list[s
         .withColumn(out, F.col("_head") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop("_block", "_head")
     )
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quotient_filter as qf
-from .common import documents, materialize, small, text_or_empty
+from .common import documents, fresh, materialize, small, text_or_empty
 
 #: Documents for each block of the fingerprint space; a block is merged by one task.
 DOCS_PER_BLOCK = 1_000_000
@@ -85,18 +85,18 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that share doc_id and text, one stays. Null texts count as empty; of a group with no doc_id at all, one row stays.
     """
-    result = exact_duplicates(docs)
+    id_, sha, gone_sha = fresh(docs, "_id", "_sha", "_gone")
     gone = materialize(
-        result.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).agg(F.count_if(~F.col("kept")).alias("_drops"), F.count_if("kept").alias("_stays")).filter("_drops > 0"),
+        exact_duplicates(docs).groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(gone_sha)).agg(F.count_if(~F.col("kept")).alias("drops"), F.count_if("kept").alias("stays")).filter("drops > 0"),
         "dedup-gone",
     )
-    marked = docs.withColumn("_sha", F.sha2(F.encode(text_or_empty(), "UTF-8"), 256))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone"))
-    rest = marked.join(small(gone.select("_id", "_gone"), 96), match, "left_anti").drop("_sha")
-    ties = gone.filter("_stays > 0").select("_id", "_gone")
+    marked = docs.withColumn(sha, F.sha2(F.encode(text_or_empty(), "UTF-8"), 256))
+    match = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(gone_sha))
+    rest = marked.join(small(gone.select(id_, gone_sha), 96), match, "left_anti").drop(sha)
+    ties = gone.filter("stays > 0").select(id_, gone_sha)
     if ties.isEmpty():
         return rest
-    return rest.unionByName(marked.join(small(ties, 96), match, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    return rest.unionByName(marked.join(small(ties, 96), match, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

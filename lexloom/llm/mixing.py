@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, text_or_empty
+from .common import WORD, documents, fresh, materialize, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -62,10 +62,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs with each row as often as the mixture takes it; all columns stay. The rates are joined to docs by source."""
+    source, rate, copy = fresh(docs, "_source", "_rate", "_copy")
     sizes = docs.select("source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    targets = materialize(source_targets(sizes, weights, share, most).select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate")), "mix-rates")
-    copies = (F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    return docs.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rates = source_targets(sizes, weights, share, most).select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    copies = (F.floor(rate) + (draw(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    joined = docs.join(materialize(rates, "mix-rates"), F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).drop(source, rate, copy)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
