@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, minhash, mixing, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_token_files": token_files.op7_token_files,
+        "op9_minhash": minhash.op9_minhash,
     }
 
 
