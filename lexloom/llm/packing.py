@@ -165,15 +165,14 @@ def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights:
     for r in base.groupBy("queue").agg(F.sum("total").alias("total")).collect():  # at most QUEUES + 1 rows
         sizes[r["queue"]] = r["total"]
     phases = schedule(sizes, [weights.get(x, 1) for x in names] + [weights.get("*", 1)] if weights else None, window, quantum)
-    end_byte = np.dtype("<u2")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 some = batch.slice(i, 2048)
                 queue, start, n = (some.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
                 got = place(phases, queue, start, start + n, window, quantum)
-                texts = [memoryview(np.frombuffer(x.as_buffer(), end_byte).astype("<u4").tobytes()) for x in some.column(4)] if wide else [memoryview(x.as_buffer()) for x in some.column(4)]
+                texts = [memoryview(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in some.column(4)] if wide else [memoryview(x.as_buffer()) for x in some.column(4)]
                 crc = [zlib.crc32(texts[d][4 * o : 4 * (o + k)]) for d, o, k in zip(got["doc"].tolist(), got["offset"].tolist(), got["length"].tolist(), strict=True)]
                 doc = pa.array(got["doc"])
                 yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,7 @@ from .common import documents, materialize, running_base, text_or_empty
 STEP = 512
 END_ID = 2
 #: Tokens after which a partition begins a new file.
-FILE_TOKENS = 1 << 20
+FILE_TOKENS = 1 << 18
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -145,6 +145,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     inside = materialize(running_base(sizes, "number", "size", "inside", ["part"]).join(base, "part").select("part", "number", (F.col("base") + F.col("inside")).alias("start")), "token-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for doc_ids, lengths, data, start in zip(*(batch.column(k) for k in range(4)), strict=True):
                 reader, n = Reader(data.as_buffer()), np.array(lengths.as_py(), np.int64)

@@ -1,8 +1,9 @@
 """Tokenising whole texts with the tokenizers library, word by word through a bounded cache.
 
 Both vocabularies cut text at white space before they merge, so the ids of a text are those of its words in a row. Words repeat, so each
-Python worker keeps the ids of those it has met; new words of a batch are encoded in joined strings, since a call for each word
-costs more than its merges. Texts for which a cut at spaces could change the ids are encoded whole.
+Python worker keeps the ids of those it has met. A new word that is Latin letters, with or without punctuation after them, goes
+straight to the vocabulary's merges; any other goes through the library's whole pipeline. Texts for which a cut at spaces could
+change the ids are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Words that a worker's cache may hold; a full cache is emptied. Bounds memory, never results.
-CACHE_WORDS = 600_000
-#: Words of one joined string.
-JOINED = 400
+#: Words in each of the cache's two generations. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
+CACHE_WORDS = 500_000
+PUNCTUATION = ".,;:!?$&%*#|"
 
 _blank_runs = re.compile(r"\s (?:\s|\Z)")
 _separators = re.compile(r"[\x1c-\x1f]")
-#: The word-end vocabulary's pattern on lower-case ASCII words without white space.
-_ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _loaded: dict[str, WordTokenizer] = {}
 
 
+def _byte_table() -> dict[int, str]:
+    """The character that byte-level vocabularies write for a byte: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordTokenizer:
-    """ids(texts) gives a uint16 (or, for large vocabularies, uint32) array for each text, equal to the library's own encoding."""
+    """encode(texts) gives the ids of each text, equal to the library's own, as little-endian numbers of self.dtype."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,91 +43,83 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()
-        size = max(vocab.values()) + 1
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.word_ends = any(x.endswith("</w>") for x in vocab)
-        self.edge = np.zeros(size, bool)
-        for token, i in vocab.items():
-            self.edge[i] = token.endswith("</w>") if self.word_ends else token.startswith("Ġ")
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.lead = "" if self.word_ends else "Ġ"
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
+        self.model, self.table = self.tokenizer.model, _byte_table()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_spaced(self, words: list[str]) -> None:
-        """Byte-level: each word is encoded with the space before it, and only the first token of a word begins with a space."""
-        plain = [w for w in words if w and not any(c.isspace() for c in w)] if any(not w or w.split() != [w] for w in words) else words
-        rest = [] if plain is words else list(set(words) - set(plain))
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) == len(group) and at[0] == 0:
-                self._store(group, ids, at, np.append(at[1:], len(ids)))
-            else:
-                rest += group
-        self.inner.update(zip(rest, self.whole([" " + w for w in rest]), strict=True))
-
-    def _learn_ended(self, words: list[str]) -> None:
-        """Word ends: a word of k pieces has k tokens that end one. Where k is not plain, the word is encoded alone."""
-        known, pieces, rest = [], [], []
+    def _merged(self, letters: str, lead: str) -> bytes:
+        """The ids of one piece of the vocabulary's pattern. lead: how it writes a space before it."""
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.table)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(lead + shown)])
+
+    def _plain(self, letters: str) -> str | None:
+        """The piece that a word of Latin letters is; None if letters isn't one."""
+        if not letters.isalpha() or (not letters.isascii() and max(letters) >= "\u0250"):
+            return None
+        if not self.word_ends:
+            return letters
+        small = letters.lower()
+        return small if len(small) == len(letters) else None
+
+    def _learn(self, words: list[str], lead: str, known: dict[str, bytes]) -> None:
+        """Puts the ids of words into known."""
+        old, odd = self.old if known is self.young else {}, []
         for w in words:
-            if w.isalpha():
-                k = 1
-            elif (stem := w.rstrip(".,;:!?")).isalpha():
-                k = 2
-            elif w.isascii():
-                k = len(_ascii_pieces.findall(w.lower()))
-            else:
-                rest.append(w)
-                continue
-            known.append(w)
-            pieces.append(k)
-        for i in range(0, len(known), JOINED * 64):
-            starts = range(i, min(len(known), i + JOINED * 64), JOINED)
-            found = self.tokenizer.encode_batch_fast([" ".join(known[j : j + JOINED]) for j in starts], add_special_tokens=False)
-            for j, e in zip(starts, found, strict=True):
-                group, ids = known[j : j + JOINED], np.array(e.ids, self.dtype)
-                at = np.flatnonzero(self.edge[ids]) + 1
-                last = np.cumsum(pieces[j : j + JOINED])
-                if len(at) == last[-1] and at[-1] == len(ids):
-                    ends = at[last - 1]
-                    self._store(group, ids, np.concatenate(([0], ends[:-1])), ends)
-                else:
-                    rest += group
-        self.inner.update(zip(rest, self.whole(rest), strict=True))
-
-    def _store(self, group: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        data, width = ids.tobytes(), self.dtype.itemsize
-        self.inner.update((w, data[a:b]) for w, a, b in zip(group, (starts * width).tolist(), (ends * width).tolist(), strict=True))
+            ids = old.get(w)
+            if ids is None:
+                stem = w.rstrip(PUNCTUATION)
+                piece = self._plain(stem)
+                if piece is None:
+                    odd.append(w)
+                    continue
+                ids = known.get(stem) or self._merged(piece, lead)
+                if len(stem) < len(w):
+                    end = w[len(stem) :]
+                    if end not in self.ends:
+                        if len(self.ends) > 10_000:
+                            self.ends.clear()
+                        self.ends[end] = self._merged(end, "")
+                    ids += self.ends[end]
+            known[w] = ids
+        space = " " if lead else ""
+        if odd:
+            known.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of self.dtype."""
-        if len(self.inner) + len(self.first) > CACHE_WORDS:
-            self.inner.clear()
-            self.first.clear()
-        odd = _separators if self.word_ends else _blank_runs
-        split = [None if odd.search(x) else x.split() if self.word_ends else x.split(" ") for x in texts]
-        alone = [i for i, parts in enumerate(split) if parts is None]
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        if len(self.heads) > CACHE_WORDS:
+            self.heads.clear()
+        odd, get, skip = _separators if self.word_ends else _blank_runs, self.young.get, len(self.lead)
+        alone = [i for i, x in enumerate(texts) if odd.search(x)]
         out: list[bytes] = [b""] * len(texts)
         for i, data in zip(alone, self.whole([texts[i] for i in alone]), strict=True):
             out[i] = data
-        need: set[str] = set()
-        skip = 0 if self.word_ends else 1
-        for parts in split:
-            if parts is not None:
-                need.update(parts[skip:])
-        new = [w for w in need if w not in self.inner]
-        if new:
-            (self._learn_ended if self.word_ends else self._learn_spaced)(new)
-        if skip:
-            heads = list({parts[0] for parts in split if parts is not None} - self.first.keys())
-            self.first.update(zip(heads, self.whole(heads), strict=True))
-        get = self.inner.__getitem__
-        for i, parts in enumerate(split):
-            if parts is not None:
-                out[i] = self.first[parts[0]] + b"".join(map(get, parts[1:])) if skip else b"".join(map(get, parts))
+        alone = set(alone)
+        for i, text in enumerate(texts):
+            if i in alone:
+                continue
+            words = text.split() if self.word_ends else text.split(" ")
+            head = b""
+            if skip:
+                first = words.pop(0)
+                if first not in self.heads:
+                    self._learn([first], "", self.heads)
+                head = self.heads[first]
+            found = list(map(get, words))
+            if None in found:
+                self._learn([w for w, ids in zip(words, found, strict=True) if ids is None], self.lead, self.young)
+                found = list(map(get, words))
+            out[i] = head + b"".join(found)
         return out
 
 
@@ -136,3 +133,9 @@ def tokenizer(name: str) -> WordTokenizer:
             path = public_tokenizers.path(name)
         _loaded[name] = WordTokenizer(path)
     return _loaded[name]
+
+
+def forget() -> None:
+    """Empties this worker's caches, for stages that don't encode."""
+    for t in _loaded.values():
+        t.young, t.old, t.heads, t.ends = {}, {}, {}, {}
