@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, pii, secrets, token_files
+from . import exact_dedup, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_quality": quality.op2_quality,
         "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_pii": pii.op6_pii,
         "op7_token_files": token_files.op7_token_files,
         "op8_secrets": secrets.op8_secrets,
         "op9_minhash": minhash.op9_minhash,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
