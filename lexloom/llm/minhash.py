@@ -4,7 +4,7 @@ One hash of each shingle serves all bins: its high bits choose the bin, and a bi
 of a bin that a random function of (bin, attempt) names, at the first attempt that hits a filled one. Six bins make a band; documents
 that agree on a band share a bucket. A bucket emits one edge from each member to its least one, a star, and not all pairs. Edges are
 confirmed on full shingle sets. Links between two leaves of a star are then looked for only where a bucket still spans several
-components, and there only between leaves whose distances to the hub allow a link (the Jaccard distance is a metric).
+components: by the rare shingles they share, by further stars around the most central leaf, and by pairs that exact bounds leave over.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WORDS = 5
 PERCENT = 85
 BIN_BITS = 8
 BAND = 6
+#: A shingle is rare among the open leaves if no more of them hold it.
+RARE = 8
 SEED = 0x5EED_0F_B145
 
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -187,38 +189,86 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct(), "near-ids")
     sets = materialize(_sets(docs, ids, words).distinct(), "near-sets")
     checked = materialize(_confirmed(stars, sets), "near-checked")
-    linked = F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
-    edges = checked.filter(linked).select(F.col("a").alias("v"), F.col("b").alias("p"))
+    edges = checked.filter(_linked(percent)).select(F.col("a").alias("v"), F.col("b").alias("p"))
     # Rows that share a doc_id but not their set.
     spread = member.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     twins = member.join(spread, "doc_id").filter("class > low").select(F.col("class").alias("v"), F.col("low").alias("p"))
     found = materialize(components(edges.unionByName(twins)), "near-found")
-    rest = _between_leaves(crowded, checked, found, sets, percent)
-    if rest is not None:
-        found = components(found.unionByName(rest.filter(linked).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("p"))))
+    found = _between_leaves(crowded, checked, found, sets, percent)
     top = found.select(F.col("v").alias("class"), F.col("p").alias("top"))
     joined = rows.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class")).join(top, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "class"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _between_leaves(crowded: DataFrame, checked: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed sizes for pairs of leaves of a bucket that lie in different components and may be linked; None without such pairs."""
+def _linked(percent: int) -> Column:
+    return F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent
+
+
+def _open(leaves: DataFrame, found: DataFrame, label: str) -> DataFrame:
+    """The leaves of buckets that hold leaves of several components, with their component's top."""
+    top = found.select(F.col("v").alias("id"), F.col("p").alias("top"))
+    named = leaves.drop("top").join(top, "id", "left").withColumn("top", F.coalesce("top", "id"))
+    mixed = named.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low < high").select("key")
+    return materialize(named.join(mixed, "key", "left_semi"), label)
+
+
+def _may_share(percent: int) -> Column:
+    """Whether the shingles of a pair that aren't rare, n - rare, are enough for a link."""
+    most = F.least(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b"))
+    return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The confirmed ones of pairs (a, b), as edges from the greater to the lesser."""
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
+    return materialize(_confirmed(pairs, sets).filter(_linked(percent)).select(F.col("a").alias("v"), F.col("b").alias("p")), "near-links")
+
+
+def _between_leaves(crowded: DataFrame, checked: DataFrame, found: DataFrame, sets: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
+    """found, joined by the links between leaves of one bucket that lie in different components.
+
+    Shingles that at most RARE of these leaves hold are rare. Leaves that share a rare one are compared, as RARE bounds their pairs.
+    Any other pair shares no rare shingle, so a leaf that is linked by such a pair has few; those with many are left out. Of the
+    rest, the leaf with the fewest is the next hub of its bucket and gives another star; amid edited copies it links most of them.
+    Stars go on while they link and a bucket's pairs outnumber its members by far. What is then still open is compared in pairs,
+    without those that the bound on shared shingles or the distances to the first hub rule out. No step loses a link.
+    """
+    leaves = _open(crowded.select("key", "id", "n", "hub"), found, "near-open")
+    if leaves.isEmpty():
+        return found
+    held = sets.join(leaves.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= RARE)
+    rare = materialize(held.join(counts, "shingle"), "near-rare")
+    tops = leaves.select("id", "n", "top").distinct()
+    shared = rare.filter("holders > 1").join(tops, "id")
+    one, two = (shared.select("shingle", *[F.col(c).alias(d + x) for c, d in (("id", ""), ("n", "n_"), ("top", "top_"))]) for x in "ab")
+    pairs = one.join(two, "shingle").filter((F.col("b") < F.col("a")) & (F.col("top_a") != F.col("top_b")) & _alike(F.col("n_a"), F.col("n_b"), percent))
+    found = materialize(components(found.unionByName(_links(pairs, sets, percent))), "near-found")
+    few = rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
+    leaves = leaves.join(few, "id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))).filter((F.col("n") - F.col("rare")) * 100 >= F.col("n") * percent)
+    leaves = _open(leaves, found, "near-open")
+    for _ in range(rounds):
+        sizes = leaves.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
+        if not sizes["rows"]:
+            return found
+        if sizes["pairs"] <= 4 * sizes["rows"]:
+            break
+        center = materialize(leaves.groupBy("key").agg(F.min(F.struct("rare", "id", "n", "top")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.rare").alias("rare_b"), F.col("c.top").alias("top_b")), "near-centers")
+        star = leaves.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a"), F.col("top").alias("top_a")).join(center, "key")
+        links = _links(star.filter((F.col("a") != F.col("b")) & (F.col("top_a") != F.col("top_b")) & _may_share(percent)), sets, percent)
+        leaves = leaves.join(center.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")
+        if links.isEmpty():
+            break
+        found = materialize(components(found.unionByName(links)), "near-found")
+        leaves = _open(leaves, found, "near-open")
     far = F.lit(1.0) - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     near = checked.groupBy(F.col("a").alias("id"), F.col("b").alias("hub")).agg(F.max(far).alias("far"), F.min(far).alias("least")).filter("far = least").drop("least")
-    top = found.select(F.col("v").alias("id"), F.col("p").alias("top"))
-    leaves = crowded.join(top, "id", "left").withColumn("top", F.coalesce("top", "id"))
-    mixed = leaves.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low < high").select("key")
-    open_leaves = materialize(leaves.join(mixed, "key", "left_semi").join(near, ["id", "hub"], "left").select("key", "id", "n", "top", "far"), "near-leaves")
-    if open_leaves.isEmpty():
-        return None
-    one = open_leaves.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("top").alias("top_b"), F.col("far").alias("far_b"))
-    two = open_leaves.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("top").alias("top_a"), F.col("far").alias("far_a"))
-    reach = (100 - percent) / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= reach, F.lit(True))
-    pairs = two.join(one, "key").filter((F.col("b") < F.col("a")) & (F.col("top_a") != F.col("top_b")) & _alike(F.col("n_a"), F.col("n_b"), percent) & apart)
-    pairs = materialize(pairs.select("a", "b").distinct(), "near-pairs")
-    return None if pairs.isEmpty() else materialize(_confirmed(pairs, sets), "near-rest")
+    leaves = leaves.join(near, ["id", "hub"], "left")
+    one, two = (leaves.select("key", *[F.col(c).alias(d + x) for c, d in (("id", ""), ("n", "n_"), ("rare", "rare_"), ("top", "top_"), ("far", "far_"))]) for x in "ab")
+    apart = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    pairs = one.join(two, "key").filter((F.col("b") < F.col("a")) & (F.col("top_a") != F.col("top_b")) & _alike(F.col("n_a"), F.col("n_b"), percent) & apart & _may_share(percent))
+    return components(found.unionByName(_links(pairs, sets, percent)))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
