@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
+from . import exact_dedup, fingerprints, minhash, mixing, packing, pii, quality, secrets, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_quality": quality.op2_quality,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_pii": pii.op6_pii,
