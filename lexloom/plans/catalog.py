@@ -1,17 +1,546 @@
-"""All queries of the engine's own operators by name, each with DuckDB SQL where SQL can express it."""
+"""All queries of the engine's own operators by name, each with DuckDB SQL where SQL can express it.
+
+The test tables stand in for the corpora: documents for a crawl, labels for raters, pages for urls, conversations for captions,
+embeddings for sentence vectors (label 0: anchors), events for a record stream.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import corpus, lexicon, metrics, mining, patterns, sampling, vector
+from ..streaming import crawl
 
 FLAGSHIP = "conjunction_evidence"
 
+_found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _found.items() if s is not None}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Words that the English test texts use often; they play the lexicon. The nouns among them play nouns.
+SEEDS = ("and", "that", "with", "for", "this", "are", "was", "it")
+NOUNS = ("that", "this", "it")
+STOP = ("the", "of", "is", "to", "in", "a", "an", "be", "by", "as", "at", "on", "or", "he", "not", "from", "have", "you")
+FRAMES = (
+    patterns.Template("the_state", "primary", "the"), patterns.Template("of_state", "primary", "of"), patterns.Template("to_state", "secondary", "to"),
+    patterns.Template("in_noun", "secondary", "in", True), patterns.Template("of_the_noun", "secondary", "of the", True),
+)
+_FOLD = "regexp_replace(lower(text), '[^a-z]+', ' ', 'g')"
+_WORDS = f"(SELECT doc_id, w, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) p1, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) p2 FROM (SELECT doc_id, unnest(ws) w, generate_subscripts(ws, 1) i FROM (SELECT doc_id, list_filter(string_split({_FOLD}, ' '), lambda x: x <> '') ws FROM documents)))"
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text"))
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w, w in NOUNS, ["known"]) for w in SEEDS], "word string, noun boolean, emotions array<string>")
+
+
+def _in(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# --- Scalars
+
+
+@query("SELECT doc_id, md5(translate(lower(text), 'ăâîșțĂÂÎȘȚşţŞŢ', 'aaistAAISTstST')) AS normal, md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS dedup_key, length(text)::INT AS n FROM documents")
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-01, TXT-02, TXT-10, TXT-11."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(T.normalize(F.col("text")).cast("binary")).alias("normal"), T.dedup_key(F.col("text")).alias("dedup_key"), F.length("text").alias("n"))
+
+
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN regexp_matches(x, '{'|'.join(shapes)}') THEN '{kind}'" for kind, shapes in T.DOMAINS) + " ELSE 'other' END"
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT {_DOMAIN_SQL} AS kind FROM (SELECT lower(concat_ws(' ', regexp_extract(url, '://([^/]+)', 1), url)) x FROM pages)) GROUP BY kind")
+def domain_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-09, AGG-01."""
+    return corpus.counts(_read(spark, sf_dir, "pages").withColumn("kind", T.domain_kind(F.regexp_extract("url", "://([^/]+)", 1), F.col("url"))), "kind")
+
+
+@query("SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 127 THEN '&#' || unicode(c) || ';' ELSE c END), '') AS escaped, CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, 1, strpos(lower(text), 'the') - 1) || '<b>' || substr(text, strpos(lower(text), 'the'), 3) || '</b>' || substr(text, strpos(lower(text), 'the') + 3) ELSE text END AS shown FROM benchmark")
+def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-17, TXT-20."""
+    rows = _read(spark, sf_dir, "benchmark")
+    return rows.select("item_id", T.escape_non_ascii(F.col("text")).alias("escaped"), T.wrap_first(F.col("text"), F.lit("the"), "<b>", "</b>").alias("shown"))
+
+
+@query(f"SELECT w AS word, CASE WHEN regexp_matches(w, '(a|oasa|easca|ica|ita|ata|uta)$') THEN 'f' WHEN regexp_matches(w, '(os|esc|ic|it|at|ut|iu)$') THEN 'm' WHEN NOT regexp_matches(w, '[aeiou]$') THEN 'm' END AS gender, count(*) AS n FROM {_WORDS} GROUP BY 1, 2")
+def word_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-07."""
+    words = _folded(spark, sf_dir).select(F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word"))
+    return corpus.counts(words.withColumn("gender", T.infer_gender(F.col("word"))), "word", "gender")
+
+
+@query("SELECT event_id, try_cast(nullif(regexp_extract(props, '[0-3]'), '') AS INT) AS score FROM events")
+def parsed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-29."""
+    return _read(spark, sf_dir, "events").select("event_id", T.parse_score(F.col("props")).alias("score"))
+
+
+@query("SELECT item_id, CASE WHEN length(text) > 120 THEN (CASE WHEN l > 0 THEN '...' ELSE '' END) || substr(text, l + 1, 120) || (CASE WHEN l + 120 < length(text) THEN '...' ELSE '' END) ELSE text END AS cut FROM (SELECT *, greatest(0, least(greatest(strpos(lower(text), 'and'), 1) - 1 + 1 - 60, length(text) - 120)) l FROM benchmark)")
+def centred_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-18, TXT-23."""
+    return _read(spark, sf_dir, "benchmark").select("item_id", T.centred(F.col("text"), F.lit("and"), 120).alias("cut"))
+
+
+# --- Filters
+
+_RULES_SQL = "CASE WHEN s < 0.8 THEN 'low_language_score' WHEN length(text) < 100 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' WHEN NOT (contains(lower(text), 'the and') OR contains(lower(text), 'of the') OR contains(lower(text), 'de la')) THEN 'no_trigger' ELSE 'passed' END"
+_LENGTH_FIRST_SQL = "CASE WHEN length(text) < 100 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' WHEN s < 0.8 THEN 'low_language_score' WHEN NOT (contains(lower(text), 'the and') OR contains(lower(text), 'of the') OR contains(lower(text), 'de la')) THEN 'no_trigger' ELSE 'passed' END"
+_SCORED_SQL = "(SELECT *, CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 0.9 END s FROM documents)"
+
+
+def _rules(length_first: bool = False):
+    score = F.when(F.col("doc_id") % 7 == 0, 0.5).otherwise(0.9)
+    return corpus.crawl_rules(F.col("text"), score, 0.8, 100, 20_000, ("the and", "of the", "de la"), length_first)
+
+
+@query(f"SELECT {_RULES_SQL} AS reason, count(*) AS n FROM {_SCORED_SQL} GROUP BY 1")
+def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-01 to FLT-04, AGG-23."""
+    return corpus.reasons(_read(spark, sf_dir, "documents"), _rules())
+
+
+@query(f"SELECT lang, {_LENGTH_FIRST_SQL} AS reason, count(*) AS n FROM {_SCORED_SQL} GROUP BY ALL")
+def filter_reasons_length_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-05."""
+    return corpus.reasons(_read(spark, sf_dir, "documents"), _rules(True), "lang")
+
+
+@query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality >= 1 AND d.source IN ('src0', 'src1', 'src2')")
+def thresholded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-07, FLT-12."""
+    rows = _read(spark, sf_dir, "documents").filter(F.col("source").isin("src0", "src1", "src2")).join(_read(spark, sf_dir, "labels"), "doc_id")
+    return corpus.thresholded(rows, "quality", 1).select("doc_id", "source", "quality")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def still_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-16, STR-07."""
+    return corpus.pending(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 3 = 1 AND n_chars > 3000) AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 1 AND n_chars > 3000)")
+def restricted_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-10."""
+    docs = _read(spark, sf_dir, "documents").withColumn("key", F.md5(F.col("text").cast("binary")))
+    return corpus.restricted(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 1 AND n_chars > 3000"), "source", "key").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id, b.t IS NULL AS is_novel FROM documents d LEFT JOIN (SELECT DISTINCT text t FROM documents WHERE doc_id % 2 = 1) b ON d.text = b.t WHERE d.doc_id % 2 = 0")
+def novel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-17, JOIN-18."""
+    docs = _read(spark, sf_dir, "documents")
+    return corpus.novel(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), ["text"]).select("doc_id", "is_novel")
+
+
+# --- Patterns and mining
+
+
+@query(f"SELECT y AS word, count(DISTINCT x) AS co_seeds, count(*) AS n, CASE WHEN length(y) < 3 THEN 'too_short' WHEN y IN ({_in(STOP)}) THEN 'stopword' WHEN count(DISTINCT x) < 2 THEN 'low_co_occurrence' ELSE 'passed' END AS reason FROM (SELECT unnest(regexp_extract_all({_FOLD}, '(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)', 2)) x, unnest(regexp_extract_all({_FOLD}, '(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)', 3)) y FROM documents) GROUP BY y")
+def conjunction_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-09, PAT-10, AGG-05, AGG-08, FLT-15: what is coordinated with what, validated by the cascade."""
+    shape = "(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(shape), F.lit(2)).alias("x"), F.regexp_extract_all("text", F.lit(shape), F.lit(3)).alias("y"))
+    found = _folded(spark, sf_dir).select(F.explode(pairs).alias("p")).groupBy(F.col("p.y").alias("word")).agg(F.count_distinct("p.x").alias("co_seeds"), F.count(F.lit(1)).alias("n"))
+    rules = [("too_short", F.length("word") < 3), ("stopword", F.col("word").isin(*STOP)), ("low_co_occurrence", F.col("co_seeds") < 2)]
+    return corpus.with_reason(found, rules)
+
+
+_MATCH_SQL = "\nUNION ALL ".join(
+    f"SELECT doc_id, '{t.name}' AS pattern, w AS seed FROM {_WORDS} WHERE {cond} AND w IN ({_in(NOUNS if t.noun_only else SEEDS)})"
+    for t, cond in zip(FRAMES, ("p1 = 'the'", "p1 = 'of'", "p1 = 'to'", "p1 = 'in'", "p2 = 'of' AND p1 = 'the'"), strict=True)
+)
+
+
+@query(f"SELECT doc_id, pattern, seed, count(*) AS n FROM ({_MATCH_SQL}) GROUP BY ALL")
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-01 to PAT-06, JOIN-04: templates over a lexicon by the token join."""
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="")
+    return corpus.counts(found, "doc_id", "pattern", "seed")
+
+
+@query(f"SELECT pattern, count(*) AS n, count(DISTINCT seed) AS seeds FROM ({_MATCH_SQL}) GROUP BY ALL")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-03, AGG-01, AGG-05."""
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="")
+    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed").alias("seeds"))
+
+
+_FRAMED_SQL = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all({_FOLD}, '(?:^| ){f} ([a-z]+)', 1)) w, '{f}' f FROM documents" for f in ("the", "of"))
+
+
+@query(f"SELECT w AS word, count(*) AS frequency, list_sort(list(DISTINCT f)) AS frames FROM ({_FRAMED_SQL}) WHERE length(w) BETWEEN 3 AND 20 AND w NOT IN ({_in(STOP)}) GROUP BY w HAVING count(*) >= 3")
+def discovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-11, PAT-12, FLT-08, FLT-09, JOIN-11, LEX-04."""
+    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
+    found = patterns.discover(_folded(spark, sf_dir), frames=(("the", "the "), ("of", "of ")))
+    return mining.discovered(found, stop).select("word", "frequency", "frames")
+
+
+@query()
+def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-14, TXT-27: matches matched again by their own template and masked."""
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, modifier="").select("doc_id", "text", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized"))
+    checked = patterns.verify_spans(found, FRAMES, "")
+    return checked.groupBy("pattern_used").agg(F.count_if("verified").alias("ok"), F.count_if(~F.col("verified")).alias("failed"), F.count_if(F.contains("masked_text", F.lit(T.MASK))).alias("masked"))
+
+
+@query()
+def bootstrapped_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITR-01, ITR-02, LEX-02, LEX-03, AGG-09, AGG-10: rounds until no word is new."""
+    seeds = spark.createDataFrame([(w, "m", ["known"]) for w in SEEDS], "word string, gender string, emotions array<string>")
+    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
+    found, _ = mining.bootstrap(_folded(spark, sf_dir), seeds, stop, rounds=2, verbs=("the", "of", "is"), conjunctions="and|of", modifier="", word="[a-z]+")
+    return found.select("word", "gender", F.array_join("emotions", ",").alias("emotions"))
+
+
+# --- Lexicons
+
+
+@query("SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NOT NULL AND b.word IS NOT NULL THEN least(0.5 + 0.2, 1.0)::DOUBLE WHEN a.word IS NOT NULL THEN 0.5::DOUBLE ELSE least(b.frequency / 10, 0.8)::DOUBLE END AS confidence FROM (SELECT DISTINCT lower(p_brand) word FROM part WHERE p_size < 10) a FULL JOIN (SELECT lower(p_brand) word, count(*) frequency FROM part WHERE p_size > 45 GROUP BY 1) b ON a.word = b.word")
+def merged_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-13, PAT-08."""
+    part = _read(spark, sf_dir, "part")
+    one = part.filter("p_size < 10").select(F.lower("p_brand").alias("word")).distinct().select("word", F.lit(None).cast("double").alias("confidence"), F.array().cast("array<string>").alias("emotions"), F.lit(None).cast("string").alias("gender"))
+    two = part.filter("p_size > 45").groupBy(F.lower("p_brand").alias("word")).agg(F.count(F.lit(1)).alias("frequency"))
+    return lexicon.merge_discoveries(one, two).select("word", "confidence")
+
+
+@query("SELECT word, kind FROM (SELECT word, kind, row_number() OVER (PARTITION BY word ORDER BY prio) rn FROM (SELECT DISTINCT lower(p_brand) word, 'small' kind, 0 prio FROM part WHERE p_size < 5 UNION ALL SELECT DISTINCT lower(p_brand), 'middle', 1 FROM part WHERE p_size < 25 UNION ALL SELECT DISTINCT lower(p_brand), 'all', 2 FROM part)) WHERE rn = 1")
+def priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-01."""
+    part = _read(spark, sf_dir, "part")
+    some = lambda c, kind: part.filter(c).select(F.lower("p_brand").alias("word")).distinct().withColumn("kind", F.lit(kind))
+    return lexicon.union_by_priority([some("p_size < 5", "small"), some("p_size < 25", "middle"), some("true", "all")]).select("word", "kind")
+
+
+@query("SELECT n_regionkey % 2 AS pos, n_nationkey % 7 AS off30, arg_max(n_name, n_nationkey) AS category FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 4 GROUP BY 1, 2")
+def mapped_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-01: an inner join that keeps the last category of a target."""
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    synsets = nation.select((F.col("n_regionkey") % 2).alias("pos"), F.struct(F.col("n_regionkey").cast("bigint").alias("r"), (F.col("n_nationkey") % 7).cast("bigint").alias("x")).alias("off16"), F.col("n_name").alias("category"), F.col("n_nationkey").alias("ord"))
+    mapping = region.filter("r_regionkey < 4").join(spark.range(7).select(F.col("id").alias("off30"))).select((F.col("r_regionkey") % 2).alias("pos"), F.struct(F.col("r_regionkey").cast("bigint").alias("r"), F.col("off30").alias("x")).alias("off16"), "off30")
+    return lexicon.map_synsets(synsets, mapping)[0]
+
+
+@query("WITH RECURSIVE e AS (SELECT n_name AS name, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region), up AS (SELECT name, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT u.name, e.parent, u.depth + 1 FROM up u JOIN e ON u.ancestor = e.name) SELECT * FROM up")
+def taxonomy_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02 and the taxonomy tree."""
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    edges = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("name"), F.col("r_name").alias("parent")).unionByName(region.select(F.col("r_name").alias("name"), F.lit("WORLD").alias("parent")))
+    return lexicon.ancestors(edges, f"taxonomy_{uuid.uuid4().hex}")
+
+
+# --- Deduplication and sets
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) rn FROM documents) WHERE rn = 1")
+def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-01, DED-02, WIN-01."""
+    return corpus.first_by(_read(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("key")), ["key"], ["source", "doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT lang, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, doc_id) rn FROM documents) WHERE rn = 1 GROUP BY lang")
+def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-06, SET-02, SET-06."""
+    docs = _read(spark, sf_dir, "documents")
+    parts = [docs.filter("lang = 'en'"), docs.filter("lang = 'fr'"), docs.filter("lang NOT IN ('en', 'fr')")]
+    return corpus.counts(corpus.unify(parts, "doc_id", "text"), "lang")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) rn FROM conversations) WHERE rn = 1")
+def first_in_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-03, DED-05, DED-07, DED-08."""
+    return corpus.first_by(_read(spark, sf_dir, "conversations"), ["conv_id", "text"], ["turn"]).select("conv_id", "turn")
+
+
+@query("SELECT page_id FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1), md5(html) ORDER BY page_id) rn FROM pages) WHERE rn = 1")
+def boilerplate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-04."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.md5(F.col("html").cast("binary")).alias("key"))
+    return corpus.first_by(pages, ["host", "key"], ["page_id"]).select("page_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn = 1")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DED-09."""
+    return corpus.last_by(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT 'intersect' AS op, count(*) AS n FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE n_chars > 10000) UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-03, SET-04, SET-05."""
+    docs = _read(spark, sf_dir, "documents")
+    both = docs.filter("lang = 'en'").select("source").intersect(docs.filter("n_chars > 10000").select("source"))
+    rest = docs.select("doc_id").exceptAll(_read(spark, sf_dir, "labels").select("doc_id")).distinct()
+    count = lambda df, op: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
+    return count(both, "intersect").unionByName(count(rest, "except"))
+
+
+# --- Aggregation
+
+
+@query("SELECT 'lang' AS dimension, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'all', NULL, count(*) FROM documents")
+def grouping_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-03, SNK-03."""
+    return corpus.counts_by_each(_read(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("SELECT source, count(*) FILTER (WHERE quality = 0) AS n_0, count(*) FILTER (WHERE quality = 1) AS n_1 FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def score_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-04, AGG-17, JOIN-08."""
+    return corpus.crosstab(_read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id"), "source", "quality", [0, 1])
+
+
+@query("SELECT lang, avg((quality >= 1)::INT) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def affect_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-06, AGG-19."""
+    return corpus.rate(_read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id"), F.col("quality") >= 1, "lang")
+
+
+@query("SELECT w AS value, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) w FROM conversations) GROUP BY w ORDER BY n DESC, w LIMIT 50")
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-02, SRT-01, SRT-02."""
+    rows = corpus.exploded_counts(_read(spark, sf_dir, "conversations").select(F.split("text", " ").alias("ws")), "ws")
+    return corpus.top(rows, 50, F.desc("n"), "value")
+
+
+@query("SELECT lang, min(n_chars) AS least, max(n_chars) AS most, avg(n_chars) AS mean, max(n_chars) FILTER (WHERE i = c // 2 + 1) AS median FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars) i, count(*) OVER (PARTITION BY lang) c FROM documents) GROUP BY lang")
+def length_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-07, AGG-20."""
+    return corpus.upper_median(_read(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars", "lang")
+
+
+@query("SELECT quantile_cont(n_chars, 0.05) AS p5, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.95) AS p95, count(*) FILTER (WHERE n_chars >= 100) AS n_0, count(*) FILTER (WHERE n_chars >= 1000) AS n_1, count(*) FILTER (WHERE n_chars >= 10000) AS n_2 FROM documents")
+def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-21."""
+    return corpus.length_profile(_read(spark, sf_dir, "documents"), "n_chars", [100, 1000, 10000])
+
+
+@query("SELECT max(k) AS most, quantile_cont(k, 0.5) AS median, avg(k) AS mean, count(*) FILTER (WHERE k = 1) AS single, count(*) FILTER (WHERE k >= 2) AS several FROM (SELECT user_id, count(*) k FROM events WHERE value > 50 GROUP BY user_id)")
+def hits_per_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-22."""
+    k = corpus.counts(_read(spark, sf_dir, "events").filter("value > 50"), "user_id")
+    return k.agg(F.max("n").alias("most"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") >= 2).alias("several"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS total FROM events GROUP BY event_type")
+def event_json_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-01, JSN-03."""
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("double")).alias("total"))
+
+
+# --- Metrics
+
+_PREDICTIONS_SQL = "(SELECT conv_id, turn, role, ws[1:5] AS p, ws[3] AS g FROM (SELECT *, string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ') ws FROM conversations))"
+
+
+@query(f"SELECT role, count(*) AS n, avg(coalesce(list_contains(p[1:1], g), false)::INT) AS acc_at_1, avg(coalesce(list_contains(p[1:3], g), false)::INT) AS acc_at_3, avg(coalesce(list_contains(p[1:5], g), false)::INT) AS acc_at_5, avg(coalesce(1.0::DOUBLE / nullif(list_position(p, g), 0), 0)) AS mrr FROM {_PREDICTIONS_SQL} GROUP BY role")
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11, AGG-12, WIN-09, ARR-01."""
+    ws = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " ")
+    rows = _read(spark, sf_dir, "conversations").select("role", F.slice(ws, 1, 5).alias("p"), F.get(ws, F.lit(2)).alias("g"))
+    return metrics.ranking(rows, "p", "g", "role")
+
+
+_PAIR_SQL = "SELECT quality a, toxic b FROM labels"
+
+
+@query("WITH r AS (SELECT quality a, toxic b FROM labels), s AS (SELECT count(*) n, sum((a = b)::INT) same, sum(a) a1, sum(b) b1 FROM r) SELECT n, same / n AS agreement, 1 - (n - same)::DOUBLE * n / (a1 * (n - b1) + (n - a1) * b1) AS kappa FROM s")
+def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-15, AGG-16."""
+    return metrics.kappa(_read(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("WITH r AS (SELECT least(n_chars // 3000, 3) a, least(doc_id % 5, 3) b FROM documents), o AS (SELECT count(*) n, sum((a = b)::INT) same, sum((a - b) * (a - b)) seen FROM r), e AS (SELECT sum(x.c * y.c * (a - b) * (a - b)) chance FROM (SELECT a, count(*) c FROM r GROUP BY a) x, (SELECT b, count(*) c FROM r GROUP BY b) y) SELECT n, same / n AS agreement, 1 - seen::DOUBLE * n / chance AS kappa FROM o, e")
+def quadratic_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-16 with quadratic weights."""
+    rows = _read(spark, sf_dir, "documents").select(F.least(F.expr("n_chars div 3000"), F.lit(3)).alias("a"), F.least(F.col("doc_id") % 5, F.lit(3)).alias("b"))
+    return metrics.kappa(rows, "a", "b", "quadratic")
+
+
+@query("SELECT quality, count(*) FILTER (WHERE toxic = 0) AS b_0, count(*) FILTER (WHERE toxic = 1) AS b_1 FROM labels GROUP BY quality UNION ALL SELECT v, 0, 0 FROM (VALUES (0), (1)) t(v) WHERE v NOT IN (SELECT quality FROM labels)")
+def rater_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-17."""
+    return metrics.confusion(_read(spark, sf_dir, "labels"), "quality", "toxic", [0, 1])
+
+
+@query("WITH r AS (SELECT n_chars a, quality b FROM documents JOIN labels USING (doc_id)), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 rb FROM r) SELECT count(*) AS n, corr(ra, rb) AS rho FROM k")
+def spearman_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-18, WIN-02."""
+    return metrics.spearman(_read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id"), "n_chars", "quality")
+
+
+@query("WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) fn, count(*) FILTER (WHERE quality = 0 AND toxic = 0) tn, avg(abs(quality - toxic)) mae FROM labels) SELECT tp, fp, fn, tn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS macro_f1, mae FROM c")
+def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-25."""
+    return metrics.binary_scores(_read(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("WITH v AS (SELECT [(l_quantity > 25)::INT, (l_discount > 0.05)::INT, (l_tax > 0.04)::INT] g, [(l_quantity > 30)::INT, (l_discount > 0.03)::INT, (l_tax > 0.04)::INT] p FROM lineitem), s AS (SELECT count(*) n, sum((g[1] = p[1])::INT + (g[2] = p[2])::INT + (g[3] = p[3])::INT) same, sum((g = p)::INT) exact, sum(g[1] * p[1] + g[2] * p[2] + g[3] * p[3]) tp, sum(list_sum(g) + list_sum(p)) ones FROM v) SELECT n, 1 - same / (3 * n) AS hamming, exact / n AS subset_accuracy, 2 * tp / ones AS micro_f1 FROM s")
+def multilabel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-26."""
+    bit = lambda c: F.expr(f"cast({c} AS int)")
+    rows = _read(spark, sf_dir, "lineitem").select(F.array(bit("l_quantity > 25"), bit("l_discount > 0.05"), bit("l_tax > 0.04")).alias("g"), F.array(bit("l_quantity > 30"), bit("l_discount > 0.03"), bit("l_tax > 0.04")).alias("p"))
+    return metrics.multilabel_scores(rows, "g", "p")
+
+
+@query("SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM (SELECT threshold, count(*) FILTER (WHERE quality = 1 AND n_chars >= threshold) tp, count(*) FILTER (WHERE quality = 0 AND n_chars >= threshold) fp, count(*) FILTER (WHERE quality = 1 AND n_chars < threshold) fn FROM documents JOIN labels USING (doc_id), (SELECT unnest([100, 1000, 5000]) threshold) GROUP BY threshold)")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-27."""
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return metrics.threshold_sweep(rows, F.col("quality") == 1, "n_chars", [100, 1000, 5000])
+
+
+@query("WITH f AS (SELECT o_custkey, count(*) f FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), t AS (SELECT coalesce(f, 0) f, (o_totalprice > 150000)::INT ok FROM orders LEFT JOIN f USING (o_custkey) WHERE o_orderkey % 2 = 1) SELECT at_least, count(*) AS n, avg(ok) AS accuracy FROM t, (SELECT unnest([1, 5, 10]) at_least) WHERE f >= at_least GROUP BY at_least")
+def accuracy_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-33."""
+    orders = _read(spark, sf_dir, "orders")
+    test = orders.filter("o_orderkey % 2 = 1").withColumn("ok", F.col("o_totalprice") > 150000)
+    return metrics.accuracy_by_frequency(test, orders.filter("o_orderkey % 2 = 0"), "o_custkey", "ok", [1, 5, 10])
+
+
+# --- Windows, samples, splits
+
+
+@query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ',') AS before, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ',') AS after FROM conversations")
+def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04, WIN-07."""
+    rows = corpus.neighbours(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role")
+    shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return rows.select("conv_id", "turn", shown("before"), shown("after"))
+
+
+@query("WITH m AS (SELECT *, min(CASE WHEN turn >= 2 AND role = 'user' THEN turn END) OVER (PARTITION BY conv_id) a, CASE WHEN role = 'assistant' THEN turn END b FROM conversations), k AS (SELECT *, max(b) FILTER (WHERE b < a) OVER (PARTITION BY conv_id) lo, min(b) FILTER (WHERE b > a) OVER (PARTITION BY conv_id) hi FROM m) SELECT conv_id, turn FROM k WHERE a IS NOT NULL AND (lo IS NULL OR turn > lo) AND (hi IS NULL OR turn < hi)")
+def turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-06, TXT-16."""
+    rows = _read(spark, sf_dir, "conversations")
+    return corpus.islands(rows, ["conv_id"], "turn", F.col("role") == "assistant", (F.col("turn") >= 2) & (F.col("role") == "user")).select("conv_id", "turn")
+
+
+@query("SELECT source, n, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (sum(n) OVER ()) * 0.1::DOUBLE AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)")
+def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP-03, WIN-08."""
+    return sampling.group_holdout(_read(spark, sf_dir, "documents"), "source")
+
+
+@query("WITH h AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (sum(n) OVER ()) * 0.1::DOUBLE AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)), r AS (SELECT d.*, held, row_number() OVER (PARTITION BY held ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY held) c FROM documents d JOIN h USING (source)) SELECT doc_id, CASE WHEN held THEN 'test' WHEN i <= floor(c * 0.05::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")
+def leakage_free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP-03, SNK-08."""
+    return sampling.leakage_free_split(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "split")
+
+
+@query("SELECT doc_id, CASE WHEN i <= floor(c * 0.95::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY source) c FROM documents)")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP-02."""
+    return sampling.stratified_split(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "split")
+
+
+@query("WITH r AS (SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)), c AS (SELECT quality, lang, count(*) c FROM r GROUP BY ALL), t AS (SELECT *, least(sum(c) OVER q, 50) t, greatest(1, floor(least(sum(c) OVER q, 50) * c / sum(c) OVER q + 0.5)) k FROM c WINDOW q AS (PARTITION BY quality)), u AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY quality ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) taken, row_number() OVER (PARTITION BY quality ORDER BY lang DESC) = 1 last FROM t), v AS (SELECT quality, lang, greatest(0, least(CASE WHEN last THEN t - taken ELSE least(k, t - taken) END, c)) q FROM u), n AS (SELECT *, row_number() OVER (PARTITION BY quality, lang ORDER BY md5(doc_id || '42'), doc_id) i FROM r) SELECT doc_id, n.lang, n.quality FROM n JOIN v ON n.quality = v.quality AND n.lang = v.lang WHERE i <= q")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP-01."""
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "quality")
+    return sampling.stratified(rows, "quality", "lang", "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN i <= 20 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '42'), doc_id) i FROM documents) WHERE i <= 50")
+def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMP-04, SRT-06, WIN-03."""
+    return sampling.quotas(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", [("val", 20), ("test", 30)], by=["lang"]).select("doc_id", "split")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id || '7'), doc_id LIMIT 100")
+def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-07, SMP-05."""
+    return sampling.head_sample(_read(spark, sf_dir, "documents").select("doc_id"), 100, "doc_id", 7)
+
+
+# --- Vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _read(spark, sf_dir, "embeddings")
+    return rows.filter("label <> 0"), rows.filter("label = 0")
+
+
+_NEAREST_SQL = "(SELECT e.vec_id, e.label, arg_max(a.vec_id, (list_inner_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), -a.vec_id)) AS anchor, max(list_inner_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS similarity FROM embeddings e, embeddings a WHERE e.label <> 0 AND a.label = 0 GROUP BY ALL)"
+
+
+@query(f"SELECT vec_id, anchor, similarity FROM {_NEAREST_SQL}")
+def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-07, VEC-02, WIN-10: the anchors are the query set, held against all rows in blocks."""
+    rows, anchors = _vectors(spark, sf_dir)
+    return vector.nearest_blocked(rows, anchors, "vec_id", "embedding", "vec_id")
+
+
+@query("SELECT label, count(*) AS n, min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS least, max(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS most FROM embeddings GROUP BY label")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-03."""
+    return _read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(vector.norm(F.col("embedding"))).alias("least"), F.max(vector.norm(F.col("embedding"))).alias("most"))
+
+
+@query(f"SELECT label AS post, count(*) AS n, max(round(similarity, 4)) AS best FROM {_NEAREST_SQL} WHERE similarity >= 0.2 GROUP BY label")
+def grouped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-04, AGG-24, SRT-03, FLT-10."""
+    rows, anchors = _vectors(spark, sf_dir)
+    near = vector.nearest_blocked(rows, anchors, "vec_id", "embedding", "vec_id").join(rows.select("vec_id", F.col("label").alias("post")), "vec_id")
+    hits = vector.group_hits(near, "post", "vec_id", "similarity", "anchor", least=0.2)
+    return hits.select("post", F.size("hits").cast("bigint").alias("n"), F.col("hits")[0]["confidence"].alias("best"))
+
+
+# --- Streams
+
+
+def _stream_result(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Runs a stream over events to its end, and returns its last output table from the shared folder."""
+    schema = _read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = f"{mining.scratch(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = build(events).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01 to STR-05: stateful deduplication of a stream, equal to the batch form."""
+    return _stream_result(spark, sf_dir, lambda s: crawl.first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+
+
+@query("SELECT CASE WHEN value < 10 THEN 'low' WHEN event_type = 'click' THEN 'click' ELSE 'passed' END AS reason, count(*) AS n FROM events GROUP BY 1")
+def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-06: reason counts of a stream."""
+    rules = [("low", F.col("value") < 10), ("click", F.col("event_type") == "click")]
+    return _stream_result(spark, sf_dir, lambda s: crawl.reason_counts(s, rules), "complete")
