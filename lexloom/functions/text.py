@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 # Letters with diacritics, cedilla forms included, and what they fold to.
 DIACRITICS, FOLDED = "ăâîșțĂÂÎȘȚşţŞŢ", "aaistAAISTstST"
 
-# Suffixes that tell a word's gender (folded), and suffix rewrites that give a feminine form, in order.
+# Suffixes that tell a word's gender (folded), and rewrites (end, letters cut, letters added) that give
+# a feminine form, in order.
 FEMININE = ("a", "oasa", "easca", "ica", "ita", "ata", "uta")
 MASCULINE = ("os", "esc", "ic", "it", "at", "ut", "iu")
-FEMININE_FORMS = (("it", "ită"), ("at", "ată"), ("ut", "ută"), ("os", "oasă"), ("nic", "ică"), ("t", "tă"))
+FEMININE_FORMS = (("it", 2, "ită"), ("at", 2, "ată"), ("ut", 2, "ută"), ("os", 2, "oasă"), ("nic", 2, "ică"), ("t", 1, "tă"))
 
 # Kinds of domains in order of precedence, each with the expressions that show it.
 DOMAINS = (
@@ -124,8 +125,8 @@ def infer_gender(word: Column) -> Column:
 def feminine_form(lemma: Column) -> Column:
     """The first suffix rewrite that fits, else null."""
     out = None
-    for old, new in FEMININE_FORMS:
-        made = F.concat(F.substring(lemma, F.lit(1), F.length(lemma) - len(old)), F.lit(new))
+    for old, cut, new in FEMININE_FORMS:
+        made = F.concat(F.substring(lemma, F.lit(1), F.length(lemma) - cut), F.lit(new))
         out = F.when(F.endswith(lemma, F.lit(old)), made) if out is None else out.when(F.endswith(lemma, F.lit(old)), made)
     return out
 

@@ -85,7 +85,7 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    return average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
 
 
 def binary_scores(df: DataFrame, gold: str, predicted: str, *by: str) -> DataFrame:
