@@ -125,6 +125,7 @@ def tokenized(docs: DataFrame, queues: list[str | None], vocabulary: str = token
     rest = len(queues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         encoder, part, seen = tokens.tokenizer(vocabulary), TaskContext.get().partitionId(), {}
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize

@@ -19,7 +19,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words in each of the cache's two generations. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Marks of words met once: only words that come again are worth a place in the cache.
+MARKS = 1 << 22
 PUNCTUATION = ".,;:!?$&%*#|"
 
 _blank_runs = re.compile(r"\s (?:\s|\Z)")
@@ -52,6 +54,7 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,9 +73,9 @@ class WordTokenizer:
         small = letters.lower()
         return small if len(small) == len(letters) else None
 
-    def _learn(self, words: list[str], lead: str, known: dict[str, bytes]) -> None:
-        """Puts the ids of words into known."""
-        old, odd = self.old if known is self.young else {}, []
+    def _learn(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+        """The ids of words; those met before are put into known."""
+        old, odd, met, last, out = self.old if known is self.young else {}, [], self.met, MARKS - 1, {}
         for w in words:
             ids = old.get(w)
             if ids is None:
@@ -89,14 +92,22 @@ class WordTokenizer:
                             self.ends.clear()
                         self.ends[end] = self._merged(end, "")
                     ids += self.ends[end]
-            known[w] = ids
-        space = " " if lead else ""
+                mark = hash(w) & last
+                if met[mark]:
+                    known[w] = ids
+                else:
+                    met[mark] = 1
+            else:
+                known[w] = ids
+            out[w] = ids
         if odd:
-            known.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
+            space = " " if lead else ""
+            out.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
+            self.young, self.old, self.met = {}, self.young, bytearray(MARKS)
         if len(self.heads) > CACHE_WORDS:
             self.heads.clear()
         odd, get, skip = _separators if self.word_ends else _blank_runs, self.young.get, len(self.lead)
@@ -112,13 +123,13 @@ class WordTokenizer:
             head = b""
             if skip:
                 first = words.pop(0)
-                if first not in self.heads:
-                    self._learn([first], "", self.heads)
-                head = self.heads[first]
+                head = self.heads.get(first)
+                if head is None:
+                    head = self._learn([first], "", self.heads)[first]
             found = list(map(get, words))
             if None in found:
-                self._learn([w for w, ids in zip(words, found, strict=True) if ids is None], self.lead, self.young)
-                found = list(map(get, words))
+                new = self._learn([w for w, ids in zip(words, found, strict=True) if ids is None], self.lead, self.young)
+                found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
             out[i] = head + b"".join(found)
         return out
 
@@ -138,4 +149,4 @@ def tokenizer(name: str) -> WordTokenizer:
 def forget() -> None:
     """Empties this worker's caches, for stages that don't encode."""
     for t in _loaded.values():
-        t.young, t.old, t.heads, t.ends = {}, {}, {}, {}
+        t.young, t.old, t.heads, t.ends, t.met = {}, {}, {}, {}, bytearray(MARKS)
