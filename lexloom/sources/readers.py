@@ -17,7 +17,7 @@ MULTI = "text string, text_id string, agreed_labels array<int>, sum_labels array
 SENTIMENT = "index string, text string, label string"
 FORUM = "TEXT string, SUBDIALECT string, STATUS string, LABELS string, `PERSONAL INCLINATION` string"
 CRAWL = "raw_content string, url string, title string, source_domain string, length bigint, language_score double, digest string"
-PAGE = "result array<struct<id:string,title:string,channelname:string,channelName:string,viewcount:bigint,viewCount:bigint,duration:bigint,uploaddate:string,publishDate:string,hits:array<struct<start:string,dur:string,ctx_before:string,token:string,ctx_after:string>>,subtitles:array<struct<start:string,dur:string,ctx_before:string,token:string,ctx_after:string>>>>"
+PAGE = "result array<struct<id:string,title:string,channelname:string,viewcount:bigint,duration:bigint,uploaddate:string,hits:array<struct<start:string,dur:string,ctx_before:string,token:string,ctx_after:string>>,subtitles:array<struct<start:string,dur:string,ctx_before:string,token:string,ctx_after:string>>>>"
 LEXICON = "adjectives map<string,string>, nouns map<string,string>, adverbs map<string,string>"
 RECORD = "id string, text string, full_context string, raw_content string, source string, split string"
 
@@ -133,6 +133,13 @@ def crawl(df: DataFrame, least_score: float = 0.0, shortest: int = 0, longest: i
     return out.limit(most) if most is not None else out
 
 
+def parsed_page(body: Column) -> Column:
+    """An API page (see PAGE) from JSON, with the fields' other names read as well."""
+    for other, name in (("channelName", "channelname"), ("viewCount", "viewcount"), ("publishDate", "uploaddate")):
+        body = F.replace(body, F.lit(f'"{other}"'), F.lit(f'"{name}"'))
+    return F.from_json(body, PAGE)
+
+
 def subtitle_hits(pages: DataFrame) -> DataFrame:
     """A row per hit of API pages (see PAGE; query carried along if there), with joined context and a link to the second."""
     query = F.col("query") if "query" in pages.columns else F.lit(None).cast("string")
@@ -141,9 +148,9 @@ def subtitle_hits(pages: DataFrame) -> DataFrame:
     second = F.floor(F.col("h.start").try_cast("double")).cast("int")
     context = F.trim(F.concat_ws(" ", T.non_empty(F.trim("h.ctx_before")), T.non_empty(F.trim("h.token")), T.non_empty(F.trim("h.ctx_after"))))
     return hits.select(
-        F.col("v.id").alias("video_id"), F.col("v.title").alias("video_title"), F.coalesce("v.channelname", "v.channelName").alias("channel_name"), "query", F.col("h.start").try_cast("double").alias("hit_start"),
+        F.col("v.id").alias("video_id"), F.col("v.title").alias("video_title"), F.col("v.channelname").alias("channel_name"), "query", F.col("h.start").try_cast("double").alias("hit_start"),
         F.col("h.dur").try_cast("double").alias("hit_dur"), "h.ctx_before", "h.token", "h.ctx_after", context.alias("full_context"), F.concat(F.lit("https://www.youtube.com/watch?v="), "v.id", F.lit("&t="), second.cast("string"), F.lit("s")).alias("youtube_url"),
-        F.coalesce("v.viewcount", "v.viewCount").alias("view_count"), "v.duration", F.coalesce("v.uploaddate", "v.publishDate").alias("upload_date"),
+        F.col("v.viewcount").alias("view_count"), "v.duration", F.col("v.uploaddate").alias("upload_date"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,16 +39,31 @@ def sessions(stream: DataFrame, time: str, by: str, gap: str = "30 minutes", del
 
 
 def collect_until(stream: DataFrame, path: str, checkpoint: str, most: int, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
-    """Appends transformed batches to path until most rows are there or the input ends; a rerun goes on from the checkpoint."""
-    spark, state = stream.sparkSession, {"rows": 0}
+    """Appends transformed batches to path until most rows are there or the input ends; the rows there. A rerun goes on from the checkpoint.
+
+    The batch that comes when there are enough is refused, so it isn't committed and a rerun begins with it.
+    """
+    spark = stream.sparkSession
+
+    def there() -> int:
+        try:
+            return spark.read.parquet(path).count()
+        except AnalysisException:
+            return 0
+
+    state = {"rows": there(), "enough": False}
 
     def write(batch: DataFrame, number: int) -> None:
-        if state["rows"] < most:
-            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-            state["rows"] = spark.read.parquet(path).count()
+        state["enough"] = state["rows"] >= most
+        if state["enough"]:
+            raise RuntimeError("enough rows")
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        state["rows"] = there()
 
     query: StreamingQuery = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while query.isActive and state["rows"] < most:
-        query.awaitTermination(1)
-    query.stop()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not state["enough"]:
+            raise
     return state["rows"]
