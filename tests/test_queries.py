@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -19,16 +20,16 @@ def con():
 
 
 def shown(v):
-    if v is None or v != v:
+    if hasattr(v, "__len__") and not isinstance(v, str):
+        return repr(list(v))
+    if pd.isna(v):
         return "null"
-    if isinstance(v, float):
-        return repr(round(v, 6))
-    return repr(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else repr(v.item() if hasattr(v, "item") else v)
+    return repr(round(float(v), 6)) if isinstance(v, float) else repr(v.item() if hasattr(v, "item") else v)
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(shown(float(v) if isinstance(v, float) else v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple(map(shown, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
