@@ -19,7 +19,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words in each of the cache's two generations. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Marks of words met once: only words that come again are worth a place in the cache.
 MARKS = 1 << 22
 PUNCTUATION = ".,;:!?$&%*#|"
@@ -36,6 +36,45 @@ def _byte_table() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Words(dict):
+    """Ids of words, learnt when missed. Holds words met before, in two generations."""
+
+    def __init__(self, owner: WordTokenizer, lead: str):
+        super().__init__()
+        self.owner, self.lead, self.old, self.met = owner, lead, {}, bytearray(MARKS)
+
+    def turn(self) -> None:
+        """Makes room once the younger generation is full."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+            self.met = bytearray(MARKS)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.met = {}, bytearray(MARKS)
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is not None:
+            self[w] = ids
+            return ids
+        owner, stem = self.owner, w.rstrip(PUNCTUATION)
+        piece = owner.plain(stem)
+        if piece is None:
+            ids = owner.whole([" " + w if self.lead else w])[0]
+        else:
+            ids = self.get(stem) or owner.merged(piece, self.lead)
+            if len(stem) < len(w):
+                ids += owner.end(w[len(stem) :])
+        mark = hash(w) & (MARKS - 1)
+        if self.met[mark]:
+            self[w] = ids
+        else:
+            self.met[mark] = 1
+        return ids
+
+
 class WordTokenizer:
     """encode(texts) gives the ids of each text, equal to the library's own, as little-endian numbers of self.dtype."""
 
@@ -47,24 +86,20 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.word_ends = any(x.endswith("</w>") for x in vocab)
-        self.lead = "" if self.word_ends else "Ġ"
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
         self.model, self.table = self.tokenizer.model, _byte_table()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        self.met = bytearray(MARKS)
+        self.words, self.heads, self.ends = _Words(self, "" if self.word_ends else "Ġ"), _Words(self, ""), {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, letters: str, lead: str) -> bytes:
+    def merged(self, letters: str, lead: str) -> bytes:
         """The ids of one piece of the vocabulary's pattern. lead: how it writes a space before it."""
         shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.table)
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(lead + shown)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(lead + shown)])
 
-    def _plain(self, letters: str) -> str | None:
+    def plain(self, letters: str) -> str | None:
         """The piece that a word of Latin letters is; None if letters isn't one."""
         if not letters.isalpha() or (not letters.isascii() and max(letters) >= "\u0250"):
             return None
@@ -73,64 +108,26 @@ class WordTokenizer:
         small = letters.lower()
         return small if len(small) == len(letters) else None
 
-    def _learn(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        """The ids of words; those met before are put into known."""
-        old, odd, met, last, out = self.old if known is self.young else {}, [], self.met, MARKS - 1, {}
-        for w in words:
-            ids = old.get(w)
-            if ids is None:
-                stem = w.rstrip(PUNCTUATION)
-                piece = self._plain(stem)
-                if piece is None:
-                    odd.append(w)
-                    continue
-                ids = known.get(stem) or self._merged(piece, lead)
-                if len(stem) < len(w):
-                    end = w[len(stem) :]
-                    if end not in self.ends:
-                        if len(self.ends) > 10_000:
-                            self.ends.clear()
-                        self.ends[end] = self._merged(end, "")
-                    ids += self.ends[end]
-                mark = hash(w) & last
-                if met[mark]:
-                    known[w] = ids
-                else:
-                    met[mark] = 1
-            else:
-                known[w] = ids
-            out[w] = ids
-        if odd:
-            space = " " if lead else ""
-            out.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
-        return out
+    def end(self, marks: str) -> bytes:
+        """The ids of the punctuation that ends a word."""
+        if marks not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            self.ends[marks] = self.merged(marks, "")
+        return self.ends[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old, self.met = {}, self.young, bytearray(MARKS)
-        if len(self.heads) > CACHE_WORDS:
-            self.heads.clear()
-        odd, get, skip = _separators if self.word_ends else _blank_runs, self.young.get, len(self.lead)
-        alone = [i for i, x in enumerate(texts) if odd.search(x)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, data in zip(alone, self.whole([texts[i] for i in alone]), strict=True):
-            out[i] = data
-        alone = set(alone)
-        for i, text in enumerate(texts):
-            if i in alone:
-                continue
-            words = text.split() if self.word_ends else text.split(" ")
-            head = b""
-            if skip:
-                first = words.pop(0)
-                head = self.heads.get(first)
-                if head is None:
-                    head = self._learn([first], "", self.heads)[first]
-            found = list(map(get, words))
-            if None in found:
-                new = self._learn([w for w, ids in zip(words, found, strict=True) if ids is None], self.lead, self.young)
-                found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            out[i] = head + b"".join(found)
+        self.words.turn()
+        self.heads.turn()
+        odd, get, out = _separators if self.word_ends else _blank_runs, self.words.__getitem__, []
+        for text in texts:
+            if odd.search(text):
+                out += self.whole([text])
+            elif self.word_ends:
+                out.append(b"".join(map(get, text.split())))
+            else:
+                first, *rest = text.split(" ")
+                out.append(self.heads[first] + b"".join(map(get, rest)))
         return out
 
 
@@ -149,4 +146,6 @@ def tokenizer(name: str) -> WordTokenizer:
 def forget() -> None:
     """Empties this worker's caches, for stages that don't encode."""
     for t in _loaded.values():
-        t.young, t.old, t.heads, t.ends, t.met = {}, {}, {}, {}, bytearray(MARKS)
+        t.words.forget()
+        t.heads.forget()
+        t.ends.clear()
