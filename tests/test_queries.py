@@ -24,7 +24,8 @@ def shown(v):
         return repr(list(v))
     if pd.isna(v):
         return "null"
-    return repr(round(float(v), 6)) if isinstance(v, float) else repr(v.item() if hasattr(v, "item") else v)
+    v = v.item() if hasattr(v, "item") else v
+    return repr(round(float(v), 6)) if isinstance(v, int | float) and not isinstance(v, bool) else repr(v)
 
 
 def rows(df):
