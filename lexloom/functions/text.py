@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Letters with diacritics, cedilla forms included, and what they fold to.
 DIACRITICS, FOLDED = "ăâîșțĂÂÎȘȚşţŞŢ", "aaistAAISTstST"
@@ -284,3 +285,19 @@ def training_pair(masked: Column, target: Column, sentinel: str = "<extra_id_0>"
 
 def baseline_clean(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)[^\p{L}\p{N}]+", " "), " +", " "))
+
+
+def parse_verdict(x: Column, schema: str, fields: dict[str, str]) -> Column:
+    """A struct of schema from a reply: its JSON, else that in a code fence, else its first object, else fields by expressions.
+
+    fields: for each field an expression whose first group is its value. All null if nothing parses.
+    """
+    tries = [x, F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(?s)(\{.*\})", 1)]
+    parsed = [F.from_json(F.when(F.try_parse_json(t).isNotNull() & F.startswith(F.trim(t), F.lit("{")), t), schema) for t in tries]
+    picked = [(non_empty(F.regexp_extract(x, fields[f.name], 1)) if f.name in fields else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    return F.coalesce(*parsed, F.struct(*picked))
+
+
+def fertility(df: DataFrame, tokens: str, words: str) -> DataFrame:
+    """Tokens per word over all rows of two arrays."""
+    return df.agg((F.sum(F.size(tokens)) / F.sum(F.size(words))).alias("fertility"))

@@ -150,3 +150,18 @@ def islands(df: DataFrame, group: list[str], order: str, barrier: Column, anchor
     high = F.min(F.when(F.col("_b") > F.col("_at"), F.col("_b"))).over(w)
     inside = marked.withColumn("_low", low).withColumn("_high", high).filter(F.col("_at").isNotNull() & (F.col("_low").isNull() | (F.col(order) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(order) < F.col("_high"))))
     return inside.drop("_at", "_b", "_low", "_high")
+
+
+def ordered(df: DataFrame, *orders: tuple[str, list]) -> DataFrame:
+    """Rows by the place of each column's value in its list; other values follow in their own order."""
+    keys: list[Column] = []
+    for column, values in orders:
+        place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+        keys += [F.when(place > 0, place).otherwise(len(values) + 1), F.col(column)]
+    return df.orderBy(*keys)
+
+
+def repeats_mean(df: DataFrame, *by: str) -> DataFrame:
+    """The mean of each numeric column over repeats of an experiment."""
+    numbers = [f.name for f in df.schema if f.name not in by and f.dataType.typeName() in ("double", "float", "integer", "long")]
+    return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in numbers])

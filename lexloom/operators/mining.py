@@ -46,6 +46,11 @@ def validate(evidence: DataFrame, seeds: DataFrame, stopwords: DataFrame, least:
     return with_reason(rows, rules).withColumn("confidence", score).drop("_seed", "_stop")
 
 
+def frame_confidence(known: Column, category: Column) -> Column:
+    """0.9 for a known seed, 0.7 for a primary template, 0.5 otherwise."""
+    return F.when(known, 0.9).when(category == "primary", 0.7).otherwise(0.5)
+
+
 def vote(emotions: Column, share: float = 0.3) -> Column:
     """The labels that at least that share of the votes has, sorted; ``unknown`` without votes."""
     kept = F.filter(F.array_sort(F.array_distinct(emotions)), lambda e: F.size(F.filter(emotions, lambda x: x == e)) >= share * F.size(emotions))

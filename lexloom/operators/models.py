@@ -68,6 +68,16 @@ def truncated(df: DataFrame, text: str, count: Callable[[str], int], most: int,
     return df.withColumn(text, run(text))
 
 
+def training_arrays(prompt: Column, target: Column, most: int, pad: int = 0, ignored: int = -100) -> Column:
+    """struct<input_ids, labels, attention> of token arrays: prompt and target, cut to most from the left and padded; only the target counts."""
+    ids, marks = F.concat(prompt, target), F.concat(F.transform(prompt, lambda _: F.lit(ignored)), target)
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - most + 1, F.lit(1)), F.lit(most))
+    missing = F.greatest(most - F.size(last(ids)), F.lit(0))
+    filled = lambda x, v: F.concat(last(x), F.array_repeat(F.lit(v), missing))
+    ones = F.transform(ids, lambda _: F.lit(1))
+    return F.struct(filled(ids, pad).alias("input_ids"), filled(marks, ignored).alias("labels"), filled(ones, 0).alias("attention"))
+
+
 def forest_baseline(text: str = "text", label: str = "label", least: int = 5, trees: int = 50) -> Pipeline:
     """Counts of words in at least ``least`` and at most 80 % of the texts, weighed by rarity, into a random forest."""
     stages = [StringIndexer(inputCol=label, outputCol="target"), Tokenizer(inputCol=text, outputCol="words"), CountVectorizer(inputCol="words", outputCol="counts", minDF=least, maxDF=0.8), IDF(inputCol="counts", outputCol="features")]

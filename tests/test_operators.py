@@ -141,3 +141,13 @@ def test_profiles(spark):
     assert tuple(corpus.length_profile(df, "v", [5.0]).first()) == pytest.approx((1.45, 5.5, 9.55, 6))
     assert corpus.upper_median(df, "v").first().median == 6
     assert json.loads(df.select(F.to_json(F.struct("v"))).first()[0]) == {"v": 1}
+
+
+def test_training_arrays_and_reports(spark):
+    df = spark.createDataFrame([([1, 2, 3], [7, 8])], "p array<int>, t array<int>")
+    r = df.select(models.training_arrays(F.col("p"), F.col("t"), 7).alias("x")).first().x
+    assert (r.input_ids, r.labels, r.attention) == ([1, 2, 3, 7, 8, 0, 0], [-100, -100, -100, 7, 8, -100, -100], [1, 1, 1, 1, 1, 0, 0])
+    assert df.select(models.training_arrays(F.col("p"), F.col("t"), 3).alias("x")).first().x.input_ids == [3, 7, 8]
+    rows = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("z", 3.0), ("b", 3.0)], "m string, v double")
+    assert [r.m for r in corpus.ordered(rows.select("m").distinct(), ("m", ["z", "a"])).collect()] == ["z", "a", "b"]
+    assert {r.m: r.v for r in corpus.repeats_mean(rows, "m").collect()} == {"a": 2.0, "b": 2.0, "z": 3.0}

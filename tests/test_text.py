@@ -74,3 +74,11 @@ def test_videos(run):
     assert [run(T.parse_views, x) for x in ("1.2M views", "3K", "1,234")] == [12_000_000, 3000, 1234]
     assert [run(T.parse_duration, x) for x in ("1:02:03", "2:03", "45", "x")] == [3723, 123, 45, None]
     assert run(lambda x: T.centred(x, L("mid"), 9), "aaaaaaaaaamidbbbbbbbbbb") == "...aaamidbbb..."
+
+
+def test_verdicts(run):
+    make = lambda x: T.parse_verdict(x, "score int, why string", {"score": r'score\D{0,3}(\d)', "why": r'why"?:\s*"([^"]*)'})
+    assert tuple(run(make, '{"score": 2, "why": "a"}')) == (2, "a")
+    assert tuple(run(make, 'Sure:\n```json\n{"score": 1}\n```')) == (1, None)
+    assert tuple(run(make, 'I say {"score": 3, "why": "b"} so')) == (3, "b")
+    assert tuple(run(make, "score: 2, broken {")) == (2, None) and tuple(run(make, "none")) == (None, None)
