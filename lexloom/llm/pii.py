@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import documents, text_or_empty
+from .common import documents, fresh, text_or_empty
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -120,8 +120,9 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     Needs one row per doc_id; rows without one keep their text.
     """
-    found = find_pii(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_pii_id"), "spans")
-    order = F.array_sort(F.transform(F.filter("spans", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    id_, found_ = fresh(docs, "_id", "_spans")
+    found = find_pii(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("spans").alias(found_))
+    order = F.array_sort(F.transform(F.filter(found_, lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = text_or_empty()
 
     def step(acc: Column, s: Column) -> Column:
@@ -131,8 +132,8 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(found, F.col("doc_id") == F.col("_pii_id"), "left")
-    return joined.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("_pii_id", "spans")
+    joined = docs.join(found, F.col("doc_id") == F.col(id_), "left")
+    return joined.withColumn("text", F.when(F.size(found_) > 0, clean).otherwise(F.col("text"))).drop(id_, found_)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

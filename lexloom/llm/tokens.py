@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -126,8 +127,8 @@ class WordTokenizer:
             elif self.word_ends:
                 out.append(b"".join(map(get, text.split())))
             else:
-                first, *rest = text.split(" ")
-                out.append(self.heads[first] + b"".join(map(get, rest)))
+                words = text.split(" ")
+                out.append(self.heads[words[0]] + b"".join(map(get, islice(words, 1, None))))
         return out
 
 
