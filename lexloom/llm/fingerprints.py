@@ -1,11 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs. Native columns only.
 
-A text is cut into paragraphs at line ends and, as paragraphs can be very long, after marks that end a clause. The digest of one is 40
-hash bits followed by 24 check bits that depend on them. A sketch is a row of shards; a digest's bits choose its shard and, in each of
-the shard's three tables of four cells, a cell. A cell holds a count and the XOR of its digests. Sketches of one size subtract cell by
-cell, so what two texts share cancels. Peeling then takes digests out of cells that hold just one (count 1 or -1, check bits right),
-which uncovers more such cells, until the difference is empty: its digests are the paragraphs that differ. If a shard gets stuck, the
-comparison is made again at double size, and a last time on the digests themselves.
+A text is cut into paragraphs at line ends; a short text, which may have but one, counts its sentences as well. The digest of one is 32
+hash bits, 12 bits of which one is set in each group of four, and 20 check bits that depend on the others. A sketch is a row of shards;
+a digest's hash bits choose its shard and its twelve bits a cell in each of the shard's three tables of four. A cell holds the XOR of its
+digests; check bits stand in for counts. Sketches of one size subtract cell by cell, so what two texts share cancels. Peeling then takes
+digests out of cells that hold just one, as check bits show; that uncovers more such cells, until the difference is empty. The digests
+taken out are the paragraphs that differ. A shard that gets stuck is made again at four times the size, and at last compared digest by digest.
 """
 
 from __future__ import annotations
@@ -15,122 +15,143 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, text_or_empty
 
-#: Where paragraphs end.
-CUT = r"[\n.!?|]+"
-TABLES, SLOTS = 3, 4
+#: Where paragraphs end; and, in texts with fewer code points than SHORT, where sentences do.
+CUT, FINE = r"\n+", r"[\n.!?|]+"
+SHORT = 1500
+CELLS, CHECK = 12, 20
 #: Digests that a shard should hold on average, at most.
 FILL = 8
-ROUNDS, RETRIES = 5, 2
+#: And in the larger sketches that are made for a comparison, where they don't cancel.
+SPARSE = 4
+ROUNDS, RETRIES = 3, 2
 #: Rows that lie together when each row looks for the next, and the most such buckets.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 16
 
 _long = lambda x: F.lit(x).cast("bigint")
 
 
-def _check(hashed: Column) -> Column:
-    return F.xxhash64(hashed).bitwiseAND(_long(0xFFFFFF))
+def _check(body: Column) -> Column:
+    return F.xxhash64(body).bitwiseAND(_long((1 << CHECK) - 1))
 
 
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of the text's paragraphs."""
+    cut = F.when(F.length(text) < SHORT, F.concat(F.split(text, CUT), F.split(text, FINE))).otherwise(F.split(text, CUT))
+    parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
+    bodies = F.transform(F.transform(parts, lambda p: F.xxhash64(p)), _body)
+    return F.array_distinct(F.transform(bodies, lambda b: F.shiftleft(b, CHECK).bitwiseOR(_check(b))))
 
-    parts = F.filter(F.transform(F.split(text, CUT), lambda p: F.trim(p)), lambda p: p != "")
-    hashed = F.transform(parts, lambda p: F.xxhash64(p).bitwiseAND(_long((1 << 40) - 1)))
-    return F.array_distinct(F.transform(hashed, lambda h: F.shiftleft(h, 24).bitwiseOR(_check(h))))
 
-
-def _valid(x: Column) -> Column:
-    return _check(F.shiftrightunsigned(x, 24)) == x.bitwiseAND(_long(0xFFFFFF))
-
-
-def _slot(x: Column, table: int) -> Column:
-    return F.shiftrightunsigned(x, 24 + 2 * table).bitwiseAND(_long(SLOTS - 1))
+def _body(h: Column) -> Column:
+    """32 bits of a hash, and for each of three further pairs of its bits one set bit of four."""
+    slots = [F.element_at(F.array(*[_long(1 << (4 * t + i)) for i in range(4)]), (F.shiftrightunsigned(h, 2 * t).bitwiseAND(_long(3)) + 1).cast("int")) for t in range(3)]
+    return F.shiftleft(F.shiftrightunsigned(h, 32), CELLS).bitwiseOR(slots[0]).bitwiseOR(slots[1]).bitwiseOR(slots[2])
 
 
 def _shards(items: Column, bits: Column) -> Column:
-    """items dealt to 2**bits arrays by their shard bits, in two steps, so that no step deals to many at once."""
+    """items dealt to 2**bits arrays by their hash bits, in two steps, so that no step deals to many at once."""
     low = F.least(bits, F.lit(4))
     last = lambda b: F.pow(F.lit(2), b).cast("bigint") - 1
-    coarse = F.transform(F.sequence(_long(0), last(low)), lambda i: F.filter(items, lambda x: F.shiftrightunsigned(x, 30).bitwiseAND(last(low)) == i))
+    coarse = F.transform(F.sequence(_long(0), last(low)), lambda i: F.filter(items, lambda x: F.shiftrightunsigned(x, CHECK + CELLS).bitwiseAND(last(low)) == i))
     high = F.sequence(_long(0), last(bits - low))
-    return F.flatten(F.transform(coarse, lambda some: F.transform(high, lambda j: F.filter(some, lambda x: F.shiftrightunsigned(x, 34).bitwiseAND(last(bits - low)) == j))))
+    return F.flatten(F.transform(coarse, lambda some: F.transform(high, lambda j: F.filter(some, lambda x: F.shiftrightunsigned(x, CHECK + CELLS + 4).bitwiseAND(last(bits - low)) == j))))
 
 
-def _cells(items: Column) -> Column:
-    """The cells of a shard: 12 structs of count c and XOR k."""
-    zero = F.struct(F.lit(0).alias("c"), _long(0).alias("k"))
-    add = lambda a, x: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(x).alias("k"))
+def _holds(x: Column, cell: int) -> Column:
+    return x.bitwiseAND(_long(1 << (CHECK + cell))) != 0
 
-    def cell(table: int, slot: int) -> Column:
-        return F.aggregate(F.filter(items, lambda x: _slot(x, table) == slot), zero, add)
 
-    return F.array(*[cell(t, s) for t in range(TABLES) for s in range(SLOTS)])
+def _xors(items: Column, cells: Column | None = None) -> Column:
+    """The XOR of each cell of a shard, starting from cells or from zero."""
+    add = lambda i: lambda a, x: F.when(_holds(x, i), a.bitwiseXOR(x)).otherwise(a)
+    return F.array(*[F.aggregate(items, _long(0) if cells is None else F.get(cells, F.lit(i)), add(i)) for i in range(CELLS)])
 
 
 def sketch(items: Column, bits: Column) -> Column:
-    """array<array<struct<c, k>>>: the cells of each of 2**bits shards."""
-    return F.transform(_shards(items, bits), _cells)
+    """array<array<bigint>>: the XORs of the cells of each of 2**bits shards."""
+    return F.transform(_shards(items, bits), lambda some: _xors(some))
 
 
-def size_bits(n: Column) -> Column:
+def size_bits(n: Column, fill: int = FILL) -> Column:
     """The logarithm of the shards for n digests."""
-    return F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / float(FILL))), F.lit(0)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / float(fill))), F.lit(0)), F.lit(24)).cast("int")
 
 
 def encoded(cells: Column) -> Column:
-    """A sketch as text: base64 of a count byte and eight key bytes for each cell."""
-    hexed = F.transform(F.flatten(cells), lambda x: F.concat(F.lpad(F.hex(x["c"].bitwiseAND(255).cast("bigint")), 2, "0"), F.lpad(F.hex(x["k"]), 16, "0")))
-    return F.base64(F.unhex(F.array_join(hexed, "")))
+    """A sketch as text: base64 of eight bytes for each cell."""
+    return F.base64(F.unhex(F.array_join(F.transform(F.flatten(cells), lambda k: F.lpad(F.hex(k), 16, "0")), "")))
 
 
 def _peeled(cells: Column) -> Column:
-    """struct<cells, pure, plus, minus>: what is left of a shard's difference, and how many digests were only in the first or second.
+    """struct<out, stuck>: the digests taken out of a shard's difference, and whether any are left.
 
     Steps alternate: one finds the cells that hold a single digest, the next takes those digests out of all their cells.
     """
+    nothing = F.array().cast("array<bigint>")
 
-    def slot_of(x: Column, j: Column) -> Column:
-        return F.when(j < SLOTS, _slot(x, 0) == j).when(j < 2 * SLOTS, _slot(x, 1) == j - SLOTS).otherwise(_slot(x, 2) == j - 2 * SLOTS)
+    def step(acc: Column, i: Column) -> Column:
+        alone = F.filter(acc["cells"], lambda x: (x != 0) & (_check(F.shiftrightunsigned(x, CHECK)) == x.bitwiseAND(_long((1 << CHECK) - 1))))
+        look = F.struct(acc["cells"].alias("cells"), F.array_distinct(alone).alias("pure"), acc["out"].alias("out"))
+        take = F.struct(_xors(acc["pure"], acc["cells"]).alias("cells"), nothing.alias("pure"), F.concat(acc["out"], acc["pure"]).alias("out"))
+        return F.when(i % 2 == 1, look).when(F.size(acc["pure"]) == 0, acc).otherwise(take)
 
-    def take(x: Column, j: Column, pure: Column) -> Column:
-        mine = F.filter(pure, lambda r: slot_of(r["k"], j))
-        return F.aggregate(mine, x, lambda a, r: F.struct((a["c"] - r["c"]).alias("c"), a["k"].bitwiseXOR(r["k"]).alias("k")))
+    start = F.struct(cells.alias("cells"), nothing.alias("pure"), nothing.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step, lambda s: F.struct(s["out"].alias("out"), F.exists(s["cells"], lambda c: c != 0).alias("stuck")))
 
-    def step(acc: Column, i: Column) -> Column:
-        pure = F.array_distinct(F.filter(acc["cells"], lambda x: (F.abs(x["c"]) == 1) & _valid(x["k"])))
-        look = F.struct(acc["cells"].alias("cells"), pure.alias("pure"), acc["plus"].alias("plus"), acc["minus"].alias("minus"))
-        more = F.size(F.filter(acc["pure"], lambda r: r["c"] == 1))
-        left = F.transform(acc["cells"], lambda x, j: take(x, j, acc["pure"]))
-        out = F.struct(left.alias("cells"), F.slice(acc["pure"], 1, 0).alias("pure"), (acc["plus"] + more).alias("plus"), (acc["minus"] + F.size(acc["pure"]) - more).alias("minus"))
-        return F.when(i % 2 == 1, look).when(F.size(acc["pure"]) == 0, acc).otherwise(out)
 
-    start = F.struct(cells.alias("cells"), F.slice(cells, 1, 0).alias("pure"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step)
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), F.concat(x, y).alias("both"))
+
+
+def _compared(shards: Column) -> Column:
+    """shards: array<struct<x, y, both>>. x and y with d: the digests that one of x and y holds (out), from their subtracted cells, and stuck.
+
+    The XOR of two sketches is the sketch of both lists, which is how cells are subtracted here.
+    """
 
+    def one(s: Column) -> Column:
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), _peeled(_xors(s["both"])).alias("d"))
 
-def _difference(a: Column, b: Column) -> Column:
-    """struct<plus, minus, stuck> of two sketches of one size."""
-    subtract = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"))
-    shards = F.zip_with(a, b, lambda x, y: _peeled(F.zip_with(x, y, subtract)))
-    start = F.struct(F.lit(0).alias("plus"), F.lit(0).alias("minus"), F.lit(False).alias("stuck"))
-    return F.aggregate(shards, start, lambda s, x: F.struct((s["plus"] + x["plus"]).alias("plus"), (s["minus"] + x["minus"]).alias("minus"), (s["stuck"] | F.exists(x["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0))).alias("stuck")))
+    return F.transform(shards, one)
 
 
-def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with out: shared over all distinct paragraphs of two columns of digests, from the peeled difference of their sketches.
+def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with out: the digests that only one of two columns of digests holds, peeled from the difference of their sketches.
 
-    1 if both are empty. A stuck difference is made again at double size, RETRIES times, and then from the digests themselves.
+    Shards that get stuck are made again at four times the size, RETRIES times, and at last compared digest by digest.
     """
-    one, two = F.col(a), F.col(b)
-    for k in range(RETRIES + 1):
-        bits = size_bits(F.size(one) + F.size(two)) + k
-        made = _difference(sketch(one, bits), sketch(two, bits))
-        df = df.withColumn(f"_{out}{k}", made if k == 0 else F.when(F.col(f"_{out}{k - 1}.stuck"), made).otherwise(F.col(f"_{out}{k - 1}")))
-    d = F.col(f"_{out}{RETRIES}")
-    exact = F.size(F.array_intersect(one, two)) / F.size(F.array_union(one, two))
-    peeled = (F.size(one) - d["plus"]) / (F.size(one) + d["minus"])
-    df = df.withColumn(out, F.when((F.size(one) == 0) & (F.size(two) == 0), 1.0).when(d["stuck"], exact).otherwise(peeled))
-    return df.drop(*[f"_{out}{k}" for k in range(RETRIES + 1)])
+    bits = size_bits(F.size(a) + F.size(b), SPARSE)
+    names = [f"_{out}{k}" for k in range(RETRIES + 1)]
+    df = df.withColumn(names[0], _compared(F.zip_with(_shards(F.col(a), bits), _shards(F.col(b), bits), _pair)))
+    stuck = lambda name: F.filter(F.col(name), lambda s: s["d"]["stuck"])
+    for k in range(1, RETRIES + 1):
+        finer = F.flatten(F.transform(stuck(names[k - 1]), _finer(k, bits)))
+        df = df.withColumn(names[k], F.when(F.exists(names[k - 1], lambda s: s["d"]["stuck"]), _compared(finer)).otherwise(F.slice(F.col(names[k - 1]), 1, 0)))
+    found = [F.flatten(F.transform(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"])) for n in names]
+    exact = F.flatten(F.transform(stuck(names[-1]), lambda s: F.concat(F.array_except(s["x"], s["y"]), F.array_except(s["y"], s["x"]))))
+    return df.withColumn(out, F.concat(*found, exact)).drop(*names)
+
+
+def _finer(k: int, bits: Column):
+    """Deals the digests of a shard to four by the next hash bits."""
+    at = CHECK + CELLS + 2 * (k - 1)
+
+    def parts(s: Column) -> Column:
+        return F.array(*[_pair(_next(s["x"], bits, at, i), _next(s["y"], bits, at, i)) for i in range(4)])
+
+    return parts
+
+
+def _next(items: Column, bits: Column, at: int, i: int) -> Column:
+    """Those whose two hash bits after the first bits (and those that earlier retries used) are i."""
+    shifted = lambda x: F.call_function("shiftrightunsigned", x, bits + at)
+    return F.filter(items, lambda x: shifted(x).bitwiseAND(_long(3)) == i)
+
+
+def likeness(a: Column, b: Column, differing: Column) -> Column:
+    """Shared over all distinct paragraphs; 1 if there are none."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, 1.0).otherwise((both - F.size(differing)) / (both + F.size(differing)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -174,8 +195,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *[digests(F.col(c)).alias(c) for c in ("text", "edited", "following")])
     for c in ("text", "edited"):
         rows = rows.withColumn(f"{c}_sketch", encoded(sketch(F.col(c), size_bits(F.size(c)))))
-    rows = with_likeness(with_likeness(rows, "text", "edited", "near_edited"), "text", "following", "near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("text_sketch").alias("fingerprint"), F.col("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+    rows = with_difference(with_difference(rows, "text", "edited", "from_edited"), "text", "following", "from_next")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("text_sketch").alias("fingerprint"), F.col("edited_sketch").alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("edited"), F.col("from_edited")).alias("near_edited"), likeness(F.col("text"), F.col("following"), F.col("from_next")).alias("near_next"),
+    )
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

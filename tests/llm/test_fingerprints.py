@@ -10,7 +10,8 @@ from lexloom.llm import fingerprints as fp
 
 
 def parts(text):
-    return {p.strip(" ") for p in re.split(fp.CUT, text)} - {""}
+    cut = re.split(fp.CUT, text) + (re.split(fp.FINE, text) if len(text) < fp.SHORT else [])
+    return {p.strip(" ") for p in cut} - {""}
 
 
 def alike(a, b):
@@ -18,7 +19,7 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-TEXTS = ["", None, "One. Two! Three? Four\nfive | six", "one", "😀😀😀. ñ. é", "same. text. here", "same. text. here", " ".join(f"part {i}." for i in range(700)), "x" * 200_000, "a. " * 60_000, "\n\n.. !", "tail. end"]
+TEXTS = ["", None, "One. Two! Three? Four\nfive | six", "one", "😀😀😀. ñ. é", "same. text. here", "same. text. here", " ".join(f"part {i}." for i in range(700)), "\n".join(f"line {i}" for i in range(400)), "x" * 200_000, "a. " * 60_000, "\n\n.. !", "tail. end"]
 
 
 def test_edits_and_likeness(docs_of):
@@ -52,23 +53,25 @@ def test_one_and_none(docs_of):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"ab.ab.").hexdigest()
 
 
-def test_subtracting_shared_and_peeling_the_rest(spark):
-    """Sketches of sets that share much subtract to the sketch of what differs; the counts come out of the cells alone."""
-    a, b = ". ".join(f"p{i}" for i in range(60)), ". ".join(f"p{i}" for i in range(3, 64))
+def test_peeling_recovers_what_differs(spark):
+    a, b = "\n".join(f"paragraph {i}" for i in range(200)), "\n".join(f"paragraph {i}" for i in range(3, 204))
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fp.digests(F.col("a")).alias("a"), fp.digests(F.col("b")).alias("b"))
-    bits = F.lit(1)
-    d = df.select(fp._difference(fp.sketch(F.col("a"), bits), fp.sketch(F.col("b"), bits)).alias("d")).first().d
-    assert (d.plus, d.minus, d.stuck) == (3, 4, False)
-    tight = df.select(fp._difference(fp.sketch(F.col("a"), F.lit(0)), fp.sketch(F.array().cast("array<bigint>"), F.lit(0))).alias("d")).first().d
-    assert tight.stuck
-    (far,) = fp.with_likeness(df.select("a", F.slice("a", 1, 0).alias("b")), "a", "b", "x").collect()
-    assert far.x == 0.0
+    r = fp.with_difference(df, "a", "b", "out").first()
+    assert len(r.a) == 200 and len(r.out) == 7 and set(r.out) == set(r.a) ^ set(r.b)
+
+
+def test_one_shard_subtracts_peels_and_gets_stuck(spark):
+    df = spark.createDataFrame([("\n".join(f"long paragraph number {i:040}" for i in range(40)),)], "t string").select(fp.digests(F.col("t")).alias("d"))
+    shard = lambda x, y: fp._compared(F.array(fp._pair(x, y)))[0]["d"]
+    few, many = df.select(shard(F.col("d"), F.slice("d", 3, 100)).alias("few"), shard(F.col("d"), F.slice("d", 40, 0)).alias("many")).first()
+    assert not few.stuck and len(few.out) == 2 and many.stuck
+    (r,) = fp.with_difference(df.select("d", F.slice("d", 1, 0).alias("none")), "d", "none", "out").collect()
+    assert sorted(r.out) == sorted(r.d)
 
 
 def test_encoded_cells(spark):
-    df = spark.createDataFrame([("one. two",)], "t string").select(fp.digests(F.col("t")).alias("d"))
+    df = spark.createDataFrame([("one\n" + "two" * 600,)], "t string").select(fp.digests(F.col("t")).alias("d"))
     r = df.select("d", fp.encoded(fp.sketch(F.col("d"), F.lit(0))).alias("e")).first()
-    raw = base64.b64decode(r.e.replace("\r\n", ""))
-    assert len(raw) == 12 * 9
-    counts, keys = [raw[i * 9] for i in range(12)], [struct.unpack_from(">q", raw, i * 9 + 1)[0] for i in range(12)]
-    assert sum(counts) == 6 and set(keys) <= {0, *r.d, r.d[0] ^ r.d[1]}
+    cells = struct.unpack(">12q", base64.b64decode(r.e))
+    one, two = r.d
+    assert all(cells.count(x) <= 3 for x in (one, two)) and set(cells) <= {0, one, two, one ^ two} and {0} != set(cells)
