@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs. Native columns only.
 
-A text is cut into paragraphs at line ends; a short text, which may have but one, counts its sentences as well. The digest of one is 32
+A text of any length is cut into paragraphs at line ends and, as it may have but one, into sentences as well. The digest of one is 32
 hash bits, 12 bits of which one is set in each group of four, and 20 check bits that depend on the others. A sketch is a row of shards;
-a digest's hash bits choose its shard and its twelve bits a cell in each of the shard's three tables of four. A cell holds the XOR of its
+a digest's first bits choose its shard and its twelve bits a cell in each of the shard's three tables of four. A cell holds the XOR of its
 digests; check bits stand in for counts. Sketches of one size subtract cell by cell, so what two texts share cancels. Peeling then takes
 digests out of cells that hold just one, as check bits show; that uncovers more such cells, until the difference is empty. The digests
 taken out are the paragraphs that differ. A shard that gets stuck is made again at four times the size, and at last compared digest by digest.
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize, text_or_empty
 
-#: Where paragraphs end; and, in texts with fewer code points than SHORT, where sentences do.
+#: Where paragraphs end, and where sentences do; the latter count in texts with fewer code points than SHORT, which no text reaches.
 CUT, FINE = r"\n+", r"[\n.!?|]+"
-SHORT = 1500
+SHORT = 1 << 31
 CELLS, CHECK = 12, 20
 #: Digests that a shard should hold on average, at most.
 FILL = 8
@@ -35,8 +35,8 @@ def _check(body: Column) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of the text's paragraphs."""
-    cut = F.when(F.length(text) < SHORT, F.concat(F.split(text, CUT), F.split(text, FINE))).otherwise(F.split(text, CUT))
+    """The distinct 64-bit digests of the text's paragraphs and sentences."""
+    cut = F.concat(F.split(text, CUT), F.split(text, FINE))
     parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
     bodies = F.transform(F.transform(parts, lambda p: F.xxhash64(p)), _body)
     return F.array_distinct(F.transform(bodies, lambda b: F.shiftleft(b, CHECK).bitwiseOR(_check(b))))
@@ -48,13 +48,23 @@ def _body(h: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(h, 32), CELLS).bitwiseOR(slots[0]).bitwiseOR(slots[1]).bitwiseOR(slots[2])
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), where x is worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _shards(items: Column, bits: Column) -> Column:
-    """items dealt to 2**bits arrays by their hash bits, in two steps, so that no step deals to many at once."""
-    low = F.least(bits, F.lit(4))
-    last = lambda b: F.pow(F.lit(2), b).cast("bigint") - 1
-    coarse = F.transform(F.sequence(_long(0), last(low)), lambda i: F.filter(items, lambda x: F.shiftrightunsigned(x, CHECK + CELLS).bitwiseAND(last(low)) == i))
-    high = F.sequence(_long(0), last(bits - low))
-    return F.flatten(F.transform(coarse, lambda some: F.transform(high, lambda j: F.filter(some, lambda x: F.shiftrightunsigned(x, CHECK + CELLS + 4).bitwiseAND(last(bits - low)) == j))))
+    """items dealt to 2**bits arrays by their first bits, in the order of signed numbers.
+
+    Each shard has a mark: its first bits, followed by zeros, so no cell holds it. In a sort it comes right before the shard's items.
+    """
+
+    def dealt(s: Column) -> Column:
+        marks = F.array_compact(F.transform(s, lambda x, i: F.when(x.bitwiseAND(_long(((1 << CELLS) - 1) << CHECK)) == 0, i + 1)))
+        return _let(marks, lambda at: F.transform(at, lambda a, k: F.slice(s, a + 1, F.coalesce(F.get(at, k + 1), F.size(s) + 1) - a - 1)))
+
+    marks = _let(bits, lambda b: F.transform(F.sequence(_long(0), F.call_function("shiftleft", _long(1), b) - 1), lambda i: F.when(b == 0, _long(-(1 << 63))).otherwise(F.call_function("shiftleft", i, 64 - b))))
+    return _let(F.sort_array(F.concat(items, marks)), dealt)
 
 
 def _holds(x: Column, cell: int) -> Column:
@@ -100,19 +110,15 @@ def _peeled(cells: Column) -> Column:
 
 
 def _pair(x: Column, y: Column) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), F.concat(x, y).alias("both"))
+    return F.struct(F.concat(x, y).alias("both"))
 
 
 def _compared(shards: Column) -> Column:
-    """shards: array<struct<x, y, both>>. x and y with d: the digests that one of x and y holds (out), from their subtracted cells, and stuck.
+    """shards: array<struct<both>>, the digests of two lists. both with d: those that one of the lists holds (out), from the subtracted cells, and stuck.
 
     The XOR of two sketches is the sketch of both lists, which is how cells are subtracted here.
     """
-
-    def one(s: Column) -> Column:
-        return F.struct(s["x"].alias("x"), s["y"].alias("y"), _peeled(_xors(s["both"])).alias("d"))
-
-    return F.transform(shards, one)
+    return F.transform(shards, lambda s: F.struct(s["both"].alias("both"), _peeled(_xors(s["both"])).alias("d")))
 
 
 def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -122,32 +128,27 @@ def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """
     bits = size_bits(F.size(a) + F.size(b), SPARSE)
     names = [f"_{out}{k}" for k in range(RETRIES + 1)]
-    df = df.withColumn(names[0], _compared(F.zip_with(_shards(F.col(a), bits), _shards(F.col(b), bits), _pair)))
+    df = df.withColumn(names[0], _compared(F.transform(_shards(F.concat(a, b), bits), lambda both: F.struct(both.alias("both")))))
     stuck = lambda name: F.filter(F.col(name), lambda s: s["d"]["stuck"])
     for k in range(1, RETRIES + 1):
         finer = F.flatten(F.transform(stuck(names[k - 1]), _finer(k, bits)))
         df = df.withColumn(names[k], F.when(F.exists(names[k - 1], lambda s: s["d"]["stuck"]), _compared(finer)).otherwise(F.slice(F.col(names[k - 1]), 1, 0)))
     found = [F.flatten(F.transform(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"])) for n in names]
-    exact = F.flatten(F.transform(stuck(names[-1]), lambda s: F.concat(F.array_except(s["x"], s["y"]), F.array_except(s["y"], s["x"]))))
+    once = lambda both: F.filter(both, lambda x: F.size(F.filter(both, lambda z: z == x)) == 1)
+    exact = F.flatten(F.transform(stuck(names[-1]), lambda s: once(s["both"])))
     return df.withColumn(out, F.concat(*found, exact)).drop(*names)
 
 
 def _finer(k: int, bits: Column):
-    """Deals the digests of a shard to four by the next hash bits."""
-    at = CHECK + CELLS + 2 * (k - 1)
+    """Deals the digests of a shard to four by the next two bits after the first ones (and those that earlier retries used)."""
 
     def parts(s: Column) -> Column:
-        return F.array(*[_pair(_next(s["x"], bits, at, i), _next(s["y"], bits, at, i)) for i in range(4)])
+        turn = lambda x: F.call_function("shiftrightunsigned", x, 64 - 2 * k - bits).bitwiseAND(_long(3))
+        return F.array(*[F.struct(F.filter(s["both"], lambda x: turn(x) == i).alias("both")) for i in range(4)])
 
     return parts
 
 
-def _next(items: Column, bits: Column, at: int, i: int) -> Column:
-    """Those whose two hash bits after the first bits (and those that earlier retries used) are i."""
-    shifted = lambda x: F.call_function("shiftrightunsigned", x, bits + at)
-    return F.filter(items, lambda x: shifted(x).bitwiseAND(_long(3)) == i)
-
-
 def likeness(a: Column, b: Column, differing: Column) -> Column:
     """Shared over all distinct paragraphs; 1 if there are none."""
     both = F.size(a) + F.size(b)

@@ -75,3 +75,19 @@ def test_encoded_cells(spark):
     cells = struct.unpack(">12q", base64.b64decode(r.e))
     one, two = r.d
     assert all(cells.count(x) <= 3 for x in (one, two)) and set(cells) <= {0, one, two, one ^ two} and {0} != set(cells)
+
+
+def test_one_rule_at_every_length(spark):
+    sentences = [f"sentence number {i} of one line" for i in range(200)]
+    rows = [(n, ". ".join(sentences[:n]), ". ".join(["changed", *sentences[1:n]])) for n in (10, 50, 200)]
+    df = spark.createDataFrame(rows, "n int, x string, y string").select("n", fp.digests(F.col("x")).alias("a"), fp.digests(F.col("y")).alias("b"))
+    for r in fp.with_difference(df, "a", "b", "out").withColumn("near", fp.likeness(F.col("a"), F.col("b"), F.col("out"))).collect():
+        assert len(r.a) == r.n + 1 and r.near == pytest.approx((r.n - 1) / (r.n + 3)), r.n  # the line and one sentence differ
+
+
+@pytest.mark.parametrize("bits", [0, 1, 5, 9])
+def test_shards_hold_digests_by_their_first_bits(spark, bits):
+    df = spark.createDataFrame([("\n".join(f"line {i}" for i in range(300)),)], "t string").select(fp.digests(F.col("t")).alias("d"))
+    r = df.select("d", fp._shards(F.col("d"), F.lit(bits)).alias("s")).first()
+    firsts = range(-(1 << bits >> 1), (1 << bits) + 1 >> 1)
+    assert r.s == [sorted(x for x in r.d if bits == 0 or x >> (64 - bits) == i) for i in firsts]
