@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -47,3 +48,20 @@ def test_query_equals_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_bootstrapped_lexicon_runs_four_rounds(spark, tmp_path):
+    chain = ["onek", "twok", "threek", "fourk", "fivek", "sixk"]
+    pairs = [("that", "onek"), ("with", "onek"), ("that", "lonek")] + [p for a, b in zip(chain, chain[1:], strict=False) for p in ((a, b), ("that", b))]
+    texts = [f"Say {('the', 'of', 'is')[i % 3]} {x} and {y}." for i, (x, y) in enumerate(pairs)]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    want = set(catalog.SEEDS)
+    for _ in range(4):
+        found = {}
+        for t in texts:
+            x, y = re.search(r"(?:the|of|is) ([a-z]+) and ([a-z]+)", t).groups()
+            if x in want:
+                found.setdefault(y, set()).add(x)
+        want |= {y for y, xs in found.items() if len(xs) >= 2}
+    got = catalog.queries()["bootstrapped_lexicon"](spark, str(tmp_path)).collect()
+    assert want == {*catalog.SEEDS, *chain[:4]} and sorted(r.word for r in got) == sorted(want)
