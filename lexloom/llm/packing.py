@@ -2,7 +2,8 @@
 
 Each source is a queue of tokens. In a round, which hands out as many tokens as a window holds, a queue's deficit grows by its target
 share, and the queue sends as many whole quanta as its deficit covers; the rest is carried on, across windows and partitions. A queue
-that drains leaves the mixture and the others share its part. What the rounds send, in order, is cut into windows.
+that drains leaves the mixture and the others share its part. What the rounds send, in order, is cut into windows. First deficits differ,
+so that queues of one size don't send their quanta in the same rounds and a round stays as long as a window.
 
 Deficits follow from the round's number alone: after r rounds a queue has sent floor((deficit + r * share) / quantum) quanta. So the
 driver works out only the few phases between drains, and each partition places its own documents by arithmetic.
@@ -24,7 +25,8 @@ from . import tokens
 from .common import documents, materialize, running_base, text_or_empty
 
 WINDOW = 2048
-QUANTUM = 512
+#: Small against a queue's part of a window, so that each window holds the targets.
+QUANTUM = 16
 END_ID = 1
 #: Sources with a queue of their own, by rows; all others share one more queue.
 QUEUES = 255
@@ -56,7 +58,7 @@ def schedule(sizes: list[int], weights: list[int] | None = None, window: int = W
     share = _scaled(weights or sizes, total + window)
     left = np.array(sizes, np.int64)
     share = np.where(left > 0, np.maximum(share, 1), 0)
-    deficit, sent, start = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
+    deficit, sent, start = np.arange(len(sizes)) * 618 % 1000 * quantum // 1000, np.zeros(len(sizes), np.int64), 0
     phases = []
     while (alive := left > sent).any():
         share = np.where(alive, share, 0)
@@ -78,6 +80,18 @@ def _sent(p: Phase, rounds: np.ndarray, window: int, quantum: int) -> np.ndarray
     return np.where(rounds[:, None] >= p.rounds, p.final[None, :], out * (p.share[None, :] > 0))
 
 
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n[i] pieces of each i: the piece's i, and its number among them."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _round_of(p: Phase, token: np.ndarray, queue: np.ndarray, window: int, quantum: int) -> np.ndarray:
+    """The round of the phase that sends a token of its queue."""
+    need = np.minimum((token // quantum + 1) * quantum, p.final[queue])
+    rounds = np.maximum(-(-((need - p.deficit[queue]) * p.shares) // (window * p.share[queue])) - 1, 0)
+    return np.minimum(rounds, p.rounds - 1)
+
+
 def place(phases: list[Phase], queue: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = WINDOW, quantum: int = QUANTUM) -> dict[str, np.ndarray]:
     """Pieces of the documents that hold tokens start to end of their queue: doc (index), offset in doc, length, and place in the stream."""
     found = []
@@ -88,29 +102,28 @@ def place(phases: list[Phase], queue: np.ndarray, start: np.ndarray, end: np.nda
         if not len(doc):
             continue
         a, b, q = a[doc], b[doc], queue[doc]
-        first, last = a // quantum, (b - 1) // quantum
-        n = last - first + 1
-        at = np.repeat(np.arange(len(doc)), n)
-        chunk = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        left, right, own = np.maximum(a[at], chunk * quantum), np.minimum(b[at], (chunk + 1) * quantum), q[at]
-        need = np.minimum((chunk + 1) * quantum, p.final[own])
-        rounds = np.maximum(-(-((need - p.deficit[own]) * p.shares) // (window * p.share[own])) - 1, 0)
-        rounds = np.minimum(rounds, p.rounds - 1)
+        first, last = _round_of(p, a, q, window, quantum), _round_of(p, b - 1, q, window, quantum)
+        fast = window * p.share[q] >= quantum * p.shares  # sends in each round: a piece for each; others have one for each quantum
+        at, k = _spread(np.where(fast, last - first, (b - 1) // quantum - a // quantum) + 1)
+        own, chunk = q[at], a[at] // quantum + k
+        rounds = np.where(fast[at], first[at] + k, _round_of(p, np.minimum(chunk * quantum, b[at] - 1), own, window, quantum))
+        left, right = np.where(fast[at], a[at], np.maximum(a[at], chunk * quantum)), np.where(fast[at], b[at], np.minimum(b[at], (chunk + 1) * quantum))
         where = np.empty(len(at), np.int64)
         for i in range(0, len(at), 4096):
             s = slice(i, i + 4096)
             before, after, k = _sent(p, rounds[s], window, quantum), _sent(p, rounds[s] + 1, window, quantum), own[s]
             ahead = np.cumsum(after - before, axis=1) - (after - before)
             row = np.arange(len(k))
+            left[s], right[s] = np.maximum(left[s], before[row, k]), np.minimum(right[s], after[row, k])
             where[s] = before.sum(axis=1) + ahead[row, k] + left[s] - before[row, k]
-        found.append((doc[at], left + p.sent[own] - start[doc[at]], right - left, where + p.start))
+        some = left < right
+        found.append((doc[at][some], (left + p.sent[own] - start[doc[at]])[some], (right - left)[some], where[some] + p.start))
     if not found:
         return {k: np.zeros(0, np.int64) for k in ("doc", "offset", "length", "place")}
     doc, offset, length, where = (np.concatenate(x) for x in zip(*found, strict=True))
-    cross = (where // window) != ((where + length - 1) // window)
-    cut = np.where(cross, window - where % window, length)
-    doc, offset, where = (np.concatenate((x, (x + d)[cross])) for x, d in ((doc, 0 * doc), (offset, cut), (where, cut)))
-    length = np.concatenate((cut, (length - cut)[cross]))
+    at, k = _spread((where + length - 1) // window - where // window + 1)
+    cut = np.where(k == 0, 0, (where[at] // window + k) * window - where[at])
+    doc, offset, where, length = doc[at], offset[at] + cut, where[at] + cut, np.minimum(length[at], (where[at] // window + k + 1) * window - where[at]) - cut
     order = np.lexsort((offset, doc))
     doc, offset, length, where = doc[order], offset[order], length[order], where[order]
     new = np.ones(len(doc), bool)
@@ -169,8 +182,8 @@ def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                some = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
                 queue, start, n = (some.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
                 got = place(phases, queue, start, start + n, window, quantum)
                 texts = [memoryview(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in some.column(4)] if wide else [memoryview(x.as_buffer()) for x in some.column(4)]

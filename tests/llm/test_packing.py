@@ -66,3 +66,29 @@ def test_given_targets(docs_of):
     early = [r for r in got if r.sequence_id < 4]
     cold = sum(r.length for r in early if r.doc_id % 4 == 0)
     assert abs(cold - 4 * 2048 / 2) <= 1024
+
+
+def _windows(sizes, window, weights=None):
+    """Tokens of each queue (column) in each full window (row), at the production quantum."""
+    n = np.concatenate([np.full(-(-s // 700), 700) for s in sizes])
+    queue = np.repeat(np.arange(len(sizes)), [-(-s // 700) for s in sizes])
+    start = np.concatenate([np.arange(-(-s // 700)) * 700 for s in sizes])
+    total = [int(n[queue == i].sum()) for i in range(len(sizes))]
+    got = packing.place(packing.schedule(total, weights, window), queue, start, start + n, window)
+    assert got["length"].sum() == n.sum()
+    held = np.zeros((int(n.sum()) // window + 1, len(sizes)), np.int64)
+    np.add.at(held, (got["place"] // window, queue[got["doc"]]), got["length"])
+    return held[:-1], np.array(total) / sum(total)
+
+
+def test_each_window_holds_the_targets_of_20_sources():
+    window = packing.WINDOW
+    held, share = _windows([70_000] * 20, window)
+    assert np.abs(held - window * share).max() <= packing.QUANTUM
+    held, share = _windows([40_000 + 7_000 * i for i in range(20)], window)  # rounds drift a little against windows: their first and last queues
+    assert (held > 0).sum(axis=1).mean() >= 19.9 and np.abs(held - window * share).mean() <= packing.QUANTUM
+
+
+def test_rare_queue_among_large_ones():
+    held, share = _windows([700, 7_000, 2_000_000], packing.WINDOW)
+    assert np.abs(np.cumsum(held, axis=0) - np.outer(np.arange(1, len(held) + 1) * packing.WINDOW, share)).max() <= 3 * packing.QUANTUM
