@@ -3,7 +3,7 @@
 Both vocabularies cut text at white space before they merge, so the ids of a text are those of its words in a row. Words repeat, so each
 Python worker keeps the ids of those it has met. A new word that is Latin letters, with or without punctuation after them, goes
 straight to the vocabulary's merges; any other goes through the library's whole pipeline. Texts for which a cut at spaces could
-change the ids are encoded whole.
+change the ids, and those that hold a special token's string, are encoded whole.
 """
 
 from __future__ import annotations
@@ -77,13 +77,18 @@ class _Words(dict):
 
 
 class WordTokenizer:
-    """encode(texts) gives the ids of each text, equal to the library's own, as little-endian numbers of self.dtype."""
+    """encode(texts) gives the ids of each text, equal to the library's own, as little-endian numbers of self.dtype.
 
-    def __init__(self, path: str):
+    special: a special token's string in a text is that token, as in the library's plain call; else it is ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.word_ends = any(x.endswith("</w>") for x in vocab)
@@ -121,8 +126,9 @@ class WordTokenizer:
         self.words.turn()
         self.heads.turn()
         odd, get, out = _separators if self.word_ends else _blank_runs, self.words.__getitem__, []
+        special = self.special
         for text in texts:
-            if odd.search(text):
+            if odd.search(text) or (special and special.search(text)):
                 out += self.whole([text])
             elif self.word_ends:
                 out.append(b"".join(map(get, text.split())))
@@ -140,7 +146,7 @@ def tokenizer(name: str) -> WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        _loaded[name] = WordTokenizer(path)
+        _loaded[name] = WordTokenizer(path, special=True)
     return _loaded[name]
 
 

@@ -27,3 +27,14 @@ def test_cached_encoding_equals_the_library(name):
         want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
         for text, a, b in zip(texts, got, want, strict=True):
             assert a == b, repr(text)
+
+
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_the_operators_tokenizer_equals_the_untouched_library(name):
+    plain, rng = Tokenizer.from_file(public_tokenizers.path(name)), random.Random(7)
+    marks = ["<|endoftext|>", "<|startoftext|>", "x<|endoftext|>y", "<|EndOfText|>", "<|endoftext", "the", "end.", "É"]
+    texts = [*HARD, "a b<|endoftext|> c", "x\n <|endoftext|>", "x \n<|endoftext|>  y", *["".join(rng.choice(marks) + rng.choice(["", " ", " ", "\n", "\n ", "  "]) for _ in range(rng.randrange(12))) for _ in range(300)]]
+    cached = tokens.tokenizer(name)
+    for _ in range(2):
+        for text, ids in zip(texts, cached.encode(texts), strict=True):
+            assert np.frombuffer(ids, cached.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
