@@ -208,7 +208,7 @@ def discovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-14, TXT-27: matches matched again by their own template and masked."""
-    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, modifier="").select("doc_id", "text", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized"))
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="").select("doc_id", "text", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized"))
     checked = patterns.verify_spans(found, FRAMES, "")
     return checked.groupBy("pattern_used").agg(F.count_if("verified").alias("ok"), F.count_if(~F.col("verified")).alias("failed"), F.count_if(F.contains("masked_text", F.lit(T.MASK))).alias("masked"))
 

@@ -65,3 +65,10 @@ def test_bootstrapped_lexicon_runs_four_rounds(spark, tmp_path):
         want |= {y for y, xs in found.items() if len(xs) >= 2}
     got = catalog.queries()["bootstrapped_lexicon"](spark, str(tmp_path)).collect()
     assert want == {*catalog.SEEDS, *chain[:4]} and sorted(r.word for r in got) == sorted(want)
+
+
+def test_verified_spans_counts_all_matches_of_a_document(spark, tmp_path):
+    text = "the and " * 150 + "of that"
+    pd.DataFrame({"doc_id": [1], "text": [text]}).to_parquet(tmp_path / "documents.parquet")
+    got = {r.pattern_used: r.ok + r.failed for r in catalog.queries()["verified_spans"](spark, str(tmp_path)).collect()}
+    assert got == {"the_state": len(re.findall("the and", text)), "of_state": 1}
