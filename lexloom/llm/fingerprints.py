@@ -1,11 +1,16 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs. Native columns only.
 
-A text of any length is cut into paragraphs at line ends and, as it may have but one, into sentences as well. The digest of one is 32
-hash bits, 12 bits of which one is set in each group of four, and 20 check bits that depend on the others. A sketch is a row of shards;
-a digest's first bits choose its shard and its twelve bits a cell in each of the shard's three tables of four. A cell holds the XOR of its
-digests; check bits stand in for counts. Sketches of one size subtract cell by cell, so what two texts share cancels. Peeling then takes
-digests out of cells that hold just one, as check bits show; that uncovers more such cells, until the difference is empty. The digests
-taken out are the paragraphs that differ. A shard that gets stuck is made again at four times the size, and at last compared digest by digest.
+A text of any length is cut into lines and, as it may have but one, into sentences as well; a sentence is cut again after every 256 code
+points, as some texts have no sentence marks. The digest of a piece is 32 hash bits, 12 bits of which one is set in each group of four,
+and 20 check bits that depend on the others. A sketch is a row of shards; a digest's first bits choose its shard and its twelve bits a
+cell in each of the shard's three tables of four. A cell holds the XOR of its digests; check bits stand in for counts.
+
+Two fingerprints are compared by their cells: the one with more shards is folded to the size of the other, and cells are subtracted
+(XORed) shard by shard, so what two texts share cancels. Peeling takes digests out of cells that hold just one, as check bits show; that
+uncovers more such cells, until the difference is empty. The digests taken out are the pieces that differ. If a shard gets stuck, sketches
+of both texts are made again at a larger size and subtracted; what is stuck there is made again at four times the size, and at last
+compared digest by digest. A cell that holds several digests passes for one with probability 2**-20; its shard then ends stuck, as a
+digest that isn't there is left in its cells, and is made again.
 """
 
 from __future__ import annotations
@@ -13,19 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, fresh, materialize, text_or_empty
 
-#: Where paragraphs end, and where sentences do; the latter count in texts with fewer code points than SHORT, which no text reaches.
-CUT, FINE = r"\n+", r"[\n.!?|]+"
-SHORT = 1 << 31
+#: Where lines end, and what a sentence (or a part of one) consists of.
+CUT, FINE = r"\n+", r"[^\n.!?|]{1,256}"
 CELLS, CHECK = 12, 20
-#: Digests that a shard should hold on average, at most.
+#: Digests that a shard of a fingerprint should hold on average, at most.
 FILL = 8
-#: And in the larger sketches that are made for a comparison, where they don't cancel.
-SPARSE = 4
-ROUNDS, RETRIES = 3, 2
+#: And of both texts, in the larger sketches that are made where fingerprints don't peel.
+SPARSE = 3
+ROUNDS, RETRIES = 3, 1
 #: Rows that lie together when each row looks for the next, and the most such buckets.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 16
+#: Bytes of text that a task should get when rows move to their buckets.
+TASK_BYTES = 32 << 20
 
 _long = lambda x: F.lit(x).cast("bigint")
 
@@ -35,8 +41,8 @@ def _check(body: Column) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of the text's paragraphs and sentences."""
-    cut = F.concat(F.split(text, CUT), F.split(text, FINE))
+    """The distinct 64-bit digests of the text's lines and sentences."""
+    cut = F.concat(F.split(text, CUT), F.regexp_extract_all(text, F.lit(FINE), F.lit(0)))
     parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
     bodies = F.transform(F.transform(parts, lambda p: F.xxhash64(p)), _body)
     return F.array_distinct(F.transform(bodies, lambda b: F.shiftleft(b, CHECK).bitwiseOR(_check(b))))
@@ -87,9 +93,30 @@ def size_bits(n: Column, fill: int = FILL) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / float(fill))), F.lit(0)), F.lit(24)).cast("int")
 
 
-def encoded(cells: Column) -> Column:
-    """A sketch as text: base64 of eight bytes for each cell."""
-    return F.base64(F.unhex(F.array_join(F.transform(F.flatten(cells), lambda k: F.lpad(F.hex(k), 16, "0")), "")))
+def encoded(n: Column, cells: Column) -> Column:
+    """A fingerprint as text: base64 of the number of digests and of all cells, eight bytes each, big-endian."""
+    return F.base64(F.unhex(F.array_join(F.transform(F.concat(F.array(n.cast("bigint")), F.flatten(cells)), lambda k: F.lpad(F.hex(k), 16, "0")), "")))
+
+
+def decoded(fingerprint: Column) -> Column:
+    """struct<n, cells> of a fingerprint's text."""
+    digits = F.hex(F.unbase64(fingerprint))
+    numbers = F.transform(F.regexp_extract_all(digits, F.lit("[0-9A-F]{16}"), F.lit(0)), lambda h: F.conv(h, 16, -10).cast("bigint"))
+    shards = lambda x: F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / CELLS).cast("int") - 1), lambda i: F.slice(x, i * CELLS + 2, CELLS))
+    return _let(numbers, lambda x: F.struct(F.get(x, F.lit(0)).alias("n"), shards(x).alias("cells")))
+
+
+def folded(cells: Column, shards: Column) -> Column:
+    """A sketch of fewer shards: the shards of a longer prefix of bits lie side by side, and their cells add up."""
+    zero = F.array(*[_long(0)] * CELLS)
+    add = lambda some: F.aggregate(some, zero, lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)))
+    group = (F.size(cells) / shards).cast("int")
+    return F.when(F.size(cells) == shards, cells).otherwise(F.transform(F.sequence(F.lit(0), shards - 1), lambda i: add(F.slice(cells, i * group + 1, group))))
+
+
+def subtracted(x: Column, y: Column) -> Column:
+    """The difference of the cells of two shards."""
+    return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
 
 
 def _peeled(cells: Column) -> Column:
@@ -109,34 +136,15 @@ def _peeled(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step, lambda s: F.struct(s["out"].alias("out"), F.exists(s["cells"], lambda c: c != 0).alias("stuck")))
 
 
-def _pair(x: Column, y: Column) -> Column:
-    return F.struct(F.concat(x, y).alias("both"))
+def peeled(x: Column, y: Column) -> Column:
+    """array<struct<out, stuck>>: for each shard of the smaller of two sketches, the digests that differ."""
+    shards = F.least(F.size(x), F.size(y))
+    return F.zip_with(folded(x, shards), folded(y, shards), lambda p, q: _peeled(subtracted(p, q)))
 
 
 def _compared(shards: Column) -> Column:
-    """shards: array<struct<both>>, the digests of two lists. both with d: those that one of the lists holds (out), from the subtracted cells, and stuck.
-
-    The XOR of two sketches is the sketch of both lists, which is how cells are subtracted here.
-    """
-    return F.transform(shards, lambda s: F.struct(s["both"].alias("both"), _peeled(_xors(s["both"])).alias("d")))
-
-
-def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with out: the digests that only one of two columns of digests holds, peeled from the difference of their sketches.
-
-    Shards that get stuck are made again at four times the size, RETRIES times, and at last compared digest by digest.
-    """
-    bits = size_bits(F.size(a) + F.size(b), SPARSE)
-    names = [f"_{out}{k}" for k in range(RETRIES + 1)]
-    df = df.withColumn(names[0], _compared(F.transform(_shards(F.concat(a, b), bits), lambda both: F.struct(both.alias("both")))))
-    stuck = lambda name: F.filter(F.col(name), lambda s: s["d"]["stuck"])
-    for k in range(1, RETRIES + 1):
-        finer = F.flatten(F.transform(stuck(names[k - 1]), _finer(k, bits)))
-        df = df.withColumn(names[k], F.when(F.exists(names[k - 1], lambda s: s["d"]["stuck"]), _compared(finer)).otherwise(F.slice(F.col(names[k - 1]), 1, 0)))
-    found = [F.flatten(F.transform(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"])) for n in names]
-    once = lambda both: F.filter(both, lambda x: F.size(F.filter(both, lambda z: z == x)) == 1)
-    exact = F.flatten(F.transform(stuck(names[-1]), lambda s: once(s["both"])))
-    return df.withColumn(out, F.concat(*found, exact)).drop(*names)
+    """shards: array<struct<a, b>>, digests of two texts. With d: those that differ, peeled from the subtracted cells, and whether any are stuck."""
+    return F.transform(shards, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), _peeled(subtracted(_xors(s["a"]), _xors(s["b"]))).alias("d")))
 
 
 def _finer(k: int, bits: Column):
@@ -144,26 +152,61 @@ def _finer(k: int, bits: Column):
 
     def parts(s: Column) -> Column:
         turn = lambda x: F.call_function("shiftrightunsigned", x, 64 - 2 * k - bits).bitwiseAND(_long(3))
-        return F.array(*[F.struct(F.filter(s["both"], lambda x: turn(x) == i).alias("both")) for i in range(4)])
+        own = lambda c, i: F.filter(s[c], lambda x: turn(x) == i).alias(c)
+        return F.array(*[F.struct(own("a", i), own("b", i)) for i in range(4)])
 
     return parts
 
 
+def with_difference(df: DataFrame, a: str, b: str, out: str, cells: tuple[str, str]) -> DataFrame:
+    """df with out: the digests that only one of two columns of digests holds.
+
+    They are peeled from the difference of the two sketches that cells names. Where that gets stuck, larger sketches are made of both
+    columns, and of stuck shards again at four times the size, RETRIES times; what is left is compared digest by digest.
+    """
+    first, *names = [f"_{out}{k}" for k in range(RETRIES + 2)]
+    df = df.withColumn(first, peeled(F.col(cells[0]), F.col(cells[1])))
+    again = F.exists(first, lambda s: s["stuck"])
+    bits = F.greatest(size_bits(F.size(a) + F.size(b), SPARSE), F.log2(F.size(first)).cast("int") + 1)
+    pairs = F.zip_with(_shards(F.col(a), bits), _shards(F.col(b), bits), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    df = df.withColumn(names[0], F.when(again, _compared(pairs)))
+    stuck = lambda name: F.filter(F.col(name), lambda s: s["d"]["stuck"])
+    for k in range(1, RETRIES + 1):
+        df = df.withColumn(names[k], F.when(F.exists(names[k - 1], lambda s: s["d"]["stuck"]), _compared(F.flatten(F.transform(stuck(names[k - 1]), _finer(k, bits))))))
+    none = F.array().cast("array<bigint>")
+    found = [F.coalesce(F.flatten(F.transform(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"])), none) for n in names]
+    exact = F.coalesce(F.flatten(F.transform(stuck(names[-1]), lambda s: F.concat(F.array_except(s["a"], s["b"]), F.array_except(s["b"], s["a"])))), none)
+    return df.withColumn(out, F.when(again, F.concat(*found, exact)).otherwise(F.flatten(F.transform(first, lambda s: s["out"])))).drop(first, *names)
+
+
 def likeness(a: Column, b: Column, differing: Column) -> Column:
-    """Shared over all distinct paragraphs; 1 if there are none."""
-    both = F.size(a) + F.size(b)
+    """Shared over all distinct pieces, from the numbers of digests of two texts and the digests that differ; 1 if there are none."""
+    both = a + b
     return F.when(both == 0, 1.0).otherwise((both - F.size(differing)) / (both + F.size(differing)))
 
 
+def compared(df: DataFrame, a: str, b: str, near: str = "near", differing: str = "differing", stuck: str = "stuck") -> DataFrame:
+    """df with what two columns of stored fingerprints tell without their texts: the digests that differ, the likeness, and stuck.
+
+    Where stuck is true, the difference is too large for the smaller fingerprint; differing and near are null, and larger sketches of
+    the texts (``with_difference``) are needed.
+    """
+    one, two, (seen,) = decoded(F.col(a)), decoded(F.col(b)), fresh(df, "_seen")
+    df = df.withColumn(seen, _let(F.struct(one.alias("a"), two.alias("b")), lambda x: F.struct(x["a"]["n"].alias("a"), x["b"]["n"].alias("b"), peeled(x["a"]["cells"], x["b"]["cells"]).alias("d"))))
+    df = df.withColumn(stuck, F.exists(F.col(seen)["d"], lambda s: s["stuck"]))
+    df = df.withColumn(differing, F.when(~F.col(stuck), F.flatten(F.transform(F.col(seen)["d"], lambda s: s["out"]))))
+    return df.withColumn(near, F.when(~F.col(stuck), likeness(F.col(seen)["a"], F.col(seen)["b"], F.col(differing)))).drop(seen)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, following: each row with the text of the next one in descending doc_id order; the last is followed by the first.
+    """doc_id, text, pieces (its digests), following, following_pieces: each row with the next one in descending doc_id order; the last is followed by the first.
 
-    Null doc_ids come last; equal doc_ids go by text. doc_ids are mapped to buckets in their order (by quantiles, and evenly within
-    one); each bucket also gets a copy of the first row of the next, so rows move once and no task sees more than its buckets. A
-    single doc_id that very many rows share is one bucket.
+    doc_id is an integer. Null doc_ids come last; equal doc_ids go by text. doc_ids are mapped to buckets in their order (by quantiles,
+    and evenly within one); each bucket also gets a copy of the first row of the next, so rows move once and no task sees more than its
+    buckets. A single doc_id that very many rows share is one bucket.
     """
     ids = docs.select("doc_id")
-    n = ids.count()
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     rows = max(BUCKET_ROWS, n // BUCKETS)
     ends = min(256, max(1, n // rows))
     cuts = ids.select(F.percentile_approx("doc_id", [i / ends for i in range(ends + 1)], 10_000)).first()[0] or [0]
@@ -180,28 +223,35 @@ def with_next(docs: DataFrame) -> DataFrame:
     follow = F.broadcast(materialize(follow, "next-heads"))  # at most one row per bucket
     own = docs.select("doc_id", text_or_empty().alias("text"), bucket.alias("bucket"), F.lit(False).alias("copy"))
     copies = own.drop("bucket").join(follow, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "bucket", F.lit(True).alias("copy"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    both = own.unionByName(copies).withColumn("pieces", digests(F.col("text"))).repartition(tasks, "bucket")
     window = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    return own.unionByName(copies).withColumn("following", F.lead("text").over(window)).filter("NOT copy").select("doc_id", "text", "following")
+    both = both.select("doc_id", "text", "pieces", "copy", F.lead(F.struct("text", "pieces")).over(window).alias("next"))
+    return both.filter("NOT copy").select("doc_id", "text", "pieces", F.col("next.text").alias("following"), F.col("next.pieces").alias("following_pieces"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs (doc_id, text).
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document's. near_* is the share of distinct paragraphs in common. Null texts count as empty; texts without paragraphs have an
-    empty sketch, alike to another such one. Rows may repeat; extra columns are ignored; an empty table gives an empty result.
+    document's. near_* is the share of distinct pieces in common, from the subtracted cells of two fingerprints. Null texts count as
+    empty; texts without pieces have an empty sketch, alike to another such one. Rows may repeat; extra columns are ignored; an empty
+    table gives an empty result.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", 1, F.length("text") - half), F.substring("following", 1, half)))
-    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *[digests(F.col(c)).alias(c) for c in ("text", "edited", "following")])
-    for c in ("text", "edited"):
-        rows = rows.withColumn(f"{c}_sketch", encoded(sketch(F.col(c), size_bits(F.size(c)))))
-    rows = with_difference(with_difference(rows, "text", "edited", "from_edited"), "text", "following", "from_next")
+    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "pieces", "following_pieces", digests(F.col("edited")).alias("edited_pieces"))
+    for c in ("", "edited_", "following_"):
+        rows = rows.withColumn(f"{c}cells", sketch(F.col(f"{c}pieces"), size_bits(F.size(f"{c}pieces"))))
+    for c in ("edited", "following"):
+        rows = with_difference(rows, "pieces", f"{c}_pieces", f"from_{c}", ("cells", f"{c}_cells"))
+    near = lambda c: likeness(F.size("pieces"), F.size(f"{c}_pieces"), F.col(f"from_{c}"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("text_sketch").alias("fingerprint"), F.col("edited_sketch").alias("edited_fingerprint"),
-        likeness(F.col("text"), F.col("edited"), F.col("from_edited")).alias("near_edited"), likeness(F.col("text"), F.col("following"), F.col("from_next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", encoded(F.size("pieces"), F.col("cells")).alias("fingerprint"),
+        encoded(F.size("edited_pieces"), F.col("edited_cells")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("following").alias("near_next"),
     )
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3: fingerprints of all documents, of their edited texts, and their likeness."""
     return fingerprints(documents(spark, sf_dir))
