@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: linear models predict categories one after the other, each fed the probabilities before it.
 
-The chain is ``toxic`` (as labelled), then two that refine it by terms which mark toxicity in the training rows: ``blunt`` (toxic, with a
-marking whole word) and ``dense`` (toxic, with two marking terms or more). A later model is trained on out-of-fold predictions of the
-earlier ones, so it sees them as uncertain as they will be on new texts.
+The categories are toxicity in each of the languages with most toxic training rows (LANGUAGES at most), by the rows' ``lang``, and last
+``toxic`` as labelled, whose probability is the score. A later model is trained on out-of-fold predictions of the earlier ones, so it sees
+them as uncertain as they will be on new texts; terms, too, are chosen anew outside each fold for these predictions. The language of a
+document is a target in training and never an input.
 
 Features are the presence of terms: words in lower case, and beginnings of 3 to 6 bytes that inflected or invented words share. Terms
 are chosen from their document counts among toxic and other training rows; logistic models on them are fitted by Newton's method.
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, labels, materialize
-from .labelled import FOLDS, fold, sample
+from .labelled import fold, sample
 
 #: Labelled rows that are used at most, terms kept, and toxic training rows that a term needs.
 TRAIN_ROWS = 16_000
@@ -30,7 +32,8 @@ LEAST = 5
 BEGINNINGS = (3, 4, 5, 6)
 RIDGE = 0.5
 THRESHOLD = 0.5
-CHAIN = ("toxic", "blunt", "dense")
+#: Categories before the last.
+LANGUAGES = 3
 STRIP = b".,;:!?$&%*#|'\"()[]<>-_"
 
 
@@ -47,6 +50,7 @@ class Model:
 
     index: dict[bytes, int]
     weights: list[np.ndarray]
+    categories: list[str] = field(default_factory=lambda: ["toxic"])
 
     def hits(self, text: bytes) -> list[int]:
         index, found = self.index, set()
@@ -98,79 +102,100 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     return w
 
 
-def _chain(x: np.ndarray, targets: np.ndarray, weight: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """Equal rows count once, with their weights summed."""
-    weights, earlier = [], np.zeros((len(x), 0))
-    for k in range(targets.shape[1]):
-        own = np.hstack([x, _logit(earlier), np.ones((len(x), 1))])
-        weights.append(logistic(own, targets[:, k], weight))
-        out = np.zeros(len(x))
-        for f in np.unique(folds):
-            inside = folds == f
-            out[inside] = _sigmoid(own[inside] @ logistic(own[~inside], targets[~inside, k], weight[~inside])) if (~inside).any() else targets[:, k].mean()
+def chain(hits: np.ndarray, targets: np.ndarray, weight: np.ndarray, folds: np.ndarray, whole: list[int], without: dict[int, list[int]]) -> list[np.ndarray]:
+    """The weights of each category's model. hits: rows by terms; whole: the terms to use; without: those to use where a fold is left out.
+
+    Equal rows may be one row with their weights summed.
+    """
+    rows = lambda terms, inside: np.hstack([hits[np.ix_(inside, terms)].astype(float), _logit(earlier[inside]), np.ones((len(inside), 1))])
+    weights, earlier, every = [], np.zeros((len(hits), 0)), np.arange(len(hits))
+    for y in targets.T:
+        weights.append(logistic(rows(whole, every), y, weight))
+        out = np.zeros(len(hits))
+        for f, terms in without.items():
+            inside, outside = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
+            out[inside] = _sigmoid(rows(terms, inside) @ logistic(rows(terms, outside), y[outside], weight[outside])) if len(outside) else y.mean()
         earlier = np.hstack([earlier, out[:, None]])
     return weights
 
 
 def fit(docs: DataFrame, label_rows: DataFrame, column: str = "toxic", bound: int = TRAIN_ROWS, most: int = TERMS) -> Model:
-    """Learns from labelled rows outside fold 0, each text once. Without labels of both classes nothing counts as toxic."""
-    train = materialize(sample(docs, label_rows, column, bound).dropDuplicates(["text"]), "toxic-train")
-    sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-    if len(sizes) < 2:
-        return Model({}, [np.full(k + 1, 0.0) - np.eye(k + 1)[-1] * 30 for k in range(len(CHAIN))])
+    """Learns from labelled rows outside fold 0, each text once. Without labels of both classes nothing counts as toxic.
+
+    docs without a column lang have the last category only.
+    """
+    one = F.max(F.struct("y", "fold", "weight", "kind")).alias("r")
+    train = materialize(sample(docs, label_rows, column, bound, "lang").groupBy("text").agg(one).select("text", "r.*"), "toxic-train")
+    sizes = {(r["y"], r["fold"]): r["count"] for r in train.groupBy("y", "fold").count().collect()}
+    total = lambda y, but=None: sum(n for (c, f), n in sizes.items() if c == y and f != but)
+    if not total(0) or not total(1):
+        return Model({}, [np.array([-30.0])])
+    folds = sorted({f for _, f in sizes})
+    kinds = [r["kind"] for r in train.filter("y = 1 AND kind IS NOT NULL").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(LANGUAGES).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen: dict[int, tuple[Counter, Counter]] = {f: (Counter(), Counter()) for f in folds}
         for batch in batches:
-            for text, y in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(terms(text))
-        names = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(names), 50_000):
-            some = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([seen[1][t] for t in some], pa.int64()), pa.array([seen[0][t] for t in some], pa.int64())], ["term", "toxic", "other"])
-
-    counts = train.select("text", "y").mapInArrow(count, "term binary, toxic bigint, other bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") >= LEAST)
-    p, q = F.col("toxic") / float(sizes[1]), F.col("other") / float(sizes[0])
-    z = (p - q) / F.sqrt(p * (1 - p) / sizes[1] + q * (1 - q) / sizes[0] + 1e-9)
-    best = counts.filter(p > 4 * q).orderBy(z.desc(), "term").limit(most).select("term", (p > 50 * q).alias("marks")).collect()
-    index = {bytes(r["term"]): i for i, r in enumerate(best)}
-    marks = np.array([r["marks"] for r in best], bool)
-    whole = np.array([not t.endswith(b"~") for t in index], bool)
-    model = Model(index, [])
+            for text, y, f in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[f][y].update(terms(text))
+        for f, (other, toxic) in seen.items():
+            names = list(other.keys() | toxic.keys())
+            for i in range(0, len(names), 50_000):
+                some = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([f] * len(some), pa.int64()), pa.array([toxic[t] for t in some], pa.int64()), pa.array([other[t] for t in some], pa.int64())], ["term", "fold", "toxic", "other"])
+
+    counted = train.select("text", "y", "fold").mapInArrow(count, "term binary, fold bigint, toxic bigint, other bigint")
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in folds for c in ("toxic", "other")]
+    counts = materialize(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), *sums).filter(F.col("toxic") >= LEAST), "toxic-terms")
+
+    def best(but: int | None) -> DataFrame:
+        """The best terms by the rows outside a fold."""
+        toxic, other = (F.col(c) - (F.col(f"{c}{but}") if but is not None else 0) for c in ("toxic", "other"))
+        n, m = max(1, total(1, but)), max(1, total(0, but))
+        p, q = toxic / float(n), other / float(m)
+        z = (p - q) / F.sqrt(p * (1 - p) / n + q * (1 - q) / m + 1e-9)
+        return counts.filter((toxic >= LEAST) & (p > 4 * q)).orderBy(z.desc(), "term").limit(most).select("term", F.lit(-1 if but is None else but).alias("but"))
+
+    chosen = reduce(DataFrame.unionByName, [best(f) for f in (None, *folds)]).collect()
+    whole = [bytes(r["term"]) for r in chosen if r["but"] == -1]
+    index = {t: i for i, t in enumerate(dict.fromkeys([*whole, *(bytes(r["term"]) for r in chosen)]))}
+    seen = Model(index, [])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.hits(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(batch.column(k) for k in (1, 2, 3))], ["hits", "y", "fold", "weight"])
+            found = [seen.hits(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(batch.column(k) for k in (1, 2, 3, 4))], ["hits", "y", "fold", "weight", "kind"])
 
-    rows = train.select("text", "y", "fold", "weight").mapInArrow(look, "hits array<int>, y int, fold bigint, weight double").groupBy("hits", "y", "fold").agg(F.sum("weight").alias("weight")).collect()
-    x = np.zeros((len(rows), len(index)))
+    looked = train.select("text", "y", "fold", "weight", F.when(F.col("kind").isin(kinds), F.col("kind")).alias("kind")).mapInArrow(look, "hits array<int>, y int, fold bigint, weight double, kind string")
+    rows = looked.groupBy("hits", "y", "fold", "kind").agg(F.sum("weight").alias("weight")).collect()  # at most TRAIN_ROWS
+    hits = np.zeros((len(rows), len(index)), bool)
     for i, r in enumerate(rows):
-        x[i, r["hits"]] = 1.0
+        hits[i, r["hits"]] = True
     y = np.array([r["y"] for r in rows], float)
-    marked = (x * marks).astype(bool)
-    stems = np.array([len({t.removesuffix(b"~")[:3] for t, m in zip(index, row, strict=True) if m}) for row in marked])
-    targets = np.stack([y, y * (marked & whole).any(axis=1), y * (stems >= 2)], axis=1)
-    model.weights = _chain(x, targets, np.array([r["weight"] for r in rows]), np.array([r["fold"] for r in rows]) % FOLDS)
-    return model
+    targets = np.stack([*[y * [r["kind"] == k for r in rows] for k in kinds], y], axis=1)
+    without = {f: [index[bytes(r["term"])] for r in chosen if r["but"] == f] for f in folds}
+    weights = chain(hits, targets, np.array([r["weight"] for r in rows]), np.array([r["fold"] for r in rows]), [index[t] for t in whole], without)
+    return Model({t: i for i, t in enumerate(whole)}, weights, [*(f"toxic_{k}" for k in kinds), "toxic"])
 
 
 def toxicity(docs: DataFrame, label_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score (of ``toxic``), predicted, p_blunt, p_dense for each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, held_out, score (of the last category), predicted, chain for each row of docs (doc_id, text, lang; others are ignored).
 
-    Scores depend on the text alone (null: empty); equal texts score alike. held_out is false for null doc_ids. An empty table gives
-    an empty result.
+    chain: array<double>, the probabilities of all categories in turn. Scores depend on the text alone (null: empty); equal texts
+    score alike. held_out is false for null doc_ids. A doc_id that isn't a number has no label. An empty table gives an empty result.
     """
     model = fit(docs, label_rows)
 
-    @F.pandas_udf("toxic double, blunt double, dense double")
-    def chain(texts: pd.Series) -> pd.DataFrame:
-        out = [model.probabilities([model.hits(t) for t in texts.iloc[i : i + 1024]]) for i in range(0, len(texts), 1024)]
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3)), columns=list(CHAIN))
+    @F.pandas_udf("array<double>")
+    def probabilities(texts: pd.Series) -> pd.Series:
+        out = [x for i in range(0, len(texts), 1024) for x in model.probabilities([model.hits(t) for t in texts.iloc[i : i + 1024]])]
+        return pd.Series(out, dtype=object)
 
-    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), chain(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("p"))
-    return rows.select("doc_id", "held_out", F.col("p.toxic").alias("score"), (F.col("p.toxic") >= threshold).cast("int").alias("predicted"), F.col("p.blunt").alias("p_blunt"), F.col("p.dense").alias("p_dense"))
+    rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), probabilities(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("chain"))
+    score = F.element_at("chain", -1)
+    return rows.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "chain")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10: the chain's score for all documents."""
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
