@@ -7,10 +7,10 @@ cell in each of the shard's three tables of four. A cell holds the XOR of its di
 
 Two fingerprints are compared by their cells: the one with more shards is folded to the size of the other, and cells are subtracted
 (XORed) shard by shard, so what two texts share cancels. Peeling takes digests out of cells that hold just one, as check bits show; that
-uncovers more such cells, until the difference is empty. The digests taken out are the pieces that differ. If a shard gets stuck, sketches
-of both texts are made again at a larger size and subtracted; what is stuck there is made again at four times the size, and at last
-compared digest by digest. A cell that holds several digests passes for one with probability 2**-20; its shard then ends stuck, as a
-digest that isn't there is left in its cells, and is made again.
+uncovers more such cells, until the difference is empty. The digests taken out are the pieces that differ. If a shard gets stuck, larger
+sketches of both texts are subtracted, of which the fingerprints are the folded form; what is stuck there is made again at four times the
+size, and at last compared digest by digest. A cell that holds several digests passes for one with probability 2**-20; its shard then
+ends stuck, as a digest that isn't there is left in its cells, and is made again.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ CUT, FINE = r"\n+", r"[^\n.!?|]{1,256}"
 CELLS, CHECK = 12, 20
 #: Digests that a shard of a fingerprint should hold on average, at most.
 FILL = 8
-#: And of both texts, in the larger sketches that are made where fingerprints don't peel.
-SPARSE = 3
-ROUNDS, RETRIES = 3, 1
+#: And of two texts together, in the larger sketches, where they don't cancel.
+SPARSE = 8
+ROUNDS, RETRIES = 3, 2
 #: Rows that lie together when each row looks for the next, and the most such buckets.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 16
 #: Bytes of text that a task should get when rows move to their buckets.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 
 _long = lambda x: F.lit(x).cast("bigint")
 
@@ -158,25 +158,46 @@ def _finer(k: int, bits: Column):
     return parts
 
 
-def with_difference(df: DataFrame, a: str, b: str, out: str, cells: tuple[str, str]) -> DataFrame:
-    """df with out: the digests that only one of two columns of digests holds.
+def with_sketches(df: DataFrame, *names: str) -> DataFrame:
+    """df with, for each column of digests named, its digests dealt to shards (_dealt), the sketch of these (_large) and its fingerprint's cells (_cells).
 
-    They are peeled from the difference of the two sketches that cells names. Where that gets stuck, larger sketches are made of both
-    columns, and of stuck shards again at four times the size, RETRIES times; what is left is compared digest by digest.
+    The large sketches of a row have one size, for the most digests that two of the texts can differ by.
     """
-    first, *names = [f"_{out}{k}" for k in range(RETRIES + 2)]
-    df = df.withColumn(first, peeled(F.col(cells[0]), F.col(cells[1])))
+    first, *others = [F.size(c) for c in names]
+    bits = size_bits(first + (F.greatest(*others) if len(others) > 1 else others[0]), SPARSE)
+    df = df.withColumn("_bits", bits)
+    for c in names:
+        df = df.withColumn(f"{c}_dealt", _shards(F.col(c), F.col("_bits")))
+    for c in names:
+        df = df.withColumn(f"{c}_large", F.transform(f"{c}_dealt", lambda some: _xors(some)))
+    for c in names:
+        df = df.withColumn(f"{c}_cells", folded(F.col(f"{c}_large"), F.call_function("shiftleft", F.lit(1), size_bits(F.size(c)))))
+    return df
+
+
+def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with out: the digests that only one of two columns of digests (with their sketches) holds.
+
+    They are peeled from the difference of the two fingerprints. Where that gets stuck, the large sketches are subtracted, and of their
+    stuck shards sketches are made again at four times the size, RETRIES times; what is left is compared digest by digest.
+    """
+    first, large, *names = [f"_{out}{k}" for k in range(RETRIES + 2)]
+    df = df.withColumn(first, peeled(F.col(f"{a}_cells"), F.col(f"{b}_cells")))
     again = F.exists(first, lambda s: s["stuck"])
-    bits = F.greatest(size_bits(F.size(a) + F.size(b), SPARSE), F.log2(F.size(first)).cast("int") + 1)
-    pairs = F.zip_with(_shards(F.col(a), bits), _shards(F.col(b), bits), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
-    df = df.withColumn(names[0], F.when(again, _compared(pairs)))
+    df = df.withColumn(large, F.when(again, F.zip_with(f"{a}_large", f"{b}_large", lambda p, q: _peeled(subtracted(p, q)))))
+    any_stuck = lambda name: F.exists(name, lambda s: s["d"]["stuck"])
     stuck = lambda name: F.filter(F.col(name), lambda s: s["d"]["stuck"])
-    for k in range(1, RETRIES + 1):
-        df = df.withColumn(names[k], F.when(F.exists(names[k - 1], lambda s: s["d"]["stuck"]), _compared(F.flatten(F.transform(stuck(names[k - 1]), _finer(k, bits))))))
+    held = lambda i: F.struct(F.get(f"{a}_dealt", i - 1).alias("a"), F.get(f"{b}_dealt", i - 1).alias("b"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size(large)), lambda i: F.get(large, i - 1)["stuck"]), held)
+    for k, name in enumerate(names, 1):
+        df = df.withColumn(name, F.when(F.exists(large, lambda s: s["stuck"]) if k == 1 else any_stuck(names[k - 2]), _compared(F.flatten(F.transform(pairs, _finer(k, F.col("_bits")))))))
+        pairs = stuck(name)
     none = F.array().cast("array<bigint>")
-    found = [F.coalesce(F.flatten(F.transform(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"])), none) for n in names]
-    exact = F.coalesce(F.flatten(F.transform(stuck(names[-1]), lambda s: F.concat(F.array_except(s["a"], s["b"]), F.array_except(s["b"], s["a"])))), none)
-    return df.withColumn(out, F.when(again, F.concat(*found, exact)).otherwise(F.flatten(F.transform(first, lambda s: s["out"])))).drop(first, *names)
+    free = lambda found, one: F.coalesce(F.flatten(F.transform(found, one)), none)
+    found = [free(F.filter(F.col(large), lambda s: ~s["stuck"]), lambda s: s["out"])]
+    found += [free(F.filter(F.col(n), lambda s: ~s["d"]["stuck"]), lambda s: s["d"]["out"]) for n in names]
+    exact = free(pairs, lambda s: F.concat(F.array_except(s["a"], s["b"]), F.array_except(s["b"], s["a"])))
+    return df.withColumn(out, F.when(again, F.concat(*found, exact)).otherwise(F.flatten(F.transform(first, lambda s: s["out"])))).drop(first, large, *names)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -241,14 +262,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", 1, F.length("text") - half), F.substring("following", 1, half)))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "pieces", "following_pieces", digests(F.col("edited")).alias("edited_pieces"))
-    for c in ("", "edited_", "following_"):
-        rows = rows.withColumn(f"{c}cells", sketch(F.col(f"{c}pieces"), size_bits(F.size(f"{c}pieces"))))
+    rows = with_sketches(rows, "pieces", "edited_pieces", "following_pieces")
     for c in ("edited", "following"):
-        rows = with_difference(rows, "pieces", f"{c}_pieces", f"from_{c}", ("cells", f"{c}_cells"))
+        rows = with_difference(rows, "pieces", f"{c}_pieces", f"from_{c}")
     near = lambda c: likeness(F.size("pieces"), F.size(f"{c}_pieces"), F.col(f"from_{c}"))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", encoded(F.size("pieces"), F.col("cells")).alias("fingerprint"),
-        encoded(F.size("edited_pieces"), F.col("edited_cells")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("following").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", encoded(F.size("pieces"), F.col("pieces_cells")).alias("fingerprint"),
+        encoded(F.size("edited_pieces"), F.col("edited_pieces_cells")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("following").alias("near_next"),
     )
 
 

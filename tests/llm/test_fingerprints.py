@@ -81,13 +81,13 @@ def test_one_and_none(docs_of):
 
 def sketched(df, *names):
     df = df.select(*[fp.digests(F.col(c)).alias(c) for c in names])
-    return df.select("*", *[fp.sketch(F.col(c), fp.size_bits(F.size(c))).alias(f"{c}_cells") for c in names])
+    return fp.with_sketches(df, *names)
 
 
 def test_peeling_recovers_what_differs(spark):
     a, b = "\n".join(f"paragraph {i}" for i in range(200)), "\n".join(f"paragraph {i}" for i in range(3, 204))
     df = sketched(spark.createDataFrame([(a, b), (a, a), (a, "one"), (a, ""), ("", "")], "a string, b string"), "a", "b")
-    rows = fp.with_difference(df, "a", "b", "out", ("a_cells", "b_cells")).collect()
+    rows = fp.with_difference(df, "a", "b", "out").collect()
     assert [len(r.out) for r in rows] == [7, 0, 201, 200, 0] and all(set(r.out) == set(r.a) ^ set(r.b) for r in rows)
 
 
@@ -144,7 +144,7 @@ def test_one_rule_at_every_length(spark):
     sentences = [f"sentence number {i} of one line" for i in range(600)]
     rows = [(n, ". ".join(sentences[:n]), ". ".join(["changed", *sentences[1:n]])) for n in (10, 44, 45, 46, 47, 200, 600)]
     df = sketched(spark.createDataFrame([r[1:] for r in rows], "a string, b string"), "a", "b")
-    got = fp.with_difference(df, "a", "b", "out", ("a_cells", "b_cells")).withColumn("near", fp.likeness(F.size("a"), F.size("b"), F.col("out"))).collect()
+    got = fp.with_difference(df, "a", "b", "out").withColumn("near", fp.likeness(F.size("a"), F.size("b"), F.col("out"))).collect()
     for (n, *_), r in zip(rows, got, strict=True):
         assert len(r.a) == n + 1 and r.near == pytest.approx((n - 1) / (n + 3)), n  # the line and one sentence differ
     plain = "".join(f"word{i} " for i in range(4000))
