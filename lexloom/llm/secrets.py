@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
-from re import _constants as op
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,41 +40,124 @@ RULES = (
 )
 
 
-def _strings(item: tuple) -> set[str] | None:
-    """All strings that a parsed element stands for, in lower case; None if they are too many."""
-    kind, value = item
-    if kind is op.LITERAL:
-        return {chr(value).lower()}
-    if kind is op.IN:
-        out: set[str] = set()
-        for k, v in value:
-            if k is op.LITERAL:
-                out.add(chr(v).lower())
-            elif k is op.RANGE and v[1] - v[0] < 8:
-                out |= {chr(c).lower() for c in range(v[0], v[1] + 1)}
-            else:
-                return None
-        return out if len(out) <= 8 else None
-    if kind is op.SUBPATTERN:
-        return _sequence(value[-1])
-    if kind is op.BRANCH:
-        each = [_sequence(x) for x in value[1]]
-        return None if any(x is None for x in each) else set().union(*each)
-    if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
-        low, high, inner = value
-        one = _sequence(inner)
-        if one is None or high is op.MAXREPEAT or high > 4:
+class _Shape:
+    """Reads a regular expression. An element becomes the set of strings, in lower case, that it may stand for; None if they are too many."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def more(self, text: str = "") -> bool:
+        return self.at < len(self.pattern) if not text else self.pattern.startswith(text, self.at)
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.pattern[self.at - n : self.at]
+
+    def upto(self, mark: str) -> str:
+        end = self.pattern.index(mark, self.at)
+        return self.take(end + len(mark) - self.at)[: -len(mark)]
+
+    def branches(self) -> list[list[set[str] | None]]:
+        out = [self.sequence()]
+        while self.more("|"):
+            self.take()
+            out.append(self.sequence())
+        return out
+
+    def sequence(self) -> list[set[str] | None]:
+        out = []
+        while self.more() and not self.more("|") and not self.more(")"):
+            out.append(self.repeated(self.element()))
+        return out
+
+    def repeated(self, one: set[str] | None) -> set[str] | None:
+        low, high = 1, 1
+        if self.more("*") or self.more("+") or self.more("?"):
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}[self.take()]
+        elif self.more("{"):
+            self.take()
+            first, _, last = (bounds := self.upto("}")).partition(",")
+            low, high = int(first), (int(last) if last else None) if "," in bounds else int(first)
+        else:
+            return one
+        if self.more("?") or self.more("+"):
+            self.take()
+        if one is None or high is None or high > 4 or len(one) ** high > STRINGS:
             return None
         return {"".join(x) for n in range(low, high + 1) for x in itertools.product(one, repeat=n)}
-    if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
-        return {""}
-    return None
+
+    def element(self) -> set[str] | None:
+        c = self.take()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return self.set()
+        if c == "\\":
+            return self.escape()
+        return None if c == "." else {""} if c in "^$" else _one(c)
+
+    def group(self) -> set[str] | None:
+        look = False
+        if self.more("?"):
+            self.take()
+            if self.more("P<") or (self.more("<") and not self.more("<=") and not self.more("<!")):
+                self.upto(">")
+            else:
+                look = self.more("=") or self.more("!") or self.more("<")
+                while not self.more(":") and not self.more(")") and not self.more(">") and not look:
+                    self.take()
+                if self.more("<"):
+                    self.take()
+                if not self.more(")"):
+                    self.take()
+        found = [joined_strings(x) for x in self.branches()]
+        self.take()
+        return {""} if look else None if any(x is None for x in found) else set().union(*found)
+
+    def set(self) -> set[str] | None:
+        out: set[str] | None = set()
+        if self.more("^"):
+            out = None
+            self.take()
+        first = True
+        while first or not self.more("]"):
+            first = False
+            if self.more("[") or self.more("&&"):
+                raise ValueError("nested sets aren't read")
+            low = self.escape() if self.take() == "\\" else _one(self.pattern[self.at - 1])
+            if self.more("-") and not self.more("-]"):
+                self.take()
+                high = self.escape() if self.take() == "\\" else _one(self.pattern[self.at - 1])
+                a, b = (ord(next(iter(x))) if x else 0 for x in (low, high))
+                low = {chr(i) for i in range(a, b + 1)} if low and high and b - a < 8 else None
+            out = None if out is None or low is None else out | low
+        self.take()
+        return out if out and len(out) <= 8 else None
+
+    def escape(self) -> set[str] | None:
+        c = self.take()
+        if c == "x":
+            return _one(chr(int(self.take(2), 16)))
+        if c == "u":
+            return _one(chr(int(self.take(4), 16)))
+        if c == "Q":
+            return {self.upto("\\E").lower()}
+        if c in "pP":
+            self.upto("}") if self.more("{") else self.take()
+            return None
+        if c in "bBAzZG":
+            return {""}
+        return _one({"n": "\n", "t": "\t", "r": "\r", "f": "\f"}[c]) if c in "ntrf" else None if c.isalnum() else _one(c)
+
+
+def _one(c: str) -> set[str] | None:
+    """A character in lower case, as the index holds it; other letters than ASCII's may have several forms."""
+    return {c.lower()} if c.isascii() else None
 
 
-def _sequence(items: list) -> set[str] | None:
+def joined_strings(items: list[set[str] | None]) -> set[str] | None:
     out = {""}
-    for item in items:
-        more = _strings(item)
+    for more in items:
         if more is None or len(out) * len(more) > STRINGS:
             return None
         out = {a + b for a in out for b in more}
@@ -89,8 +170,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     No clause: the expression forces no trigram.
     """
     runs: list[set[str]] = [{""}]
-    for item in _parser.parse(pattern):
-        more = _strings(item)
+    found = _Shape(pattern).branches()
+    both = [joined_strings(x) for x in found]
+    for more in found[0] if len(found) == 1 else [None if None in both else set().union(*both)]:
         if more is None:
             runs.append({""})
         elif len(runs[-1]) * len(more) <= STRINGS:
@@ -119,24 +201,30 @@ def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[int, list[list[frozenset[str]]]], grams: list[str]) -> DataFrame:
-    """doc_id, rules (bit i: rule i's query holds) for the documents with any. Postings meet by doc_id in a bit set of trigrams."""
-    bit = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(grams) for x in (g, 1 << i)]), F.col("gram"))
-    held = index.groupBy("doc_id").agg(F.bit_or(bit.cast("bigint")).alias("held"))
+    """doc_id, rules (the rules whose queries hold) for the documents with any. Postings meet by doc_id in bit sets of 62 trigrams each."""
+    at = {g: divmod(i, 62) for i, g in enumerate(grams)}
+    place = lambda of: F.element_at(F.create_map(*[F.lit(x) for g in grams for x in (g, of(*at[g]))]), F.col("gram"))
+    posted = index.select("doc_id", place(lambda word, _: word).alias("word"), place(lambda _, bit: 1 << bit).cast("bigint").alias("bit"))
+    words = [f"held{w}" for w in range(-(-len(grams) // 62))]
+    held = posted.groupBy("doc_id").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(name) for w, name in enumerate(words)])
 
     def holds(query: list[list[frozenset[str]]]) -> Column:
         every = F.lit(True)
         for clause in query:
             some = F.lit(False)
             for one in clause:
-                mask = sum(1 << grams.index(g) for g in one)
-                some = some | (F.col("held").bitwiseAND(F.lit(mask).cast("bigint")) == mask)
+                masks: dict[int, int] = {}
+                for g in one:
+                    masks[at[g][0]] = masks.get(at[g][0], 0) | 1 << at[g][1]
+                all_ = F.lit(True)
+                for w, mask in masks.items():
+                    all_ = all_ & (F.col(words[w]).bitwiseAND(F.lit(mask).cast("bigint")) == mask)
+                some = some | all_
             every = every & some
         return every
 
-    rules = F.lit(0).cast("bigint")
-    for i, query in queries.items():
-        rules = rules.bitwiseOR(F.when(holds(query), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return held.select("doc_id", rules.alias("rules")).filter("rules <> 0")
+    rules = F.array_compact(F.array(*[F.when(holds(query), i) for i, query in queries.items()]))
+    return held.select("doc_id", rules.alias("rules")).filter(F.size("rules") > 0)
 
 
 SPANS = "array<struct<start:int,rule:int,kind:string,end:int,value:string>>"
@@ -156,23 +244,23 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for clause in q for one in clause for g in one})
-    if len(grams) > 62:
-        raise ValueError("more trigrams than a bit set holds")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
+    some = F.array(*[F.lit(i) for i in queries]).cast("array<int>")
     if queries:
         found = materialize(candidates(build_index(docs, grams), queries, grams), "secret-candidates")
-        rows = rows.join(small(found, 24), "doc_id", "left")
+        rows = rows.join(small(found, 32 + 4 * len(queries)), "doc_id", "left").withColumn("rules", F.when(F.col("doc_id").isNull(), some).otherwise(F.col("rules")))
     else:
-        rows = rows.withColumn("rules", F.lit(0).cast("bigint"))
-    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(F.coalesce("rules", F.lit(0).cast("bigint"))).alias("rules"))
+        rows = rows.withColumn("rules", some)
+    rows = rows.select("doc_id", "text", F.coalesce("rules", F.array().cast("array<int>")).alias("rules"))
     kinds = []
     for i, r in enumerate(rules):
-        scan = F.col("rules").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 if i in queries else F.lit(True)
+        scan = F.array_contains("rules", i) if i in queries else F.lit(True)
         kinds.append(F.when(scan & F.col("text").rlike(r.pattern), _verified(i, r)).otherwise(F.array().cast(SPANS)))
     return rows.select("doc_id", F.array_sort(F.concat(*kinds)).alias("spans"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8: secrets in all documents."""
     found = find_secrets(documents(spark, sf_dir))
     base = [r.kind for r in RULES if r.base]
     counts = [F.size(spans.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in base]

@@ -92,3 +92,22 @@ def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
     assert len(secrets.trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----")) == 2
     assert secrets.trigram_query("ab|cdef") == [] and secrets.trigram_query("(abc)?d") == []
+
+
+def test_many_rules_and_grams(docs_of):
+    """More trigrams and rules than a bit set of 62 holds."""
+    names = [f"{a}{b}key{i:02}" for i, (a, b) in enumerate((a, b) for a in "qwxzvjky" for b in "qwxzvjkyfp")]
+    rules = tuple(secrets.Rule(n, rf"{n}[0-9]{{4,}}") for n in names)
+    assert len({g for r in rules for c in secrets.trigram_query(r.pattern) for one in c for g in one}) > 130
+    rows = [(i, f"text {n}{i:05} and {n.upper()}99999 {names[i - 1]}12") for i, n in enumerate(names)] + [(None, f"{names[70]}4444"), (900, None)]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in secrets.find_secrets(docs_of(rows), rules).collect()}
+    assert got == {i: [(n, f"{n}{i:05}")] for i, n in enumerate(names)} | {None: [(names[70], f"{names[70]}4444")], 900: []}
+
+
+def test_shapes_of_expressions():
+    query = secrets.trigram_query
+    assert query(r"(?<name>abc)\Q.d\E") == [[frozenset({"abc", "bc.", "c.d"})]] and query(r"(?i)ABC(?=xyz)") == [[frozenset({"abc"})]]
+    assert query(r"\bab{2}\d+tail(?:ed|s)?") == [[frozenset({"abb"})], [frozenset({"tai", "ail"})]]
+    assert query(r"a[bc]d") == [[frozenset({"abd"}), frozenset({"acd"})]] and query(r"[^a]bcd.éxyz") == [[frozenset({"bcd"})], [frozenset({"xyz"})]]
+    assert query(r"x{2,}yz") == [] and query(r"[a-c]{3}|qqq") == [[*sorted({frozenset({a + b + c}) for a in "abc" for b in "abc" for c in "abc"} | {frozenset({"qqq"})}, key=sorted)]]
+    assert query(r"[\]\-x]yz\x41\.") == [[frozenset({c + "yz", "yza", "za."}) for c in "-]x"]]
