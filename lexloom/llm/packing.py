@@ -5,6 +5,9 @@ share, and the queue sends as many whole quanta as its deficit covers; the rest
 that drains leaves the mixture and the others share its part. What the rounds send, in order, is cut into windows. First deficits differ,
 so that queues of one size don't send their quanta in the same rounds and a round stays as long as a window.
 
+With more sources than a schedule has queues, rare ones are members of shared queues. A shared queue's own stream is mixed from its members
+by the same schedule, and its share of a window is the sum of theirs.
+
 Deficits follow from the round's number alone: after r rounds a queue has sent floor((deficit + r * share) / quantum) quanta. So the
 driver works out only the few phases between drains, and each partition places its own documents by arithmetic.
 """
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -28,8 +31,10 @@ WINDOW = 2048
 #: Small against a queue's part of a window, so that each window holds the targets.
 QUANTUM = 16
 END_ID = 1
-#: Sources with a queue of their own, by rows; all others share one more queue.
-QUEUES = 255
+#: Queues of the schedule. Of more sources, the first HEADS have one each, and the others share the rest as members.
+QUEUES, HEADS = 255, 128
+#: Members that a shared queue has at most. Sources beyond HEADS + (QUEUES - HEADS) * MEMBERS, 65,024, share a member's place.
+MEMBERS = 512
 
 
 @dataclass
@@ -132,10 +137,54 @@ def place(phases: list[Phase], queue: np.ndarray, start: np.ndarray, end: np.nda
     return {"doc": doc[at], "offset": offset[at], "length": np.add.reduceat(length, at), "place": where[at]}
 
 
+class Layout:
+    """Where the tokens of sources lie in the stream. names: all sources that are told apart, sizes: their tokens, weights: their targets."""
+
+    def __init__(self, sizes: list[int], weights: list[int] | None, window: int = WINDOW, quantum: int = QUANTUM):
+        self.window, self.quantum, self.weights, self.sizes = window, quantum, weights, np.array(sizes, np.int64)
+        self.groups = QUEUES - HEADS if len(sizes) > QUEUES else 0
+        self.heads = HEADS if self.groups else len(sizes)
+        outer = [[i] for i in range(self.heads)] + [self.members(g) for g in range(self.groups)]
+        self.phases = schedule([int(self.sizes[m].sum()) for m in outer], weights and [sum(weights[i] for i in m) for m in outer], window, quantum)
+        self.inner: dict[int, list[Phase]] = {}
+
+    def members(self, group: int) -> list[int]:
+        return list(range(self.heads + group, len(self.sizes), self.groups))
+
+    def _inner(self, group: int) -> list[Phase]:
+        if group not in self.inner:
+            if len(self.inner) >= 16:
+                self.inner.clear()
+            own = self.members(group)
+            self.inner[group] = schedule(self.sizes[own].tolist(), self.weights and [self.weights[i] for i in own], self.window, self.quantum)
+        return self.inner[group]
+
+    def place(self, source: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+        """As the function place, for the numbers of sources."""
+        if (source < self.heads).all():
+            return place(self.phases, source, start, end, self.window, self.quantum)
+        big = np.flatnonzero(source < self.heads)
+        parts = [(source[big], big, np.zeros(len(big), np.int64), start[big], end[big])]
+        group, member = (source - self.heads) % self.groups, (source - self.heads) // self.groups
+        for g in np.unique(group[source >= self.heads]):
+            own = np.flatnonzero((source >= self.heads) & (group == g))
+            got = place(self._inner(int(g)), member[own], start[own], end[own], self.window, self.quantum)
+            parts.append((np.full(len(got["doc"]), self.heads + g), own[got["doc"]], got["offset"], got["place"], got["place"] + got["length"]))
+        queue, doc, offset, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        got = place(self.phases, queue, a, b, self.window, self.quantum)
+        out = {"doc": doc[got["doc"]], "offset": offset[got["doc"]] + got["offset"], "length": got["length"], "place": got["place"]}
+        order = np.lexsort((out["offset"], out["doc"]))
+        return {k: v[order] for k, v in out.items()}
+
+
 def tokenized(docs: DataFrame, queues: list[str | None], vocabulary: str = tokens.BYTE_BPE, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, queue, part, start, n, ids: the tokens of each row; start counts those of its queue before it in its partition."""
+    """doc_id, queue, part, start, n, ids: the tokens of each row; start counts those of its queue before it in its partition.
+
+    Sources that queues doesn't list share the places of its last ones.
+    """
     number = {name: i for i, name in enumerate(queues)}
-    rest = len(queues)
+    rest = max(1, len(queues) - HEADS)
+    shared = lambda name: len(queues) - 1 - zlib.crc32((name or "").encode()) % rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
@@ -146,7 +195,7 @@ def tokenized(docs: DataFrame, queues: list[str | None], vocabulary: str = token
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
                 ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
-                own = [number.get(x, rest) for x in some.column(2).to_pylist()]
+                own = [number[x] if x in number else shared(x) for x in some.column(2).to_pylist()]
                 n, start = [len(x) // width for x in ids], []
                 for q, k in zip(own, n, strict=True):
                     start.append(seen.get(q, 0))
@@ -157,8 +206,11 @@ def tokenized(docs: DataFrame, queues: list[str | None], vocabulary: str = token
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", text_or_empty().alias("text"), source.alias("source")).mapInArrow(run, f"doc_id {kind}, queue int, part bigint, start bigint, n bigint, ids binary")
+    return docs.select("doc_id", text_or_empty().alias("text"), _source(docs).alias("source")).mapInArrow(run, f"doc_id {kind}, queue int, part bigint, start bigint, n bigint, ids binary")
+
+
+def _source(docs: DataFrame) -> Column:
+    return (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str | None, int] | None = None, vocabulary: str = tokens.BYTE_BPE, end_id: int = END_ID) -> DataFrame:
@@ -166,26 +218,31 @@ def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights:
 
     One row per piece: doc_id, start (its row's tokens before it), length, ids_crc32 (of its ids as little-endian 32-bit numbers),
     doc_tokens (all ids of its row, with the end id), sequence_id, offset. All sequences are full but the last. weights gives target
-    proportions by source (missing ones: 1); without it each source's target is its share of all tokens, so that all queues last to
-    the end. Null and empty texts hold just the end id; null sources are one source; rows that repeat a doc_id are packed each for
-    itself; null doc_ids stay null. An empty table gives no rows.
+    proportions by source ("*" for those it doesn't name, 1 if that is missing, too); without it each source's target is its share of
+    all tokens, so that all queues last to the end. Sources that weights names, and 65,024 in all, are told apart; rarer ones than
+    these share a target. Null and empty texts hold just the end id; null sources, and all rows of docs without the column, are one
+    source; rows that repeat a doc_id are packed each for itself; null doc_ids stay null. An empty table gives no rows.
     """
-    ranked = docs.groupBy("source").count().orderBy(F.desc("count"), F.col("source").asc_nulls_first()).limit(QUEUES + 1).collect()
-    names = [r["source"] for r in ranked][:QUEUES]
+    source, weights = _source(docs).alias("source"), {k: int(v) for k, v in (weights or {}).items()}
+    most = HEADS + (QUEUES - HEADS) * MEMBERS
+    ranked = docs.select(source).groupBy("source").count().orderBy(F.desc("count"), F.col("source").asc_nulls_first()).limit(most).collect()
+    named = [x for x in weights if x != "*"]
+    names = list(dict.fromkeys([*named, *(r["source"] for r in ranked)]))[: max(most, len(named))]
     table = materialize(tokenized(docs, names, vocabulary, end_id), "pack-ids")
     totals = table.groupBy("queue", "part").agg(F.sum("n").alias("total"))
     base = materialize(running_base(totals, "part", "total", "base", ["queue"]).select("queue", "part", "base", "total"), "pack-base")
-    sizes = [0] * (len(names) + 1)
-    for r in base.groupBy("queue").agg(F.sum("total").alias("total")).collect():  # at most QUEUES + 1 rows
+    sizes = [0] * len(names)
+    for r in base.groupBy("queue").agg(F.sum("total").alias("total")).collect():  # at most a row for each name
         sizes[r["queue"]] = r["total"]
-    phases = schedule(sizes, [weights.get(x, 1) for x in names] + [weights.get("*", 1)] if weights else None, window, quantum)
+    layout = Layout(sizes, [weights.get(x, weights.get("*", 1)) for x in names] if weights else None, window, quantum)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
                 queue, start, n = (some.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
-                got = place(phases, queue, start, start + n, window, quantum)
+                got = layout.place(queue, start, start + n)
                 texts = [memoryview(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in some.column(4)] if wide else [memoryview(x.as_buffer()) for x in some.column(4)]
                 crc = [zlib.crc32(texts[d][4 * o : 4 * (o + k)]) for d, o, k in zip(got["doc"].tolist(), got["offset"].tolist(), got["length"].tolist(), strict=True)]
                 doc = pa.array(got["doc"])
@@ -201,4 +258,5 @@ def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1: all documents in sequences of 2048 tokens."""
     return pack(documents(spark, sf_dir))

@@ -64,3 +64,21 @@ def test_mix_repeats_rows(docs_of):
 def test_empty(docs_of):
     assert mixing.mixture(docs_of([])).collect() == [] and mixing.mix(docs_of([])).collect() == []
     assert [r.taken for r in mixing.mixture(docs_of([(1, None, "en", None)])).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [mixing.BLOCK, 7])
+def test_equal_rows_draw_each_for_itself(docs_of, monkeypatch, block):
+    """Also null doc_ids and rows equal in all columns: totals still come near the targets."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(None, f"one two t{i % 50}", "en", "a") for i in range(2000)] + [(5, "same text", "en", "b") for _ in range(2000)] + [(i, "x y z", "en", None) for i in range(10, 400)]
+    df = docs_of(rows, extra=True)
+    got = mixing.mixture(df.repartition(5)).collect()
+    assert len(got) == len(rows)
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.1)
+    again = mixing.mixture(df.repartition(2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    assert sorted(str(r.doc_id) for r in mixed.collect()) == sorted(x for r in got for x in [str(r.doc_id)] * r.copies)

@@ -92,3 +92,53 @@ def test_each_window_holds_the_targets_of_20_sources():
 def test_rare_queue_among_large_ones():
     held, share = _windows([700, 7_000, 2_000_000], packing.WINDOW)
     assert np.abs(np.cumsum(held, axis=0) - np.outer(np.arange(1, len(held) + 1) * packing.WINDOW, share)).max() <= 3 * packing.QUANTUM
+
+
+def test_more_sources_than_queues(monkeypatch):
+    """Every token has one place, and each source keeps near its share of the stream, rare ones included."""
+    rng = np.random.default_rng(3)
+    sizes = [60_000, 30_000, *rng.integers(200, 900, 400).tolist()]
+    layout = packing.Layout(sizes, None, 256, 16)
+    source = np.repeat(np.arange(len(sizes)), 2)
+    start = np.array([x for s in sizes for x in (0, s // 3)])
+    end = np.array([x for s in sizes for x in (s // 3, s)])
+    got = layout.place(source, start, end)
+    owner = np.full(sum(sizes), -1)
+    for d, o, k, w in zip(got["doc"], got["offset"], got["length"], got["place"], strict=True):
+        assert (owner[w : w + k] == -1).all() and 0 <= o <= o + k <= end[d] - start[d]
+        owner[w : w + k] = source[d]
+    assert (owner >= 0).all()
+    for d in range(len(source)):
+        mine = sorted((o, k) for x, o, k in zip(got["doc"], got["offset"], got["length"], strict=True) if x == d)
+        assert mine[0][0] == 0 and sum(k for _, k in mine) == end[d] - start[d] and all(a + k == b for (a, k), (b, _) in zip(mine, mine[1:], strict=False))
+    half = len(owner) // 2
+    held = np.bincount(owner[:half], minlength=len(sizes))
+    assert np.abs(held - np.array(sizes) / 2).max() <= 120  # a few quanta, and what its queue is behind or ahead
+
+
+def test_sources_beyond_the_queues_and_weights_of_rare_ones(docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 6)
+    monkeypatch.setattr(packing, "HEADS", 3)
+    monkeypatch.setattr(packing, "MEMBERS", 2)
+    rows = [(i, "some words here " * 40, "en", f"s{i % 30}" if i % 3 else "hot") for i in range(200)] + [(500 + i, "rare words " * 300, "en", "rare") for i in range(3)]
+    for weights in (None, {"rare": 5, "hot": 1, "*": 1}):
+        got = packing.pack(docs_of(rows).repartition(3), 64, weights=weights).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        assert len(by) == len(rows)
+        for pieces in by.values():
+            pieces.sort()
+            assert pieces[0][0] == 0 and all(a + k == b for (a, k, _), (b, *_) in zip(pieces, pieces[1:], strict=False)) and sum(k for _, k, _ in pieces) == pieces[0][2]
+        taken = sorted((r.sequence_id, r.offset, r.length) for r in got)
+        assert all(s * 64 + o + k == t * 64 + p for (s, o, k), (t, p, _) in zip(taken, taken[1:], strict=False))
+        early = [r for r in got if r.sequence_id < 10]
+        rare = sum(r.length for r in early if r.doc_id >= 500)
+        if weights:
+            names = len({s for *_, s in rows})
+            assert rare >= 640 * 5 / (names + 4) * 0.6
+
+
+def test_no_source_column(docs_of):
+    got = packing.pack(docs_of([(i, "a b c", "en", None) for i in range(5)]).drop("source")).collect()
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
