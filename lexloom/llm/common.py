@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,14 +19,39 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a fresh local one only where the setting is missing, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where it is unset, a fresh folder, but only if all tasks run in this process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         conf = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+#: Folders that materialize has written and nothing has removed.
+_written: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes scratch tables; they must not be read any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def materialize_only(make, spark: SparkSession, label: str) -> tuple[DataFrame, str]:
+    """The table that make() declares, written, and its folder; scratch tables that make wrote on the way are removed."""
+    before = set(_written)
+    out = materialize(make(), label)
+    path = _written[-1]
+    remove(spark, [p for p in _written if p not in before and p != path])
+    return out, path
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of at most so many rows for what runs inside; documents are large rows, and each task holds a batch twice."""
@@ -42,11 +68,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns its scan.
 
     It cuts the lineage in a way that outlives lost executors, makes values such as row numbers final, and gives the planner a
-    true size, from which it picks broadcast or shuffle joins.
+    true size, from which it picks broadcast or shuffle joins. The table stays until ``remove`` or until the folder is emptied.
     """
     path = f"{scratch_root(df.sparkSession)}/lexloom/{label}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

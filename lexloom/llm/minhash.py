@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fits_broadcast, fresh, materialize, text_or_empty
+from .common import documents, fits_broadcast, fresh, materialize, small, text_or_empty
 
 WORDS = 5
 PERCENT = 85
@@ -26,6 +26,8 @@ BAND = 6
 #: A shingle is rare among the open leaves if no more of them hold it.
 RARE = 8
 SEED = 0x5EED_0F_B145
+#: Leaves of a bucket that a task compares with the bucket's others, about.
+TILE = 256
 
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -114,7 +116,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     ["rid", "doc_id", "n_shingles", "d1", "d2", "keys"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").try_cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "rid bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
@@ -130,7 +132,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "set"])
 
     ids = F.broadcast(ids) if fits_broadcast(ids, 16) else ids
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("string").try_cast("bigint").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id bigint, set array<bigint>")
 
 
@@ -170,7 +172,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Two rows are linked if 100 * shared >= percent * all of their shingles. component_id is the least doc_id that links reach, kept
     whether that is the row's own. Rows without words (null or empty text, too) have no shingles and no links. Rows that repeat a
-    doc_id count as linked; so do rows with equal sets. A row with a null doc_id has a null component and is kept. An empty table
+    doc_id count as linked; so do rows with equal sets. doc_ids are whole numbers; a row with a null doc_id, or one that is no number,
+    has null for both and is kept. An empty table
     gives an empty result.
     """
     rows = materialize(_sketches(docs, words), "near-rows")
@@ -182,7 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = heads.select("id", "n", F.explode("keys").alias("key"))
     # Stars: an edge from each member of a bucket to its least one.
     hubs = materialize(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("n_hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).filter("hub < last").drop("last"), "near-hubs")
-    spokes = materialize(buckets.join(hubs, "key").filter("id <> hub").select("key", "id", "n", "hub", "n_hub", "members"), "near-spokes")
+    spokes = materialize(buckets.join(small(hubs, 40), "key").filter("id <> hub").select("key", "id", "n", "hub", "n_hub", "members"), "near-spokes")
     stars = spokes.filter(_alike(F.col("n"), F.col("n_hub"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = materialize(stars, "near-stars")
     crowded = spokes.filter("members > 2")
@@ -210,7 +213,7 @@ def _open(leaves: DataFrame, found: DataFrame, label: str) -> DataFrame:
     top = found.select(F.col("v").alias("id"), F.col("p").alias("top"))
     named = leaves.drop("top").join(top, "id", "left").withColumn("top", F.coalesce("top", "id"))
     mixed = named.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low < high").select("key")
-    return materialize(named.join(mixed, "key", "left_semi"), label)
+    return materialize(named.join(small(materialize(mixed, "near-mixed"), 16), "key", "left_semi"), label)
 
 
 def _may_share(percent: int) -> Column:
@@ -255,7 +258,7 @@ def _between_leaves(crowded: DataFrame, checked: DataFrame, found: DataFrame, se
         if sizes["pairs"] <= 4 * sizes["rows"]:
             break
         center = materialize(leaves.groupBy("key").agg(F.min(F.struct("rare", "id", "n", "top")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.n").alias("n_b"), F.col("c.rare").alias("rare_b"), F.col("c.top").alias("top_b")), "near-centers")
-        star = leaves.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a"), F.col("top").alias("top_a")).join(center, "key")
+        star = leaves.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rare").alias("rare_a"), F.col("top").alias("top_a")).join(small(center, 48), "key")
         links = _links(star.filter((F.col("a") != F.col("b")) & (F.col("top_a") != F.col("top_b")) & _may_share(percent)), sets, percent)
         leaves = leaves.join(center.select("key", F.col("b").alias("id")), ["key", "id"], "left_anti")
         if links.isEmpty():
@@ -265,9 +268,14 @@ def _between_leaves(crowded: DataFrame, checked: DataFrame, found: DataFrame, se
     far = F.lit(1.0) - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     near = checked.groupBy(F.col("a").alias("id"), F.col("b").alias("hub")).agg(F.max(far).alias("far"), F.min(far).alias("least")).filter("far = least").drop("least")
     leaves = leaves.join(near, ["id", "hub"], "left")
-    one, two = (leaves.select("key", *[F.col(c).alias(d + x) for c, d in (("id", ""), ("n", "n_"), ("rare", "rare_"), ("top", "top_"), ("far", "far_"))]) for x in "ab")
+    # A large bucket is cut into tiles: each leaf lies in one as b and is compared with all leaves as a, so no task gets all pairs of a bucket.
+    tiles = materialize(leaves.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "near-tiles")
+    leaves = materialize(leaves.join(small(tiles, 24), "key"), "near-tiled")
+    one, two = (leaves.select("key", "tiles", *[F.col(c).alias(d + x) for c, d in (("id", ""), ("n", "n_"), ("rare", "rare_"), ("top", "top_"), ("far", "far_"))]) for x in "ab")
+    one = one.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    two = two.withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")).drop("tiles")
     apart = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    pairs = one.join(two, "key").filter((F.col("b") < F.col("a")) & (F.col("top_a") != F.col("top_b")) & _alike(F.col("n_a"), F.col("n_b"), percent) & apart & _may_share(percent))
+    pairs = one.join(two, ["key", "tile"]).filter((F.col("b") < F.col("a")) & (F.col("top_a") != F.col("top_b")) & _alike(F.col("n_a"), F.col("n_b"), percent) & apart & _may_share(percent))
     return components(found.unionByName(_links(pairs, sets, percent)))
 
 
@@ -280,4 +288,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PER
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9: near-duplicates among all documents."""
     return near_duplicates(documents(spark, sf_dir))

@@ -117,3 +117,20 @@ def test_nulls_ties_and_nothing(docs_of):
     df = docs_of(rows, extra=True)
     kept = minhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "3", "None", "None"]
+
+
+def test_tiles_and_shuffled_hubs_lose_no_link(docs_of, monkeypatch):
+    """Leaves of one bucket that only their own pairs link, over several tiles, and with sides too large to broadcast."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(2, 7)))) for i in range(60)]
+    monkeypatch.setattr(minhash, "TILE", 3)
+    compare(docs_of(rows), rows)
+    monkeypatch.setattr(minhash, "small", lambda df, _: df)
+    monkeypatch.setattr(minhash, "fits_broadcast", lambda *_: False)
+    compare(docs_of(rows), rows)
+
+
+def test_drop_on_an_empty_table(docs_of):
+    df = docs_of([], extra=True)
+    assert minhash.drop_near_duplicates(df).collect() == [] and minhash.drop_near_duplicates(df).columns == df.columns

@@ -3,6 +3,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
@@ -59,3 +60,37 @@ def test_stages_take_effect(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def _stages(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.materialize(stage(spark, docs, DATA), "test")
+        assert name == "packing" or docs.columns == before.columns
+    return docs
+
+
+def test_edges_of_all_stages(spark, docs_of):
+    assert _stages(spark, docs_of([], extra=True)).count() == 0
+    plain = [r.text for r in common.documents(spark, DATA).limit(40).collect()]
+    rows = [(i, t, "en", "s") for i, t in enumerate(plain)] + [(100, None, None, None), (101, "", "en", None), (None, plain[0], None, "s"), (102, plain[1], None, None), (5, plain[5], "en", "s")]
+    out = _stages(spark, docs_of(rows, extra=True)).collect()
+    assert out and {r.doc_id for r in out} <= {i for i, *_ in rows}
+
+
+def test_run_leaves_only_the_last_tables(spark):
+    before = set(common._written)
+    corpus_pipeline.run(spark, DATA).count()
+    left = {p.split("/lexloom/")[1].rsplit("-", 1)[0] for p in set(common._written) - before}
+    assert left == {"stage-mixture", "pack-ids", "pack-base"}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
