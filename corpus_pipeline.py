@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
-    docs = common.documents(spark, sf_dir)
+    """All stages on documents, each written to the shared folder and read again; what a stage leaves there goes once the next is written."""
+    docs, last = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs, path = common.materialize_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage-{name.replace(' ', '-')}")
+        common.remove(spark, [last] if last else [])
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
