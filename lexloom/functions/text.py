@@ -29,6 +29,61 @@ DOMAINS = (
 MASK = "[MASK]"
 
 
+#: Two code points that no text may hold (Unicode keeps them free for such use); they mark and part what a pattern found.
+MARK, PART = "\ufdd0", "\ufdd1"
+_BLOCK = 64
+
+
+def let(x: Column, f) -> Column:
+    """f(x), where x is worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """array<bigint> of the sums of the numbers up to each place.
+
+    Blocks of 64 are summed apart, so that time stays in proportion to the array's length, but for one small step per block.
+    """
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        at = acc["at"] + n
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def summed(x: Column) -> Column:
+        return F.aggregate(x, start, step, lambda a: a["out"])
+
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: summed(F.slice(x, b * _BLOCK + 1, _BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        ends = summed(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda n: n + F.get(e, i - 1))))))
+
+    return let(numbers, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= _BLOCK, summed(x)).otherwise(let(blocks(x), joined)))
+
+
+def found(x: Column, shape: str, *groups: int) -> Column:
+    """array<struct<start, end, parts>>: offsets of all leftmost non-overlapping matches, in one scan; parts holds the match and the given groups.
+
+    A group that took no part is an empty string. x must not hold MARK or PART.
+    """
+    shown = PART.join(f"${g}" for g in (0, *groups))
+    pieces = F.split(F.regexp_replace(x, shape, f"{MARK}{shown}{MARK}"), MARK, -1)
+
+    def placed(p: Column) -> Column:
+        hits = F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), lambda i: F.struct(F.length(F.get(p, 2 * i)).alias("gap"), F.split(F.get(p, 2 * i + 1), PART, -1).alias("parts")))
+        return let(hits, lambda h: F.zip_with(h, running_sums(F.transform(h, lambda one: one["gap"] + F.length(one["parts"][0]))), lambda one, end: F.struct((end - F.length(one["parts"][0])).cast("int").alias("start"), end.cast("int").alias("end"), one["parts"].alias("parts"))))
+
+    return let(pieces, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(F.array().cast("array<struct<start:int,end:int,parts:array<string>>>")))
+
+
+def unmarked(x: Column) -> Column:
+    """x without MARK and PART, which become replacement characters."""
+    return F.translate(x, MARK + PART, "\ufffd\ufffd")
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -50,6 +105,11 @@ def normalize(x: Column) -> Column:
     return remove_diacritics(F.lower(x))
 
 
+def searchable(x: Column) -> Column:
+    """As normalize, for ``found``: without MARK and PART."""
+    return F.translate(F.lower(x), DIACRITICS + MARK + PART, FOLDED + "\ufffd\ufffd")
+
+
 def dedup_key(sentence: Column) -> Column:
     return F.md5(F.lower(strip(sentence)).cast("binary"))
 
@@ -64,18 +124,17 @@ def sentences(x: Column, least: int = 10, ends: str = r"(?U)[.!?]+(?:\s+|$)") ->
 
     start and end bound the stretch before stripping, marks included.
     """
-    marks, bodies = F.regexp_extract_all(x, F.lit(ends), F.lit(0)), F.split(x, ends, -1)
-    zipped = F.arrays_zip(bodies.alias("body"), marks.alias("mark"))
-    kind = "array<struct<start:int,end:int,text:string>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        whole = F.concat(p["body"], F.coalesce(F.rtrim(p["mark"]), F.lit("")))
-        end = acc["at"] + F.length(p["body"]) + F.length(F.coalesce(p["mark"], F.lit("")))
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), strip(whole).alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(kind)).alias("out"))
-
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-    return F.filter(found, lambda s: F.length(s["text"]) > least)
+
+    def stretches(marks: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: m["end"]))
+        ends_ = F.concat(F.transform(marks, lambda m: m["end"]), F.array(F.length(x)))
+        return F.zip_with(starts, ends_, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    def cut(bodies: Column, marks: Column) -> Column:
+        return F.transform(bodies, lambda body, i: strip(F.concat(body, F.coalesce(F.get(marks, i)["parts"][0], F.lit("")))))
+
+    whole = let(F.when(x.isNotNull(), found(unmarked(x), ends)), lambda m: F.zip_with(stretches(m), cut(F.split(x, ends, -1), m), lambda w, t: F.struct(w["start"].alias("start"), w["end"].alias("end"), t.alias("text"))))
+    return F.filter(whole, lambda s: F.length(s["text"]) > least)
 
 
 def sentences_at_blanks(x: Column, least: int = 5) -> Column:

@@ -1,8 +1,8 @@
 """Phrase templates over a lexicon: matching with offsets, discovery frames, conjunction frames, re-verification of spans.
 
 Templates are rows: a verb frame and whether only nouns may follow. A template matches ``frame``, an optional intensifier, and a seed
-word, on folded text. Two strategies give the same rows for one-word seeds: ``regex`` tries one alternation over all seeds per template;
-``tokens`` looks up the word after each place where a frame may end, and tests all frames only before the seeds that it finds.
+word, on folded text. Two strategies give the same rows: ``regex`` scans for each template's frame; ``tokens`` scans once for the words on
+which frames end. Both look up the word behind in a hash set; a seed is one word.
 """
 
 from __future__ import annotations
@@ -68,11 +68,31 @@ CONJUNCTIONS = r"(?:dar\s+si|ba\s+chiar|si|dar|insa)"
 DISCOVERY = (("sentiment_de", r"un\s+sentiment\s+de\s+"), ("sentimentul_de", r"sentimentul\s+de\s+"), ("emotie_de", r"emoti[ae]\s+de\s+"), ("senzatie_de", r"o\s+senzatie\s+de\s+"), ("coplesit_de", r"coplesita?\s+de\s+"))
 
 WORD = r"[\p{L}\p{N}_]"
-HITS = "array<struct<start:int,end:int,seed_start:int,seed:string>>"
-PARTS = "array<struct<start:int,end:int,part:string>>"
+# Nouns (folded) that noun-only templates take even if the lexicon hasn't got them, and their emotions.
+NOUN_EMOTIONS = {
+    "frica": ["fear"], "teama": ["fear"], "groaza": ["fear"], "panica": ["fear"], "anxietate": ["fear"], "neliniste": ["fear"], "ingrijorare": ["fear"],
+    "tristete": ["sadness"], "durere": ["sadness"], "suferinta": ["sadness"], "chin": ["sadness"], "dezamagire": ["sadness"], "melancolie": ["sadness"],
+    "nostalgie": ["sadness"], "dor": ["sadness"],
+    "bucurie": ["joy"], "fericire": ["joy"], "placere": ["joy"], "satisfactie": ["joy"], "entuziasm": ["joy", "anticipation"], "veselie": ["joy"],
+    "furie": ["anger"], "manie": ["anger"], "nervozitate": ["anger", "fear"], "iritare": ["anger"], "frustrare": ["anger", "sadness"],
+    "indignare": ["anger"], "revolta": ["anger"], "ura": ["anger", "disgust"],
+    "dezgust": ["disgust"], "scarba": ["disgust"], "greata": ["disgust"], "repulsie": ["disgust"],
+    "surpriza": ["surprise"], "uimire": ["surprise"], "mirare": ["surprise"], "stupoare": ["surprise"],
+    "incredere": ["trust"], "siguranta": ["trust"], "liniste": ["trust"], "pace": ["trust"], "calm": ["trust"],
+    "rusine": ["sadness", "fear"], "vina": ["sadness"], "gelozie": ["anger", "sadness"], "invidie": ["anger", "sadness"], "mandrie": ["joy"],
+    "recunostinta": ["joy", "trust"], "iubire": ["joy", "trust"], "speranta": ["anticipation", "joy"], "disperare": ["sadness", "fear"],
+    "nerabdare": ["anticipation"], "curiozitate": ["anticipation"],
+}
+# Further phrases to search by when all templates are to be found.
+EXTRACTION_QUERIES = ('"sunt"', '"eram"', '"am fost"', '"mă fac"', '"ma fac"', '"aveam"')
+
+FOUND = "array<struct<ord:int,start:int,end:int,seed_start:int,seed:string>>"
+#: Words of a lexicon up to which it is sent to every executor.
+LEXICON_WORDS = 1_000_000
 
 
 def queries(secondary: bool = True, more: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """more: EXTRACTION_QUERIES, to search for what all templates may match."""
     return tuple(dict.fromkeys((*QUERIES, *(PLAIN_QUERIES if secondary else ()), *more)))
 
 
@@ -94,92 +114,165 @@ def has_trigger_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.lower(text).rlike(r"(?<!\p{L})(?:" + "|".join(map(re.escape, words)) + r")(?!\p{L})")
 
 
-def _found(text: Column, shape: str) -> Column:
-    """array<struct<start, end, part>>: offsets of all matches of shape, and their first group."""
-    whole, parts, gaps = F.regexp_extract_all(text, F.lit(shape), F.lit(0)), F.regexp_extract_all(text, F.lit(shape), F.lit(1)), F.split(text, shape, -1)
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), parts.alias("part"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(PARTS)).alias("out"))
+def alternation(words: list[str]) -> str:
+    """Folded distinct words, the longest first."""
+    return "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(PARTS).alias("out")), step, lambda a: a["out"])
 
+def with_nouns(lexicon: DataFrame, nouns: dict[str, list[str]] | None = None) -> DataFrame:
+    """word, noun, seed, emotions for ``find_matches``, of lexicon (word, emotions) and a table of nouns (NOUN_EMOTIONS by default).
 
-def _hits(text: Column, before: str, seed: str) -> Column:
-    """Offsets of all matches of a whole frame-and-seed expression."""
-    found = _found(text, rf"(?<!{WORD})(?:{before})({seed})(?!{WORD})")
-    return F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), (h["end"] - F.length(h["part"])).alias("seed_start"), h["part"].alias("seed")))
+    noun marks the words that noun-only templates take: those of the table. Nouns that only the table has aren't seeds of other templates.
+    """
+    nouns = NOUN_EMOTIONS if nouns is None else nouns
+    table = lexicon.sparkSession.createDataFrame([(w, e) for w, e in nouns.items()], "word string, own array<string>")
+    every = lexicon.groupBy(T.normalize(F.col("word")).alias("word")).agg(F.flatten(F.collect_list("emotions")).alias("emotions"), F.lit(True).alias("seed")).join(F.broadcast(table), "word", "full_outer")
+    emotions = F.when(F.size("emotions") > 0, F.col("emotions")).otherwise(F.col("own"))
+    return every.select("word", F.col("own").isNotNull().alias("noun"), F.coalesce("seed", F.lit(False)).alias("seed"), emotions.alias("emotions"))
 
 
-def alternation(words: list[str]) -> str:
-    """Folded distinct words, the longest first."""
-    return "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+def _words(lexicon: DataFrame) -> list:
+    """The lexicon's words with any emotion; it is a parameter of the expressions, so it comes to the driver."""
+    seed = F.col("seed") if "seed" in lexicon.columns else F.lit(True)
+    words = lexicon.groupBy("word").agg(F.bool_or("noun").alias("noun"), F.bool_or(seed).alias("seed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("emotions")))).alias("emotions"))
+    return words.filter(F.size("emotions") > 0).orderBy("word").collect()
 
 
-def find_matches(docs: DataFrame, lexicon: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", most: int = 100, modifier: str = MODIFIER) -> DataFrame:
-    """A row for each match: docs' columns, pattern, category, ord (of the template), start, end, seed_start, seed, emotions.
+def matches_of(fold: Column, words: list, templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", modifier: str = MODIFIER, most: int | None = None) -> Column:
+    """FOUND: the matches of templates in searchable text, by template and place; the first ``most`` of them.
 
-    lexicon: word (folded), noun (boolean), emotions (array<string>). Noun-only templates take words with noun, others all words. Per
-    document the first ``most`` matches in order of template and place stay. Null texts match nothing.
+    ``tokens`` scans once for the words on which frames end, looks up the word behind each in a hash set, and tests frames on what lies
+    before only there. ``regex`` scans once per template for its frame and looks the word up, too; it needs no frame to end on a word of its own.
     """
-    words = lexicon.groupBy("word").agg(F.bool_or("noun").alias("noun"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("emotions")))).alias("emotions")).filter(F.size("emotions") > 0)
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_fold", T.normalize(F.col(text)))
+    every, nouns = [r["word"] for r in words if r["seed"]], [r["word"] for r in words if r["noun"]]
+    if not words or not templates:
+        return F.array().cast(FOUND)
     if strategy == "regex":
-        known = words.select("word", "noun").collect()  # the lexicon is a parameter of the expressions
-        every, nouns = alternation([r["word"] for r in known]), alternation([r["word"] for r in known if r["noun"]])
-        shapes = [(i, t, nouns if t.noun_only else every) for i, t in enumerate(templates)]
-        found = [F.transform(_hits(F.col("_fold"), t.frame + r"\s+" + modifier, seeds), _tagged(i, t)) for i, t, seeds in shapes if seeds]
-        hits = rows.withColumn("_hit", F.explode(F.flatten(F.array(*found)))) if found else rows.withColumn("_hit", F.lit(None).cast("struct<ord:int,pattern:string,category:string,start:int,end:int,seed_start:int,seed:string>")).limit(0)
+        each = [_one_by_one(fold, i, t, nouns if t.noun_only else every, modifier) for i, t in enumerate(templates)]
     else:
-        known = words.select("word", "noun").collect()  # a lookup in a hash set for each place where a frame may end
-        every, nouns = [r["word"] for r in known], [r["word"] for r in known if r["noun"]]
-        tails = "|".join(sorted({t.frame.split(r"\s+")[-1].split(" ")[-1] for t in templates}))
-        places = _found(F.col("_fold"), rf"(?<!{WORD})(?:{tails})\s+(?=({modifier}{WORD}+))")
-        seeds = F.filter(F.transform(places, lambda h: _seed_at(h, every)), lambda t: t.isNotNull())
-        found = F.flatten(F.transform(seeds, lambda t: _framed_by(t, F.substring(F.col("_fold"), F.greatest(t["start"] - 79, F.lit(1)), F.least(t["start"], F.lit(80))), templates, modifier, nouns)))
-        hits = rows.withColumn("_hit", F.explode(found))
-    hits = hits.select(*docs.columns, "_rid", "_hit.*").join(words.select("word", "emotions"), F.col("seed") == F.col("word")).drop("word")
-    order = Window.partitionBy("_rid").orderBy("ord", "start", "end")
-    return hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n", "_rid")
+        shape = rf"(?<!{WORD})(?:{'|'.join(sorted({_tail(t) for t in templates}))})\s+(?=({modifier})({WORD}+))"
+        reach = max(len(re.findall(r"\\s", t.frame)) + t.frame.count(" ") for t in templates)
+        seeds = F.filter(F.transform(_leads(fold, shape, reach), lambda h: _seeded(h, sorted({*every, *nouns}))), lambda h: h["seed"].isNotNull())
+        each = [T.let(seeds, lambda s: F.flatten(F.array(*[_framed_by(s, i, t, nouns if t.noun_only else every, len(words)) for i, t in enumerate(templates)])))]
+    both = F.flatten(F.array(*each)) if strategy == "regex" else each[0]
+    return both if most is None else F.slice(both, 1, most)
+
+
+def _tail(t: Template) -> str:
+    """The expression of a frame's last word."""
+    return re.split(r"\\s\+|\\s\*| ", t.frame)[-1]
+
+
+def _leads(fold: Column, shape: str, reach: int) -> Column:
+    """array<struct<lead, tail, modifier, word, end>>: places where a frame may end; lead is the text before with at least reach words.
+
+    Each place has at least a word, so reach places back there are words enough, however many blanks lie between.
+    """
+    shown = T.MARK + T.PART.join(("$0", "$1", "$2")) + T.MARK
+    pieces = F.split(F.regexp_replace(fold, shape, shown), T.MARK, -1)
+
+    def placed(p: Column) -> Column:
+        text = F.transform(p, lambda x: F.substring_index(x, T.PART, 1))  # gaps and frame ends in turn
+        at = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+
+        def one(t: Column) -> Column:
+            return T.let(T.running_sums(F.transform(t, lambda x: F.length(x))), lambda sums: F.transform(at, lambda i: F.struct(
+                F.array_join(F.slice(t, F.greatest(i - 2 * reach, F.lit(0)) + 1, F.least(i, F.lit(2 * reach))), "").alias("lead"), F.get(t, i).alias("tail"),
+                F.get(F.split(F.get(p, i), T.PART, 3), F.lit(1)).alias("modifier"), F.get(F.split(F.get(p, i), T.PART, 3), F.lit(2)).alias("word"), F.get(sums, i).cast("int").alias("end"),
+            )))
 
+        return T.let(text, one)
 
-def _seed_at(h: Column, words: list[str]) -> Column:
-    """struct<start, end, seed> of the seed that follows a place: the word after an intensifier, else the first one; null if neither is one."""
-    last, first = F.regexp_extract(h["part"], rf"{WORD}+$", 0), F.regexp_extract(h["part"], rf"^{WORD}+", 0)
-    end = h["end"] + F.length(h["part"])
-    span = lambda start, end, seed: F.struct(start.alias("start"), end.alias("end"), seed.alias("seed"))
-    return F.when(last.isin(words), span(end - F.length(last), end, last)).when(first.isin(words), span(h["end"], h["end"] + F.length(first), first))
+    kind = "array<struct<lead:string,tail:string,modifier:string,word:string,end:int>>"
+    return T.let(pieces, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(F.array().cast(kind)))
 
 
-def _framed_by(t: Column, lead: Column, templates: tuple[Template, ...], modifier: str, nouns: list[str]) -> Column:
-    """The matches of templates that end in token t, by what stands in the 80 code points before it."""
-    out = []
-    for i, template in enumerate(templates):
-        frame = F.regexp_extract(lead, rf"(?<!{WORD})(?:{template.frame}\s+{modifier})$", 0)
-        hit = F.struct(F.lit(i).alias("ord"), F.lit(template.name).alias("pattern"), F.lit(template.category).alias("category"), (t["start"] - F.length(frame)).alias("start"), t["end"].alias("end"), t["start"].alias("seed_start"), t["seed"].alias("seed"))
-        out.append(F.when((F.length(frame) > 0) & (t["seed"].isin(nouns) if template.noun_only else F.lit(True)), hit))
-    return F.filter(F.array(*out), lambda h: h.isNotNull())
+def _seeded(h: Column, words: list[str]) -> Column:
+    """A place with the seed that follows: the word after an intensifier, else the intensifier's own first word; null if neither is one."""
+    first = F.regexp_extract(h["modifier"], rf"^{WORD}+", 0)
+    own = h["word"].isin(words)
+    seed = F.when(own, h["word"]).when((h["modifier"] != "") & first.isin(words), first)
+    start = h["end"] + F.when(own, F.length(h["modifier"])).otherwise(0)
+    return F.struct(h["lead"].alias("lead"), h["tail"].alias("tail"), h["end"].alias("frame_end"), start.alias("seed_start"), seed.alias("seed"))
 
 
-def _tagged(i: int, t: Template):
-    return lambda h: F.struct(F.lit(i).alias("ord"), F.lit(t.name).alias("pattern"), F.lit(t.category).alias("category"), h["start"].alias("start"), h["end"].alias("end"), h["seed_start"].alias("seed_start"), h["seed"].alias("seed"))
+def _framed_by(seeds: Column, i: int, t: Template, words: list[str], known: int) -> Column:
+    """The matches of one template among places with seeds."""
+    last, whole = _tail(t), t.frame
+    own = F.filter(seeds, lambda s: s["tail"].rlike(rf"^(?:{last})\s") & (s["seed"].isin(words) if len(words) < known else F.lit(True)))
+    single = last == whole
+    length = lambda s: F.length(s["tail"]) if single else F.length(F.regexp_extract(F.concat(s["lead"], s["tail"]), rf"(?<!{WORD})(?:{whole})\s+$", 0))
+    found = F.transform(own, lambda s: T.let(length(s), lambda n: F.struct(F.lit(i).alias("ord"), F.when(n > 0, s["frame_end"] - n).alias("start"), (s["seed_start"] + F.length(s["seed"])).alias("end"), s["seed_start"].alias("seed_start"), s["seed"].alias("seed"))))
+    return _apart(F.filter(found, lambda h: h["start"].isNotNull()))
 
 
-def first_match(docs: DataFrame, lexicon: DataFrame, key: str, **options) -> DataFrame:
-    """The first match of each document by key."""
-    order = Window.partitionBy(key).orderBy("ord", "start")
-    return find_matches(docs, lexicon, **options).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def _apart(hits: Column) -> Column:
+    """Matches in order without those that begin inside one that stays; seldom any does, so all are walked only then."""
+    none = F.array().cast(FOUND)
 
+    def walk(h: Column) -> Column:
+        kept = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out")))
+        return F.aggregate(h, F.struct(F.lit(0).alias("at"), none.alias("out")), kept, lambda acc: acc["out"])
 
-def candidates(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
-    """Matches with their sentence and the seed as written; of one sentence of a document only the earliest template's stays."""
-    found = find_matches(docs, lexicon, text, **options)
-    found = found.withColumn("matched_sentence", T.sentence_around(F.col(text), F.col("start"), F.col("end"))).withColumn("seed_word", T.original_word(F.col(text), F.col("seed_start"), F.col("seed")))
-    order = Window.partitionBy(key, "matched_sentence").orderBy("ord", "start")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return T.let(hits, lambda h: F.when(F.exists(F.transform(h, lambda x, i: F.coalesce(x["start"] < F.get(h, i - 1)["end"], F.lit(False))), lambda x: x), walk(h)).otherwise(h))
+
+
+def _one_by_one(fold: Column, i: int, t: Template, words: list[str], modifier: str) -> Column:
+    """The matches of one template by its own scan. A frame found is left before its seed, where the next may begin."""
+    places = T.found(fold, rf"(?<!{WORD})(?:{t.frame})\s+(?=({modifier})({WORD}+))", 1, 2)
+    part = lambda h, k: F.get(h["parts"], F.lit(k))
+
+    def one(h: Column) -> Column:
+        s = _seeded(F.struct(F.lit("").alias("lead"), part(h, 0).alias("tail"), part(h, 1).alias("modifier"), part(h, 2).alias("word"), h["end"].alias("end")), words)
+        return F.struct(F.lit(i).alias("ord"), h["start"].alias("start"), (s["seed_start"] + F.length(s["seed"])).alias("end"), s["seed_start"].alias("seed_start"), s["seed"].alias("seed"))
+
+    return _apart(F.filter(F.transform(places, one), lambda h: h["seed"].isNotNull())) if words else F.array().cast(FOUND)
+
+
+def _exploded(rows: DataFrame, hits: Column, words: list, templates: tuple[Template, ...], keep: list[str]) -> DataFrame:
+    """keep, pattern, category, ord, …: a row for each match, with its template and emotions."""
+    spark = rows.sparkSession
+    emotions = spark.createDataFrame([(r["word"], r["emotions"]) for r in words], "_word string, emotions array<string>")
+    emotions = F.broadcast(emotions) if len(words) <= LEXICON_WORDS else emotions
+    names, kinds = (F.array(*[F.lit(x) for x in of]) if of else F.array().cast("array<string>") for of in ([t.name for t in templates], [t.category for t in templates]))
+    out = rows.select(*keep, F.explode(hits).alias("_hit")).select(*keep, "_hit.*").join(emotions, F.col("seed") == F.col("_word")).drop("_word")
+    return out.withColumn("pattern", F.get(names, F.col("ord"))).withColumn("category", F.get(kinds, F.col("ord")))
+
+
+def find_matches(docs: DataFrame, lexicon: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", most: int | None = 100, modifier: str = MODIFIER) -> DataFrame:
+    """A row for each match: docs' columns, ord (of the template), start, end, seed_start, seed, emotions, pattern, category.
+
+    lexicon: word (folded, one word), noun (boolean), emotions (array<string>), and perhaps seed (boolean; see ``with_nouns``). Noun-only
+    templates take words with noun, others words with seed, all if there is no such column. Per document the first ``most`` matches in
+    order of template and place stay (None: all). Null texts match nothing. Rows stay where they are: there is no shuffle.
+    """
+    words = _words(lexicon)
+    rows = docs.withColumn("_fold", T.searchable(F.col(text)))
+    return _exploded(rows, matches_of(F.col("_fold"), words, templates, strategy, modifier, most), words, templates, docs.columns)
+
+
+def first_match(docs: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
+    """The first match of each row."""
+    return find_matches(docs, lexicon, most=1, **options)
+
+
+def candidates(docs: DataFrame, lexicon: DataFrame, key: str | None = None, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", most: int | None = 100, modifier: str = MODIFIER) -> DataFrame:
+    """Matches with their sentence and the seed as written; of one sentence of a row only the earliest template's stays.
+
+    key: a column whose equal rows count as one document; the few rows that are left after that move by key and sentence. Without it
+    each row is a document and nothing moves.
+    """
+    words = _words(lexicon)
+    rows = docs.withColumn("_fold", T.searchable(F.col(text)))
+    rows = rows.withColumn("_hits", F.transform(matches_of(F.col("_fold"), words, templates, strategy, modifier, most), lambda h: h.withField("matched_sentence", T.sentence_around(F.col(text), h["start"], h["end"]))))
+    # Sorted by sentence, then template and place: the first of each sentence stays.
+    ordered = F.array_sort(F.transform("_hits", lambda h: F.struct(h["matched_sentence"].alias("s"), h["ord"].alias("o"), h["start"].alias("a"), h.alias("h"))))
+    firsts = T.let(ordered, lambda x: F.transform(F.filter(x, lambda h, i: (i == 0) | (h["s"] != F.get(x, i - 1)["s"])), lambda h: h["h"]))
+    found = _exploded(rows, firsts, words, templates, docs.columns)
+    if key is not None:
+        order = Window.partitionBy(key, "matched_sentence").orderBy("ord", "start")
+        found = found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return found.withColumn("seed_word", T.original_word(F.col(text), F.col("seed_start"), F.col("seed")))
 
 
 def verify_spans(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES, modifier: str = MODIFIER) -> DataFrame:
@@ -204,22 +297,22 @@ def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", ver
     pairs = []
     for verb in verbs:
         shape = rf"(?<!{WORD})(?:nu\s+)?({verb})\s+{modifier}({alternation(seeds)})\s*,?\s*(?:{conjunctions}|,)\s+{modifier}({word})"
-        part = lambda g, shape=shape: F.regexp_extract_all(F.col("_fold"), F.lit(shape), F.lit(g))
-        pairs.append(F.arrays_zip(part(1).alias("verb_form"), part(2).alias("x"), part(3).alias("y")))
-    rows = docs.withColumn("_fold", T.normalize(F.col(text)))
+        one = lambda h: F.struct(*[F.get(h["parts"], F.lit(k)).alias(n) for k, n in ((1, "verb_form"), (2, "x"), (3, "y"))])
+        pairs.append(F.transform(T.found(F.col("_fold"), shape, 1, 2, 3), one))
+    rows = docs.withColumn("_fold", T.searchable(F.col(text)))
     return rows.withColumn("_p", F.explode(F.flatten(F.array(*pairs)))).select(*docs.columns, F.substring("_p.verb_form", 1, 30).alias("verb_form"), "_p.x", "_p.y")
 
 
 def discover(docs: DataFrame, text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY) -> DataFrame:
     """docs' columns, frame, word, context (40 code points around): a row for each word that a frame names."""
-    found = [F.transform(_hits(F.col("_fold"), shape, f"{WORD}+"), _framed(name)) for name, shape in frames]
-    rows = docs.withColumn("_fold", T.normalize(F.col(text))).withColumn("_h", F.explode(F.flatten(F.array(*found))))
+    found = [F.transform(T.found(F.col("_fold"), rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), _framed(name)) for name, shape in frames]
+    rows = docs.withColumn("_fold", T.searchable(F.col(text))).withColumn("_h", F.explode(F.flatten(F.array(*found))))
     context = F.substring("_fold", F.greatest(F.col("_h.start") - 39, F.lit(1)), F.col("_h.end") - F.col("_h.start") + 80)
     return rows.select(*docs.columns, F.col("_h.frame").alias("frame"), F.col("_h.word").alias("word"), context.alias("context"))
 
 
 def _framed(name: str):
-    return lambda h: F.struct(F.lit(name).alias("frame"), h["seed"].alias("word"), h["start"].alias("start"), h["end"].alias("end"))
+    return lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), h["start"].alias("start"), h["end"].alias("end"))
 
 
 def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

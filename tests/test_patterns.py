@@ -1,6 +1,11 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import lexicon, mining, patterns
 
 WORDS = ["fericit", "trist", "frica", "teama", "furios", "bine", "rau", "calm", "relaxat", "surprins"]
@@ -47,6 +52,59 @@ def test_strategies_agree_on_dense_text(spark, words):
     assert patterns.find_matches(df, words, most=7).count() == 7
 
 
+FRAMES = (
+    patterns.Template("simt", "primary", r"simt"), patterns.Template("ma_simt", "primary", r"(?:ma|me)\s+simt"), patterns.Template("o_sa_ma", "primary", r"o\s+sa\s+ma\s+simt"),
+    patterns.Template("am", "secondary", r"m-?am\s+simtit"), patterns.Template("noun", "secondary", r"mi-?[ei]", True),
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["o", "sa", "mă", "me", "simt", "trist", "foarte", "mai", "frică", "m-am", "simțit", "mi-e", "mie", ",", ".", "asa", "de", "simt", "\ufdd0", "😀", "x" * 90]), st.sampled_from([" ", " ", " ", "\n", "  ", " " * 100, ""])), max_size=25), min_size=1, max_size=30))
+def test_strategies_and_plain_matching_agree(spark, texts):
+    """Whatever lies between words, however long: the same rows as one scan of each template for its frame and any seed."""
+    seeds, nouns = ["trist", "simt", "frica", "mai", "foarte"], ["frica"]
+    lexicon_ = spark.createDataFrame([(w, w in nouns, ["x"]) for w in seeds], "word string, noun boolean, emotions array<string>")
+    rows = [(i, "".join(a + b for a, b in t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = []
+    for i, t in rows:
+        fold = t.lower().translate(str.maketrans(T.DIACRITICS + T.MARK + T.PART, T.FOLDED + "\ufffd\ufffd"))
+        for t_ in FRAMES:
+            words = "|".join(sorted(nouns if t_.noun_only else seeds, key=len, reverse=True))
+            for m in re.finditer(rf"(?<!\w)(?:{t_.frame})\s+{patterns.MODIFIER}({words})(?!\w)", fold):
+                want.append((i, t_.name, *m.span(), m.start(1), m[1]))
+    for strategy in ("tokens", "regex"):
+        found = patterns.find_matches(df, lexicon_, templates=FRAMES, strategy=strategy, most=None)
+        got = [(r.id, r.pattern, r.start, r.end, r.seed_start, r.seed) for r in found.collect()]
+        assert sorted(got) == sorted(want), strategy
+
+
+def test_long_blanks_before_a_seed(spark, words):
+    df = spark.createDataFrame([(1, "o sa" + " " * 100 + "ma simt trist")], "id int, text string")
+    rows = lambda s: sorted((r.pattern, r.start, r.seed_start) for r in patterns.find_matches(df, words, strategy=s).collect())
+    assert rows("tokens") == rows("regex") == [("ma_simt_present", 104, 112), ("o_sa_ma_simt_future", 0, 112), ("sa_ma_simt_subjunctive", 2, 112)]
+
+
+def test_matches_move_no_text(docs, words):
+    plan = patterns.candidates(docs, words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Repartition" not in plan and plan.count("Join") == 1
+
+
+def test_nouns_that_the_lexicon_lacks(spark):
+    seeds = spark.createDataFrame([("Fericit", ["joy"]), ("teamă", [])], "word string, emotions array<string>")
+    lexicon_ = patterns.with_nouns(seeds)
+    df = spark.createDataFrame([(1, "Am dor. Sunt fericit, sunt dor. Mi-e teamă; am fericit.")], "id int, text string")
+    got = {(r.pattern, r.seed, tuple(r.emotions)) for r in patterns.find_matches(df, lexicon_).collect()}
+    assert got == {("am_noun_present", "dor", ("sadness",)), ("sunt_adj_present", "fericit", ("joy",)), ("mie_short", "teama", ("fear",))}
+
+
+def test_many_hits_in_linear_time(spark, words):
+    texts = {n: "sunt trist, " * n for n in (2_000, 20_000)}
+    df = spark.createDataFrame(list(texts.items()), "n int, text string")
+    got = patterns.find_matches(df, words, most=None).groupBy("n").agg(F.count("*").alias("k"), F.max("end").alias("last")).collect()
+    assert {r.n: (r.k, r["last"]) for r in got} == {n: (n, 12 * n - 2) for n in texts}
+
+
 def test_first_template_survives_per_sentence(docs, words):
     got = patterns.candidates(docs, words, "id").collect()
     assert {r.pattern for r in got if r.text.startswith("Vreau")} == {"ma_simt_present"}
