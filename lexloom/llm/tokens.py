@@ -23,6 +23,8 @@ WORD_BPE = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
 #: Marks of words met once: only words that come again are worth a place in the cache.
 MARKS = 1 << 22
+#: Turns of the cache after which marks are taken back.
+TURNS = 4
 PUNCTUATION = ".,;:!?$&%*#|"
 
 _blank_runs = re.compile(r"\s (?:\s|\Z)")
@@ -42,14 +44,16 @@ class _Words(dict):
 
     def __init__(self, owner: WordTokenizer, lead: str):
         super().__init__()
-        self.owner, self.lead, self.old, self.met = owner, lead, {}, bytearray(MARKS)
+        self.owner, self.lead, self.old, self.met, self.turns = owner, lead, {}, bytearray(MARKS), 0
 
     def turn(self) -> None:
         """Makes room once the younger generation is full."""
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-            self.met = bytearray(MARKS)
+            self.turns += 1
+            if self.turns % TURNS == 0:
+                self.met = bytearray(MARKS)
 
     def forget(self) -> None:
         self.clear()
@@ -60,7 +64,12 @@ class _Words(dict):
         if ids is not None:
             self[w] = ids
             return ids
-        owner, stem = self.owner, w.rstrip(PUNCTUATION)
+        owner = self.owner
+        if "\n" in w and not owner.word_ends:
+            first, *more = parts = w.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):  # a line end between two words is a piece of its own
+                return self[first] + b"".join([owner.line + owner.heads[x] for x in more])
+        stem = w.rstrip(PUNCTUATION)
         piece = owner.plain(stem)
         if piece is None:
             ids = owner.whole([" " + w if self.lead else w])[0]
@@ -94,6 +103,7 @@ class WordTokenizer:
         self.word_ends = any(x.endswith("</w>") for x in vocab)
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
         self.model, self.table = self.tokenizer.model, _byte_table()
+        self.line = b"" if self.word_ends else self.whole(["\n"])[0]
         self.words, self.heads, self.ends = _Words(self, "" if self.word_ends else "Ġ"), _Words(self, ""), {}
 
     def whole(self, texts: list[str]) -> list[bytes]:

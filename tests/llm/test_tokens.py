@@ -20,7 +20,7 @@ def test_cached_encoding_equals_the_library(name):
     rng = random.Random(5)
     words = [w for x in HARD for w in x.split()] + ["the", "Then", "x1", "a,b", "end.", "été.", "l'été", "it's", "99", "́"]
     texts = HARD + [rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  ", " \n", "\t", "   ", " "]) for _ in range(rng.randrange(40))) for _ in range(300)]
-    texts += [" ".join(texts) * 20]
+    texts += [" ".join(texts) * 20, "one.\ntwo\nthree " * 30, "\n".join(f"line{i}" for i in range(5000)), "a\n\nb c\nd\r\ne f\x85\ng h\n\u00a0i"]
     cached = tokens.WordTokenizer(public_tokenizers.path(name))
     for _ in range(2):
         got = [np.frombuffer(x, cached.dtype).tolist() for x in cached.encode(texts)]
