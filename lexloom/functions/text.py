@@ -26,6 +26,18 @@ DOMAINS = (
     ("reviews", (r"tripadvisor\.", r"booking\.com", r"yelp\.com", r"trustpilot\.com", r"amazon\.", r"emag\.ro", r"reviews\.", r"recenzii\.")),
 )
 
+# Words before which a capital doesn't begin a sentence, as names follow them.
+NO_SPLIT_AFTER = (
+    "la", "în", "din", "de", "pe", "cu", "și", "sau", "lui", "al", "a", "ai", "ale", "prin", "spre", "sub", "despre", "între", "peste", "lângă", "contra", "către", "după", "fără",
+    "the", "and", "of", "from", "for", "with", "by", "at",
+)
+# Lead-ins of replies in order, and words that are no answer.
+LEAD_INS = (r"[Cc]uvântul\s+lipsă\s+este\s*:\s*", r"[Tt]he\s+missing\s+word\s+is\s*:\s*", r"[Rr]ăspuns\s*:\s*")
+NO_ANSWER = ("a", "de", "cu", "si", "în", "in", "la", "pe", "un", "o", "se", "nu", "ce", "ca", "și", "răspunde", "cuvântul", "cuvantul", "text", "sunt", "este")
+# What parts tokens of a script with its own full stop, and frames that name a translated state, in order.
+TOKEN_ENDS = "\\s।,.!?\"'()\\[\\]—–…।:;"
+FELT = (r"[Ii] feel\s+(\w+)", r"[Ii] am feeling\s+(\w+)", r"[Ii]'m feeling\s+(\w+)", r"[Ii] am\s+(\w+)")
+
 MASK = "[MASK]"
 
 
@@ -149,16 +161,35 @@ def sentence_around(x: Column, start: Column, end: Column) -> Column:
     return strip(F.concat(before, F.substring(x, start + 1, end - start), after))
 
 
-def context_window(parts: Column, at: Column, n: int = 2, most: int = 1000) -> Column:
-    """Items at - n to at + n (from 1) of an array of sentences, joined by spaces. Longer than most: cut around the middle one's centre,
-    never before the window's start, with dots at cut ends."""
-    first = F.greatest(at - n, F.lit(1))
-    window = F.array_join(F.slice(parts, first, at + n - first + 1), " ")
-    ahead = F.length(F.array_join(F.slice(parts, first, at - first), " ")) + F.when(at > first, 1).otherwise(0)
-    center = ahead + F.floor(F.length(F.element_at(parts, at)) / 2).cast("int")
-    left = F.greatest(F.lit(0), F.least(center - most // 2, F.length(window) - most))
-    cut = F.concat(F.when(left > 0, "...").otherwise(""), F.substring(window, left + 1, F.lit(most)), F.when(left + most < F.length(window), "...").otherwise(""))
-    return F.when(F.length(window) > most, cut).otherwise(window)
+def context_window(x: Column, start: Column, end: Column, n: int = 2, most: int = 1000) -> Column:
+    """struct<before, matched, after>: the sentence (see ``sentences``) that holds a match's start, and up to n on either side, joined by spaces.
+
+    Longer than most in all: before and after are cut, with dots, to half of what the sentence leaves; one that fits stays. Without a
+    sentence, matched is the text from 200 code points before the match to 200 after it.
+    """
+    kind = "struct<before:string,matched:string,after:string>"
+    near = F.greatest(start - 200, F.lit(0))
+    alone = F.struct(F.lit("").alias("before"), strip(F.substring(x, near + 1, end + 200 - near)).alias("matched"), F.lit("").alias("after")).cast(kind)
+    joined = lambda parts: F.array_join(F.transform(parts, lambda p: p["text"]), " ")
+
+    def window(parts: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(parts, lambda p: (p["start"] <= start) & (start < p["end"])), True), F.lit(0)).cast("int")
+        return let(at, lambda i: F.when(i > 0, cut(parts, i)).otherwise(alone))
+
+    def cut(parts: Column, i: Column) -> Column:
+        first = F.greatest(i - n, F.lit(1))
+        whole = F.struct(joined(F.slice(parts, first, i - first)).alias("before"), F.get(parts, i - 1)["text"].alias("matched"), joined(F.slice(parts, i + 1, F.lit(n))).alias("after"))
+        return let(whole, trimmed)
+
+    def trimmed(w: Column) -> Column:
+        before, after, half = F.length(w["before"]), F.length(w["after"]), F.floor((most - F.length(w["matched"])) / 2).cast("int")
+        keep = half - 3
+        left = F.when(keep > 0, F.right(w["before"], keep)).when(keep == 0, w["before"]).otherwise(F.substring(w["before"], 1 - keep, before))
+        right = F.when(keep >= 0, F.left(w["after"], keep)).otherwise(F.left(w["after"], F.greatest(after + keep, F.lit(0))))
+        short = F.struct(F.when(before > half, F.concat(F.lit("..."), left)).otherwise(w["before"]).alias("before"), w["matched"].alias("matched"), F.when(after > half, F.concat(right, F.lit("..."))).otherwise(w["after"]).alias("after"))
+        return F.when(before + F.length(w["matched"]) + after > most, short.cast(kind)).otherwise(w.cast(kind))
+
+    return F.when(x.isNotNull(), let(sentences(x), window))
 
 
 def centred(x: Column, word: Column, most: int) -> Column:
@@ -170,8 +201,8 @@ def centred(x: Column, word: Column, most: int) -> Column:
 
 
 def original_word(x: Column, start: Column, normal: Column, reach: int = 50) -> Column:
-    """The first word within reach of start whose normal form is normal; normal itself if there is none."""
-    near = F.substring(x, F.greatest(start - reach + 1, F.lit(1)), F.lit(2 * reach) + F.length(normal))
+    """The first word within reach of a match's start whose normal form is normal; normal itself if there is none."""
+    near = F.substring(x, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)) + reach)
     return F.coalesce(F.get(F.filter(F.regexp_extract_all(near, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: normalize(w) == normal), F.lit(0)), normal)
 
 
@@ -220,8 +251,8 @@ def mask_word(x: Column, word: Column, mask: str = MASK) -> Column:
 
 
 def mask_token_with(x: Column, stem: Column, mask: str = MASK) -> Column:
-    """The first blank-delimited token that holds stem, without the punctuation at its ends, replaced by mask; null without one."""
-    token = F.regexp_substr(x, F.concat(F.lit(r"[^\s.,;:!?|()\"]*\Q"), stem, F.lit(r"\E[^\s.,;:!?|()\"]*")))
+    """The first token (see TOKEN_ENDS) that holds stem replaced by mask; null without one."""
+    token = F.regexp_substr(x, F.concat(F.lit(rf"(?U)[^{TOKEN_ENDS}]*\Q"), stem, F.lit(rf"\E[^{TOKEN_ENDS}]*")))
     at = F.position(token, x)
     return F.when((F.length(token) > 0) & (F.length(stem) > 0), mask_span(x, at - 1, at - 1 + F.length(token), mask))
 
@@ -245,13 +276,47 @@ def parse_score(x: Column) -> Column:
 
 
 def parse_single_word(x: Column) -> Column:
-    """The one word that a wordy reply means: without thought blocks, marks, lead-ins, numbering and choices; lower case, null if none."""
-    y = F.regexp_replace(x, r"(?s)<think>.*?(?:</think>|$)", " ")
-    y = F.regexp_replace(y, r"[*_`\"„”“'«»]+|\[MASK\]|_{2,}", " ")
-    y = F.regexp_replace(y, r"(?iU)^\s*(?:answer|the answer is|word|r[aă]spuns(?:ul)?(?: este)?|cuv[aâ]nt(?:ul)?(?: este)?)\s*[:=-]?\s*", "")
-    y = F.regexp_replace(y, r"^\s*(?:\(?[A-Da-d1-9][).:]\s*)+", "")
-    words = F.filter(F.regexp_extract_all(F.lower(y), F.lit(r"(?U)[\p{L}-]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin("the", "is", "un", "o", "este"))
-    return F.get(words, F.lit(0))
+    """The one word that a wordy reply means, as written there: without thought blocks, bold, blanks to fill, lead-ins, choices and numbers.
+
+    The first word of two or more characters that may be an answer; else the first such word at all; else what the reply begins with.
+    """
+    y = strip(F.regexp_replace(strip(x), r"(?s)<think>.*?</think>", ""))
+    y = strip(F.regexp_replace(F.replace(y, F.lit("**"), F.lit("")), r"(?U)^[_\s.]+", ""))
+    led = y
+    for shape in reversed(LEAD_INS):
+        led = F.when(y.rlike(rf"(?U){shape}"), strip(F.get(F.split(y, rf"(?U){shape}", 2), F.lit(1)))).otherwise(led)
+    for shape in (r"(?U)^[A-D][):.]\s*(\S+)", r"(?U)^\d+[).]\s*(\S+)"):
+        led = F.when(led.rlike(shape), F.regexp_extract(led, shape, 1)).otherwise(led)
+    plain = strip(F.btrim(led, F.lit("\"'`*_")))
+    words = F.transform(F.split(plain, r"(?U)[\s,;.!?\n()+]+"), lambda w: F.btrim(w, F.lit("\"'`*_()[]{}:")))
+    some = lambda ws: F.filter(ws, lambda w: (F.length(w) >= 2) & ~F.startswith(w, F.lit("<")))
+    return F.when(x.isNotNull(), let(words, lambda ws: F.coalesce(F.get(F.filter(some(ws), lambda w: ~F.lower(w).isin(*NO_ANSWER)), F.lit(0)), F.get(some(ws), F.lit(0)), F.get(ws, F.lit(0)))))
+
+
+def felt_word(translated: Column, alone: Column, word: Column) -> Column:
+    """A translated state: the word that the first frame of FELT finds in a translated sentence, else the first of the translated word, else word."""
+    framed = F.coalesce(*[non_empty(F.regexp_extract(translated, rf"(?U){shape}", 1)) for shape in FELT])
+    return F.coalesce(F.lower(framed), F.lower(non_empty(F.get(F.split(strip(alone), r"(?U)\s+"), F.lit(0)))), word)
+
+
+def comma_letters(x: Column) -> Column:
+    """Letters with a cedilla as those with a comma below."""
+    return F.translate(x, "şţŞŢ", "șțȘȚ")
+
+
+def listed(x: Column) -> Column:
+    """JSON that is a string or an array of strings, as an array; plain text counts as a string."""
+    many = F.startswith(F.trim(x), F.lit("["))
+    return F.when(many, F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v"), x)))
+
+
+def json_number(x: Column, field: str) -> Column:
+    """A field of a JSON object as a number; null if it isn't one."""
+    return F.get_json_object(x, f"$.{field}").try_cast("double")
+
+
+def supervision_target(labels: Column) -> Column:
+    return F.array_join(labels, " ")
 
 
 def caption_sentences(x: Column) -> Column:
@@ -260,27 +325,39 @@ def caption_sentences(x: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: strip(s)), lambda s: s != "")
 
 
-def add_periods(x: Column, keep: tuple[str, ...] = ()) -> Column:
-    """A period after a word that begins small if the next begins with a capital, but for the words of keep and ended ones."""
-    words = F.split(strip(x), r"(?U)\s+")
+def _closed(x: Column) -> Column:
+    """x with a period at its end, unless it ends in .!? already."""
+    return F.when(F.rtrim(x).rlike(r"[.?!]$"), x).otherwise(F.concat(F.rtrim(x), F.lit(".")))
+
 
-    def one(w: Column, i: Column) -> Column:
-        following = F.get(words, i + 1)
-        plain = w.rlike(r"^(?U)\p{Ll}") & ~w.rlike(r"[.!?,;:]$") & ~F.lower(w).isin(*keep) if keep else w.rlike(r"^(?U)\p{Ll}") & ~w.rlike(r"[.!?,;:]$")
-        return F.when(plain & following.rlike(r"^(?U)\p{Lu}"), F.concat(w, F.lit("."))).otherwise(w)
+def add_periods(x: Column, keep: tuple[str, ...] = NO_SPLIT_AFTER) -> Column:
+    """A period after a word that begins small if the next begins with a capital, but for the words of keep and ended ones; and at the end.
+
+    White space becomes single spaces; a text without words stays as it is.
+    """
+
+    def one(words: Column, w: Column, i: Column) -> Column:
+        plain = w.rlike(r"^\p{Ll}") & ~F.lower(w).rlike(r"[.?!]$") & ~F.rtrim(F.lower(w), F.lit(".,!?")).isin(*keep)
+        return F.when(plain & F.get(words, i + 1).rlike(r"^\p{Lu}"), F.concat(F.rtrim(w, F.lit("., ")), F.lit("."))).otherwise(w)
+
+    made = let(F.split(strip(x), r"(?U)\s+"), lambda words: F.array_join(F.transform(words, lambda w, i: one(words, w, i)), " "))
+    return F.when(strip(x) == "", x).otherwise(_closed(made))
 
-    return F.array_join(F.transform(words, one), " ")
 
+def light_caption(x: Column, seed: Column, keep: tuple[str, ...] = NO_SPLIT_AFTER) -> Column:
+    """A caption as sentences: without #tags#; of several speakers' parts the first with seed (else the first); with periods added; without a
+    first sentence that begins small and doesn't hold seed, if there are others; ended by a period."""
+    clean = strip(F.regexp_replace(F.regexp_replace(x, r"#[^#]+#", " "), r"(?U)\s+", " "))
+    held = lambda t: F.contains(F.lower(t), F.lower(seed))
+    parts = F.filter(F.transform(F.split(clean, ">>"), lambda p: strip(p)), lambda p: p != "")
+    own = F.when(F.contains(clean, F.lit(">>")), let(parts, lambda ps: F.coalesce(F.get(F.filter(ps, held), F.lit(0)), F.get(ps, F.lit(0)), clean))).otherwise(clean)
 
-def light_caption(x: Column, seed: Column, keep: tuple[str, ...] = ()) -> Column:
-    """Without #tags#; of several speakers' parts the first with seed; with periods added; without a leading small-letter fragment
-    that doesn't hold seed."""
-    clean = strip(F.regexp_replace(F.regexp_replace(x, r"#[^#]*#", " "), r"(?U)\s+", " "))
-    parts = F.split(clean, r"\s*>>\s*")
-    own = F.coalesce(F.get(F.filter(parts, lambda p: F.contains(normalize(p), normalize(seed))), F.lit(0)), clean)
-    ended = add_periods(own, keep)
-    rest = F.regexp_replace(ended, r"^(?U)\p{Ll}[^.!?]*[.!?]+\s+(?=\S)", "")
-    return F.when(F.contains(normalize(rest), normalize(seed)), rest).otherwise(ended)
+    def cut(ended: Column) -> Column:
+        kept = lambda ss: F.filter(ss, lambda t, i: (i > 0) | t.rlike(r"^\p{Lu}") | held(t))
+        found = F.filter(F.transform(F.split(ended, r"(?U)(?<=\.)\s+"), lambda t: strip(t)), lambda t: t != "")
+        return let(kept(found), lambda ss: F.when(F.size(ss) == 0, ended).otherwise(let(F.array_join(ss, " "), lambda t: F.when(t.rlike(r"[.?!]$"), t).otherwise(F.concat(t, F.lit("."))))))
+
+    return let(add_periods(own, keep), cut)
 
 
 def match_position(parts: Column, seed: Column, triggers: tuple[str, ...]) -> Column:
@@ -320,10 +397,10 @@ def parse_duration(x: Column) -> Column:
 
 
 def whole_words(tokens: Column, most: int = 50) -> Column:
-    """Whole words of vocabulary tokens: no ## continuation, and with a leading ▁ or Ġ, which goes, if any token has one."""
-    marked = F.exists(tokens, lambda t: t.rlike("^[▁Ġ]"))
-    kept = F.filter(tokens, lambda t: ~F.startswith(t, F.lit("##")) & (~marked | t.rlike("^[▁Ġ]")))
-    return F.slice(F.filter(F.transform(kept, lambda t: F.regexp_replace(t, "^[▁Ġ]", "")), lambda t: t.rlike(r"^(?U)[\p{L}-]+$")), 1, most)
+    """Whole words of vocabulary tokens: no ## continuation; those with a leading ▁, Ġ or blank, and letters only of two or more; marks go."""
+    plain = lambda t: strip(t).rlike(r"^\p{L}{2,}$")
+    kept = F.filter(tokens, lambda t: (strip(t) != "") & ~F.startswith(strip(t), F.lit("##")) & (t.rlike("^[▁Ġ ]") | plain(t)))
+    return F.slice(F.transform(kept, lambda t: F.btrim(t, F.lit("▁Ġ "))), 1, most)
 
 
 def literal_list(x: Column) -> Column:
@@ -351,12 +428,24 @@ def parse_verdict(x: Column, schema: str, fields: dict[str, str]) -> Column:
 
     fields: for each field an expression whose first group is its value. All null if nothing parses.
     """
-    tries = [x, F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(?s)(\{.*\})", 1)]
+    tries = [x, F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(\{[^{}]*\})", 1)]
     parsed = [F.from_json(F.when(F.try_parse_json(t).isNotNull() & F.startswith(F.trim(t), F.lit("{")), t), schema) for t in tries]
     picked = [(non_empty(F.regexp_extract(x, fields[f.name], 1)) if f.name in fields else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
     return F.coalesce(*parsed, F.struct(*picked))
 
 
+def affect_verdict(x: Column) -> Column:
+    """struct<is_affective, confidence, reasoning> of a reply (see ``parse_verdict``); a broken one keeps what its fields show, with 0.5 as
+    confidence and ``parse_error``, or tells that it failed, with its first 200 code points."""
+    kind = "struct<is_affective:boolean,confidence:double,reasoning:string>"
+    got = parse_verdict(strip(x), "is_affective boolean, confidence double, reasoning string", {"is_affective": r'(?i)"is_affective"\s*:\s*(true|false)', "confidence": r'"confidence"\s*:\s*([\d.]+)', "reasoning": r'"reasoning"\s*:\s*"([^"]*)"'})
+    parses = lambda t: F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull()
+    whole = parses(strip(x)) | parses(F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)) | parses(F.regexp_extract(x, r"(\{[^{}]*\})", 1))
+    partial = lambda v: F.struct(v["is_affective"], F.coalesce(v["confidence"], F.lit(0.5)), F.coalesce(v["reasoning"], F.lit("parse_error"))).cast(kind)
+    failed = F.struct(F.lit(None).cast("boolean"), F.lit(0.0), F.concat(F.lit("failed_to_parse: "), F.left(strip(x), F.lit(200)))).cast(kind)
+    return let(got, lambda v: F.when(F.coalesce(whole, F.lit(False)), v.cast(kind)).when(v["is_affective"].isNotNull(), partial(v)).otherwise(failed))
+
+
 def fertility(df: DataFrame, tokens: str, words: str) -> DataFrame:
     """Tokens per word over all rows of two arrays."""
     return df.agg((F.sum(F.size(tokens)) / F.sum(F.size(words))).alias("fertility"))

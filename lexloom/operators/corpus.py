@@ -34,13 +34,18 @@ def reasons(df: DataFrame, rules: list[tuple[str, Column]], *by: str) -> DataFra
 
 
 def first_by(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys are a key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key in the given order; null keys are a key. Each task first takes the least of its own rows, so a key may be hot."""
+    return _extreme(df, keys, order, F.min_by)
 
 
 def last_by(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
-    return first_by(df, keys, [F.col(c).desc() for c in order])
+    return _extreme(df, keys, order, F.max_by)
+
+
+def _extreme(df: DataFrame, keys: list[str | Column], order: list[str | Column], pick) -> DataFrame:
+    columns = [F.col(c) if isinstance(c, str) else c for c in keys]
+    rows = df.select(*[c.alias(f"_key{i}") for i, c in enumerate(columns)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]).alias("_order"))
+    return rows.groupBy(*[f"_key{i}" for i in range(len(columns))]).agg(pick("_row", "_order").alias("_row")).select("_row.*")
 
 
 def unify(sources: list[DataFrame], order: str, sentence: str = "matched_sentence", drop: tuple[str, ...] = (), each: int | None = None) -> DataFrame:
@@ -64,6 +69,16 @@ def promoted(df: DataFrame, variant: str, base: str = "text", kept: str | None =
     return out.withColumn(base, T.first_non_empty(F.col(variant), F.col(base))).drop(variant)
 
 
+def in_both(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys that both have."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def only_in(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys of a that b hasn't got."""
+    return a.select(*keys).subtract(b.select(*keys))
+
+
 def thresholded(df: DataFrame, score: str, least: int = 3) -> DataFrame:
     """Null scores fail."""
     return df.filter(F.col(score).isNotNull() & (F.col(score) >= least))
@@ -124,10 +139,29 @@ def top(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """min, max, avg and the element in the middle (the upper one of two) of value."""
+    """min, max, avg and the element in the middle (the upper one of two) of value. Windows run over the counts of a group's values."""
+    counts_ = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("median"))
+    ranked = counts_.withColumn("_i", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    middle = F.min(F.when(F.col("_i") >= F.floor(F.col("_n") / 2) + 1, F.col(value)))
+    return ranked.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), middle.alias("median"))
+
+
+def rounded_means(df: DataFrame, *values: str) -> DataFrame:
+    """One row: the mean of each value, rounded half to even."""
+    return df.agg(*[F.bround(F.avg(v)).alias(v) for v in values])
+
+
+def language_counts(df: DataFrame, text: str, *by: str, mask: str = T.MASK) -> DataFrame:
+    """n and several (rows with more than one mask) by groups."""
+    masks = F.regexp_count(text, F.lit(rf"\Q{mask}\E"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(masks > 1).alias("several"))
+
+
+def in_order(results: DataFrame, items: DataFrame, key: str, order: str) -> DataFrame:
+    """results joined to items by key, in the order of items; items without a result go. Columns of both that clash are results'."""
+    extra = [c for c in items.columns if c not in results.columns or c == key]
+    return results.join(items.select(*extra), key).orderBy(order)
 
 
 def length_profile(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
@@ -136,6 +170,12 @@ def length_profile(df: DataFrame, value: str, thresholds: list[float]) -> DataFr
     return df.agg(*[at[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))], *[F.count_if(F.col(value) >= t).alias(f"n_{i}") for i, t in enumerate(thresholds)])
 
 
+def hit_profile(hits: DataFrame, *post: str) -> DataFrame:
+    """One row over posts: most, median and mean number of hits, and how many posts have a single one or several."""
+    n = F.col("n")
+    return counts(hits, *post).agg(F.max(n).alias("most"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.count_if(n == 1).alias("single"), F.count_if(n >= 2).alias("several"))
+
+
 def neighbours(df: DataFrame, group: list[str], order: str, value: str, n: int = 2) -> DataFrame:
     """df with arrays before and after: value in up to n rows on either side within group."""
     w = Window.partitionBy(*group).orderBy(order)

@@ -81,17 +81,25 @@ def overlay(sources: list[DataFrame], key: str = "word") -> DataFrame:
     return union_by_priority(sources[::-1], key)
 
 
-def merge_discoveries(bootstrapped: DataFrame, distributional: DataFrame) -> DataFrame:
-    """word, confidence, methods, emotions, gender of a full outer join on folded words.
+def merge_discoveries(bootstrapped: DataFrame, distributional: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """word, confidence, methods, emotions, gender of a full outer join on folded words, without those of seeds (word).
 
-    Found by both: the first one's confidence (0.5 if it has none) and 0.2 more, 1 at most; by frequency alone: a tenth of it, 0.8 at most.
+    bootstrapped: word, confidence, emotions, gender; distributional: word, frequency, and perhaps emotions (``discovered`` without).
+    Found by both: the first one's confidence (0.5 if it has none) and 0.2 more, 1 at most, and the first one's emotions, then the
+    other's new ones; by frequency alone: a tenth of it, 0.8 at most, to three places.
     """
-    a = bootstrapped.select(T.normalize(F.col("word")).alias("word"), F.coalesce("confidence", F.lit(0.5)).alias("conf"), "emotions", "gender")
-    b = distributional.select(T.normalize(F.col("word")).alias("word"), "frequency")
+    other = F.col("emotions") if "emotions" in distributional.columns else F.lit(None).cast("array<string>")
+    a = bootstrapped.select(T.normalize(F.col("word")).alias("word"), F.coalesce("confidence", F.lit(0.5)).alias("conf"), F.coalesce("emotions", F.array().cast("array<string>")).alias("first"), "gender")
+    b = distributional.select(T.normalize(F.col("word")).alias("word"), "frequency", other.alias("second"))
     one, two = F.col("conf").isNotNull(), F.col("frequency").isNotNull()
-    confidence = F.when(one & two, F.least(F.col("conf") + 0.2, F.lit(1.0))).when(one, F.col("conf")).otherwise(F.least(F.col("frequency") / 10, F.lit(0.8)))
-    methods = F.filter(F.array(F.when(one, "bootstrapping"), F.when(two, "distributional")), lambda m: m.isNotNull())
-    return a.join(b, "word", "full_outer").select("word", confidence.alias("confidence"), methods.alias("methods"), F.coalesce("emotions", F.array().cast("array<string>")).alias("emotions"), "gender")
+    confidence = F.when(one & two, F.least(F.col("conf") + 0.2, F.lit(1.0))).when(one, F.col("conf")).otherwise(F.round(F.least(F.col("frequency") / 10, F.lit(0.8)), 3))
+    methods = F.array_compact(F.array(F.when(one, "bootstrapping"), F.when(two, "distributional")))
+    none = F.array().cast("array<string>")
+    emotions = F.when(one & two, F.array_union("first", F.coalesce("second", none))).when(one, F.col("first")).otherwise(F.coalesce("second", F.array(F.lit("discovered"))))
+    both = a.join(b, "word", "full_outer")
+    if seeds is not None:
+        both = both.join(seeds.select(T.normalize(F.col("word")).alias("word")).distinct(), "word", "left_anti")
+    return both.select("word", confidence.alias("confidence"), methods.alias("methods"), emotions.alias("emotions"), "gender")
 
 
 def enrich(seed: DataFrame, merged: DataFrame) -> DataFrame:

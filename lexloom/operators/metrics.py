@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def top_completions(completions: Column, k: int) -> Column:
 
 
 def holds_label(output: Column, label: Column) -> Column:
-    """Whether the label's words stand side by side in the output."""
-    spaced = lambda x: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0)), " "), F.lit(" "))
+    """Whether the label's words stand side by side in the output; both in normal form (see ``normalize_prediction``), cut at white space."""
+    spaced = lambda x: F.concat(F.lit(" "), F.regexp_replace(T.normalize_prediction(x), r"(?U)\s+", " "), F.lit(" "))
     return F.contains(spaced(output), spaced(label)) & (F.length(spaced(label)) > 2)
 
 
@@ -75,17 +77,53 @@ def kappa(df: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
     return observed.join(F.broadcast(expected)).select("n", (F.col("same") / F.col("n")).alias("agreement"), (1 - F.col("seen") * F.col("n") / F.col("chance")).alias("kappa"))
 
 
+#: Ranges that values are cut into for ranks.
+RANGES = 256
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the rank of value, ties at their mean. Ranks come from counts by value, so equal values don't meet in one task's window."""
-    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.select(F.col(value).alias("_v"), (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
+    """df with the rank of a number, ties at their mean. Rows without it go.
+
+    Ranks come from counts by value, and values are cut into ranges, so neither equal values nor all of them meet in one task's window.
+    """
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = sorted(set(sizes.select(F.percentile_approx("_v", [i / RANGES for i in range(RANGES)], 10 * RANGES)).first()[0] or []))
+    kind = df.schema[value].dataType
+    sizes = sizes.withColumn("_r", F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c <= F.col("_v"))))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    heads = sizes.groupBy("_r").agg(F.sum("_c").alias("_h")).select("_r", F.coalesce(F.sum("_h").over(before().orderBy("_r")), F.lit(0)).alias("_h"))
+    ranks = sizes.join(heads, "_r").select("_v", (F.col("_h") + F.coalesce(F.sum("_c").over(before("_r").orderBy("_v")), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
+def _tail_probability(rho: float | None, n: int | None) -> float | None:
+    """Two-sided p of a rank correlation, by Student's t with n - 2 degrees: a regularised incomplete beta as a continued fraction."""
+    if rho is None or n is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho  # x = df / (df + t * t)
+
+    def fraction(a: float, b: float, x: float) -> float:
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        out = d
+        for m in range(1, 10_000):
+            for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / (1 + k * d or 1e-300), 1 + k / c or 1e-300
+                out *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return out
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, rho and its two-sided p over rows with both values; one row. p is worked out from the other two by one call."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
+    out = average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
+    return out.withColumn("p", F.udf(lambda rho, n: _tail_probability(rho, n), "double")("rho", "n"))
 
 
 def binary_scores(df: DataFrame, gold: str, predicted: str, *by: str) -> DataFrame:
@@ -98,12 +136,12 @@ def binary_scores(df: DataFrame, gold: str, predicted: str, *by: str) -> DataFra
 
 
 def multilabel_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """Of two equally long 0/1 arrays: hamming (loss), subset_accuracy, micro_f1."""
+    """Of two equally long arrays of numbers, 0 or 1: hamming (loss), subset_accuracy, micro_f1, mse (mean of the squared differences)."""
     same = F.zip_with(gold, predicted, lambda x, y: (x == y).cast("int"))
     count = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
     both = F.zip_with(gold, predicted, lambda x, y: x * y)
-    sums = df.agg(F.sum(F.size(gold)).alias("cells"), F.sum(count(same)).alias("same"), F.count(F.lit(1)).alias("n"), F.sum((count(same) == F.size(gold)).cast("int")).alias("exact"), F.sum(count(both)).alias("tp"), F.sum(count(F.col(gold)) + count(F.col(predicted))).alias("ones"))
-    return sums.select("n", (1 - F.col("same") / F.col("cells")).alias("hamming"), (F.col("exact") / F.col("n")).alias("subset_accuracy"), _ratio(2 * F.col("tp"), F.col("ones")).alias("micro_f1"))
+    sums = df.agg(F.sum(F.size(gold)).alias("cells"), F.sum(count(same)).alias("same"), F.count(F.lit(1)).alias("n"), F.sum((count(same) == F.size(gold)).cast("int")).alias("exact"), F.sum(count(both)).alias("tp"), F.sum(count(F.col(gold)) + count(F.col(predicted))).alias("ones"), F.sum(count(F.zip_with(gold, predicted, lambda x, y: ((x - y) * (x - y)).cast("int")))).alias("squares"))
+    return sums.select("n", (1 - F.col("same") / F.col("cells")).alias("hamming"), (F.col("exact") / F.col("n")).alias("subset_accuracy"), _ratio(2 * F.col("tp"), F.col("ones")).alias("micro_f1"), (F.col("squares") / F.col("cells")).alias("mse"))
 
 
 def per_label_scores(df: DataFrame, gold: str, predicted: str, names: list[str]) -> DataFrame:

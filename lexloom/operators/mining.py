@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import scratch
 from . import patterns
 from .corpus import with_reason
 
 EXAMPLES = 10
+# Verb forms (folded) of which one must be among a word's for the bonus.
+PRIMARY = ("ma simt", "m-am simtit", "ma simteam", "o sa ma simt")
+# Closed-class words (folded) that are no states: pronouns, articles, prepositions, conjunctions, auxiliaries, verbs, adverbs, numerals, others.
+STOPWORDS = tuple(dict.fromkeys((
+    "eu tu el ea noi voi ei ele mine tine sine mie tie sie meu mea mei mele tau ta tai tale sau sa sai sale lor nostru noastra vostru voastra se ma te ne va imi iti ii ni vi le care ce cine unde cand cum cat cate cati "
+    "un una niste al ai ale cel cea cei cele acest aceasta acesta aceste acesti acel acea acei acele acela aceea fiecare oricare orice niciun nicio tot toata toti toate alt alta alti alte altul altceva "
+    "la de pe cu in din prin pentru fara despre peste intre pana dupa spre sub langa contra "
+    "si dar sau ori nici ca daca insa deci asadar totusi ba chiar macar oare nu da "
+    "am ai are avem aveti au sunt esti este suntem sunteti era eram erai erau fost fi fiu fii fie fim fiti pot poti poate putem puteti putea vrea vreau vrei vrem vreti vor trebuie trebui "
+    "face fac faci facem faceti facut zice zis spune spus stiu stie stim stiti cred crede credem avea aveau vin vine veni "
+    "acum apoi atunci ieri azi maine aici acolo unde doar deja inca mai foarte prea cam destul tocmai asa probabil poate "
+    "doi doua trei patru cinci "
+    "nimic nimeni nicaieri ceva asta aia"
+).split()))
 
 
 def conjunction_evidence(pairs: DataFrame, seeds: DataFrame, source: str | None = None) -> DataFrame:
@@ -30,19 +44,29 @@ def confidence(co_seeds: Column, verbs: Column, n: Column, primary: Column) -> C
     return F.least(0.4 * F.least(co_seeds / 5, F.lit(1.0)) + 0.3 * F.least(verbs / 3, F.lit(1.0)) + 0.3 * F.least(n / 5, F.lit(1.0)) + F.when(primary, 0.1).otherwise(0.0), F.lit(1.0))
 
 
-def validate(evidence: DataFrame, seeds: DataFrame, stopwords: DataFrame, least: int = 2) -> DataFrame:
+def stopword_table(spark: SparkSession, words: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
+def has_primary(verbs: Column, primary: tuple[str, ...] = PRIMARY) -> Column:
+    """Whether any of the primary forms occurs in the folded verb forms, joined by spaces."""
+    joined = T.normalize(F.array_join(verbs, " "))
+    return F.reduce(F.array(*[F.contains(joined, F.lit(p)) for p in primary]), F.lit(False), lambda a, b: a | b)
+
+
+def validate(evidence: DataFrame, seeds: DataFrame, stopwords: DataFrame, least: int = 2, primary: tuple[str, ...] = PRIMARY) -> DataFrame:
     """evidence with gender, reason (the first of the cascade, ``passed`` if none) and confidence.
 
-    too_short, already_in_seed, gender_mismatch (its gender isn't among its co-seeds'), stopword, low_co_occurrence.
+    too_short, already_in_seed, gender_mismatch (its gender isn't among its co-seeds', or these have none), stopword, low_co_occurrence.
     """
     known = seeds.select("word").distinct().withColumn("_seed", F.lit(True))
     stop = stopwords.select("word").distinct().withColumn("_stop", F.lit(True))
     rows = evidence.join(known, "word", "left").join(stop, "word", "left").withColumn("gender", T.infer_gender(F.col("word")))
     rules = [
-        ("too_short", F.length("word") < 3), ("already_in_seed", F.col("_seed")), ("gender_mismatch", F.col("gender").isNotNull() & (F.size("genders") > 0) & ~F.array_contains("genders", F.col("gender"))),
+        ("too_short", F.length("word") < 3), ("already_in_seed", F.col("_seed")), ("gender_mismatch", F.col("gender").isNotNull() & ~F.array_contains("genders", F.col("gender"))),
         ("stopword", F.col("_stop")), ("low_co_occurrence", F.size("co_seeds") < least),
     ]
-    score = confidence(F.size("co_seeds"), F.size("verbs"), F.col("n"), F.lit(True))
+    score = confidence(F.size("co_seeds"), F.size("verbs"), F.col("n"), has_primary(F.col("verbs"), primary))
     return with_reason(rows, rules).withColumn("confidence", score).drop("_seed", "_stop")
 
 
@@ -60,21 +84,12 @@ def vote(emotions: Column, share: float = 0.3) -> Column:
 def discovered(found: DataFrame, stopwords: DataFrame, least: int = 3, order: tuple[str, ...] = ("context",)) -> DataFrame:
     """word, frequency, frames, examples (the first 3 by order) of found (word, frame, context, …): 3 to 20 letters, no digit, no stopword."""
     w = F.col("word")
-    rows = found.filter((F.length(w) >= 3) & (F.length(w) <= 20) & ~w.rlike(r"\p{Nd}")).join(F.broadcast(stopwords.select("word").distinct()), "word", "left_anti")
+    rows = found.filter((F.length(w) >= 3) & (F.length(w) <= 20) & ~w.rlike(r"\p{Nd}")).join(stopwords.select("word").distinct(), "word", "left_anti")
     example = F.struct(*order, *[c for c in ("context",) if c not in order])
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_set("frame")).alias("frames"), F.slice(F.array_sort(F.collect_set(example)), 1, 3).alias("examples")).filter(F.col("frequency") >= least)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lexloom"
-
-
-def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, least: int = 2, **frames) -> tuple[DataFrame, DataFrame]:
+def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, least: int = 2, primary: tuple[str, ...] = PRIMARY, **frames) -> tuple[DataFrame, DataFrame]:
     """(lexicon, provenance) after at most that many rounds, or the first one that adds no word.
 
     seeds: word (folded), gender, emotions. A round scans docs with the current words, validates what it finds, and adds what passes with
@@ -86,7 +101,7 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: i
     for i in range(1, rounds + 1):
         words = sorted(r["word"] for r in current.select("word").distinct().collect())
         pairs = patterns.conjunction_pairs(docs, words, **frames)
-        checked = validate(conjunction_evidence(pairs, current), current, stopwords, least)
+        checked = validate(conjunction_evidence(pairs, current), current, stopwords, least, primary)
         checked.write.parquet(f"{folder}/checked-{i}")
         checked = spark.read.parquet(f"{folder}/checked-{i}")
         new = checked.filter("reason = 'passed'").select("word", F.coalesce("gender", F.lit("m")).alias("gender"), vote(F.col("emotions")).alias("emotions"))

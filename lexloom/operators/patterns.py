@@ -48,7 +48,7 @@ TEMPLATES = (
     Template("am_noun_present", "secondary", r"am", True),
     Template("aveam_noun_imperfect", "secondary", r"aveam", True),
 )
-#: The archived set lacks some futures and has forms of the first person plural.
+# The forms of the first person plural that the archived set has.
 PLURAL_TEMPLATES = (
     Template("ne_simtim_present", "primary", r"ne\s+simtim"),
     Template("neam_simtit_perfect", "primary", r"ne-?am\s+simtit"),
@@ -63,6 +63,15 @@ TRIGGERS = (
 QUERIES = ('"mă simt"', '"mi-e"', '"m-am simțit"', '"îmi este"', '"mă simțeam"', '"simt că"', '"îmi era"', '"mă voi simți"', '"o să mă simt"', '"m-aș simți"', '"să mă simt"')
 PLAIN_QUERIES = ('"ma simt"', '"m-am simtit"', '"imi este"', '"imi era"', '"ma simteam"', '"o sa ma simt"', '"m-as simti"', '"sa ma simt"', '"o sa fiu"', '"o să fiu"')
 # Frames of two coordinated states, and frames that name one.
+# Names of the archived set of templates, in order, and the archived frames that name one state.
+ARCHIVED = (
+    "ma_simt_present", "ma_simteam_imperfect", "mam_simtit_perfect", "ma_voi_simti_future", "simt_ca", "simt_noun", "simteam_noun", "ne_simtim_present", "neam_simtit_perfect",
+    "sunt_adj_present", "eram_adj_imperfect", "am_fost_adj_perfect", "suntem_adj_present", "imi_este_present", "imi_era_imperfect", "mie_short", "am_noun_present", "aveam_noun_imperfect",
+)
+ARCHIVED_DISCOVERY = (
+    ("sentiment_de", r"un\s+sentiment\s+de\s+"), ("sentimentul_de", r"sentimentul\s+de\s+"), ("stare_de", r"o\s+stare\s+de\s+"), ("starea_de", r"starea\s+de\s+"), ("emotie_de", r"emoti[ae]\s+de\s+"),
+    ("senzatie_de", r"o\s+senzatie\s+de\s+"), ("plin_de", r"plina?\s+de\s+"), ("cuprins_de", r"cuprinsa?\s+de\s+"), ("coplesit_de", r"coplesita?\s+de\s+"),
+)
 CONJUNCTION_VERBS = (r"ma\s+simt", r"m-?am\s+simtit", r"ma\s+simteam", r"o\s+sa\s+ma\s+simt", r"m-?as\s+simti", r"sa\s+ma\s+simt")
 CONJUNCTIONS = r"(?:dar\s+si|ba\s+chiar|si|dar|insa)"
 DISCOVERY = (("sentiment_de", r"un\s+sentiment\s+de\s+"), ("sentimentul_de", r"sentimentul\s+de\s+"), ("emotie_de", r"emoti[ae]\s+de\s+"), ("senzatie_de", r"o\s+senzatie\s+de\s+"), ("coplesit_de", r"coplesita?\s+de\s+"))
@@ -101,6 +110,12 @@ def query_grid(verbs: list[str], words: list[str], first: int) -> list[str]:
     return [f'"{v} {w}"' for v in verbs for w in words[:first]]
 
 
+def archived_templates() -> tuple[Template, ...]:
+    """The archived set: no futures with o sa, no conditional, subjunctive or reflexive, but the plural."""
+    known = {t.name: t for t in (*TEMPLATES, *PLURAL_TEMPLATES)}
+    return tuple(known[name] for name in ARCHIVED)
+
+
 def has_trigger(text: Column, triggers: tuple[str, ...] = TRIGGERS) -> Column:
     """Whether the lower-case text, diacritics kept, holds any of triggers."""
     out = F.lit(False)
@@ -272,7 +287,7 @@ def candidates(docs: DataFrame, lexicon: DataFrame, key: str | None = None, text
     if key is not None:
         order = Window.partitionBy(key, "matched_sentence").orderBy("ord", "start")
         found = found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return found.withColumn("seed_word", T.original_word(F.col(text), F.col("seed_start"), F.col("seed")))
+    return found.withColumn("seed_word", T.original_word(F.col(text), F.col("start"), F.col("seed")))
 
 
 def verify_spans(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES, modifier: str = MODIFIER) -> DataFrame:
@@ -292,27 +307,43 @@ def verify_spans(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES, m
     return out.withColumn("masked_text", T.mask_span(F.col("text"), F.col("seed_word_start"), F.col("seed_word_end"))).drop("_fold", "_shape")
 
 
-def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
-    """docs' columns, verb_form, x (a seed), y: verb, seed x, conjunction or comma, and any word y, on folded text."""
-    pairs = []
+def _pairs(fold: Column, seeds: list[str], verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> Column:
+    """array<struct<verb_form, x, y>>."""
+    each = []
     for verb in verbs:
         shape = rf"(?<!{WORD})(?:nu\s+)?({verb})\s+{modifier}({alternation(seeds)})\s*,?\s*(?:{conjunctions}|,)\s+{modifier}({word})"
-        one = lambda h: F.struct(*[F.get(h["parts"], F.lit(k)).alias(n) for k, n in ((1, "verb_form"), (2, "x"), (3, "y"))])
-        pairs.append(F.transform(T.found(F.col("_fold"), shape, 1, 2, 3), one))
+        each.append(F.transform(T.found(fold, shape, 1, 2, 3), lambda h: F.struct(F.left(h["parts"][1], F.lit(30)).alias("verb_form"), h["parts"][2].alias("x"), h["parts"][3].alias("y"))))
+    return F.flatten(F.array(*each))
+
+
+def _named(fold: Column, frames: tuple[tuple[str, str], ...]) -> Column:
+    """array<struct<frame, word, context>>."""
+    context = lambda h: F.substring(fold, F.greatest(h["start"] - 39, F.lit(1)), h["end"] - h["start"] + 80)
+    found = lambda name, shape: F.transform(T.found(fold, rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), context(h).alias("context")))
+    return F.flatten(F.array(*[found(name, shape) for name, shape in frames]))
+
+
+def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
+    """docs' columns, verb_form, x (a seed), y: verb, seed x, conjunction or comma, and any word y, on folded text."""
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
-    return rows.withColumn("_p", F.explode(F.flatten(F.array(*pairs)))).select(*docs.columns, F.substring("_p.verb_form", 1, 30).alias("verb_form"), "_p.x", "_p.y")
+    return rows.select(*docs.columns, F.explode(_pairs(F.col("_fold"), seeds, verbs, conjunctions, modifier, word)).alias("_p")).select(*docs.columns, "_p.*")
 
 
 def discover(docs: DataFrame, text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY) -> DataFrame:
     """docs' columns, frame, word, context (40 code points around): a row for each word that a frame names."""
-    found = [F.transform(T.found(F.col("_fold"), rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), _framed(name)) for name, shape in frames]
-    rows = docs.withColumn("_fold", T.searchable(F.col(text))).withColumn("_h", F.explode(F.flatten(F.array(*found))))
-    context = F.substring("_fold", F.greatest(F.col("_h.start") - 39, F.lit(1)), F.col("_h.end") - F.col("_h.start") + 80)
-    return rows.select(*docs.columns, F.col("_h.frame").alias("frame"), F.col("_h.word").alias("word"), context.alias("context"))
+    rows = docs.withColumn("_fold", T.searchable(F.col(text)))
+    return rows.select(*docs.columns, F.explode(_named(F.col("_fold"), frames)).alias("_h")).select(*docs.columns, "_h.*")
 
 
-def _framed(name: str):
-    return lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), h["start"].alias("start"), h["end"].alias("end"))
+def mined(docs: DataFrame, seeds: list[str], text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY, verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
+    """Both miners in one reading of the texts: docs' columns and either verb_form, x, y (a pair) or frame, word, context (a named word)."""
+    fold = F.col("_fold")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    own = lambda h, *names: [h[n].alias(n) for n in names]
+    pairs = F.transform(_pairs(fold, seeds, verbs, conjunctions, modifier, word), lambda h: F.struct(*own(h, "verb_form", "x", "y"), *none("frame", "word", "context")))
+    named = F.transform(_named(fold, frames), lambda h: F.struct(*none("verb_form", "x", "y"), *own(h, "frame", "word", "context")))
+    rows = docs.withColumn("_fold", T.searchable(F.col(text)))
+    return rows.select(*docs.columns, F.explode(F.concat(pairs, named)).alias("_h")).select(*docs.columns, "_h.*")
 
 
 def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

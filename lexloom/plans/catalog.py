@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, lexicon, metrics, mining, patterns, sampling, vector
+from ..scratch import scratch
+from ..sources import readers, sinks
 from ..streaming import crawl
 
 FLAGSHIP = "conjunction_evidence"
@@ -164,14 +166,27 @@ def novel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Patterns and mining
 
 
-@query(f"SELECT y AS word, count(DISTINCT x) AS co_seeds, count(*) AS n, CASE WHEN length(y) < 3 THEN 'too_short' WHEN y IN ({_in(STOP)}) THEN 'stopword' WHEN count(DISTINCT x) < 2 THEN 'low_co_occurrence' ELSE 'passed' END AS reason FROM (SELECT unnest(regexp_extract_all({_FOLD}, '(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)', 2)) x, unnest(regexp_extract_all({_FOLD}, '(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)', 3)) y FROM documents) GROUP BY y")
+_PAIR_VERBS = ("the", "of", "is")
+_GENDERED = tuple((w, "f" if w in NOUNS else "m") for w in SEEDS)
+_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT '{v}' AS verb, unnest(regexp_extract_all({_FOLD}, '{shape}', 2)) x, unnest(regexp_extract_all({_FOLD}, '{shape}', 3)) y FROM documents"
+    for v in _PAIR_VERBS
+    for shape in [rf"(?:^|[^a-z])(?:nu\s+)?({v})\s+({patterns.alternation(list(SEEDS))})\s*,?\s*(?:and|,)\s+([a-z]+)"]
+)
+_GENDER_SQL = "CASE WHEN regexp_matches(y, '(a|oasa|easca|ica|ita|ata|uta)$') THEN 'f' WHEN regexp_matches(y, '(os|esc|ic|it|at|ut|iu)$') THEN 'm' WHEN NOT regexp_matches(y, '[aeiou]$') THEN 'm' END"
+
+
+@query(f"""WITH p AS ({_PAIRS_SQL}), g AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _GENDERED)}) t(x, gender)),
+e AS (SELECT y, list_sort(list(DISTINCT x)) co, list_sort(list(DISTINCT verb)) verbs, list_sort(list(DISTINCT g.gender)) genders, count(*) n, {_GENDER_SQL} gender FROM p JOIN g USING (x) GROUP BY y)
+SELECT y AS word, array_to_string(co, ',') AS co_seeds, array_to_string(verbs, ',') AS verbs, array_to_string(genders, ',') AS genders, n, gender,
+CASE WHEN length(y) < 3 THEN 'too_short' WHEN y IN ({_in(SEEDS)}) THEN 'already_in_seed' WHEN gender IS NOT NULL AND NOT list_contains(genders, gender) THEN 'gender_mismatch' WHEN y IN ({_in(STOP)}) THEN 'stopword' WHEN len(co) < 2 THEN 'low_co_occurrence' ELSE 'passed' END AS reason,
+least(0.4::DOUBLE * least(len(co) / 5, 1.0::DOUBLE) + 0.3::DOUBLE * least(len(verbs) / 3, 1.0::DOUBLE) + 0.3::DOUBLE * least(n / 5, 1.0::DOUBLE) + CASE WHEN list_contains(verbs, 'of') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE) AS confidence FROM e""")
 def conjunction_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAT-09, PAT-10, AGG-05, AGG-08, FLT-15: what is coordinated with what, validated by the cascade."""
-    shape = "(?:^| )(the|of|is) ([a-z]+) and ([a-z]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(shape), F.lit(2)).alias("x"), F.regexp_extract_all("text", F.lit(shape), F.lit(3)).alias("y"))
-    found = _folded(spark, sf_dir).select(F.explode(pairs).alias("p")).groupBy(F.col("p.y").alias("word")).agg(F.count_distinct("p.x").alias("co_seeds"), F.count(F.lit(1)).alias("n"))
-    rules = [("too_short", F.length("word") < 3), ("stopword", F.col("word").isin(*STOP)), ("low_co_occurrence", F.col("co_seeds") < 2)]
-    return corpus.with_reason(found, rules)
+    """PAT-09, PAT-10, AGG-05, AGG-08, AGG-09, JOIN-05, FLT-15, LEX-03: what is coordinated with known words, validated by the cascade."""
+    seeds = spark.createDataFrame([(w, g, ["known"]) for w, g in _GENDERED], "word string, gender string, emotions array<string>")
+    pairs = patterns.conjunction_pairs(_folded(spark, sf_dir), list(SEEDS), verbs=_PAIR_VERBS, conjunctions="and", modifier="", word="[a-z]+")
+    checked = mining.validate(mining.conjunction_evidence(pairs, seeds), seeds, mining.stopword_table(spark, STOP), primary=("of",))
+    return checked.select("word", *[F.array_join(c, ",").alias(c) for c in ("co_seeds", "verbs", "genders")], "n", "gender", "reason", "confidence")
 
 
 _MATCH_SQL = "\nUNION ALL ".join(
@@ -182,15 +197,15 @@ _MATCH_SQL = "\nUNION ALL ".join(
 
 @query(f"SELECT doc_id, pattern, seed, count(*) AS n FROM ({_MATCH_SQL}) GROUP BY ALL")
 def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAT-01 to PAT-06, JOIN-04: templates over a lexicon by the token join."""
-    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="")
+    """PAT-03, PAT-04, JOIN-04: own templates over a lexicon."""
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=None, modifier="")
     return corpus.counts(found, "doc_id", "pattern", "seed")
 
 
 @query(f"SELECT pattern, count(*) AS n, count(DISTINCT seed) AS seeds FROM ({_MATCH_SQL}) GROUP BY ALL")
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-03, AGG-01, AGG-05."""
-    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="")
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=None, modifier="")
     return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed").alias("seeds"))
 
 
@@ -205,12 +220,60 @@ def discovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.discovered(found, stop).select("word", "frequency", "frames")
 
 
-@query()
+@query(f"SELECT pattern AS pattern_used, count(*) AS ok, 0 AS failed, count(*) AS masked FROM ({_MATCH_SQL}) GROUP BY pattern")
 def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAT-14, TXT-27: matches matched again by their own template and masked."""
-    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=1_000_000, modifier="").select("doc_id", "text", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized"))
-    checked = patterns.verify_spans(found, FRAMES, "")
-    return checked.groupBy("pattern_used").agg(F.count_if("verified").alias("ok"), F.count_if(~F.col("verified")).alias("failed"), F.count_if(F.contains("masked_text", F.lit(T.MASK))).alias("masked"))
+    """PAT-14, TXT-27: matches matched again by their own template and masked. Equal ones of a document are verified once and count as often as they are."""
+    docs = _folded(spark, sf_dir)
+    found = patterns.find_matches(docs, _lexicon(spark), templates=FRAMES, most=None, modifier="").groupBy("doc_id", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized")).agg(F.count(F.lit(1)).alias("n"))
+    checked = patterns.verify_spans(docs.join(found, "doc_id"), FRAMES, "")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return checked.groupBy("pattern_used").agg(total(F.col("verified")).alias("ok"), total(~F.col("verified")).alias("failed"), total(F.contains("masked_text", F.lit(T.MASK))).alias("masked"))
+
+
+# Sentences of which the templates' matches are known: (text, then pattern, start, end, start and text of the seed of each match).
+GOLDEN = (
+    ("Mă simt fericit astăzi.", (("ma_simt_present", 0, 15, 8, "fericit"),)),
+    ("M-am simțit foarte bine la petrecere.", (("mam_simtit_perfect", 0, 23, 19, "bine"),)),
+    ("O să mă simt mai bine mâine.", (("ma_simt_present", 5, 21, 17, "bine"), ("o_sa_ma_simt_future", 0, 21, 17, "bine"), ("sa_ma_simt_subjunctive", 2, 21, 17, "bine"))),
+    ("O să fiu trist fără tine.", (("o_sa_fiu_future", 0, 14, 9, "trist"),)),
+    ("M-aș simți mai relaxat acasă.", (("mas_simti_conditional", 0, 22, 15, "relaxat"),)),
+    ("Vreau să mă simt calm.", (("ma_simt_present", 9, 21, 17, "calm"), ("sa_ma_simt_subjunctive", 6, 21, 17, "calm"), ("simt_noun", 12, 21, 17, "calm"))),
+    ("Mă fac fericit când aud muzică.", (("ma_fac_reflexive", 0, 14, 7, "fericit"),)),
+    ("Mi-e frică de câini.", (("mie_short", 0, 10, 5, "frica"),)),
+    ("Îmi este teamă; aveam încredere.", (("imi_este_present", 0, 14, 9, "teama"), ("aveam_noun_imperfect", 16, 31, 22, "incredere"))),
+    ("Sunt fericită și eram tristă.", (("sunt_adj_present", 0, 13, 5, "fericita"), ("eram_adj_imperfect", 17, 28, 22, "trista"))),
+)
+_GOLDEN_ROWS = ", ".join(f"({i}, '{p}', {a}, {b}, {c}, '{w}')" for i, (_, found) in enumerate(GOLDEN) for p, a, b, c, w in found)
+STATES = (("fericit", "joy", "adjective"), ("trist", "sadness", "adjective"), ("bine", "joy", "adverb"), ("relaxat", "trust", "adjective"), ("calm", "trust", "adjective"), ("frică", "fear", "noun"), ("teamă", "fear", "noun"))
+
+
+def _states(spark: SparkSession) -> DataFrame:
+    """A lexicon expanded to word forms, with the nouns that only noun templates take."""
+    words = spark.createDataFrame([(w, p, [e]) for w, e, p in STATES], "word string, pos string, emotions array<string>")
+    return patterns.with_nouns(lexicon.expand(words, spark.createDataFrame([("tristă", "trist", "Afpfsrn")], "form string, lemma string, msd string")))
+
+
+@query(f"SELECT c_custkey AS custkey, p AS pattern, a + length(c_name) + 2 AS start, b + length(c_name) + 2 AS \"end\", s + length(c_name) + 2 AS seed_start, w AS seed FROM customer JOIN (VALUES {_GOLDEN_ROWS}) g(i, p, a, b, s, w) ON c_custkey % {len(GOLDEN)} = i")
+def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-01, PAT-02, PAT-04, PAT-05, PAT-06, PAT-07, LEX-01: all templates, intensifiers, an expanded lexicon and the noun table, on sentences after a customer's name."""
+    texts = F.array(*[F.lit(t) for t, _ in GOLDEN])
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
+    return patterns.find_matches(rows, _states(spark)).select("custkey", "pattern", "start", "end", "seed_start", "seed")
+
+
+@query(f"SELECT c_custkey % {len(GOLDEN)} AS kind, count(*) AS n, min(arg) AS pattern FROM (SELECT c_custkey, arg_min(p, i2) AS arg FROM customer JOIN (SELECT *, row_number() OVER () i2 FROM (VALUES {_GOLDEN_ROWS}) g(i, p, a, b, s, w)) ON c_custkey % {len(GOLDEN)} = i GROUP BY c_custkey) GROUP BY 1")
+def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-04, PAT-05, TXT-05, TXT-06: of a sentence only the earliest template's match stays."""
+    texts = F.array(*[F.lit(t.replace("; ", " ").replace(" și eram", " și nu")) for t, _ in GOLDEN])
+    rows = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % len(GOLDEN)).alias("kind"), F.concat("c_name", F.lit(". "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
+    return patterns.candidates(rows, _states(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("pattern").alias("pattern"))
+
+
+@query(f"SELECT 'pair' AS kind, y AS word, count(*) AS n FROM ({_PAIRS_SQL}) GROUP BY y UNION ALL SELECT 'frame', w, count(*) FROM (SELECT unnest(regexp_extract_all({_FOLD}, '(?:^| )of ([a-z]+)', 1)) w FROM documents) GROUP BY w")
+def mined_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-13: pairs and framed words from one reading of the texts."""
+    found = patterns.mined(_folded(spark, sf_dir), list(SEEDS), frames=(("of", "of "),), verbs=_PAIR_VERBS, conjunctions="and", modifier="", word="[a-z]+")
+    return corpus.counts(found.select(F.when(F.col("y").isNotNull(), "pair").otherwise("frame").alias("kind"), F.coalesce("y", "word").alias("word")), "kind", "word")
 
 
 @query()
@@ -225,13 +288,23 @@ def bootstrapped_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Lexicons
 
 
-@query("SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NOT NULL AND b.word IS NOT NULL THEN least(0.5 + 0.2, 1.0)::DOUBLE WHEN a.word IS NOT NULL THEN 0.5::DOUBLE ELSE least(b.frequency / 10, 0.8)::DOUBLE END AS confidence FROM (SELECT DISTINCT lower(p_brand) word FROM part WHERE p_size < 10) a FULL JOIN (SELECT lower(p_brand) word, count(*) frequency FROM part WHERE p_size > 45 GROUP BY 1) b ON a.word = b.word")
+@query("SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NOT NULL AND b.word IS NOT NULL THEN least(0.5::DOUBLE + 0.2::DOUBLE, 1.0::DOUBLE) WHEN a.word IS NOT NULL THEN 0.5::DOUBLE ELSE round(least(b.frequency / 10, 0.8::DOUBLE), 3) END AS confidence, CASE WHEN a.word IS NULL THEN 'distributional' WHEN b.word IS NULL THEN 'bootstrapping' ELSE 'bootstrapping,distributional' END AS methods, CASE WHEN a.word IS NULL THEN 'discovered' WHEN b.word IS NULL THEN 'joy' ELSE 'joy,trust' END AS emotions, a.gender FROM (SELECT DISTINCT lower(p_brand) word, 'm' gender FROM part WHERE p_size < 10) a FULL JOIN (SELECT lower(p_brand) word, count(*) frequency FROM part WHERE p_size > 45 GROUP BY 1) b ON a.word = b.word WHERE coalesce(a.word, b.word) NOT IN ('brand#11', 'brand#22')")
 def merged_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-13, PAT-08."""
+    """JOIN-13, ARR-03: words of two methods, without those of the seed."""
     part = _read(spark, sf_dir, "part")
-    one = part.filter("p_size < 10").select(F.lower("p_brand").alias("word")).distinct().select("word", F.lit(None).cast("double").alias("confidence"), F.array().cast("array<string>").alias("emotions"), F.lit(None).cast("string").alias("gender"))
+    one = part.filter("p_size < 10").select(F.lower("p_brand").alias("word")).distinct().select("word", F.lit(None).cast("double").alias("confidence"), F.array(F.lit("joy")).alias("emotions"), F.lit("m").alias("gender"))
     two = part.filter("p_size > 45").groupBy(F.lower("p_brand").alias("word")).agg(F.count(F.lit(1)).alias("frequency"))
-    return lexicon.merge_discoveries(one, two).select("word", "confidence")
+    also = one.select("word").join(two.select("word"), "word", "left_semi").withColumn("emotions", F.array(F.lit("joy"), F.lit("trust")))
+    seeds = spark.createDataFrame([("Brand#11",), ("BRAND#22",)], "word string")
+    merged = lexicon.merge_discoveries(one, two.join(also, "word", "left"), seeds)
+    return merged.select("word", "confidence", F.array_join("methods", ",").alias("methods"), F.array_join("emotions", ",").alias("emotions"), "gender")
+
+
+@query("SELECT s.id, coalesce(s.category, n.category) AS category FROM (SELECT n_nationkey AS id, n_regionkey AS noun_id, CASE WHEN n_nationkey < 5 THEN n_name END AS category FROM nation) s LEFT JOIN (SELECT n_nationkey AS id, n_name AS category FROM nation WHERE n_nationkey < 5) n ON s.noun_id = n.id WHERE coalesce(s.category, n.category) IS NOT NULL")
+def inherited_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-02: rows without a category take that of the row they name."""
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("noun_id"), F.when(F.col("n_nationkey") < 5, F.col("n_name")).alias("category"))
+    return lexicon.inherit_category(rows).select("id", "category")
 
 
 @query("SELECT word, kind FROM (SELECT word, kind, row_number() OVER (PARTITION BY word ORDER BY prio) rn FROM (SELECT DISTINCT lower(p_brand) word, 'small' kind, 0 prio FROM part WHERE p_size < 5 UNION ALL SELECT DISTINCT lower(p_brand), 'middle', 1 FROM part WHERE p_size < 25 UNION ALL SELECT DISTINCT lower(p_brand), 'all', 2 FROM part)) WHERE rn = 1")
@@ -253,7 +326,7 @@ def mapped_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH RECURSIVE e AS (SELECT n_name AS name, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region), up AS (SELECT name, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT u.name, e.parent, u.depth + 1 FROM up u JOIN e ON u.ancestor = e.name) SELECT * FROM up")
 def taxonomy_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-02 and the taxonomy tree."""
+    """The taxonomy tree."""
     nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
     edges = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("name"), F.col("r_name").alias("parent")).unionByName(region.select(F.col("r_name").alias("name"), F.lit("WORLD").alias("parent")))
     return lexicon.ancestors(edges, f"taxonomy_{uuid.uuid4().hex}")
@@ -299,8 +372,8 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-03, SET-04, SET-05."""
     docs = _read(spark, sf_dir, "documents")
-    both = docs.filter("lang = 'en'").select("source").intersect(docs.filter("n_chars > 10000").select("source"))
-    rest = docs.select("doc_id").exceptAll(_read(spark, sf_dir, "labels").select("doc_id")).distinct()
+    both = corpus.in_both(docs.filter("lang = 'en'"), docs.filter("n_chars > 10000"), "source")
+    rest = corpus.only_in(docs, _read(spark, sf_dir, "labels"), "doc_id")
     count = lambda df, op: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
     return count(both, "intersect").unionByName(count(rest, "except"))
 
@@ -310,10 +383,19 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'lang' AS dimension, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'all', NULL, count(*) FROM documents")
 def grouping_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-03, SNK-03."""
+    """AGG-03."""
     return corpus.counts_by_each(_read(spark, sf_dir, "documents"), "lang", "source")
 
 
+@query("SELECT 'lang' AS dimension, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'all', 'all', count(*) FROM documents")
+def written_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03: counts as one JSON object, written and read again."""
+    path = f"{scratch(spark)}/stats-{uuid.uuid4().hex}"
+    sinks.stats(corpus.counts_by_each(_read(spark, sf_dir, "documents"), "lang", "source"), path)
+    maps = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("dimension", "m"))
+    return maps.select("dimension", F.explode("m").alias("key", "n"))
+
+
 @query("SELECT source, count(*) FILTER (WHERE quality = 0) AS n_0, count(*) FILTER (WHERE quality = 1) AS n_1 FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def score_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04, AGG-17, JOIN-08."""
@@ -339,6 +421,24 @@ def length_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.upper_median(_read(spark, sf_dir, "documents").select("lang", "n_chars"), "n_chars", "lang")
 
 
+@query("SELECT round_even(avg(n_chars), 0) AS n_chars, round_even(avg(doc_id), 0) AS doc_id FROM documents")
+def rounded_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-07: means rounded half to even."""
+    return corpus.rounded_means(_read(spark, sf_dir, "documents"), "n_chars", "doc_id")
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE len(regexp_extract_all(text, 'the')) > 1) AS several FROM documents GROUP BY lang")
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-32: rows by language, and those with more than one mask (here: the)."""
+    return corpus.language_counts(_read(spark, sf_dir, "documents"), "text", "lang", mask="the")
+
+
+@query("SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id)")
+def joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-14, JOIN-15: results joined to their items, in the items' order."""
+    return corpus.in_order(_read(spark, sf_dir, "labels").select("doc_id", "quality"), _read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "doc_id").select("doc_id", "n_chars", "quality")
+
+
 @query("SELECT quantile_cont(n_chars, 0.05) AS p5, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.95) AS p95, count(*) FILTER (WHERE n_chars >= 100) AS n_0, count(*) FILTER (WHERE n_chars >= 1000) AS n_1, count(*) FILTER (WHERE n_chars >= 10000) AS n_2 FROM documents")
 def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-21."""
@@ -348,14 +448,13 @@ def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT max(k) AS most, quantile_cont(k, 0.5) AS median, avg(k) AS mean, count(*) FILTER (WHERE k = 1) AS single, count(*) FILTER (WHERE k >= 2) AS several FROM (SELECT user_id, count(*) k FROM events WHERE value > 50 GROUP BY user_id)")
 def hits_per_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-22."""
-    k = corpus.counts(_read(spark, sf_dir, "events").filter("value > 50"), "user_id")
-    return k.agg(F.max("n").alias("most"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") >= 2).alias("several"))
+    return corpus.hit_profile(_read(spark, sf_dir, "events").filter("value > 50"), "user_id")
 
 
 @query("SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS total FROM events GROUP BY event_type")
 def event_json_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSN-01, JSN-03."""
-    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("double")).alias("total"))
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(T.json_number(F.col("props"), "k")).alias("total"))
 
 
 # --- Metrics
@@ -396,7 +495,7 @@ def rater_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH r AS (SELECT n_chars a, quality b FROM documents JOIN labels USING (doc_id)), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 rb FROM r) SELECT count(*) AS n, corr(ra, rb) AS rho FROM k")
 def spearman_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-18, WIN-02."""
-    return metrics.spearman(_read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id"), "n_chars", "quality")
+    return metrics.spearman(_read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id"), "n_chars", "quality").drop("p")
 
 
 @query("WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) fn, count(*) FILTER (WHERE quality = 0 AND toxic = 0) tn, avg(abs(quality - toxic)) mae FROM labels) SELECT tp, fp, fn, tn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 AS macro_f1, mae FROM c")
@@ -405,7 +504,7 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.binary_scores(_read(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-@query("WITH v AS (SELECT [(l_quantity > 25)::INT, (l_discount > 0.05)::INT, (l_tax > 0.04)::INT] g, [(l_quantity > 30)::INT, (l_discount > 0.03)::INT, (l_tax > 0.04)::INT] p FROM lineitem), s AS (SELECT count(*) n, sum((g[1] = p[1])::INT + (g[2] = p[2])::INT + (g[3] = p[3])::INT) same, sum((g = p)::INT) exact, sum(g[1] * p[1] + g[2] * p[2] + g[3] * p[3]) tp, sum(list_sum(g) + list_sum(p)) ones FROM v) SELECT n, 1 - same / (3 * n) AS hamming, exact / n AS subset_accuracy, 2 * tp / ones AS micro_f1 FROM s")
+@query("WITH v AS (SELECT [(l_quantity > 25)::INT, (l_discount > 0.05)::INT, (l_tax > 0.04)::INT] g, [(l_quantity > 30)::INT, (l_discount > 0.03)::INT, (l_tax > 0.04)::INT] p FROM lineitem), s AS (SELECT count(*) n, sum((g[1] = p[1])::INT + (g[2] = p[2])::INT + (g[3] = p[3])::INT) same, sum((g = p)::INT) exact, sum(g[1] * p[1] + g[2] * p[2] + g[3] * p[3]) tp, sum(list_sum(g) + list_sum(p)) ones FROM v) SELECT n, 1 - same / (3 * n) AS hamming, exact / n AS subset_accuracy, 2 * tp / ones AS micro_f1, (3 * n - same) / (3 * n) AS mse FROM s")
 def multilabel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-26."""
     bit = lambda c: F.expr(f"cast({c} AS int)")
@@ -413,6 +512,21 @@ def multilabel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.multilabel_scores(rows, "g", "p")
 
 
+@query(" UNION ALL ".join(f"SELECT '{n}' AS label, tp, fp, fn, tn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM (SELECT count(*) FILTER (WHERE {g} AND {p}) tp, count(*) FILTER (WHERE NOT {g} AND {p}) fp, count(*) FILTER (WHERE {g} AND NOT {p}) fn, count(*) FILTER (WHERE NOT {g} AND NOT {p}) tn FROM lineitem)" for n, g, p in (("quantity", "l_quantity > 25", "l_quantity > 30"), ("discount", "l_discount > 0.05", "l_discount > 0.03"))))
+def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-26 by label."""
+    bit = lambda c: F.expr(f"cast({c} AS int)")
+    rows = _read(spark, sf_dir, "lineitem").select(F.array(bit("l_quantity > 25"), bit("l_discount > 0.05")).alias("g"), F.array(bit("l_quantity > 30"), bit("l_discount > 0.03")).alias("p"))
+    return metrics.per_label_scores(rows, "g", "p", ["quantity", "discount"]).drop("macro_f1", "mae")
+
+
+@query(r"WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), ' ') ws FROM conversations), t AS (SELECT *, list_filter(ws, lambda x: x <> '') ts FROM w) SELECT conv_id, turn, list_contains(ts, 'the') AS one, list_contains(list_transform(list_zip(ts[:-2], ts[2:]), lambda z: z[1] || ' ' || z[2]), 'of the') AS two FROM t")
+def held_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-13, AGG-14: labels as runs of whole words."""
+    rows = _read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", ""))
+    return rows.select("conv_id", "turn", metrics.holds_label(F.col("text"), F.lit("The!")).alias("one"), metrics.holds_label(F.col("text"), F.lit("of the")).alias("two"))
+
+
 @query("SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM (SELECT threshold, count(*) FILTER (WHERE quality = 1 AND n_chars >= threshold) tp, count(*) FILTER (WHERE quality = 0 AND n_chars >= threshold) fp, count(*) FILTER (WHERE quality = 1 AND n_chars < threshold) fn FROM documents JOIN labels USING (doc_id), (SELECT unnest([100, 1000, 5000]) threshold) GROUP BY threshold)")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-27."""
@@ -433,7 +547,7 @@ def accuracy_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ',') AS before, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ',') AS after FROM conversations")
 def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-04, WIN-07."""
+    """WIN-07."""
     rows = corpus.neighbours(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role")
     shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
     return rows.select("conv_id", "turn", shown("before"), shown("after"))
@@ -441,23 +555,89 @@ def turn_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH m AS (SELECT *, min(CASE WHEN turn >= 2 AND role = 'user' THEN turn END) OVER (PARTITION BY conv_id) a, CASE WHEN role = 'assistant' THEN turn END b FROM conversations), k AS (SELECT *, max(b) FILTER (WHERE b < a) OVER (PARTITION BY conv_id) lo, min(b) FILTER (WHERE b > a) OVER (PARTITION BY conv_id) hi FROM m) SELECT conv_id, turn FROM k WHERE a IS NOT NULL AND (lo IS NULL OR turn > lo) AND (hi IS NULL OR turn < hi)")
 def turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-06, TXT-16."""
+    """WIN-06."""
     rows = _read(spark, sf_dir, "conversations")
     return corpus.islands(rows, ["conv_id"], "turn", F.col("role") == "assistant", (F.col("turn") >= 2) & (F.col("role") == "user")).select("conv_id", "turn")
 
 
-@query("SELECT source, n, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (sum(n) OVER ()) * 0.1::DOUBLE AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)")
+@query("WITH m AS (SELECT *, min(CASE WHEN turn >= 2 AND role = 'user' THEN turn END) OVER (PARTITION BY conv_id) a, CASE WHEN role = 'assistant' THEN turn END b FROM conversations), k AS (SELECT *, max(b) FILTER (WHERE b < a) OVER (PARTITION BY conv_id) lo, min(b) FILTER (WHERE b > a) OVER (PARTITION BY conv_id) hi FROM m) SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM k WHERE a IS NOT NULL AND (lo IS NULL OR turn > lo) AND (hi IS NULL OR turn < hi) GROUP BY conv_id")
+def first_person_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-16, ML-04: the run of first-person parts around an anchor; the other role plays the second person."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    at = F.array_position(F.transform("t", lambda x: (x["turn"] >= 2) & (x["role"] == "user")), True)
+    parts, who = F.transform("t", lambda x: x["text"]), F.transform("t", lambda x: F.when(x["role"] == "assistant", 2).otherwise(1))
+    return turns.withColumn("at", at).filter("at > 0").select("conv_id", T.first_person_run(parts, who, F.col("at")).alias("text"))
+
+
+_WORDS_OF = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+_ENDED = f"array_to_string(list_transform({_WORDS_OF}, lambda w, i: CASE WHEN regexp_matches(w, '^\\p{{Ll}}') AND NOT regexp_matches(w, '[.?!]$') AND rtrim(lower(w), '.,!?') NOT IN ({_in(T.NO_SPLIT_AFTER)}) AND coalesce(regexp_matches({_WORDS_OF}[i + 1], '^\\p{{Lu}}'), false) THEN rtrim(w, '., ') || '.' ELSE w END), ' ')"
+
+
+@query(f"SELECT item_id, CASE WHEN regexp_matches(e, '[.?!]$') THEN e ELSE e || '.' END AS ended FROM (SELECT item_id, {_ENDED} e FROM benchmark WHERE text <> '')")
+def ended_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-13, WIN-04: periods where a capital follows a small word."""
+    return _read(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", T.add_periods(F.col("text")).alias("ended"))
+
+
+@query("SELECT source, n, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even((sum(n) OVER ()) * 0.1::DOUBLE, 0) AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)")
 def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMP-03, WIN-08."""
     return sampling.group_holdout(_read(spark, sf_dir, "documents"), "source")
 
 
-@query("WITH h AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (sum(n) OVER ()) * 0.1::DOUBLE AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)), r AS (SELECT d.*, held, row_number() OVER (PARTITION BY held ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY held) c FROM documents d JOIN h USING (source)) SELECT doc_id, CASE WHEN held THEN 'test' WHEN i <= floor(c * 0.05::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")
+@query("WITH h AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5(source || '42'), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even((sum(n) OVER ()) * 0.1::DOUBLE, 0) AS held FROM (SELECT source, count(*) n FROM documents GROUP BY source)), r AS (SELECT d.*, held, row_number() OVER (PARTITION BY held ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER () c FROM documents d JOIN h USING (source)) SELECT doc_id, CASE WHEN held THEN 'test' WHEN i <= round_even(c * 0.05::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM r")
 def leakage_free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SMP-03, SNK-08."""
+    """SMP-03."""
     return sampling.leakage_free_split(_read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "split")
 
 
+@query("SELECT split, lang, count(*) AS n FROM (SELECT lang, CASE WHEN i <= floor(c * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY lang) c FROM documents)) GROUP BY ALL")
+def written_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-08, SNK-09, PRJ-15: files by split and language, written and read again."""
+    path = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"
+    sinks.splits(sampling.stratified_split(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.9), path, "split", "lang", order=("doc_id",))
+    return corpus.counts(spark.read.parquet(path), "split", "lang").select(F.col("split").cast("string").alias("split"), F.col("lang").cast("string").alias("lang"), "n")
+
+
+@query("SELECT 'documents_' || doc_id AS id, text, 'documents' AS source FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0")
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01, SRC-02, SNK-01, FLT-06: corpus lines, written and read again; blank texts go."""
+    path = f"{scratch(spark)}/lines-{uuid.uuid4().hex}/documents.jsonl"
+    sinks.jsonl(_read(spark, sf_dir, "documents").select(F.concat(F.lit("documents_"), "doc_id").alias("id"), "text", F.lit("documents").alias("source")), path)
+    return readers.jsonl(spark, path).select("id", "text", "source")
+
+
+@query("SELECT 'fulg_' || substr(md5(text), 1, 12) AS id, length(text)::INT AS n, lang AS source_domain FROM documents WHERE length(text) >= 200 AND length(text) <= 5000 AND (CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 0.9 END) >= 0.8")
+def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-09, SRC-10: a crawl in corpus form, by language score and length."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("text").alias("raw_content"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.col("lang").alias("source_domain"), F.length("text").alias("length"), F.when(F.col("doc_id") % 7 == 0, 0.5).otherwise(0.9).alias("language_score"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return readers.crawl(docs, 0.8, 200, 5000).select("id", F.col("full_text_length").alias("n"), "source_domain")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 1000 WHEN event_id % 3 = 1 THEN event_id * 1000000 ELSE event_id END AS views, event_id // 3600 * 3600 + event_id % 3600 AS seconds, 'abcdefghijk' AS video FROM events")
+def parsed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-24, TXT-25, TXT-26: views, durations and ids of videos as sites write them."""
+    e, unit = F.col("event_id"), F.get(F.array(F.lit("K"), F.lit("M"), F.lit("")), (F.col("event_id") % 3).cast("int"))
+    clock = F.concat_ws(":", F.expr("event_id div 3600").cast("string"), F.lpad((F.expr("event_id div 60") % 60).cast("string"), 2, "0"), F.lpad((e % 60).cast("string"), 2, "0"))
+    return _read(spark, sf_dir, "events").select("event_id", T.parse_views(F.concat(e.cast("string"), unit, F.lit(" views"))).alias("views"), T.parse_duration(clock).alias("seconds"), T.video_id(F.concat(F.lit("https://youtu.be/abcdefghijk?t="), e.cast("string"))).alias("video"))
+
+
+@query("SELECT doc_id, lower(w) AS word, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'Big ' || w ELSE w END AS reply FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,}') w FROM documents) WHERE w <> ''")
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-12, TXT-30: the word of a wordy reply, and its normal form."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("w")).filter("w <> ''")
+    said = F.concat(F.lit("<think>well</think> **Răspuns:** "), F.col("w"), F.lit(", de ce nu"))
+    got = rows.select("doc_id", T.parse_single_word(said).alias("reply"))
+    return got.select("doc_id", T.normalize_prediction(F.concat(F.lit(" "), "reply", F.lit("!"))).alias("word"), F.when(F.col("reply").rlike("^[A-Z]"), F.concat(F.lit("Big "), "reply")).otherwise(F.col("reply")).alias("reply"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^a-z0-9_])the([^a-z0-9_]|$)', '\\1[MASK]\\2') AS masked FROM documents WHERE regexp_full_match(text, '[A-Za-z0-9 .,\\n]*') AND regexp_matches(text, '(?i)(^|[^a-z0-9_])the([^a-z0-9_]|$)')")
+def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-35: the first whole word masked, in texts of plain letters."""
+    rows = _read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[A-Za-z0-9 .,\n]*\z"))
+    return rows.select("doc_id", T.mask_word(F.col("text"), F.lit("the")).alias("masked")).filter("masked IS NOT NULL")
+
+
 @query("SELECT doc_id, CASE WHEN i <= floor(c * 0.95::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY source) c FROM documents)")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMP-02."""
@@ -503,16 +683,29 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n, min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS least, max(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS most FROM embeddings GROUP BY label")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC-03."""
+    """VEC-01: lengths of the vectors."""
     return _read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(vector.norm(F.col("embedding"))).alias("least"), F.max(vector.norm(F.col("embedding"))).alias("most"))
 
 
-@query(f"SELECT label AS post, count(*) AS n, max(round(similarity, 4)) AS best FROM {_NEAREST_SQL} WHERE similarity >= 0.2 GROUP BY label")
+_IP = lambda a, b: f"list_inner_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[])"
+
+
+@query(f"SELECT a.vec_id, greatest({_IP('a', 'b')} / (sqrt({_IP('a', 'a')}) * sqrt({_IP('b', 'b')})), 0.0::DOUBLE) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-03: cosines, negative ones as 0."""
+    rows = _read(spark, sf_dir, "embeddings")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w"))
+    return rows.join(other, "vec_id").select("vec_id", vector.cosine(F.col("embedding"), F.col("w"), clamp=True).alias("similarity"))
+
+
+@query(f"SELECT label AS post, count(*) AS n, max(round(similarity, 4)) AS best FROM {_NEAREST_SQL} WHERE similarity >= 0.2 AND (anchor % 2 = 0 OR anchor % 10 < 4) AND round(similarity, 4) >= 0.25 GROUP BY label")
 def grouped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC-04, AGG-24, SRT-03, FLT-10."""
     rows, anchors = _vectors(spark, sf_dir)
     near = vector.nearest_blocked(rows, anchors, "vec_id", "embedding", "vec_id").join(rows.select("vec_id", F.col("label").alias("post")), "vec_id")
-    hits = vector.group_hits(near, "post", "vec_id", "similarity", "anchor", least=0.2)
+    near = near.withColumn("pattern", F.when(F.col("anchor") % 2 == 0, "any").otherwise("noun")).withColumn("phrase", F.concat(F.lit("mi-e n"), (F.col("anchor") % 10).cast("string"), F.lit("!")))
+    hits = vector.group_hits(near, "post", "vec_id", "similarity", "phrase", "pattern", least=0.2)
+    hits = vector.valid_hits(hits, ["noun"], ["n0", "n1", "n2", "n3"], least=0.25, anchor="phrase", pattern="pattern")
     return hits.select("post", F.size("hits").cast("bigint").alias("n"), F.col("hits")[0]["confidence"].alias("best"))
 
 
@@ -523,7 +716,7 @@ def _stream_result(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame]
     """Runs a stream over events to its end, and returns its last output table from the shared folder."""
     schema = _read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = f"{mining.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -535,7 +728,7 @@ def _stream_result(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame]
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-01 to STR-05: stateful deduplication of a stream, equal to the batch form."""
+    """STR-01: stateful deduplication of a stream, equal to the batch form."""
     return _stream_result(spark, sf_dir, lambda s: crawl.first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"]), "append")
 
 
@@ -544,3 +737,15 @@ def stream_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-06: reason counts of a stream."""
     rules = [("low", F.col("value") < 10), ("click", F.col("event_type") == "click")]
     return _stream_result(spark, sf_dir, lambda s: crawl.reason_counts(s, rules), "complete")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, sum(n_chars) AS chars FROM documents WHERE n_chars >= 500")
+def collected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-02 to STR-05: files as a stream, filtered in batches, collected in two runs; the second goes on from the checkpoint."""
+    folder = f"{scratch(spark)}/collected-{uuid.uuid4().hex}"
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    docs.repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    kept = lambda df: df.filter("n_chars >= 500")
+    for most in (1, 1 << 60):
+        crawl.collect_until(crawl.file_stream(spark, f"{folder}/in", docs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), files=1), f"{folder}/out", f"{folder}/checkpoint", most, kept)
+    return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.sum("n_chars").alias("chars"))
