@@ -317,12 +317,17 @@ def _pairs(fold: Column, seeds: list[str], verbs: tuple[str, ...], conjunctions:
 
 
 def _named(fold: Column, frames: tuple[tuple[str, str], ...]) -> Column:
-    """array<struct<frame, word, context>>."""
-    context = lambda h: F.substring(fold, F.greatest(h["start"] - 39, F.lit(1)), h["end"] - h["start"] + 80)
-    found = lambda name, shape: F.transform(T.found(fold, rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), context(h).alias("context")))
+    """array<struct<frame, word, start, end>>."""
+    found = lambda name, shape: F.transform(T.found(fold, rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), h["start"].alias("start"), h["end"].alias("end")))
     return F.flatten(F.array(*[found(name, shape) for name, shape in frames]))
 
 
+def _context(fold: str, hit: str) -> Column:
+    """40 code points before and after; a column of its own, so that it costs nothing where nobody reads it."""
+    start, end = F.col(f"{hit}.start"), F.col(f"{hit}.end")
+    return F.substring(F.col(fold), F.greatest(start - 39, F.lit(1)), end - start + 80)
+
+
 def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
     """docs' columns, verb_form, x (a seed), y: verb, seed x, conjunction or comma, and any word y, on folded text."""
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
@@ -332,7 +337,8 @@ def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", ver
 def discover(docs: DataFrame, text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY) -> DataFrame:
     """docs' columns, frame, word, context (40 code points around): a row for each word that a frame names."""
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
-    return rows.select(*docs.columns, F.explode(_named(F.col("_fold"), frames)).alias("_h")).select(*docs.columns, "_h.*")
+    hits = rows.select(*docs.columns, "_fold", F.explode(_named(F.col("_fold"), frames)).alias("_h"))
+    return hits.select(*docs.columns, "_h.frame", "_h.word", _context("_fold", "_h").alias("context"))
 
 
 def mined(docs: DataFrame, seeds: list[str], text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY, verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
@@ -340,10 +346,12 @@ def mined(docs: DataFrame, seeds: list[str], text: str = "text", frames: tuple[t
     fold = F.col("_fold")
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     own = lambda h, *names: [h[n].alias(n) for n in names]
-    pairs = F.transform(_pairs(fold, seeds, verbs, conjunctions, modifier, word), lambda h: F.struct(*own(h, "verb_form", "x", "y"), *none("frame", "word", "context")))
-    named = F.transform(_named(fold, frames), lambda h: F.struct(*none("verb_form", "x", "y"), *own(h, "frame", "word", "context")))
+    places = [F.lit(None).cast("int").alias(n) for n in ("start", "end")]
+    pairs = F.transform(_pairs(fold, seeds, verbs, conjunctions, modifier, word), lambda h: F.struct(*own(h, "verb_form", "x", "y"), *none("frame", "word"), *places))
+    named = F.transform(_named(fold, frames), lambda h: F.struct(*none("verb_form", "x", "y"), *own(h, "frame", "word", "start", "end")))
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
-    return rows.select(*docs.columns, F.explode(F.concat(pairs, named)).alias("_h")).select(*docs.columns, "_h.*")
+    hits = rows.select(*docs.columns, "_fold", F.explode(F.concat(pairs, named)).alias("_h"))
+    return hits.select(*docs.columns, *[f"_h.{n}" for n in ("verb_form", "x", "y", "frame", "word")], _context("_fold", "_h").alias("context"))
 
 
 def template_table(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

@@ -56,7 +56,8 @@ _WORDS = f"(SELECT doc_id, w, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) p1
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text"))
+    docs = readers.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text"))
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:

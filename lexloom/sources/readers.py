@@ -22,6 +22,22 @@ LEXICON = "adjectives map<string,string>, nouns map<string,string>, adverbs map<
 RECORD = "id string, text string, full_context string, raw_content string, source string, split string"
 
 
+#: Bytes for each core below which a table may be a single piece of a file.
+SPLIT_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is small, as a small file may be one piece that one task reads; larger tables come in pieces enough.
+
+    For operators that work hard on each row. Only the layout changes, never the rows.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def stem() -> Column:
     """The file's name without folder and ending."""
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1)
