@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,23 +9,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch
+
 #: A word of the operators that count or shingle words: a run of anything but space and the five ASCII controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Largest side, in bytes as counted from its rows, that an operator here broadcasts by hint. Beyond it Spark joins by shuffle.
-BROADCAST_BYTES = 32 << 20
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Where it is unset, a fresh folder, but only if all tasks run in this process."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        conf = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+BROADCAST_BYTES = 8 << 20
 
 
 #: Folders that materialize has written and nothing has removed.
@@ -70,7 +58,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage in a way that outlives lost executors, makes values such as row numbers final, and gives the planner a
     true size, from which it picks broadcast or shuffle joins. The table stays until ``remove`` or until the folder is emptied.
     """
-    path = f"{scratch_root(df.sparkSession)}/lexloom/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     _written.append(path)

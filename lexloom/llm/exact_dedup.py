@@ -100,6 +100,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5: groups of equal texts among all documents."""
     return exact_duplicates(documents(spark, sf_dir))
 
 

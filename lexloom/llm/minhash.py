@@ -290,3 +290,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PER
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: near-duplicates among all documents."""
     return near_duplicates(documents(spark, sf_dir))
+
+
+#: DuckDB counts the shingles that each two documents share, without sketches or candidates.
+OP9_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5_number(array_to_string(w[i : i + 4], ' ')))) END AS s FROM words),
+alike AS (SELECT s, min(doc_id) AS head FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+held AS (SELECT head, len(s) AS n, unnest(s) AS h FROM alike),
+pairs AS (SELECT a.head AS a, b.head AS b FROM held a JOIN held b ON a.h = b.h AND a.head < b.head GROUP BY a.head, b.head, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a AS head, a AS seen FROM links UNION SELECT r.head, l.b FROM reach r JOIN links l ON r.seen = l.a),
+tops AS (SELECT head, min(seen) AS top FROM reach GROUP BY head)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(t.top, a.head, d.doc_id) AS component_id, d.doc_id = coalesce(t.top, a.head, d.doc_id) AS kept
+FROM sets d LEFT JOIN alike a ON list_sort(d.s) = a.s LEFT JOIN tops t ON t.head = a.head"""

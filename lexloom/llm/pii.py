@@ -101,27 +101,33 @@ def _scored(k: Kind, text: Column) -> Column:
     return F.transform(F.filter(spans.matches(text, k.pattern), lambda s: _confirmed(k.name, s["value"])), span)
 
 
+def _with_spans(docs: DataFrame, out: str) -> DataFrame:
+    """docs with its spans as out."""
+    names = fresh(docs.withColumn(out, F.lit(0)), *[f"_{k.name}" for k in KINDS])
+    text = text_or_empty()
+    rows = docs
+    for k, name in zip(KINDS, names, strict=True):
+        hint = F.contains(text, F.lit("@")) if k.hint == "@" else text.rlike(k.hint)
+        rows = rows.withColumn(name, F.when(hint, _scored(k, text)).otherwise(F.array().cast(SPANS)))
+    return rows.withColumn(out, F.concat(*names)).drop(*names)
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, spans for each row of docs (doc_id, text; other columns are ignored).
 
     spans: array<struct<kind, start, end, value, score>>, by kind (email, ip, card, phone, iban), then start. A null text counts as
     empty and, like any text without hits, has an empty array; rows that repeat and null doc_ids are kept as they are.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    text = F.col("text")
-    for k in KINDS:
-        hint = F.contains(text, F.lit("@")) if k.hint == "@" else text.rlike(k.hint)
-        rows = rows.withColumn(k.name, F.when(hint, _scored(k, text)).otherwise(F.array().cast(SPANS)))
-    return rows.select("doc_id", F.concat(*[k.name for k in KINDS]).alias("spans"))
+    return _with_spans(docs.select("doc_id", text_or_empty().alias("text")), "spans").select("doc_id", "spans")
 
 
 def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """docs with each span of at least that score replaced by its kind in angle brackets; spans inside others vanish with them.
 
-    Needs one row per doc_id; rows without one keep their text.
+    Each row for itself, whatever its doc_id; a null text stays null.
     """
-    id_, found_ = fresh(docs, "_id", "_spans")
-    found = find_pii(docs).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("spans").alias(found_))
+    (found_,) = fresh(docs, "_spans")
+    rows = _with_spans(docs, found_)
     order = F.array_sort(F.transform(F.filter(found_, lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = text_or_empty()
 
@@ -132,11 +138,11 @@ def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(found, F.col("doc_id") == F.col(id_), "left")
-    return joined.withColumn("text", F.when(F.size(found_) > 0, clean).otherwise(F.col("text"))).drop(id_, found_)
+    return rows.withColumn("text", F.when(F.size(found_) > 0, clean).otherwise(F.col("text"))).drop(found_)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6: personal data in all documents."""
     found = find_pii(documents(spark, sf_dir))
     counts = [F.size(spans.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(spans.joined(spans.of_kind(F.col("spans"), *BASE)).cast("binary"), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))

@@ -183,4 +183,5 @@ def keep_quality(docs: DataFrame, label_rows: DataFrame, threshold: float = THRE
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2: quality scores of all documents."""
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))

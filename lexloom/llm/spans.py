@@ -5,27 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value, part>> of all leftmost non-overlapping matches; part is the given group.
+    """array<struct<start, end, value, part>> of all leftmost non-overlapping matches; part is the given group. One scan, linear in the text.
 
-    The text between matches comes from a split by the same pattern, so a match starts after all that lies before it.
+    The two code points that the scan marks matches with are free for such use in Unicode; in a text that holds them they count as others.
     """
-    found, parts, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    pieces = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("value"), parts.alias("part"))
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,value:string,part:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,value:string,part:string>>")), F.array(span)).alias("out"))
-
-    return F.coalesce(F.aggregate(pieces, empty, step, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,end:int,value:string,part:string>>"))
-
-
-def none() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,value:string,part:string>>")
+    marked = F.contains(text, F.lit(T.MARK)) | F.contains(text, F.lit(T.PART))
+    found = T.found(F.when(marked, T.unmarked(text)).otherwise(text), pattern, *([group] if group else []))
+    value = lambda h, k: F.get(h["parts"], F.lit(k))
+    return F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), value(h, 0).alias("value"), value(h, 1 if group else 0).alias("part")))
 
 
 def joined(spans: Column) -> Column:

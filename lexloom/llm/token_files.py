@@ -4,8 +4,9 @@ A number is cut into chunks of 8 bits, lowest first. Level k holds the k-th chun
 level but the last has a bitmap with a bit per chunk that is set if the number goes on in the next level, and a rank directory: the
 set bits before every 512th. A number's chunk on level k + 1 is at the rank of its bit on level k.
 
-Layout of a file (little-endian): ``DAC1``, levels (u32), then for each level: chunks (u64), the chunks, bitmap (bytes to a multiple of
-64), directory (u64 each).
+Layout of a file: ``DAC2``, tokens and texts (u64 each, big-endian, so that SQL can read them), then, all little-endian, the end of each text
+(u64 each, counted in tokens), levels (u32), and for each level: chunks (u64), the chunks, bitmap (bytes to a multiple of 64), directory
+(u64 each).
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ END_ID = 2
 FILE_TOKENS = 1 << 18
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """ids: unsigned numbers of up to 32 bits."""
+def encode(ids: np.ndarray, lengths: list[int] | None = None) -> bytes:
+    """ids: unsigned numbers of up to 32 bits; lengths: how many of them each text has (one text if None)."""
+    ends = np.cumsum([len(ids)] if lengths is None else lengths, dtype="<u8")
+    head = b"DAC2" + struct.pack(">QQ", len(ids), len(ends)) + ends.tobytes()
     parts, rest, levels = [], ids.astype(np.uint32), 0
     while True:
         more = rest > 0xFF
@@ -41,7 +44,7 @@ def encode(ids: np.ndarray) -> bytes:
         counts = bits.reshape(-1, STEP).sum(axis=1)
         parts += [np.packbits(bits, bitorder="little").tobytes(), (np.cumsum(counts) - counts).astype("<u8").tobytes()]
         if not more.any():
-            return b"DAC1" + struct.pack("<I", levels) + b"".join(parts)
+            return head + struct.pack("<I", levels) + b"".join(parts)
         rest = rest[more] >> 8
 
 
@@ -50,9 +53,12 @@ class Reader:
 
     def __init__(self, data: bytes | memoryview):
         view = memoryview(data)
-        if bytes(view[:4]) != b"DAC1":
+        if bytes(view[:4]) != b"DAC2":
             raise ValueError("not a token file")
-        (levels,), at, self.levels = struct.unpack_from("<I", view, 4), 8, []
+        self.size, texts = struct.unpack_from(">QQ", view, 4)
+        self.ends = np.frombuffer(view, "<u8", texts, 20).astype(np.int64)
+        at = 20 + 8 * texts
+        (levels,), at, self.levels = struct.unpack_from("<I", view, at), at + 4, []
         for _ in range(levels):
             (n,) = struct.unpack_from("<Q", view, at)
             blocks = -(-n // STEP)
@@ -61,7 +67,8 @@ class Reader:
             ranks = np.frombuffer(view, "<u8", blocks, at + 8 + n + len(bitmap))
             self.levels.append((chunks, bitmap, ranks))
             at += 8 + n + len(bitmap) + 8 * blocks
-        self.size = len(self.levels[0][0])
+        if len(self.levels[0][0]) != self.size or (self.ends[-1] if texts else 0) != self.size:
+            raise ValueError("a damaged token file")
 
     @staticmethod
     def _rank(bitmap: np.ndarray, ranks: np.ndarray, i: int) -> int:
@@ -99,7 +106,7 @@ class Reader:
 def write_token_files(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int | None = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the tokens of all rows of docs (doc_id, text), in ascending doc_id order, as token files; returns the table that holds them.
 
-    The files are the binary column ``file`` of a Parquet table in the shared folder (part, number, doc_ids, lengths, file), in the
+    The files are the binary column ``file`` of a Parquet table in the shared folder (part, number, doc_ids, file), in the
     order of part and number. Null doc_ids come first; rows that repeat a doc_id follow each other, in the order of the input's rows.
     """
 
@@ -111,8 +118,8 @@ def write_token_files(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id
         def flush() -> pa.RecordBatch:
             lengths = [len(x) // encoder.dtype.itemsize for x in held]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode(np.frombuffer(b"".join(held), encoder.dtype))], pa.binary())],
-                ["part", "number", "doc_ids", "lengths", "file"],
+                [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([encode(np.frombuffer(b"".join(held), encoder.dtype), lengths)], pa.binary())],
+                ["part", "number", "doc_ids", "file"],
             )
 
         for batch in batches:
@@ -134,28 +141,33 @@ def write_token_files(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id
         .repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
     )
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(ordered.mapInArrow(run, f"part bigint, number bigint, doc_ids array<{id_kind}>, lengths array<bigint>, file binary"), "token-files")
+    return materialize(ordered.mapInArrow(run, f"part bigint, number bigint, doc_ids array<{id_kind}>, file binary"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start (tokens of all rows before), n_tokens, ids_crc32 for each row, read back from the files."""
-    totals = files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
-    base = materialize(running_base(totals, "part", "total", "base").select("part", "base"), "token-bases")
-    sizes = files.select("part", "number", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"))
+    """doc_id, start (tokens of all rows before), n_tokens, ids_crc32 for each row, read back from the files.
+
+    Lengths are those that the files hold, and starts follow from the sizes in their heads.
+    """
+    size = F.conv(F.hex(F.substring("file", 5, 8)), 16, 10).cast("bigint")
+    sizes = materialize(files.select("part", "number", size.alias("size")), "token-sizes")
+    base = materialize(running_base(sizes.groupBy("part").agg(F.sum("size").alias("total")), "part", "total", "base").select("part", "base"), "token-bases")
     inside = materialize(running_base(sizes, "number", "size", "inside", ["part"]).join(base, "part").select("part", "number", (F.col("base") + F.col("inside")).alias("start")), "token-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         for batch in batches:
-            for doc_ids, lengths, data, start in zip(*(batch.column(k) for k in range(4)), strict=True):
-                reader, n = Reader(data.as_buffer()), np.array(lengths.as_py(), np.int64)
-                ends = np.cumsum(n)
-                crc = [zlib.crc32(reader.slice(a, b)) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(ends - n + start.as_py()), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for doc_ids, data, start in zip(*(batch.column(k) for k in range(3)), strict=True):
+                reader = Reader(data.as_buffer())
+                ends = reader.ends
+                starts = np.concatenate(([0], ends[:-1]))
+                crc = [zlib.crc32(reader.slice(a, b)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(starts + start.as_py()), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    return files.join(inside, ["part", "number"]).select("doc_ids", "lengths", "file", "start").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.join(inside, ["part", "number"]).select("doc_ids", "file", "start").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: all documents written as token files and read back."""
     return read_token_files(write_token_files(documents(spark, sf_dir)))

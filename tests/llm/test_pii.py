@@ -25,7 +25,7 @@ TEXTS = [
     "", None, "plain", "mail a.b+c@ex-ample.co.uk, x@y z@w.q_r@s.t a@b.c@d.e @x.y a@@b.c é@b.de 😀 q@w.er", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.0255 12.1.1 00000000000300.1.1.1",
     "4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111 5500005555555559 4111 1111 1111 1111 1111 1111", "call +49 (30) 123-4567 or +1 2 or +12345678901234567 or ++33 1 23 45 67 89.",
     "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 not DE89370400440532013001", "ñandú 😀😀 +49 30 1234567 at 10.0.0.1 by 4111111111111111 to me@home.org",
-    "a" * 900, "1" * 900, "1-" * 900, "a." * 900 + "@", "+1" + " " * 900, "9." * 900, "a@" * 900, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6",
+    "\ufdd0 a@b.cc \ufdd1\ufdd0 10.1.2.3\ufdd0", "a" * 900, "1" * 900, "1-" * 900, "a." * 900 + "@", "+1" + " " * 900, "9." * 900, "a@" * 900, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6",
 ]
 
 
@@ -57,6 +57,8 @@ def test_scores_redaction_and_nothing(docs_of):
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean == {1: "My e-mail: <email>, or zz <ip>", 2: None, 3: "hello"}
     assert pii.find_pii(docs_of([])).collect() == []
+    twice = docs_of([(1, "a@b.cd"), (1, "x 10.0.0.1 y"), (None, "c@d.ef")], extra=True)
+    assert sorted(r.text for r in pii.redact(twice).collect()) == ["<email>", "<email>", "x <ip> y"] and pii.redact(twice).columns == twice.columns
 
 
 def secret_spans(text):

@@ -11,6 +11,7 @@ import public_tokenizers
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
+from lexloom import scratch  # noqa: E402
 from lexloom.llm import common, mixing, quality  # noqa: E402
 from tests.llm.test_minhash import brute  # noqa: E402
 
@@ -93,4 +94,4 @@ def test_shared_folder_is_needed_on_a_cluster():
         sparkContext, conf = Context(), {}
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.scratch_root(Session())
+        scratch.scratch_root(Session())

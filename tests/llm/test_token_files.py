@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -33,6 +34,17 @@ def test_round_trip(docs_of):
         at += len(ids)
 
 
+def test_texts_are_indexed_in_the_file():
+    data = token_files.encode(np.arange(1000, 1010, dtype=np.uint32), [3, 0, 7])
+    reader = token_files.Reader(data)
+    assert reader.ends.tolist() == [3, 3, 10] and reader.slice(3, 10).tolist() == list(range(1003, 1010))
+    assert token_files.Reader(token_files.encode(np.zeros(0, np.uint32), [])).size == 0
+    with pytest.raises(ValueError, match="damaged"):
+        token_files.Reader(data[:11] + b"\x0b" + data[12:])
+    with pytest.raises(ValueError, match="not a token file"):
+        token_files.Reader(b"DAC1" + data[4:])
+
+
 def test_nulls_ties_and_nothing(docs_of):
     assert token_files.read_token_files(token_files.write_token_files(docs_of([]))).collect() == []
     got = token_files.read_token_files(token_files.write_token_files(docs_of([(3, "x"), (3, "y z"), (None, "n")]))).collect()
