@@ -250,11 +250,17 @@ def mask_word(x: Column, word: Column, mask: str = MASK) -> Column:
     return F.when(F.size(gaps) > 1, mask_span(x, start, start + F.length(word), mask))
 
 
-def mask_token_with(x: Column, stem: Column, mask: str = MASK) -> Column:
-    """The first token (see TOKEN_ENDS) that holds stem replaced by mask; null without one."""
+def token_with(x: Column, stem: Column) -> Column:
+    """The first token (see TOKEN_ENDS) that holds stem; null without one."""
     token = F.regexp_substr(x, F.concat(F.lit(rf"(?U)[^{TOKEN_ENDS}]*\Q"), stem, F.lit(rf"\E[^{TOKEN_ENDS}]*")))
+    return F.when((F.length(token) > 0) & (F.length(stem) > 0), token)
+
+
+def mask_token_with(x: Column, stem: Column, mask: str = MASK) -> Column:
+    """The first token that holds stem replaced by mask; null without one."""
+    token = token_with(x, stem)
     at = F.position(token, x)
-    return F.when((F.length(token) > 0) & (F.length(stem) > 0), mask_span(x, at - 1, at - 1 + F.length(token), mask))
+    return mask_span(x, at - 1, at - 1 + F.length(token), mask)
 
 
 def centred_on_mask(x: Column, most: int = 3000, mask: str = MASK) -> Column:

@@ -152,6 +152,17 @@ def rounded_means(df: DataFrame, *values: str) -> DataFrame:
     return df.agg(*[F.bround(F.avg(v)).alias(v) for v in values])
 
 
+def light_captions(df: DataFrame, text: str = "text", seed: str = "seed_word") -> tuple[DataFrame, DataFrame]:
+    """(df with text_light and text_original, one row of counts: total, had_speaker_change, had_leading_fragment, avg_chars_before, avg_chars_after)."""
+    out = df.withColumn("text_light", T.light_caption(F.col(text), F.col(seed))).withColumn("text_original", F.col(text))
+    first = T.strip(F.col("text_original"))
+    stats = out.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.contains("text_original", F.lit(">>"))).alias("had_speaker_change"), F.count_if((first != "") & ~first.rlike(r"^\p{Lu}")).alias("had_leading_fragment"),
+        F.bround(F.avg(F.length("text_original"))).alias("avg_chars_before"), F.bround(F.avg(F.length("text_light"))).alias("avg_chars_after"),
+    )
+    return out, stats
+
+
 def language_counts(df: DataFrame, text: str, *by: str, mask: str = T.MASK) -> DataFrame:
     """n and several (rows with more than one mask) by groups."""
     masks = F.regexp_count(text, F.lit(rf"\Q{mask}\E"))

@@ -100,8 +100,8 @@ def _tail_probability(rho: float | None, n: int | None) -> float | None:
     """Two-sided p of a rank correlation, by Student's t with n - 2 degrees: a regularised incomplete beta as a continued fraction."""
     if rho is None or n is None or n < 3:
         return None
-    if abs(rho) >= 1:
-        return 0.0
+    if abs(rho) >= 1 or rho == 0:
+        return 0.0 if rho else 1.0
     a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho  # x = df / (df + t * t)
 
     def fraction(a: float, b: float, x: float) -> float:

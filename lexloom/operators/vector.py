@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import scratch
+
 #: Anchors that one block of the matrix product holds; more anchors mean more blocks, each a row of a table that meets each sentence.
 ANCHOR_BLOCK = 4096
+#: Anchors that are in memory at once; with 768 dimensions they take 400 MB.
+HELD_ANCHORS = 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,15 +36,41 @@ def cosine(a: Column, b: Column, clamp: bool = False) -> Column:
 def nearest(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str) -> DataFrame:
     """key, anchor, similarity: the most similar of anchors (anchor_key, vector, unit length) for each row; the least anchor on a tie.
 
-    Native: every row meets every anchor, and a maximum that Spark also takes before its shuffle keeps one. anchors is the query set.
+    Native: every row meets every anchor, and a maximum that Spark also takes before its shuffle keeps one. anchors is the query set, of
+    at most ANCHOR_BLOCK rows; more go to ``nearest_blocked``.
     """
+    if anchors.limit(ANCHOR_BLOCK + 1).count() > ANCHOR_BLOCK:
+        return nearest_blocked(rows, anchors, key, vector, anchor_key)
     pairs = rows.select(key, F.col(vector).alias("_v")).join(F.broadcast(anchors.select(F.col(anchor_key).alias("_a"), F.col(vector).alias("_w"))))
     scored = pairs.select(key, "_a", dot(F.col("_v"), F.col("_w")).alias("_s"))
-    return scored.groupBy(key).agg(F.max(F.struct(F.col("_s"), (-F.col("_a")).alias("_b"))).alias("_m")).select(key, (-F.col("_m._b")).alias("anchor"), F.col("_m._s").alias("similarity"))
+    return _best(scored.select(key, F.col("_a").alias("anchor"), F.col("_s").alias("similarity")), key)
+
+
+def _best(scored: DataFrame, key: str) -> DataFrame:
+    return scored.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("anchor")).alias("_b"))).alias("_m")).select(key, (-F.col("_m._b")).alias("anchor"), F.col("_m.similarity").alias("similarity"))
 
 
-def nearest_blocked(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int = ANCHOR_BLOCK) -> DataFrame:
-    """As nearest, by matrix products over Arrow batches: anchors travel as one broadcast of blocks of bounded size."""
+def nearest_blocked(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int = ANCHOR_BLOCK, held: int = HELD_ANCHORS) -> DataFrame:
+    """As nearest, by matrix products over Arrow batches: anchors travel as a broadcast of blocks.
+
+    At most held anchors are on the driver or an executor at once. If there are more, they are dealt to passes by a hash; each pass is
+    written to the shared folder, its broadcast goes, and the passes' best are compared.
+    """
+    n = anchors.count()
+    if n <= held:
+        return _pass(rows, anchors, key, vector, anchor_key, block)[0]
+    spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    passes = -(-2 * n // held)
+    for i in range(passes):
+        some = anchors.filter(F.pmod(F.xxhash64(anchor_key), F.lit(passes)) == i)
+        found, shared = _pass(rows, some, key, vector, anchor_key, block)
+        found.write.parquet(f"{folder}/pass={i}")
+        for one in shared:
+            one.destroy()
+    return _best(spark.read.parquet(folder).drop("pass"), key)
+
+
+def _pass(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int) -> tuple[DataFrame, list]:
     listed = anchors.select(anchor_key, vector).orderBy(anchor_key).collect()
     spark = rows.sparkSession
     shared = [spark.sparkContext.broadcast((np.array([r[0] for r in listed[i : i + block]]), np.array([r[1] for r in listed[i : i + block]], np.float64))) for i in range(0, len(listed), block)]
@@ -57,7 +88,8 @@ def nearest_blocked(rows: DataFrame, anchors: DataFrame, key: str, vector: str,
                 best, who = np.where(better, top, best), np.where(better, ids[at], who)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(who), pa.array(best)], [key, "anchor", "similarity"])
 
-    return rows.select(key, vector).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, anchor bigint, similarity double")
+    kind = f"{key} {rows.schema[key].dataType.simpleString()}, anchor bigint, similarity double"
+    return (rows.select(key, vector).mapInArrow(run, kind) if listed else spark.createDataFrame([], kind)), shared
 
 
 def group_hits(hits: DataFrame, post: str, sentence: str, similarity: str, *more: str, least: float = 0.75) -> DataFrame:
@@ -76,7 +108,7 @@ def valid_hits(posts: DataFrame, noun_patterns: list[str], nouns: list[str], lea
 
 def anchors_from(templates: DataFrame, words: DataFrame) -> DataFrame:
     """sentence, name, word of each template (name, phrase, noun_only) with each word (word, noun) that suits it; sentences are distinct."""
-    pairs = templates.join(F.broadcast(words), F.col("noun_only") == F.col("noun"))
+    pairs = F.broadcast(templates).join(words, F.col("noun_only") == F.col("noun"))  # templates are a fixed table of some tens of rows
     made = pairs.select(F.concat_ws(" ", "phrase", "word").alias("sentence"), "name", "word")
     return made.groupBy("sentence").agg(F.min(F.struct("name", "word")).alias("m")).select("sentence", "m.name", "m.word")
 

@@ -43,6 +43,23 @@ def stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df, as a reader returns it, with where its rows lie: _file, _block (a split's first byte), _at (order within a split)."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+
+def numbered(df: DataFrame, out: str = "_n") -> DataFrame:
+    """df (see ``placed``) with each row's number among the rows of its file, from 0, however the file is split. The place columns go.
+
+    Rows are numbered within splits; where a split begins follows from the counts of those before it.
+    """
+    sizes = df.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sizes.select("_f", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
+    within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    return df.join(heads, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn(out, F.col("_head") + within - 1).drop("_file", "_block", "_at", "_f", "_b", "_head")
+
+
 def _rows(df: DataFrame, source: str, number: Column, text: Column, split: Column, labels: Column) -> DataFrame:
     out = df.select(F.concat_ws("_", F.lit(source), number).alias("id"), text.alias("text"), F.lit(source).alias("source"), split.alias("split"), labels.alias("original_labels"))
     return out.filter(F.length(T.strip(F.col("text"))) > 0)
@@ -58,13 +75,18 @@ def _labels(**columns: Column) -> Column:
     return F.map_filter(made, lambda k, v: v.isNotNull())
 
 
-def jsonl(spark: SparkSession, path: str | list[str], sources: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Corpus lines (any of three text fields) with id by default stem and line, source by default stem; broken, blank and empty lines go."""
-    df = spark.read.schema(RECORD + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("_stem", stem()).withColumn("_line", F.monotonically_increasing_id())
+def jsonl(spark: SparkSession, path: str | list[str], sources: list[str] | None = None, most: int | None = None, triggers: tuple[str, ...] = ()) -> DataFrame:
+    """Corpus lines (any of three text fields) with id by default stem and number, source by default stem; broken, blank and empty lines go.
+
+    The number counts the file's lines that stay. triggers: substrings of which a text in lower case must hold one.
+    """
+    df = placed(spark.read.schema(RECORD + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("_stem", stem()))
     if sources:
         df = df.filter(F.col("_stem").isin(*sources))
-    out = df.filter("_corrupt_record IS NULL").select(F.coalesce("id", F.concat_ws("_", "_stem", "_line")).alias("id"), T.first_non_empty(F.col("text"), F.col("full_context"), F.col("raw_content")).alias("text"), F.coalesce("source", "_stem").alias("source"), "split")
-    out = out.filter(F.length(T.strip(F.col("text"))) > 0)
+    df = df.withColumn("text", T.first_non_empty(F.col("text"), F.col("full_context"), F.col("raw_content"))).filter(F.col("_corrupt_record").isNull() & (F.length(T.strip(F.col("text"))) > 0))
+    if triggers:
+        df = df.filter(F.reduce(F.array(*[F.contains(F.lower("text"), F.lit(t)) for t in triggers]), F.lit(False), lambda x, y: x | y))
+    out = numbered(df).select(F.coalesce("id", F.concat_ws("_", "_stem", "_n")).alias("id"), "text", F.coalesce("source", "_stem").alias("source"), "split")
     return out.limit(most) if most is not None else out
 
 
@@ -100,8 +122,7 @@ def tweets(spark: SparkSession, paths: dict[str, str], source: str = "red_v1") -
     """The row's number in its file counts from 0 and makes the id; split val is validation."""
     out = None
     for split, path in paths.items():
-        df = _csv(spark, path, TWEETS).withColumn("_at", F.monotonically_increasing_id())
-        df = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("_at")) - 1)
+        df = numbered(placed(_csv(spark, path, TWEETS)))
         name = "validation" if split == "val" else split
         rows = _rows(df, source, F.concat_ws("_", F.lit(name), F.col("_n").cast("string")), F.col("Tweet"), F.lit(name), _labels(emotion=F.col("Emotion")))
         out = rows if out is None else out.unionByName(rows)
@@ -131,7 +152,7 @@ def sentiment(spark: SparkSession, paths: dict[str, str], source: str = "ro_sent
 
 
 def forum(spark: SparkSession, path: str, source: str = "reddit_roap") -> DataFrame:
-    df = spark.read.schema(FORUM).parquet(path).withColumn("_n", F.monotonically_increasing_id())
+    df = spark.read.schema(FORUM).parquet(path).withColumn("_n", F.col("_metadata.row_index"))
     return _rows(df, source, F.col("_n").cast("string"), F.col("TEXT"), F.lit(None).cast("string"), _labels(subdialect=F.col("SUBDIALECT"), status=F.col("STATUS"), labels=F.col("LABELS"), inclination=F.col("`PERSONAL INCLINATION`")))
 
 
@@ -201,9 +222,9 @@ def affect_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniffed_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """A CSV whose separator is the commoner of comma and semicolon in its first line; columns by the first alias that is there."""
-    first = spark.read.text(path).first()
-    sep = ";" if first and first[0].count(";") > first[0].count(",") else ","
+    """A CSV whose separator is the commoner of comma and semicolon in its first 2048 characters; columns by the first alias that is there."""
+    first = "\n".join(r[0] for r in spark.read.text(path).limit(2048).collect())[:2048]
+    sep = ";" if first.count(";") > first.count(",") else ","
     df = spark.read.options(header=True, sep=sep).csv(path)
     have = {c.strip().lower(): c for c in df.columns}
     picks = {out: next((have[a.lower()] for a in names if a.lower() in have), None) for out, names in aliases.items()}
@@ -242,13 +263,18 @@ def translated(df: DataFrame, names: list[str], suffix: str = "_en") -> DataFram
     return df.withColumns(twins).drop(*[f"{c}{suffix}" for c in twins])
 
 
-def lexicon_json(spark: SparkSession, path: str) -> DataFrame:
-    """word, pos, category of a JSON object of three maps."""
+def lexicon_emotions(spark: SparkSession, path: str) -> DataFrame:
+    """word, pos, emotions of a JSON object of three maps; a word's value is a string or an array."""
     df = spark.read.schema(LEXICON).option("multiLine", True).json(path)
-    parts = [df.select(F.explode(kind), F.lit(pos).alias("pos")).select(F.col("key").alias("word"), "pos", F.col("value").alias("category")) for kind, pos in (("adjectives", "adjective"), ("nouns", "noun"), ("adverbs", "adverb"))]
+    parts = [df.select(F.explode(kind), F.lit(pos).alias("pos")).select(F.col("key").alias("word"), "pos", T.listed(F.col("value")).alias("emotions")) for kind, pos in (("adjectives", "adjective"), ("nouns", "noun"), ("adverbs", "adverb"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def lexicon_json(spark: SparkSession, path: str) -> DataFrame:
+    """word, pos, category of a JSON object of three maps; of an array the first is the category."""
+    return lexicon_emotions(spark, path).select("word", "pos", F.get("emotions", F.lit(0)).alias("category"))
+
+
 def metric_files(spark: SparkSession, path: str) -> DataFrame:
     """name and numbers of every ``*_metrics.json`` in a folder."""
     df = spark.read.schema("acc_at_1 double, acc_at_3 double, acc_at_5 double, mrr double, n bigint").option("multiLine", True).option("pathGlobFilter", "*_metrics.json").json(path)
@@ -262,6 +288,24 @@ def preferred(df: DataFrame, key: str, kind: str, order: list[str], text: str =
     return df.filter((place > 0) & (F.length(text) >= shortest)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def masked_pool(spark: SparkSession, path: str, prefix: str = "hindi") -> DataFrame:
+    """id, input, labels of a CSV (sentence, emotion_word, source): the token that holds the word is masked and is the only label.
+
+    id: prefix, the source up to its first hyphen in small letters, and the row's number in the file.
+    """
+    df = numbered(placed(_csv(spark, path, "sentence string, emotion_word string, source string")))
+    sentence, word = F.col("sentence"), F.col("emotion_word")
+    ident = F.concat_ws("_", F.lit(prefix), F.lower(F.substring_index("source", "-", 1)), F.col("_n").cast("string"))
+    return df.select(ident.alias("id"), T.mask_token_with(sentence, word).alias("input"), F.array(T.token_with(sentence, word)).alias("labels"))
+
+
+def with_cache(wanted: DataFrame, cache: DataFrame, key: str, fetch) -> DataFrame:
+    """A row of cache (key, …) for each distinct key of wanted; those that it lacks come from fetch(DataFrame of keys), in the same columns."""
+    keys = wanted.select(key).distinct()
+    missing = keys.join(cache.select(key), key, "left_anti")
+    return cache.join(keys, key, "left_semi").unionByName(fetch(missing).select(*cache.columns))
+
+
 def video_filter(views: Column, seconds: Column, least_views: int = 0, shortest: int = 0, longest: int = 0) -> Column:
     """0 turns a bound off; an unknown duration passes the shortest."""
     keep = F.lit(True)

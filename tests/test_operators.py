@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus, lexicon, metrics, models, sampling, vector
+from lexloom.operators import corpus, lexicon, metrics, mining, models, sampling, vector
 
 MATRIX = [[25, 10, 5, 4], [1, 1, 4, 4], [0, 6, 8, 15], [0, 0, 6, 16]]
 
@@ -151,3 +152,59 @@ def test_training_arrays_and_reports(spark):
     rows = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("z", 3.0), ("b", 3.0)], "m string, v double")
     assert [r.m for r in corpus.ordered(rows.select("m").distinct(), ("m", ["z", "a"])).collect()] == ["z", "a", "b"]
     assert {r.m: r.v for r in corpus.repeats_mean(rows, "m").collect()} == {"a": 2.0, "b": 2.0, "z": 3.0}
+
+
+def test_more_anchors_than_memory_holds(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())(rng.normal(size=(n, 8)))
+    rows = spark.createDataFrame(list(enumerate(unit(50))), "id bigint, v array<double>")
+    anchors = spark.createDataFrame(list(enumerate(unit(90))), "a bigint, v array<double>")
+    want = {r.id: r.anchor for r in vector.nearest(rows, anchors, "id", "v", "a").collect()}
+    for block, held in ((7, 1000), (7, 20)):
+        got = vector.nearest_blocked(rows, anchors, "id", "v", "a", block, held).collect()
+        assert {r.id: r.anchor for r in got} == want and len(got) == 50
+    assert vector.nearest_blocked(rows, anchors.limit(0), "id", "v", "a").count() == 0
+
+
+def test_ranks_and_p(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, None]
+    df = spark.createDataFrame([(i, v, i * i % 7) for i, v in enumerate(values)], "i int, v int, w int")
+    got = {r.i: r.r for r in metrics.average_rank(df, "v", "r").collect()}
+    some = [v for v in values if v is not None]
+    assert got == {i: sum(x < v for x in some) + (sum(x == v for x in some) + 1) / 2 for i, v in enumerate(values) if v is not None}
+    assert metrics._tail_probability(0.5, 12) == pytest.approx(0.0979, abs=1e-4) and metrics._tail_probability(0.9, 5) == pytest.approx(0.03739, abs=1e-4)
+    assert metrics._tail_probability(0.0, 30) == pytest.approx(1.0) and metrics._tail_probability(1.0, 9) == 0.0 and metrics._tail_probability(None, 9) is None
+    assert metrics.spearman(df, "v", "w").first().p == pytest.approx(metrics._tail_probability(metrics.spearman(df, "v", "w").first().rho, 11))
+
+
+def test_holdouts_round_half_to_even(spark):
+    """14 groups of one row at a tenth: the target is round(1.4) = 1, so one group is held out."""
+    df = spark.createDataFrame([(i, f"g{i}") for i in range(14)], "id int, g string")
+    assert sampling.group_holdout(df, "g").filter("held").count() == 1
+    split = sampling.leakage_free_split(df, "g", "id", val=0.25)
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"test": 1, "val": 4, "train": 9}
+
+
+def test_ranked_with_a_hot_group_and_nulls(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(500)], "id int, g string")
+    got = sampling.ranked(df, ["g"], "id").collect()
+    for g in ("hot", None):
+        own = sorted((r._n, hashlib.md5(f"{r.id}42".encode()).hexdigest()) for r in got if r.g == g)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [d for _, d in own] == sorted(d for _, d in own)
+
+
+def test_evidence_rules(spark):
+    """Gender must be among the co-seeds' genders, and only primary verb forms give the bonus."""
+    seeds = spark.createDataFrame([("trist", "m", ["sadness"]), ("calm", "m", ["trust"]), ("bine", None, ["joy"])], "word string, gender string, emotions array<string>")
+    pairs = spark.createDataFrame([(x, y, v) for y, v, xs in (("obosit", "ma simt", ("trist", "calm")), ("absent", "m-as simti", ("trist", "calm")), ("vesela", "ma simt", ("trist", "calm")), ("furios", "ma simt", ("bine", "bine")), ("ori", "ma simt", ("trist", "calm"))) for x in xs], "x string, y string, verb_form string")
+    got = {r.word: (r.reason, round(r.confidence, 4)) for r in mining.validate(mining.conjunction_evidence(pairs, seeds), seeds, mining.stopword_table(spark)).collect()}
+    base = 0.4 * 2 / 5 + 0.3 / 3 + 0.3 * 2 / 5
+    assert got["obosit"] == ("passed", round(base + 0.1, 4)) and got["absent"] == ("passed", round(base, 4))
+    assert got["vesela"][0] == got["furios"][0] == "gender_mismatch" and got["ori"][0] == "stopword"
+
+
+def test_light_captions(spark):
+    df = spark.createDataFrame([("e bine azi Apoi altul", "bine"), (">> unu >> Sunt bine", "bine")], "text string, seed_word string")
+    out, stats = corpus.light_captions(df)
+    assert [r.text_light for r in out.collect()] == ["e bine azi. Apoi altul.", "Sunt bine."]
+    assert tuple(stats.first()) == (2, 1, 2, 20.0, 16.0)

@@ -17,11 +17,37 @@ def write(path, text):
 def test_jsonl(spark, tmp_path):
     path = write(tmp_path / "one.jsonl", '{"id": "a", "text": "T"}\n\n{"full_context": "C", "text": ""}\nbroken\n{"raw_content": "  "}\n{"raw_content": "R", "source": "s"}\n')
     got = readers.jsonl(spark, path).collect()
-    assert [(r.text, r.source) for r in got] == [("T", "one"), ("C", "one"), ("R", "s")] and got[0].id == "a" and got[1].id.startswith("one_")
+    assert sorted((r.id, r.text, r.source) for r in got) == [("a", "T", "one"), ("one_1", "C", "one"), ("one_2", "R", "s")]
+    assert [r.id for r in readers.jsonl(spark, path, triggers=("c", "zz")).collect()] == ["one_0"]
     assert readers.jsonl(spark, path, sources=["two"]).count() == 0 and readers.jsonl(spark, path, most=1).count() == 1
     assert tuple(readers.broken_lines(spark, path).first()) == (6, 1, 1)
 
 
+def test_numbers_hang_on_no_split(spark, tmp_path):
+    """Lines of files that are read in many pieces, several files to a task."""
+    for name, n in (("long", 4000), ("short", 30)):
+        write(tmp_path / f"{name}.jsonl", "".join(f'{{"text": "{name} {i} {"x" * (i % 50)}"}}\n' for i in range(n)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in (before, "7000b"):
+            spark.conf.set(key, size)
+            got = readers.jsonl(spark, [str(tmp_path / "long.jsonl"), str(tmp_path / "short.jsonl")]).collect()
+            assert len(got) == 4030 and all(r.id == "_".join(r.text.split()[:2]) for r in got)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_masked_pool_and_cache(spark, tmp_path):
+    path = write(tmp_path / "pool.csv", 'sentence,emotion_word,source\n"वह दुखी। है",दुख,Tale-1\n"a sad day",sad,News\nnone,zzz,X\n')
+    got = [tuple(r) for r in readers.masked_pool(spark, path).orderBy("id").collect()]
+    assert got == [("hindi_news_1", "a [MASK] day", ["sad"]), ("hindi_tale_0", "वह [MASK]। है", ["दुखी"]), ("hindi_x_2", None, [None])]
+    cache = spark.createDataFrame([("a", "A"), ("z", "Z")], "id string, text string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    full = readers.with_cache(wanted, cache, "id", lambda keys: keys.withColumn("text", F.upper("id")))
+    assert sorted(map(tuple, full.collect())) == [("a", "A"), ("b", "B")]
+
+
 def test_small_corpora(spark, tmp_path):
     path = write(tmp_path / "r.json", json.dumps({"reviews": [{"index": "1", "title": "Bun", "content": "Chiar", "starRating": 5}, {"index": "2", "title": "", "content": "Doar", "starRating": 1}, {"index": "3", "title": "", "content": " "}]}))
     got = readers.reviews(spark, {"positive": path}).collect()
@@ -65,6 +91,8 @@ def test_lexical_files(spark, tmp_path):
     r = readers.sniffed_csv(spark, path, {"word": ["word", "cuvant"], "pos": ["pos"], "none": ["zzz"]}).first()
     assert tuple(r) == ("bun", "adj", None)
     path = write(tmp_path / "lex.json", json.dumps({"adjectives": {"bun": "joy"}, "nouns": {"dor": "sadness"}, "adverbs": {}}))
+    mixed = write(tmp_path / "mixed.json", '{"adjectives": {"bun": ["joy", "trust"]}, "nouns": {"dor": "sadness"}}')
+    assert sorted((r.word, r.emotions) for r in readers.lexicon_emotions(spark, mixed).collect()) == [("bun", ["joy", "trust"]), ("dor", ["sadness"])]
     assert {tuple(r) for r in readers.lexicon_json(spark, path).collect()} == {("bun", "adjective", "joy"), ("dor", "noun", "sadness")}
 
 
@@ -90,9 +118,14 @@ def test_paging(spark, tmp_path):
     for query, bodies in {"a": [full, none, full, none, none, full], "b": [full], "c": [full]}.items():
         for i, body in enumerate(bodies, 1):
             write(tmp_path / query / f"{i}.json", body)
-    spark.dataSource.register(paging.PagedSource)
-    read = spark.read.format("paged").options(folder=str(tmp_path), queries=json.dumps(["a", "b", "c", "zzz"]), done=json.dumps(["c"])).load()
+    for i, body in enumerate([full, "broken", full], 1):
+        write(tmp_path / '"mă + simt"' / f"{i}.json", body)
+    write(tmp_path / "gap" / "2.json", full)
+    read = paging.landed_pages(spark, str(tmp_path), queries=["a", "b", "c", "zzz"], done=["c"])
     assert {(r.query, r.page) for r in read.collect()} == {("a", 1), ("a", 3), ("b", 1)}
+    every = paging.landed_pages(spark, str(tmp_path), most=1)
+    assert {(r.query, r.page, r.body) for r in every.collect()} == {(q, 1, full) for q in ("a", "b", "c", '"mă + simt"')}
+    assert [p for _, p, _ in paging.pages_of("a", lambda q, p: (tmp_path / q / f"{p}.json").read_text(), 9)] == [1, 3]
 
     def failing(query, page):
         if page == 2:
