@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op9_minhash": minhash.OP9_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL, "op6_pii": pii.OP6_SQL, "op8_secrets": secrets.OP8_SQL, "op9_minhash": minhash.OP9_SQL}

@@ -265,3 +265,20 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in RULES if r.base]
     counts = [F.size(spans.of_kind(F.col("spans"), k)).cast("bigint").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(spans.joined(spans.of_kind(F.col("spans"), *base)).cast("binary"), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
+
+
+#: The rules' expressions as DuckDB's engine reads them: hexadecimal runs are whole without a look behind, as a match takes all of one.
+_SQL_PATTERNS = {r.kind: r.pattern.replace("(?<![0-9a-f])", "").replace("'", "''") for r in RULES}
+_SQL_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS rule, '{r.kind}' AS kind, unnest(v) AS v, unnest(p) AS p, unnest(g[: len(v)]) AS g, generate_subscripts(v, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{_SQL_PATTERNS[r.kind]}') AS v, regexp_extract_all(t, '{_SQL_PATTERNS[r.kind]}', {r.group}) AS p, regexp_split_to_array(t, '{_SQL_PATTERNS[r.kind]}') AS g FROM texts)"
+    for i, r in enumerate(RULES)
+)
+_SQL_KEPT = " OR ".join(f"(rule = {i} AND length(p) >= {r.least})" for i, r in enumerate(RULES))
+_SQL_BASE = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+#: DuckDB runs every rule over every text; a match starts after the gaps and matches before it.
+OP8_SQL = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({_SQL_HITS}),
+placed AS (SELECT *, (sum(length(g)) OVER w + sum(length(v)) OVER w - length(v))::BIGINT AS start FROM hits WINDOW w AS (PARTITION BY doc_id, rule ORDER BY i)),
+shown AS (SELECT *, kind || ':' || start || ':' || (start + length(v)) AS span FROM placed WHERE {_SQL_KEPT}),
+found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)}, string_agg(span, ',' ORDER BY start, rule) FILTER (WHERE kind IN ({_SQL_BASE})) AS base, string_agg(span, ',' ORDER BY start, rule) AS spans FROM shown GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in RULES if r.base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN found f USING (doc_id)"""
