@@ -117,3 +117,30 @@ def words_to_emotions(lexicons: list[DataFrame]) -> DataFrame:
     """word, emotions: the union of the sets over all lexicons (word, emotions)."""
     both = reduce(lambda a, b: a.unionByName(b), [x.select("word", "emotions") for x in lexicons])
     return both.groupBy("word").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("emotions")))).alias("emotions"))
+
+
+def affect_words(lexicon: DataFrame, synsets: DataFrame) -> DataFrame:
+    """word, pos, category of lexicon (word, pos, offset) joined to synsets (pos, off30, category); a word may have several categories."""
+    return lexicon.join(synsets.select("pos", F.col("off30").alias("offset"), "category"), ["pos", "offset"]).select("word", "pos", "category").distinct()
+
+
+def of_tags(df: DataFrame, tags: list[str], column: str = "tags") -> DataFrame:
+    """Rows of which any tag is among tags."""
+    return df.filter(F.arrays_overlap(column, F.array(*map(F.lit, tags))))
+
+
+def from_pairs(pairs: DataFrame) -> DataFrame:
+    """word, gender, emotions of pairs (masculine, feminine, emotions): a row for each form that is there; equal forms are one."""
+    forms_ = F.array(F.struct(F.col("masculine").alias("word"), F.lit("m").alias("gender")), F.struct(F.col("feminine").alias("word"), F.lit("f").alias("gender")))
+    rows = pairs.select(F.explode(forms_).alias("f"), "emotions").filter(F.col("f.word").isNotNull())
+    return rows.groupBy(F.col("f.word").alias("word")).agg(F.min("f.gender").alias("gender"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("emotions")))).alias("emotions"))
+
+
+def coverage(words: DataFrame) -> DataFrame:
+    """emotion, n: how many words (word, emotions) carry each emotion."""
+    return words.select(F.explode("emotions").alias("emotion")).groupBy("emotion").agg(F.count(F.lit(1)).alias("n"))
+
+
+def words_of(words: DataFrame, emotion: str) -> DataFrame:
+    """The words that carry an emotion."""
+    return words.filter(F.array_contains("emotions", emotion)).select("word")

@@ -160,3 +160,21 @@ def accuracy_by_frequency(df: DataFrame, train: DataFrame, label: str, correct:
     known = train.groupBy(label).agg(F.count(F.lit(1)).alias("_f"))
     rows = df.join(known, label, "left").withColumn("_f", F.coalesce("_f", F.lit(0))).withColumn("at_least", F.explode(F.array(*map(F.lit, thresholds)))).filter("_f >= at_least")
     return rows.groupBy("at_least").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("int")).alias("accuracy"))
+
+
+def padded(predictions: Column, k: int) -> Column:
+    """The first k predictions, filled up with empty strings."""
+    own = F.slice(F.coalesce(predictions, F.array().cast("array<string>")), 1, k)
+    return F.concat(own, F.array_repeat(F.lit(""), F.lit(k) - F.size(own)))
+
+
+def with_model_score(items: DataFrame, scores: DataFrame, key: str, score: str = "llm_affect_score") -> DataFrame:
+    """items with the model's score, null where it gave none; of a key's several scores the greatest."""
+    return items.join(scores.groupBy(key).agg(F.max(score).alias(score)), key, "left")
+
+
+def shares(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: total, for each condition how many rows meet it (name) and their share (name_rate); 0 of none."""
+    counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()]
+    rates = [F.coalesce(F.try_divide(F.col(name), F.col("total")), F.lit(0.0)).alias(f"{name}_rate") for name in conditions]
+    return df.agg(F.count(F.lit(1)).alias("total"), *counts).select("total", *conditions, *rates)

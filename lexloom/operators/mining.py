@@ -113,3 +113,9 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: i
         current.unionByName(new).write.parquet(f"{folder}/lexicon-{i}")
         current = spark.read.parquet(f"{folder}/lexicon-{i}")
     return current, spark.createDataFrame(history, "round int, seed_size_before int, seed_size_after int, conjunction_matches bigint, unique_candidates bigint, accepted bigint, rejected_reasons map<string,bigint>")
+
+
+def bootstrap_and_extract(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, lexicon, provenance): the rounds of ``bootstrap``, then all matches of the templates with the grown lexicon."""
+    grown, history = bootstrap(docs, seeds, stopwords, rounds)
+    return patterns.candidates(docs, patterns.with_nouns(grown), **options), grown, history

@@ -88,3 +88,20 @@ def vector_baseline(text: str = "text", label: str = "label", size: int = 50) ->
     """Mean word vectors, scaled to 0 to 1, into a linear support vector machine."""
     stages = [StringIndexer(inputCol=label, outputCol="target"), Tokenizer(inputCol=text, outputCol="words"), Word2Vec(inputCol="words", outputCol="mean", vectorSize=size, seed=42), MinMaxScaler(inputCol="mean", outputCol="features")]
     return Pipeline(stages=[*stages, LinearSVC(featuresCol="features", labelCol="target")])
+
+
+def short_name(model: Column) -> Column:
+    """A model's name without its owner."""
+    return F.substring_index(model, "/", -1)
+
+
+def with_mask_of(text: Column, mask: str, own: str = T.MASK) -> Column:
+    """text with the corpus' mask swapped for a model's."""
+    return F.replace(text, F.lit(own), F.lit(mask))
+
+
+def truncation_counts(before: DataFrame, after: DataFrame, key: str, text: str, mask: str = T.MASK) -> DataFrame:
+    """One row: rows before, rows after that still hold the mask (kept), and those of them whose text is shorter (truncated)."""
+    both = before.select(key, F.length(text).alias("_before")).join(after.select(key, F.col(text).alias("_text")), key, "left")
+    kept = F.coalesce(F.contains("_text", F.lit(mask)), F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(kept).alias("kept"), F.count_if(kept & (F.length("_text") < F.col("_before"))).alias("truncated"))

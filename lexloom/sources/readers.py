@@ -316,3 +316,9 @@ def video_filter(views: Column, seconds: Column, least_views: int = 0, shortest:
     if longest:
         keep = keep & (F.coalesce(seconds, F.lit(0)) <= longest)
     return keep
+
+
+def with_metadata(rows: DataFrame, videos: DataFrame, key: str, columns: list[str], missing: str = "unknown") -> DataFrame:
+    """rows with columns of videos (one row a key); where there is none, text columns say missing."""
+    joined = rows.join(videos.select(key, *columns), key, "left")
+    return joined.fillna(missing, subset=columns)

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.operators import corpus, lexicon, metrics, mining, models, sampling, vector
+from lexloom.sources import readers
 
 MATRIX = [[25, 10, 5, 4], [1, 1, 4, 4], [0, 6, 8, 15], [0, 0, 6, 16]]
 
@@ -208,3 +209,36 @@ def test_light_captions(spark):
     out, stats = corpus.light_captions(df)
     assert [r.text_light for r in out.collect()] == ["e bine azi. Apoi altul.", "Sunt bine."]
     assert tuple(stats.first()) == (2, 1, 2, 20.0, 16.0)
+
+
+def test_lexicon_relations(spark):
+    words = spark.createDataFrame([("bun", "adjective", 1, ["ADJ"]), ("dor", "noun", 2, ["NOUN", "X"]), ("rar", "adverb", 9, None)], "word string, pos string, offset int, tags array<string>")
+    synsets = spark.createDataFrame([("adjective", 1, "joy"), ("noun", 2, "sadness"), ("noun", 1, "fear")], "pos string, off30 int, category string")
+    assert sorted(map(tuple, lexicon.affect_words(words, synsets).collect())) == [("bun", "adjective", "joy"), ("dor", "noun", "sadness")]
+    assert [r.word for r in lexicon.of_tags(words, ["NOUN", "ADV"]).collect()] == ["dor"]
+    pairs = spark.createDataFrame([("trist", "tristă", ["sadness"]), ("calm", None, ["trust", "joy"]), ("calm", "calmă", ["trust"])], "masculine string, feminine string, emotions array<string>")
+    made = lexicon.from_pairs(pairs)
+    assert {r.word: (r.gender, r.emotions) for r in made.collect()} == {"trist": ("m", ["sadness"]), "tristă": ("f", ["sadness"]), "calm": ("m", ["joy", "trust"]), "calmă": ("f", ["trust"])}
+    assert {r.emotion: r.n for r in lexicon.coverage(made).collect()} == {"sadness": 2, "trust": 2, "joy": 1} and {r.word for r in lexicon.words_of(made, "trust").collect()} == {"calm", "calmă"}
+
+
+def test_small_joins_and_counts(spark):
+    items = spark.createDataFrame([("a",), ("b",)], "id string")
+    scores = spark.createDataFrame([("a", 2), ("a", 3)], "id string, llm_affect_score int")
+    assert sorted(map(tuple, metrics.with_model_score(items, scores, "id").collect())) == [("a", 3), ("b", None)]
+    got = items.select(metrics.padded(F.array(F.lit("x"), F.lit("y")), 3).alias("p"), metrics.padded(F.lit(None).cast("array<string>"), 1).alias("q"), models.short_name(F.lit("owner/name-7b")).alias("s"), models.with_mask_of(F.lit("a [MASK]."), "<mask>").alias("m")).first()
+    assert tuple(got) == (["x", "y", ""], [""], "name-7b", "a <mask>.")
+    assert tuple(metrics.shares(items, a=F.col("id") == "a").first()) == (2, 1, 0.5) and tuple(metrics.shares(items.limit(0), a=F.lit(True)).first()) == (0, 0, 0.0)
+    meta = spark.createDataFrame([("a", "T")], "id string, title string")
+    assert sorted(map(tuple, readers.with_metadata(items, meta, "id", ["title"]).collect())) == [("a", "T"), ("b", "unknown")]
+    before = spark.createDataFrame([(1, "long [MASK] text"), (2, "[MASK]"), (3, "gone [MASK]")], "id int, text string")
+    after = spark.createDataFrame([(1, "[MASK] text"), (2, "[MASK]"), (3, "gone")], "id int, text string")
+    assert tuple(models.truncation_counts(before, after, "id", "text").first()) == (3, 2, 1)
+
+
+def test_bootstrap_and_extract(spark):
+    docs = spark.createDataFrame([(1, "mă simt trist și obosit"), (2, "mă simt calm și obosit"), (3, "Azi sunt obosit.")], "id int, text string")
+    seeds = spark.createDataFrame([("trist", "m", ["sadness"]), ("calm", "m", ["trust"])], "word string, gender string, emotions array<string>")
+    found, grown, _ = mining.bootstrap_and_extract(docs, seeds, mining.stopword_table(spark))
+    assert {r.word for r in grown.collect()} == {"trist", "calm", "obosit"}
+    assert {(r.id, r.pattern, r.seed) for r in found.collect()} == {(1, "ma_simt_present", "trist"), (2, "ma_simt_present", "calm"), (3, "sunt_adj_present", "obosit")}
