@@ -710,6 +710,139 @@ def grouped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("post", F.size("hits").cast("bigint").alias("n"), F.col("hits")[0]["confidence"].alias("best"))
 
 
+# --- Small relations
+
+
+@query("SELECT n_name AS word, n_regionkey % 2 AS pos, r_name AS category FROM nation JOIN region ON n_regionkey % 2 = r_regionkey % 2 AND n_nationkey = r_regionkey * 5")
+def affect_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-03: a lexicon joined to categories by part of speech and offset."""
+    words = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("word"), (F.col("n_regionkey") % 2).alias("pos"), F.col("n_nationkey").alias("offset"))
+    synsets = _read(spark, sf_dir, "region").select((F.col("r_regionkey") % 2).alias("pos"), (F.col("r_regionkey") * 5).alias("off30"), F.col("r_name").alias("category"))
+    return lexicon.affect_words(words, synsets)
+
+
+@query("SELECT doc_id, max(quality) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY doc_id")
+def optional_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-09: items with a score where there is one."""
+    return metrics.with_model_score(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels"), "doc_id", "quality")
+
+
+@query("SELECT event_id, coalesce(c_name, 'unknown') AS c_name FROM events LEFT JOIN customer ON user_id = c_custkey")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-16: rows with metadata, or unknown."""
+    names = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return readers.with_metadata(_read(spark, sf_dir, "events"), names, "user_id", ["c_name"]).select("event_id", "c_name")
+
+
+_FIRST_GOLDEN = ", ".join(f"({i}, '{found[0][0]}')" for i, (_, found) in enumerate(GOLDEN) if len(found) == 1)
+
+
+@query(f"SELECT 'v' || c_custkey AS video_id, p AS pattern, 'https://www.youtube.com/watch?v=v' || c_custkey || '&t=' || c_custkey || 's' AS youtube_url FROM customer JOIN (VALUES {_FIRST_GOLDEN}) g(i, p) ON c_custkey % {len(GOLDEN)} = i")
+def subtitle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12, SRC-13: pages of a subtitle API in JSON, flattened to hits, and matched; sentences with a single match."""
+    single = F.array(*[F.lit(t if len(found) == 1 else "") for t, found in GOLDEN])
+    token = F.get(single, (F.col("c_custkey") % len(GOLDEN)).cast("int"))
+    hit = F.struct((F.col("c_custkey") + 0.5).cast("string").alias("start"), F.lit("1").alias("dur"), F.lit("").alias("ctx_before"), token.alias("token"), F.lit(" ").alias("ctx_after"))
+    video = F.struct(F.concat(F.lit("v"), "c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit("c").alias("channelName"), F.lit(5).alias("viewCount"), F.array(hit).alias("hits"))
+    pages = _read(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(video).alias("result"))).alias("body")).select(readers.parsed_page(F.col("body")).alias("p")).select("p.*")
+    return patterns.candidates(readers.subtitle_hits(pages), _states(spark), text="full_context").select("video_id", "pattern", "youtube_url")
+
+
+@query("SELECT user_id, list_filter(list_sort(list(DISTINCT event_type)), lambda x: len(list_filter(votes, lambda v: v = x)) >= 0.3::DOUBLE * len(votes)) AS voted FROM (SELECT user_id, event_type, list(event_type) OVER (PARTITION BY user_id) AS votes FROM events) GROUP BY user_id, votes")
+def voted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: the labels with a share of the votes."""
+    votes = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("v"))
+    return votes.select("user_id", mining.vote(F.col("v")).alias("voted"))
+
+
+@query("SELECT conv_id, turn, list_resize(string_split(text, ' ')[1:5], 5, '') AS words FROM conversations")
+def padded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-10: predictions filled up to a length."""
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.padded(F.split("text", " "), 5).alias("words"))
+
+
+@query("SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Za-z]{2,}$'))[1:50] AS words FROM conversations WHERE regexp_full_match(text, '[A-Za-z .,?!]*')")
+def whole_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17: tokens that are whole words."""
+    rows = _read(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"\A[A-Za-z .,?!]*\z"))
+    return rows.select("conv_id", "turn", T.whole_words(F.split("text", " ")).alias("words"))
+
+
+@query("SELECT event_id, ['a' || event_id, event_type] AS labels, 'a' || event_id || ' ' || event_type AS target FROM events")
+def literal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-02, TXT-33: list literals as arrays, and joined."""
+    literal = F.concat(F.lit("['a"), F.col("event_id").cast("string"), F.lit("', '"), F.col("event_type"), F.lit("']"))
+    return _read(spark, sf_dir, "events").select("event_id", T.literal_list(literal).alias("labels")).withColumn("target", T.supervision_target(F.col("labels")))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'v' || item_id ELSE text END AS text, text AS text_original FROM benchmark")
+def promoted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06: a variant's text in the place of the text."""
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("v"), "item_id")).otherwise("").alias("text_light"))
+    return corpus.promoted(rows, "text_light", kept="text_original").select("item_id", "text", "text_original")
+
+
+@query("SELECT doc_id, upper(source) AS shown FROM documents")
+def mapped_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-19: a costly mapping of distinct values only."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return corpus.mapped_distinct(docs, "source", lambda d: d.withColumn("shown", F.upper("source")), "shown").select("doc_id", "shown")
+
+
+@query("SELECT word, list_sort(list(DISTINCT emotion)) AS emotions FROM (SELECT lower(p_brand) word, p_name emotion FROM part WHERE p_size < 10 UNION ALL SELECT lower(p_brand), p_type FROM part WHERE p_size > 45) GROUP BY word")
+def words_to_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-31: the union of a word's emotions over lexicons."""
+    part = _read(spark, sf_dir, "part")
+    one = lambda where, c: part.filter(where).select(F.lower("p_brand").alias("word"), F.array(c).alias("emotions"))
+    return lexicon.words_to_emotions([one("p_size < 10", "p_name"), one("p_size > 45", "p_type")])
+
+
+@query("SELECT word, kind FROM (SELECT word, kind, row_number() OVER (PARTITION BY word ORDER BY prio DESC) rn FROM (SELECT DISTINCT lower(p_brand) word, 'small' kind, 0 prio FROM part WHERE p_size < 5 UNION ALL SELECT DISTINCT lower(p_brand), 'middle', 1 FROM part WHERE p_size < 25)) WHERE rn = 1")
+def overlaid_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAP-02, LEX-02: dictionaries laid over each other."""
+    part = _read(spark, sf_dir, "part")
+    some = lambda c, kind: part.filter(c).select(F.lower("p_brand").alias("word")).distinct().withColumn("kind", F.lit(kind))
+    return lexicon.overlay([some("p_size < 5", "small"), some("p_size < 25", "middle")]).select("word", "kind")
+
+
+@query("SELECT sum(length(text)) / sum(len(string_split(text, ' '))) AS fertility FROM conversations")
+def characters_a_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-29: tokens per word; characters play the tokens."""
+    rows = _read(spark, sf_dir, "conversations").select(F.filter(F.split("text", ""), lambda c: c != "").alias("tokens"), F.split("text", " ").alias("words"))
+    return T.fertility(rows, "tokens", "words")
+
+
+@query("SELECT item_id, replace(text, 'the', '<extra_id_0>') AS input, '<extra_id_0> the' AS target, 'Find the word.' AS system, text AS asked FROM benchmark")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-19, TXT-34, PRJ-09: the rows that trainers read."""
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", T.training_pair(F.col("text"), F.lit("the"), mask="the").alias("p"), T.chat(F.lit("Find the word."), F.col("text")).alias("m"))
+    return rows.select("item_id", "p.input", "p.target", F.get("m", F.lit(0))["content"].alias("system"), F.get("m", F.lit(1))["content"].alias("asked"))
+
+
+@query("SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS clean FROM benchmark WHERE regexp_full_match(text, '[ -~\\n]*')")
+def baseline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-36: texts as the classical baselines read them."""
+    return _read(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"\A[ -~\n]*\z")).select("item_id", T.baseline_clean(F.col("text")).alias("clean"))
+
+
+@query("SELECT role, avg(turn) AS turn, avg(conv_id) AS conv_id FROM conversations GROUP BY role")
+def mean_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-28: means over repeats."""
+    return corpus.repeats_mean(_read(spark, sf_dir, "conversations").select("role", "turn", "conv_id"), "role")
+
+
+@query("SELECT conv_id, CASE WHEN min(CASE role WHEN 'user' THEN 0 WHEN 'system' THEN 1 ELSE 2 END) = 0 THEN 'user' WHEN min(CASE role WHEN 'user' THEN 0 WHEN 'system' THEN 1 ELSE 2 END) = 1 THEN 'system' END AS role FROM conversations WHERE role IN ('user', 'system') AND length(text) >= 20 GROUP BY conv_id")
+def preferred_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-05, SRC-27: of each key's long enough texts the first kind in order."""
+    return readers.preferred(_read(spark, sf_dir, "conversations"), "conv_id", "role", ["user", "system"], shortest=20).select("conv_id", "role")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 1) / count(*) AS good_rate, count(*) FILTER (WHERE toxic = 1) / count(*) AS toxic_rate FROM labels")
+def label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14: counts of outcomes and their shares."""
+    return metrics.shares(_read(spark, sf_dir, "labels"), good=F.col("quality") == 1, toxic=F.col("toxic") == 1)
+
+
 # --- Streams
 
 
