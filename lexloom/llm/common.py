@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Largest side, in bytes as counted from its rows, that an operator here broadcasts by hint. Beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 8 << 20
+ENTRY_BYTES = 48
 
 
 #: Folders that materialize has written and nothing has removed.
@@ -78,8 +79,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a materialised table is small enough to be sent to every executor. Counts no more rows than the limit allows."""
-    most = limit // row_bytes
+    """Whether a materialised table is small enough to be sent to every executor. Counts no more rows than the limit allows.
+
+    row_bytes: of a row's values; its place in a hash table takes about ENTRY_BYTES more.
+    """
+    most = limit // (row_bytes + ENTRY_BYTES)
     return df.limit(most + 1).count() <= most
 
 
