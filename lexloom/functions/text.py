@@ -200,6 +200,14 @@ def centred(x: Column, word: Column, most: int) -> Column:
     return F.when(F.length(x) > most, cut).otherwise(x)
 
 
+def window_around(x: Column, part: Column, most: int = 5000, margin: int = 2400, fold: bool = False) -> Column:
+    """x, if longer than most, cut to margin code points on either side of the first hit of part (of any case with fold); without one its first most."""
+    at = F.position(F.lower(part), F.lower(x)) if fold else F.position(part, x)
+    left = F.greatest(at - 1 - margin, F.lit(0))
+    cut = F.substring(x, left + 1, at - 1 + F.length(part) + margin - left)
+    return F.when(F.length(x) <= most, x).when(at > 0, cut).otherwise(F.left(x, F.lit(most)))
+
+
 def original_word(x: Column, start: Column, normal: Column, reach: int = 50) -> Column:
     """The first word within reach of a match's start whose normal form is normal; normal itself if there is none."""
     near = F.substring(x, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)) + reach)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Fixed value: how the seed is shown to annotators.
+HIGHLIGHT = "background-color:#2dfe5f"
+
 
 def jsonl(df: DataFrame, path: str, resume: bool = False) -> None:
     df.write.mode("append" if resume else "overwrite").json(path)
@@ -33,13 +36,24 @@ def splits(df: DataFrame, path: str, *by: str, order: tuple[str, ...] = ()) -> N
     (df.sortWithinPartitions(*by, *order) if order else df).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def annotation_csv(df: DataFrame, path: str, seed: str = "seed_word") -> None:
-    """id, seed, highlighted short and full context, source; characters beyond ASCII as references."""
-    shown = lambda c, most: T.escape_non_ascii(T.wrap_first(T.centred(F.col(c), F.col(seed), most), F.col(seed), "<b>", "</b>"))
-    title = F.coalesce(*[F.col(c) for c in ("title", "video_title") if c in df.columns], F.lit(None).cast("string"))
-    full = F.concat(F.coalesce(F.concat(F.lit("<h3>"), T.escape_non_ascii(title), F.lit("</h3>")), F.lit("")), shown("text", 5000))
-    out = df.select("id", T.escape_non_ascii(F.col(seed)).alias("seed_word"), shown("matched_sentence", 2000).alias("short_context"), full.alias("full_context"), "source")
-    out.write.mode("overwrite").options(header=True, escape='"').csv(path)
+def annotation_rows(df: DataFrame, style: str = HIGHLIGHT, most: int = 5000) -> DataFrame:
+    """id, short_context, full_context, emo_term, show_inst of df (id, text, matched_sentence, seed_word, and perhaps title or video_title).
+
+    Both contexts show the first hit of the seed in a styled span; the full one is cut around the sentence and headed by the title, if
+    there is one that isn't empty. Characters beyond ASCII are references.
+    """
+    seed = F.coalesce("seed_word", F.lit(""))
+    shown = lambda x: T.wrap_first(x, seed, f'<span style="{style}">', "</span>")
+    title = T.first_non_empty(*[F.col(c) for c in ("title", "video_title") if c in df.columns], F.lit(None).cast("string"))
+    head = F.coalesce(F.concat(F.lit("<em>"), title, F.lit("</em><br><br>")), F.lit(""))
+    text = T.window_around(F.coalesce("text", F.lit("")), F.coalesce("matched_sentence", F.lit("")), most, most // 2)
+    short = F.concat(F.lit("<strong>"), shown(F.coalesce("matched_sentence", F.lit(""))), F.lit("</strong><br>"))
+    return df.select("id", T.escape_non_ascii(short).alias("short_context"), T.escape_non_ascii(F.concat(head, shown(text), F.lit("<br>"))).alias("full_context"), T.escape_non_ascii(seed).alias("emo_term"), F.lit("show").alias("show_inst"))
+
+
+def annotation_csv(df: DataFrame, path: str, style: str = HIGHLIGHT) -> None:
+    """The rows that annotators see, as CSV."""
+    annotation_rows(df, style).write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def presentation_csv(df: DataFrame, path: str) -> None:

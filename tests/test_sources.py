@@ -146,7 +146,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").first().split == "train"
     sinks.annotation_csv(df, f"{tmp_path}/a")
     r = spark.read.options(header=True, escape='"').csv(f"{tmp_path}/a").first()
-    assert r.short_context == "M&#259; simt <b>bine</b>." and r.full_context.startswith("M&#259;")
+    span = f'<span style="{sinks.HIGHLIGHT}">bine</span>'
+    assert r.short_context == f"<strong>M&#259; simt {span}.</strong><br>" and r.full_context == f"M&#259; simt {span}. &#536;i altele.<br>" and (r.emo_term, r.show_inst) == ("bine", "show")
+    long = df.withColumn("text", F.concat(F.repeat(F.lit("a"), 3000), F.lit("Mă simt bine."), F.repeat(F.lit("b"), 4000))).withColumn("title", F.lit("")).withColumn("video_title", F.lit("V"))
+    full = sinks.annotation_rows(long).first().full_context
+    assert full.startswith("<em>V</em><br><br>" + "a" * 2500 + "M&#259;") and full.endswith("." + "b" * 2500 + "<br>")
     sinks.presentation_csv(df.withColumn("input", F.col("text")), f"{tmp_path}/p")
     assert spark.read.options(header=True, escape='"').csv(f"{tmp_path}/p").first().labels == "['bine']"
     sinks.stats(corpus.counts_by_each(df, "source"), f"{tmp_path}/st")

@@ -129,3 +129,10 @@ def test_verdicts(run):
     assert tuple(run(make, 'x {"score": 1} y {"score": 2}')) == (1, None)
     verdicts = {'{"is_affective": true, "confidence": 0.9, "reasoning": "r"}': (True, 0.9, "r"), 'so: "is_affective": FALSE, "confidence": 0.25, x': (False, 0.25, "parse_error"), '"is_affective" : true': (True, 0.5, "parse_error"), " nothing ": (None, 0.0, "failed_to_parse: nothing"), '{"confidence": 1}': (None, 1.0, None)}
     assert {x: tuple(run(T.affect_verdict, x)) for x in verdicts} == verdicts
+
+
+def test_windows_around(run):
+    text = "a" * 30 + "Xy" + "b" * 30
+    cut = lambda part, fold=False: run(lambda x: T.window_around(x, L(part), 40, 5, fold), text)
+    assert cut("Xy") == "aaaaaXybbbbb" and cut("xy") == text[:40] and cut("xy", True) == "aaaaaXybbbbb" and cut("zz") == text[:40]
+    assert run(lambda x: T.window_around(x, L("aa"), 40, 5), text) == "aaaaaaa" and run(lambda x: T.window_around(x, L("q"), 99, 5), text) == text
