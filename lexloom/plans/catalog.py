@@ -521,7 +521,7 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.per_label_scores(rows, "g", "p", ["quantity", "discount"]).drop("macro_f1", "mae")
 
 
-@query(r"WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), ' ') ws FROM conversations), t AS (SELECT *, list_filter(ws, lambda x: x <> '') ts FROM w) SELECT conv_id, turn, list_contains(ts, 'the') AS one, list_contains(list_transform(list_zip(ts[:-2], ts[2:]), lambda z: z[1] || ' ' || z[2]), 'of the') AS two FROM t")
+@query(r"WITH w AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), '\s+') ws FROM conversations), t AS (SELECT *, list_filter(ws, lambda x: x <> '') ts FROM w) SELECT conv_id, turn, list_contains(ts, 'the') AS one, list_contains(list_transform(list_zip(ts[:-2], ts[2:]), lambda z: z[1] || ' ' || z[2]), 'of the') AS two FROM t")
 def held_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13, AGG-14: labels as runs of whole words."""
     rows = _read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", ""))
