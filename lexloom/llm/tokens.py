@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Words in each of the cache's two generations. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
+#: Words in each of the cache's two generations; of words without a space before them, a quarter. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
 CACHE_WORDS = 300_000
 #: Marks of words met once: only words that come again are worth a place in the cache.
 MARKS = 1 << 22
@@ -42,13 +42,14 @@ def _byte_table() -> dict[int, str]:
 class _Words(dict):
     """Ids of words, learnt when missed. Holds words met before, in two generations."""
 
-    def __init__(self, owner: WordTokenizer, lead: str):
+    def __init__(self, owner: WordTokenizer, lead: str, most: int):
         super().__init__()
+        self.most = most
         self.owner, self.lead, self.old, self.met, self.turns = owner, lead, {}, bytearray(MARKS), 0
 
     def turn(self) -> None:
         """Makes room once the younger generation is full."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
             self.turns += 1
@@ -104,7 +105,7 @@ class WordTokenizer:
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
         self.model, self.table = self.tokenizer.model, _byte_table()
         self.line = b"" if self.word_ends else self.whole(["\n"])[0]
-        self.words, self.heads, self.ends = _Words(self, "" if self.word_ends else "Ġ"), _Words(self, ""), {}
+        self.words, self.heads, self.ends = _Words(self, "" if self.word_ends else "Ġ", CACHE_WORDS), _Words(self, "", CACHE_WORDS // 4), {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

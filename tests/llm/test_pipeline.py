@@ -95,3 +95,14 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_root(Session())
+
+
+def test_arrow_batches_are_bounded(spark, docs_of):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    common.materialize(docs_of([(1, "x")]), "test")
+    assert spark.conf.get(key) == f"{common.BATCH_BYTES}b"
+    spark.conf.set(key, "1024b")
+    common.materialize(docs_of([(1, "x")]), "test")
+    assert spark.conf.get(key) == "1024b"
+    spark.conf.unset(key)
