@@ -20,7 +20,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words in each of the cache's two generations; of words without a space before them, a quarter. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 550_000
 #: Marks of words met once: only words that come again are worth a place in the cache.
 MARKS = 1 << 22
 #: Turns of the cache after which marks are taken back.
