@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -175,16 +177,81 @@ def in_order(results: DataFrame, items: DataFrame, key: str, order: str) -> Data
     return results.join(items.select(*extra), key).orderBy(order)
 
 
+#: Ranges that a pass of ``ranked_values`` cuts an interval into.
+RANGES = 1024
+
+
+def ranked_values(df: DataFrame, value: str, ranks: Callable[[int], list[int]]) -> tuple[int, dict[int, float]]:
+    """The number of rows with a value, and the values at the ranks (from 0) that ranks(number) asks for, exactly.
+
+    Each pass counts the rows of every open interval in RANGES ranges and goes on in the one that holds the rank, so what is aggregated and
+    seen by the driver is bounded by the ranks, not by the values. An interval ends as the least and greatest value of its range are equal.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    found: dict[int, float] = {}
+    open_ = {r: (low, high, r) for r in set(ranks(n))} if n else {}  # rank -> interval, and the rank within it
+    while open_:
+        found |= {r: a for r, (a, b, _) in open_.items() if a == b}
+        open_ = {r: x for r, x in open_.items() if x[0] != x[1]}
+        if not open_:
+            break
+        intervals = sorted({(a, b) for a, b, _ in open_.values()})
+        of = at = F.lit(None)
+        for i, (a, b) in enumerate(intervals):  # disjoint
+            inside = F.col("v").between(a, b)
+            part = (F.col("v") / 2 - a / 2) / (b / 2 - a / 2)
+            of, at = F.when(inside, i).otherwise(of), F.when(inside, F.least(F.floor(part * RANGES), F.lit(RANGES - 1))).otherwise(at)
+        counted = rows.select("v", of.cast("int").alias("i"), at.cast("int").alias("at")).filter("i IS NOT NULL").groupBy("i", "at").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        ranges: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: (r["i"], r["at"])):  # at most RANGES rows for each interval
+            ranges.setdefault(r["i"], []).append(r)
+        for r, (a, b, k) in list(open_.items()):
+            for x in ranges[intervals.index((a, b))]:
+                if k < x["c"]:
+                    open_[r] = (x["a"], x["b"], k)
+                    break
+                k -= x["c"]
+    return n, found
+
+
+def linear_percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Percentiles of value, between two rows by linear interpolation; see ``ranked_values``."""
+    place = lambda n, p: (n - 1) * p
+    n, at = ranked_values(df, value, lambda n: [int(x) for p in shares for x in (math.floor(place(n, p)), math.ceil(place(n, p)))])
+    if not n:
+        return [None] * len(shares)
+    return [at[math.floor(x)] + (x - math.floor(x)) * (at[math.ceil(x)] - at[math.floor(x)]) for x in (place(n, p) for p in shares)]
+
+
 def length_profile(df: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
     """One row: 5th, 50th and 95th percentile (linear) of value, and how many reach each threshold."""
-    at = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return df.agg(*[at[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))], *[F.count_if(F.col(value) >= t).alias(f"n_{i}") for i, t in enumerate(thresholds)])
+    at = linear_percentiles(df, value, [0.05, 0.5, 0.95])
+    return df.agg(*[F.lit(x).cast("double").alias(n) for n, x in zip(("p5", "p50", "p95"), at, strict=True)], *[F.count_if(F.col(value) >= t).alias(f"n_{i}") for i, t in enumerate(thresholds)])
 
 
 def hit_profile(hits: DataFrame, *post: str) -> DataFrame:
     """One row over posts: most, median and mean number of hits, and how many posts have a single one or several."""
-    n = F.col("n")
-    return counts(hits, *post).agg(F.max(n).alias("most"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.count_if(n == 1).alias("single"), F.count_if(n >= 2).alias("several"))
+    n, posts = F.col("n"), counts(hits, *post)
+    sizes = posts.groupBy("n").agg(F.count(F.lit(1)).alias("posts"))
+    (median,) = linear_percentiles(posts, "n", [0.5])
+    per = lambda c: F.coalesce(F.sum(F.when(c, F.col("posts"))), F.lit(0))
+    return sizes.agg(F.max(n).alias("most"), F.lit(median).cast("double").alias("median"), (F.sum(n * F.col("posts")) / F.sum("posts")).alias("mean"), per(n == 1).alias("single"), per(n >= 2).alias("several"))
+
+
+def capped(df: DataFrame, by: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of each key in the given order. Each task first keeps the first n of its own, so a key may be hot."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def video_plan(hits: DataFrame, videos: DataFrame, keep: Column, limit: int, query: str = "query", video: str = "video_id", channel: str = "channel_name", order: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(videos to fetch, rows by channel): of each query's hits the distinct videos in order, at most twice limit, those that keep holds for.
+
+    videos has one row a video, with what keep reads and channel. A video that several queries find counts for each of them.
+    """
+    distinct = hits.groupBy(query, video).agg(F.min(order).alias(order))
+    chosen = capped(distinct, [query], [order, video], 2 * limit).join(videos, video).filter(keep)
+    return chosen, chosen.groupBy(channel).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(query).alias("queries"))
 
 
 def neighbours(df: DataFrame, group: list[str], order: str, value: str, n: int = 2) -> DataFrame:

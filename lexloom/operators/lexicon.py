@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,3 +146,19 @@ def coverage(words: DataFrame) -> DataFrame:
 def words_of(words: DataFrame, emotion: str) -> DataFrame:
     """The words that carry an emotion."""
     return words.filter(F.array_contains("emotions", emotion)).select("word")
+
+
+def first_source(sources: list[tuple[str, Callable[[], DataFrame]]], columns: list[str]) -> tuple[str, DataFrame]:
+    """(name, rows) of the first of several sources that is there and has a row with all columns set; each is a reader, the best first.
+
+    A source that doesn't exist, can't be read, or is empty is passed over. Without any, the last one's error is raised, if it has one.
+    """
+    failed: Exception | None = None
+    for name, read in sources:
+        try:
+            rows = read().select(*columns).dropna()
+            if not rows.isEmpty():
+                return name, rows
+        except (AnalysisException, PySparkException, FileNotFoundError) as error:
+            failed = error
+    raise LookupError(f"none of {[n for n, _ in sources]} has rows") from failed

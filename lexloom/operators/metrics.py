@@ -32,6 +32,26 @@ def ranking(df: DataFrame, predictions: str, gold: str, *by: str, ks: tuple[int,
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(hit_at(p, g, k)).alias(f"acc_at_{k}") for k in ks], F.avg(reciprocal_rank(p, g)).alias("mrr"))
 
 
+def ranking_breakdowns(df: DataFrame, predictions: str, gold: str, *dimensions: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """dimension, key, n, acc_at_k, mrr: over all rows (dimension ``all``) and by each dimension, in one pass of grouping sets."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    p, g = F.col(predictions), F.col(gold)
+    named = [F.coalesce(T.non_empty(F.array_join(c, ",") if kinds[c] == "array" else F.col(c).cast("string")), F.lit("unknown")).alias(c) for c in dimensions]
+    rows = df.select(*named, *[hit_at(p, g, k).alias(f"_hit{k}") for k in ks], reciprocal_rank(p, g).alias("_rr"))
+    sets = [[F.col(d)] for d in dimensions] + [[]]
+    sums = rows.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_hit{k}").alias(f"acc_at_{k}") for k in ks], F.avg("_rr").alias("mrr"), F.grouping_id().alias("_g"))
+    name, key, full = F.lit("all"), F.lit(None).cast("string"), (1 << len(dimensions)) - 1
+    for i, d in enumerate(dimensions):
+        own = F.col("_g") == (full & ~(1 << (len(dimensions) - 1 - i)))
+        name, key = F.when(own, d).otherwise(name), F.when(own, F.col(d)).otherwise(key)
+    return sums.select(name.alias("dimension"), key.alias("key"), "n", *[f"acc_at_{k}" for k in ks], "mrr")
+
+
+def predicted(df: DataFrame, completions: str, k: int = 5, out: str = "predictions") -> DataFrame:
+    """df with the first k distinct normal forms of ranked completions, filled up with empty strings."""
+    return df.withColumn(out, padded(top_completions(F.col(completions), k), k))
+
+
 def distinct_predictions(predictions: Column, k: int) -> Column:
     """The first k distinct normal forms, in order, without empty ones."""
     return F.slice(F.filter(F.array_distinct(F.transform(predictions, lambda p: T.normalize_prediction(p))), lambda p: p != ""), 1, k)

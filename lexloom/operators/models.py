@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, MinMaxScaler, StringIndexer, Tokenizer, Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,27 +43,64 @@ def persons(df: DataFrame, parts: str, tag: Callable[[list[str]], list[int]], ou
     return df.withColumn(out, run(parts))
 
 
-def truncated(df: DataFrame, text: str, count: Callable[[str], int], most: int, split: Callable[[str], list[str]], mask: str = T.MASK) -> DataFrame:
-    """df with text cut to most tokens by dropping sentences in turn from the end and the start, never the one with the mask."""
+def completed(df: DataFrame, prompt: str, complete: Callable[[list[str]], list[list[tuple[str, float]]]], out: str = "completions") -> DataFrame:
+    """df with a model's completions of a prompt column, array<struct<text, score>>, by a hook that gets batches of prompts.
+
+    A hook that knows no scores (sampling, greedy) gives equal ones; its order then stays.
+    """
+
+    @F.pandas_udf("array<struct<text:string,score:double>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            got = complete(part.fillna("").tolist())
+            yield pd.Series([[{"text": t, "score": float(s)} for t, s in one] for one in got], index=part.index, dtype=object)
+
+    return df.withColumn(out, run(prompt))
+
+
+def drops(parts: list[str], mask: str = T.MASK) -> list[tuple[int, int]]:
+    """The runs parts[a:b] that are left after each drop in turn, from none on: the end and the start take turns, the part with the mask stays."""
+    own = next((i for i, p in enumerate(parts) if mask in p), None)
+    a, b, end, out = 0, len(parts), True, [(0, len(parts))]
+    while b - a > 1:
+        drop_end = own is None or own < b - 1
+        drop_start = own is None or own > a
+        if (end and drop_end) or not drop_start:
+            b -= 1
+        else:
+            a += 1
+        end = not end
+        out.append((a, b))
+    return out
+
+
+def truncated(df: DataFrame, text: str, count: Callable[[list[str]], list[int]], most: int, split: Callable[[str], list[str]], mask: str = T.MASK) -> DataFrame:
+    """df with text cut to most tokens by dropping sentences in turn from the end and the start, never the one with the mask.
+
+    count takes texts and gives their numbers of tokens. Which sentences go at which drop follows from the mask's place alone, so the first
+    run that fits is found by halving: a batch's texts are counted together, in as many calls as the longest has bits in its number of
+    sentences. A run within another mustn't have more tokens than it, as holds for tokenizers.
+    """
 
     @F.pandas_udf("string")
     def run(series: pd.Series) -> pd.Series:
-        def cut(x: str | None) -> str | None:
-            if x is None or count(x) <= most:
-                return x
-            parts, end = split(x), True
-            while len(parts) > 1 and count(" ".join(parts)) > most:
-                own = next((i for i, p in enumerate(parts) if mask in p), None)
-                drop_end = own is None or own < len(parts) - 1
-                drop_start = own is None or own > 0
-                if (end and drop_end) or not drop_start:
-                    parts = parts[:-1]
+        out = series.to_numpy(dtype=object, copy=True)
+        texts = [i for i, x in enumerate(out) if x is not None]
+        over = [i for i, n in zip(texts, count([out[i] for i in texts]), strict=True) if n > most]
+        parts = {i: split(out[i]) for i in over}
+        runs = {i: drops(parts[i], mask) for i in over}
+        low, high = dict.fromkeys(over, 0), {i: len(runs[i]) - 1 for i in over}  # the last run stays even if it is too long
+        shown = lambda i, k: " ".join(parts[i][slice(*runs[i][k])])
+        while open_ := [i for i in over if low[i] < high[i]]:
+            middle = {i: (low[i] + high[i]) // 2 for i in open_}
+            for i, n in zip(open_, count([shown(i, middle[i]) for i in open_]), strict=True):
+                if n <= most:
+                    high[i] = middle[i]
                 else:
-                    parts = parts[1:]
-                end = not end
-            return " ".join(parts)
-
-        return series.map(cut)
+                    low[i] = middle[i] + 1
+        for i in over:
+            out[i] = shown(i, low[i])
+        return pd.Series(out, index=series.index, dtype=object)
 
     return df.withColumn(text, run(text))
 
@@ -105,3 +142,17 @@ def truncation_counts(before: DataFrame, after: DataFrame, key: str, text: str,
     both = before.select(key, F.length(text).alias("_before")).join(after.select(key, F.col(text).alias("_text")), key, "left")
     kept = F.coalesce(F.contains("_text", F.lit(mask)), F.lit(False))
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(kept).alias("kept"), F.count_if(kept & (F.length("_text") < F.col("_before"))).alias("truncated"))
+
+
+def weights(model, words: list[str]) -> DataFrame:
+    """word, weight of a fitted linear model over counts of words (a two-class naive Bayes: log ratios; else its coefficients)."""
+    values = (model.theta.toArray()[1] - model.theta.toArray()[0]) if hasattr(model, "theta") else model.coefficients.toArray()
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame(pd.DataFrame({"word": list(words), "weight": values.astype(float)}), "word string, weight double")  # as many as the model has
+
+
+def top_words(weighed: DataFrame, known: DataFrame, k: int, out: str = "place") -> DataFrame:
+    """The k words of known (word) with the largest weight on either side, with their place: +1, +2, … and -1, -2, …"""
+    own = weighed.join(known.select("word").distinct(), "word", "left_semi")
+    side = lambda order, sign: own.orderBy(order, "word").limit(k).withColumn(out, F.lit(sign) * F.row_number().over(Window.orderBy(order, "word")))  # noqa: E731  k rows
+    return side(F.desc("weight"), 1).unionByName(side(F.asc("weight"), -1))

@@ -146,7 +146,7 @@ def with_nouns(lexicon: DataFrame, nouns: dict[str, list[str]] | None = None) ->
     return every.select("word", F.col("own").isNotNull().alias("noun"), F.coalesce("seed", F.lit(False)).alias("seed"), emotions.alias("emotions"))
 
 
-def _words(lexicon: DataFrame) -> list:
+def lexicon_words(lexicon: DataFrame) -> list:
     """The lexicon's words with any emotion; it is a parameter of the expressions, so it comes to the driver."""
     seed = F.col("seed") if "seed" in lexicon.columns else F.lit(True)
     words = lexicon.groupBy("word").agg(F.bool_or("noun").alias("noun"), F.bool_or(seed).alias("seed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("emotions")))).alias("emotions"))
@@ -174,8 +174,18 @@ def matches_of(fold: Column, words: list, templates: tuple[Template, ...] = TEMP
 
 
 def _tail(t: Template) -> str:
-    """The expression of a frame's last word."""
-    return re.split(r"\\s\+|\\s\*| ", t.frame)[-1]
+    """The expression of a frame's last word: what follows its last blank outside groups and classes."""
+    depth, cut, i = 0, 0, 0
+    while i < len(t.frame):
+        c = t.frame[i]
+        if t.frame.startswith((r"\s+", r"\s*"), i) and not depth:
+            i = cut = i + 3
+            continue
+        if c == " " and not depth:
+            cut = i + 1
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(c, 0)
+        i += 2 if c == "\\" else 1
+    return t.frame[cut:]
 
 
 def _leads(fold: Column, shape: str, reach: int) -> Column:
@@ -261,9 +271,20 @@ def find_matches(docs: DataFrame, lexicon: DataFrame, text: str = "text", templa
     templates take words with noun, others words with seed, all if there is no such column. Per document the first ``most`` matches in
     order of template and place stay (None: all). Null texts match nothing. Rows stay where they are: there is no shuffle.
     """
-    words = _words(lexicon)
+    words = lexicon_words(lexicon)
+    rows = with_hits(docs, words, text, templates, strategy, most, modifier)
+    return exploded(rows, words, docs.columns, templates=templates)
+
+
+def with_hits(docs: DataFrame, words: list, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", most: int | None = 100, modifier: str = MODIFIER) -> DataFrame:
+    """docs with _fold (the searchable text) and _hits (FOUND): every row stays, also without a match. words: see ``lexicon_words``."""
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
-    return _exploded(rows, matches_of(F.col("_fold"), words, templates, strategy, modifier, most), words, templates, docs.columns)
+    return rows.withColumn("_hits", matches_of(F.col("_fold"), words, templates, strategy, modifier, most))
+
+
+def exploded(rows: DataFrame, words: list, keep: list[str], templates: tuple[Template, ...] = TEMPLATES, **_) -> DataFrame:
+    """A row for each of _hits (see ``with_hits``), with its template and emotions."""
+    return _exploded(rows, F.col("_hits"), words, templates, keep)
 
 
 def first_match(docs: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
@@ -277,7 +298,7 @@ def candidates(docs: DataFrame, lexicon: DataFrame, key: str | None = None, text
     key: a column whose equal rows count as one document; the few rows that are left after that move by key and sentence. Without it
     each row is a document and nothing moves.
     """
-    words = _words(lexicon)
+    words = lexicon_words(lexicon)
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))
     rows = rows.withColumn("_hits", F.transform(matches_of(F.col("_fold"), words, templates, strategy, modifier, most), lambda h: h.withField("matched_sentence", T.sentence_around(F.col(text), h["start"], h["end"]))))
     # Sorted by sentence, then template and place: the first of each sentence stays.

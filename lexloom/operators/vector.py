@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import scratch
-
-#: Anchors that one block of the matrix product holds; more anchors mean more blocks, each a row of a table that meets each sentence.
+#: Anchors that one block of the matrix product holds; more anchors mean more blocks.
 ANCHOR_BLOCK = 4096
-#: Anchors that are in memory at once; with 768 dimensions they take 400 MB.
-HELD_ANCHORS = 1 << 16
+#: Rows that meet a block of anchors in a task.
+ROW_TILE = 1 << 15
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,46 +47,54 @@ def _best(scored: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("anchor")).alias("_b"))).alias("_m")).select(key, (-F.col("_m._b")).alias("anchor"), F.col("_m.similarity").alias("similarity"))
 
 
-def nearest_blocked(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int = ANCHOR_BLOCK, held: int = HELD_ANCHORS) -> DataFrame:
-    """As nearest, by matrix products over Arrow batches: anchors travel as a broadcast of blocks.
+def nearest_blocked(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int = ANCHOR_BLOCK, tile: int = ROW_TILE) -> DataFrame:
+    """As nearest, by matrix products over Arrow blocks, for any number of anchors: neither side is on the driver or in one task.
 
-    At most held anchors are on the driver or an executor at once. If there are more, they are dealt to passes by a hash; each pass is
-    written to the shared folder, its broadcast goes, and the passes' best are compared.
+    Anchors are dealt to blocks and rows to tiles by hash, and each tile meets each block in a task that holds just these two; the blocks'
+    best are compared by an aggregate. Rows travel once for each block of anchors, anchors once for each tile.
     """
-    n = anchors.count()
-    if n <= held:
-        return _pass(rows, anchors, key, vector, anchor_key, block)[0]
-    spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/nearest-{uuid.uuid4().hex}"
-    passes = -(-2 * n // held)
-    for i in range(passes):
-        some = anchors.filter(F.pmod(F.xxhash64(anchor_key), F.lit(passes)) == i)
-        found, shared = _pass(rows, some, key, vector, anchor_key, block)
-        found.write.parquet(f"{folder}/pass={i}")
-        for one in shared:
-            one.destroy()
-    return _best(spark.read.parquet(folder).drop("pass"), key)
-
-
-def _pass(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, block: int) -> tuple[DataFrame, list]:
-    listed = anchors.select(anchor_key, vector).orderBy(anchor_key).collect()
-    spark = rows.sparkSession
-    shared = [spark.sparkContext.broadcast((np.array([r[0] for r in listed[i : i + block]]), np.array([r[1] for r in listed[i : i + block]], np.float64))) for i in range(0, len(listed), block)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            best, who = np.full(len(v), -np.inf), np.zeros(len(v), np.int64)
-            for one in shared:
-                ids, m = one.value
-                s = v @ m.T
-                at = s.argmax(axis=1)
-                top = s[np.arange(len(v)), at]
-                better = top > best
-                best, who = np.where(better, top, best), np.where(better, ids[at], who)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(who), pa.array(best)], [key, "anchor", "similarity"])
-
+    n_rows, n_anchors = rows.count(), anchors.count()
     kind = f"{key} {rows.schema[key].dataType.simpleString()}, anchor bigint, similarity double"
-    return (rows.select(key, vector).mapInArrow(run, kind) if listed else spark.createDataFrame([], kind)), shared
+    if not n_anchors or not n_rows:
+        return rows.sparkSession.createDataFrame([], kind)
+    tiles, blocks = -(-n_rows // tile), -(-n_anchors // block)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.select(F.col(key).alias("_key"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("_tile"), every(blocks).alias("_block"))
+    right = anchors.select(F.col(anchor_key).cast("bigint").alias("_key"), F.col(vector).alias("_v"), every(tiles).alias("_tile"), F.pmod(F.xxhash64(anchor_key), F.lit(blocks)).cast("int").alias("_block"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([a["_key"].slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], [key, "anchor", "similarity"])
+        matrix = lambda t: t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        ids = b["_key"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        m, v = matrix(b)[order], matrix(a)
+        who, top = np.empty(len(v), np.int64), np.empty(len(v))
+        for i in range(0, len(v), 2048):
+            s = v[i : i + 2048] @ m.T
+            at = s.argmax(axis=1)
+            who[i : i + 2048], top[i : i + 2048] = ids[order][at], s[np.arange(len(s)), at]
+        return pa.table([a["_key"], pa.array(who), pa.array(top)], [key, "anchor", "similarity"])
+
+    met = left.groupBy("_tile", "_block").cogroup(right.groupBy("_tile", "_block")).applyInArrow(best, kind)
+    return _best(met, key) if blocks > 1 else met
+
+
+def post_best(rows: DataFrame, anchors: DataFrame, key: str, vector: str, anchor_key: str, post: str, least: float = 0.0) -> DataFrame:
+    """post, key, anchor, similarity: of each post's rows the one nearest to any anchor, if it is as near as least; the least key on a tie.
+
+    anchors may be mined from the corpus and so grow with it: distinct matched sentences, embedded (see ``distinct_anchors``).
+    """
+    near = nearest_blocked(rows, anchors, key, vector, anchor_key).filter(F.col("similarity") >= least)
+    own = near.join(rows.select(key, F.col(post)), key)
+    top = own.groupBy(post).agg(F.max(F.struct("similarity", (-F.col(key)).alias("_k"), (-F.col("anchor")).alias("_a"))).alias("_m"))
+    return top.select(post, (-F.col("_m._k")).alias(key), (-F.col("_m._a")).alias("anchor"), F.col("_m.similarity").alias("similarity"))
+
+
+def distinct_anchors(matches: DataFrame, sentence: str = "matched_sentence") -> DataFrame:
+    """anchor, sentence: a corpus' matched sentences, distinct by digest; anchor is a number made of the digest."""
+    digest = F.md5(F.col(sentence).cast("binary"))
+    return matches.groupBy(digest.alias("_d")).agg(F.min(sentence).alias("sentence")).select(F.conv(F.substring("_d", 1, 15), 16, 10).cast("bigint").alias("anchor"), "sentence")
 
 
 def group_hits(hits: DataFrame, post: str, sentence: str, similarity: str, *more: str, least: float = 0.75) -> DataFrame:

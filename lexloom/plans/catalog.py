@@ -32,10 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import drivers, files  # noqa: F401  they add theirs
+
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in _found.items() if s is not None}
 
 
@@ -846,18 +849,23 @@ def label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Streams
 
 
-def _stream_result(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a stream over events to its end, and returns its last output table from the shared folder."""
-    schema = _read(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+def _stream_result(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str, files: int = 4) -> DataFrame:
+    """Runs a stream over events, landed in several files, to its end, a file a batch; returns its output from the shared folder.
+
+    In complete mode each batch has all rows so far, so the last batch's are the result.
+    """
+    events, folder = _read(spark, sf_dir, "events"), f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    events.repartition(files, "event_id").write.parquet(f"{folder}/in")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    last = {"batch": -1}
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        last["batch"] = max(last["batch"], number)
 
-    run = build(events).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    run = build(crawl.file_stream(spark, f"{folder}/in", schema, files=1)).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return spark.read.parquet(f"{folder}/out/batch={last['batch']}") if mode == "complete" else spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -48,16 +48,30 @@ def placed(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
 
 
-def numbered(df: DataFrame, out: str = "_n") -> DataFrame:
-    """df (see ``placed``) with each row's number among the rows of its file, from 0, however the file is split. The place columns go.
+#: Bytes of a table of splits that is sent to all executors, and of a row of it.
+SPLITS_BYTES, SPLIT_ROW = 64 << 20, 256
 
-    Rows are numbered within splits; where a split begins follows from the counts of those before it.
+
+def _few_splits(df: DataFrame) -> bool:
+    """Whether the files behind df can be in so few splits that a row for each may be broadcast; from their sizes, before anything is read."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return (size // max(1, most) + len(df.inputFiles())) * SPLIT_ROW * 2 <= SPLITS_BYTES
+
+
+def numbered(df: DataFrame, out: str = "_n", keep: bool = False) -> DataFrame:
+    """df (see ``placed``) with each row's number among the rows of its file, from 0, however the file is split. The place columns go, unless keep.
+
+    A split's rows lie side by side in a task, so a row's number in it is its distance from the split's first row; where a split begins
+    follows from the counts of those before it. Rows don't move: they meet a table of one row per split.
     """
-    sizes = df.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sizes.select("_f", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
-    within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
-    return df.join(heads, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).withColumn(out, F.col("_head") + within - 1).drop("_file", "_block", "_at", "_f", "_b", "_head")
+    heads = sizes.select("_f", "_b", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
+    heads = F.broadcast(heads) if _few_splits(df) else heads
+    rows = df.join(heads, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")), "left").withColumn(out, F.col("_head") + F.col("_at") - F.col("_first"))
+    return rows.drop("_f", "_b", "_head", "_first", *([] if keep else ["_file", "_block", "_at"]))
 
 
 def _rows(df: DataFrame, source: str, number: Column, text: Column, split: Column, labels: Column) -> DataFrame:
@@ -78,16 +92,18 @@ def _labels(**columns: Column) -> Column:
 def jsonl(spark: SparkSession, path: str | list[str], sources: list[str] | None = None, most: int | None = None, triggers: tuple[str, ...] = ()) -> DataFrame:
     """Corpus lines (any of three text fields) with id by default stem and number, source by default stem; broken, blank and empty lines go.
 
-    The number counts the file's lines that stay. triggers: substrings of which a text in lower case must hold one.
+    The number counts the file's lines that stay. most: the first ones by file and number. triggers: substrings of which a text in lower case must hold one.
     """
-    df = placed(spark.read.schema(RECORD + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("_stem", stem()))
+    df = spark.read.schema(RECORD + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("_stem", stem())
     if sources:
         df = df.filter(F.col("_stem").isin(*sources))
     df = df.withColumn("text", T.first_non_empty(F.col("text"), F.col("full_context"), F.col("raw_content"))).filter(F.col("_corrupt_record").isNull() & (F.length(T.strip(F.col("text"))) > 0))
     if triggers:
         df = df.filter(F.reduce(F.array(*[F.contains(F.lower("text"), F.lit(t)) for t in triggers]), F.lit(False), lambda x, y: x | y))
-    out = numbered(df).select(F.coalesce("id", F.concat_ws("_", "_stem", "_n")).alias("id"), "text", F.coalesce("source", "_stem").alias("source"), "split")
-    return out.limit(most) if most is not None else out
+    rows = numbered(placed(df), keep=True)
+    if most is not None:
+        rows = rows.orderBy("_file", "_n").limit(most)
+    return rows.select(F.coalesce("id", F.concat_ws("_", "_stem", "_n")).alias("id"), "text", F.coalesce("source", "_stem").alias("source"), "split")
 
 
 def broken_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -129,7 +129,7 @@ def test_models_are_injected(spark):
     done = spark.createDataFrame([(0,)], "id int")
     got = {r.id: r.llm_affect_score for r in models.scored(df, ["id"], F.concat(F.lit("p "), "text"), lambda xs: [f"Scor: {x[-1]}" for x in xs], "m", done).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: None, 5: None}
-    cut = models.truncated(spark.createDataFrame([("a b. c d. e [MASK]. f g.",)], "text string"), "text", lambda t: len(t.split()), 4, lambda t: t.split(". ")).first().text
+    cut = models.truncated(spark.createDataFrame([("a b. c d. e [MASK]. f g.",)], "text string"), "text", lambda ts: [len(t.split()) for t in ts], 4, lambda t: t.split(". ")).first().text
     assert "[MASK]" in cut and len(cut.split()) <= 4
     v = vector.embedded(df, "text", lambda xs: np.ones((len(xs), 3))).first().embedding
     assert sum(x * x for x in v) == pytest.approx(1.0, rel=1e-5)
@@ -155,14 +155,14 @@ def test_training_arrays_and_reports(spark):
     assert {r.m: r.v for r in corpus.repeats_mean(rows, "m").collect()} == {"a": 2.0, "b": 2.0, "z": 3.0}
 
 
-def test_more_anchors_than_memory_holds(spark):
+def test_anchors_and_rows_meet_in_blocks(spark):
     rng = np.random.default_rng(1)
     unit = lambda n: (lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())(rng.normal(size=(n, 8)))
     rows = spark.createDataFrame(list(enumerate(unit(50))), "id bigint, v array<double>")
     anchors = spark.createDataFrame(list(enumerate(unit(90))), "a bigint, v array<double>")
     want = {r.id: r.anchor for r in vector.nearest(rows, anchors, "id", "v", "a").collect()}
-    for block, held in ((7, 1000), (7, 20)):
-        got = vector.nearest_blocked(rows, anchors, "id", "v", "a", block, held).collect()
+    for block, tile in ((7, 1000), (7, 20), (1000, 11)):
+        got = vector.nearest_blocked(rows, anchors, "id", "v", "a", block, tile).collect()
         assert {r.id: r.anchor for r in got} == want and len(got) == 50
     assert vector.nearest_blocked(rows, anchors.limit(0), "id", "v", "a").count() == 0
 
