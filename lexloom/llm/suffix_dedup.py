@@ -230,7 +230,7 @@ class _Chunk:
 def _rows_of(chunk: int, buckets: np.ndarray, *columns: np.ndarray) -> tuple[list, ...]:
     """One row for each run of equal buckets: bucket, chunk, and the bytes of the columns."""
     first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, np.int64)
-    ends = [*first[1:], len(buckets)]
+    ends = [*first[1:], len(buckets)][: len(first)]
     return [int(buckets[i]) for i in first], [chunk] * len(first), *[[c[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for c in columns]
 
 
@@ -339,7 +339,7 @@ def _open_phrases(span: int, bits: int, base: int, kind: str):
                 ends = np.cumsum(n + span - 1)
                 body = c.body[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - (n + span - 1)), n + span - 1)]
                 first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)]
-                stops = [*first[1:], len(bucket)]
+                stops = [*first[1:], len(bucket)][: len(first)]
                 cols = (number[row].astype("<u4"), (shift << 8 | n).astype("<u2"), (least[number[row]] - base).astype(kind))
                 rows = [(1, int(bucket[f]), c.id, *[x[f:e].tobytes() for x in cols], b"", body[ends[f] - n[f] - span + 1 : ends[e - 1]].tobytes()) for f, e in zip(first, stops, strict=True)]
                 if rows:
