@@ -200,8 +200,9 @@ def ranked_values(df: DataFrame, value: str, ranks: Callable[[int], list[int]])
         of = at = F.lit(None)
         for i, (a, b) in enumerate(intervals):  # disjoint
             inside = F.col("v").between(a, b)
-            part = (F.col("v") / 2 - a / 2) / (b / 2 - a / 2)
-            of, at = F.when(inside, i).otherwise(of), F.when(inside, F.least(F.floor(part * RANGES), F.lit(RANGES - 1))).otherwise(at)
+            part = F.floor(F.coalesce(F.try_divide(F.col("v") / 2 - a / 2, F.lit(b / 2 - a / 2)), F.lit(0.0)) * RANGES)
+            # The ends are ranges of their own, so an interval becomes smaller in every pass, however its values lie.
+            of, at = F.when(inside, i).otherwise(of), F.when(F.col("v") == a, -1).when(F.col("v") == b, RANGES).when(inside, F.least(part, F.lit(RANGES - 1))).otherwise(at)
         counted = rows.select("v", of.cast("int").alias("i"), at.cast("int").alias("at")).filter("i IS NOT NULL").groupBy("i", "at").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
         ranges: dict[int, list] = {}
         for r in sorted(counted.collect(), key=lambda r: (r["i"], r["at"])):  # at most RANGES rows for each interval

@@ -112,7 +112,7 @@ def parsed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, CASE WHEN length(text) > 120 THEN (CASE WHEN l > 0 THEN '...' ELSE '' END) || substr(text, l + 1, 120) || (CASE WHEN l + 120 < length(text) THEN '...' ELSE '' END) ELSE text END AS cut FROM (SELECT *, greatest(0, least(greatest(strpos(lower(text), 'and'), 1) - 1 + 1 - 60, length(text) - 120)) l FROM benchmark)")
 def centred_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-18, TXT-23."""
+    """TXT-23."""
     return _read(spark, sf_dir, "benchmark").select("item_id", T.centred(F.col("text"), F.lit("and"), 120).alias("cut"))
 
 
@@ -155,7 +155,7 @@ def still_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 3 = 1 AND n_chars > 3000) AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 1 AND n_chars > 3000)")
 def restricted_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-10."""
+    """JOIN-10: a third of the documents plays the test rows, the long ones of another third the training rows; the rest plays no part."""
     docs = _read(spark, sf_dir, "documents").withColumn("key", F.md5(F.col("text").cast("binary")))
     return corpus.restricted(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 1 AND n_chars > 3000"), "source", "key").select("doc_id", "source")
 
@@ -259,7 +259,7 @@ def _states(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT c_custkey AS custkey, p AS pattern, a + length(c_name) + 2 AS start, b + length(c_name) + 2 AS \"end\", s + length(c_name) + 2 AS seed_start, w AS seed FROM customer JOIN (VALUES {_GOLDEN_ROWS}) g(i, p, a, b, s, w) ON c_custkey % {len(GOLDEN)} = i")
 def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAT-01, PAT-02, PAT-04, PAT-05, PAT-06, PAT-07, LEX-01: all templates, intensifiers, an expanded lexicon and the noun table, on sentences after a customer's name."""
+    """PAT-01, PAT-02, PAT-04, PAT-05, PAT-06, PAT-07: all templates, intensifiers, an expanded lexicon and the noun table, on sentences after a customer's name."""
     texts = F.array(*[F.lit(t) for t, _ in GOLDEN])
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
     return patterns.find_matches(rows, _states(spark)).select("custkey", "pattern", "start", "end", "seed_start", "seed")
@@ -267,7 +267,7 @@ def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey % {len(GOLDEN)} AS kind, count(*) AS n, min(arg) AS pattern FROM (SELECT c_custkey, arg_min(p, i2) AS arg FROM customer JOIN (SELECT *, row_number() OVER () i2 FROM (VALUES {_GOLDEN_ROWS}) g(i, p, a, b, s, w)) ON c_custkey % {len(GOLDEN)} = i GROUP BY c_custkey) GROUP BY 1")
 def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PAT-04, PAT-05, TXT-05, TXT-06: of a sentence only the earliest template's match stays."""
+    """PAT-04, PAT-05, TXT-05: of a sentence only the earliest template's match stays."""
     texts = F.array(*[F.lit(t.replace("; ", " ").replace(" și eram", " și nu")) for t, _ in GOLDEN])
     rows = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % len(GOLDEN)).alias("kind"), F.concat("c_name", F.lit(". "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
     return patterns.candidates(rows, _states(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("pattern").alias("pattern"))
@@ -526,7 +526,7 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"WITH w AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', '', 'g'), '\s+') ws FROM conversations), t AS (SELECT *, list_filter(ws, lambda x: x <> '') ts FROM w) SELECT conv_id, turn, list_contains(ts, 'the') AS one, list_contains(list_transform(list_zip(ts[:-2], ts[2:]), lambda z: z[1] || ' ' || z[2]), 'of the') AS two FROM t")
 def held_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-13, AGG-14: labels as runs of whole words."""
+    """AGG-14: labels as runs of whole words."""
     rows = _read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", ""))
     return rows.select("conv_id", "turn", metrics.holds_label(F.col("text"), F.lit("The!")).alias("one"), metrics.holds_label(F.col("text"), F.lit("of the")).alias("two"))
 
@@ -566,7 +566,7 @@ def turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH m AS (SELECT *, min(CASE WHEN turn >= 2 AND role = 'user' THEN turn END) OVER (PARTITION BY conv_id) a, CASE WHEN role = 'assistant' THEN turn END b FROM conversations), k AS (SELECT *, max(b) FILTER (WHERE b < a) OVER (PARTITION BY conv_id) lo, min(b) FILTER (WHERE b > a) OVER (PARTITION BY conv_id) hi FROM m) SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM k WHERE a IS NOT NULL AND (lo IS NULL OR turn > lo) AND (hi IS NULL OR turn < hi) GROUP BY conv_id")
 def first_person_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-16, ML-04: the run of first-person parts around an anchor; the other role plays the second person."""
+    """TXT-16: the run of first-person parts around an anchor; the other role plays the second person."""
     turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     at = F.array_position(F.transform("t", lambda x: (x["turn"] >= 2) & (x["role"] == "user")), True)
     parts, who = F.transform("t", lambda x: x["text"]), F.transform("t", lambda x: F.when(x["role"] == "assistant", 2).otherwise(1))
@@ -628,18 +628,20 @@ def parsed_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lower(w) AS word, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'Big ' || w ELSE w END AS reply FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,}') w FROM documents) WHERE w <> ''")
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-12, TXT-30: the word of a wordy reply, and its normal form."""
+    """TXT-30: the word of a wordy reply, and its normal form."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("w")).filter("w <> ''")
     said = F.concat(F.lit("<think>well</think> **Răspuns:** "), F.col("w"), F.lit(", de ce nu"))
     got = rows.select("doc_id", T.parse_single_word(said).alias("reply"))
     return got.select("doc_id", T.normalize_prediction(F.concat(F.lit(" "), "reply", F.lit("!"))).alias("word"), F.when(F.col("reply").rlike("^[A-Z]"), F.concat(F.lit("Big "), "reply")).otherwise(F.col("reply")).alias("reply"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)(^|[^a-z0-9_])the([^a-z0-9_]|$)', '\\1[MASK]\\2') AS masked FROM documents WHERE regexp_full_match(text, '[A-Za-z0-9 .,\\n]*') AND regexp_matches(text, '(?i)(^|[^a-z0-9_])the([^a-z0-9_]|$)')")
+_EDGE = r"[^\p{L}\p{M}\p{Nd}_]"
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '(?i)(^|{_EDGE})the({_EDGE}|$)', '\\1[MASK]\\2') AS masked FROM documents WHERE regexp_matches(text, '(?i)(^|{_EDGE})the({_EDGE}|$)')")
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-35: the first whole word masked, in texts of plain letters."""
-    rows = _read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[A-Za-z0-9 .,\n]*\z"))
-    return rows.select("doc_id", T.mask_word(F.col("text"), F.lit("the")).alias("masked")).filter("masked IS NOT NULL")
+    """TXT-27: the first whole word masked."""
+    return _read(spark, sf_dir, "documents").select("doc_id", T.mask_word(F.col("text"), F.lit("the")).alias("masked")).filter("masked IS NOT NULL")
 
 
 @query("SELECT doc_id, CASE WHEN i <= floor(c * 0.95::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id) i, count(*) OVER (PARTITION BY source) c FROM documents)")
@@ -687,7 +689,7 @@ def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n, min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS least, max(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS most FROM embeddings GROUP BY label")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC-01: lengths of the vectors."""
+    """VEC-03: lengths of the vectors."""
     return _read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(vector.norm(F.col("embedding"))).alias("least"), F.max(vector.norm(F.col("embedding"))).alias("most"))
 
 
@@ -742,7 +744,7 @@ _FIRST_GOLDEN = ", ".join(f"({i}, '{found[0][0]}')" for i, (_, found) in enumera
 
 @query(f"SELECT 'v' || c_custkey AS video_id, p AS pattern, 'https://www.youtube.com/watch?v=v' || c_custkey || '&t=' || c_custkey || 's' AS youtube_url FROM customer JOIN (VALUES {_FIRST_GOLDEN}) g(i, p) ON c_custkey % {len(GOLDEN)} = i")
 def subtitle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-12, SRC-13: pages of a subtitle API in JSON, flattened to hits, and matched; sentences with a single match."""
+    """SRC-13: pages of a subtitle API in JSON, flattened to hits, and matched; sentences with a single match."""
     single = F.array(*[F.lit(t if len(found) == 1 else "") for t, found in GOLDEN])
     token = F.get(single, (F.col("c_custkey") % len(GOLDEN)).cast("int"))
     hit = F.struct((F.col("c_custkey") + 0.5).cast("string").alias("start"), F.lit("1").alias("dur"), F.lit("").alias("ctx_before"), token.alias("token"), F.lit(" ").alias("ctx_after"))
@@ -764,11 +766,10 @@ def padded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.padded(F.split("text", " "), 5).alias("words"))
 
 
-@query("SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Za-z]{2,}$'))[1:50] AS words FROM conversations WHERE regexp_full_match(text, '[A-Za-z .,?!]*')")
+@query(r"SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: regexp_matches(regexp_replace(w, '^\s+|\s+$', '', 'g'), '^\p{L}{2,}$'))[1:50] AS words FROM conversations")
 def whole_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-17: tokens that are whole words."""
-    rows = _read(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"\A[A-Za-z .,?!]*\z"))
-    return rows.select("conv_id", "turn", T.whole_words(F.split("text", " ")).alias("words"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.whole_words(F.split("text", " ")).alias("words"))
 
 
 @query("SELECT event_id, ['a' || event_id, event_type] AS labels, 'a' || event_id || ' ' || event_type AS target FROM events")
@@ -822,10 +823,10 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "p.input", "p.target", F.get("m", F.lit(0))["content"].alias("system"), F.get("m", F.lit(1))["content"].alias("asked"))
 
 
-@query("SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS clean FROM benchmark WHERE regexp_full_match(text, '[ -~\\n]*')")
+@query(r"SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS clean FROM benchmark")
 def baseline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-36: texts as the classical baselines read them."""
-    return _read(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"\A[ -~\n]*\z")).select("item_id", T.baseline_clean(F.col("text")).alias("clean"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", T.baseline_clean(F.col("text")).alias("clean"))
 
 
 @query("SELECT role, avg(turn) AS turn, avg(conv_id) AS conv_id FROM conversations GROUP BY role")

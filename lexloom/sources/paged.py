@@ -39,7 +39,9 @@ class _Pages:
         done = set(json.loads(options.get("done", "[]")))
         self.queries = [q for q in dict.fromkeys(json.loads(options["queries"])) if q not in done]
 
-    def read(self, partition: QueryPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: QueryPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark reads if there are no partitions
+            return
         held: list[tuple[str, int, str]] = []
         for page in pages_of(partition.query, self.fetch, self.most, self.empty):
             held.append(page)
