@@ -137,3 +137,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered_ids(docs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(docs with doc_id a bigint in the order of doc_ids, null for null; the table _place, _id of these numbers), for doc_ids that aren't whole numbers."""
+    (own,) = fresh(docs, "_own")
+    ids = docs.select(F.col("doc_id").alias("_id")).filter(F.col("_id").isNotNull()).distinct().orderBy("_id")
+    ids = materialize(ids.select(F.monotonically_increasing_id().alias("_place"), "_id"), label)
+    rows = docs.withColumnRenamed("doc_id", own).join(ids, F.col(own) == F.col("_id"), "left")
+    return rows.withColumn("doc_id", F.col("_place")).drop("_place", "_id", own), ids
+
+
+def named_ids(rows: DataFrame, ids: DataFrame, *names: str) -> DataFrame:
+    """rows with the numbers of ``numbered_ids`` in columns names replaced by the doc_ids they stand for."""
+    order = rows.columns
+    for name in names:
+        rows = rows.join(ids.select(F.col("_place").alias(name), F.col("_id").alias("_named")), name, "left").drop(name).withColumnRenamed("_named", name)
+    return rows.select(*order)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialize, text_or_empty
+from .common import WHOLE, documents, fresh, materialize, named_ids, numbered_ids, text_or_empty
 
 #: Where lines end, and what a sentence (or a part of one) consists of.
 CUT, FINE = r"\n+", r"[^\n.!?|]{1,256}"
@@ -256,9 +256,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. near_* is the share of distinct pieces in common, from the subtracted cells of two fingerprints. Null texts count as
-    empty; texts without pieces have an empty sketch, alike to another such one. Rows may repeat; extra columns are ignored; an empty
-    table gives an empty result.
+    empty; texts without pieces have an empty sketch, alike to another such one. doc_ids are of any type that has an order. Rows may
+    repeat; extra columns are ignored; an empty table gives an empty result.
     """
+    if dict(docs.dtypes)["doc_id"] not in WHOLE:
+        numbered, ids = numbered_ids(docs.select("doc_id", "text"), "next-places")
+        return named_ids(fingerprints(numbered), ids, "doc_id")
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", 1, F.length("text") - half), F.substring("following", 1, half)))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "pieces", "following_pieces", digests(F.col("edited")).alias("edited_pieces"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fits_broadcast, fresh, materialize, small, text_or_empty
+from .common import WHOLE, documents, fits_broadcast, fresh, materialize, named_ids, numbered_ids, small, text_or_empty
 
 WORDS = 5
 PERCENT = 85
@@ -116,7 +116,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     ["rid", "doc_id", "n_shingles", "d1", "d2", "keys"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").try_cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "rid bigint, doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
@@ -132,7 +132,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "set"])
 
     ids = F.broadcast(ids) if fits_broadcast(ids, 16) else ids
-    rows = docs.select(F.col("doc_id").cast("string").try_cast("bigint").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id bigint, set array<bigint>")
 
 
@@ -172,10 +172,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Two rows are linked if 100 * shared >= percent * all of their shingles. component_id is the least doc_id that links reach, kept
     whether that is the row's own. Rows without words (null or empty text, too) have no shingles and no links. Rows that repeat a
-    doc_id count as linked; so do rows with equal sets. doc_ids are whole numbers; a row with a null doc_id, or one that is no number,
-    has null for both and is kept. An empty table
-    gives an empty result.
+    doc_id count as linked; so do rows with equal sets. doc_ids are of any type that has an order; a row with a null doc_id has null for
+    both and is kept. An empty table gives an empty result.
     """
+    if dict(docs.dtypes)["doc_id"] not in WHOLE:
+        numbered, ids = numbered_ids(docs.select("doc_id", "text"), "near-places")
+        return named_ids(near_duplicates(numbered, words, percent), ids, "doc_id", "component_id")
     rows = materialize(_sketches(docs, words), "near-rows")
     named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Rows with equal sets are one class, named by its least doc_id; only classes with several rows are written.

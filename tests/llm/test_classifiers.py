@@ -170,3 +170,16 @@ def test_ids_that_are_no_numbers_have_no_label(spark):
     for score in (quality.quality_scores, toxicity.toxicity):
         assert sorted(str(r.doc_id) for r in score(docs, labels).collect()) == ["7", "None", "a"]
         assert score(docs.drop("lang"), labels).count() == 3
+
+
+def test_labels_by_text_ids(spark, docs_of):
+    """Text ids select the labelled documents that numbers select."""
+    rows = [(i, f"text {i}") for i in range(40)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 2)], "doc_id bigint, quality int").withColumn("quality", (quality.F.col("doc_id") % 4 == 0).cast("int"))
+    text = lambda df: df.withColumn("doc_id", df["doc_id"].cast("string"))
+    chosen = lambda docs, ls: sorted((r.text, r.y, r.fold) for r in labelled.sample(docs, ls, "quality", 1000).collect())
+    want = chosen(docs_of(rows), known)
+    assert len(want) > 10 and chosen(text(docs_of(rows)), known) == chosen(text(docs_of(rows)), text(known)) == want
+    named = docs_of(rows).withColumn("doc_id", quality.F.concat(quality.F.lit("id-"), "doc_id"))
+    labels = known.withColumn("doc_id", quality.F.concat(quality.F.lit("id-"), "doc_id"))
+    assert len(chosen(named, labels)) > 10

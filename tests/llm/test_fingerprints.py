@@ -159,3 +159,11 @@ def test_shards_hold_digests_by_their_first_bits(spark, bits):
     r = df.select("d", fp._shards(F.col("d"), F.lit(bits)).alias("s")).first()
     firsts = range(-(1 << bits >> 1), (1 << bits) + 1 >> 1)
     assert r.s == [sorted(x for x in r.d if bits == 0 or x >> (64 - bits) == i) for i in firsts]
+
+
+def test_ids_of_any_type(spark, docs_of):
+    """Text ids in the order of integers give the fingerprints that integers give."""
+    rows = [(i, f"One line {i % 3}. Another {i}.\nThird {i // 2}") for i in range(100, 130)] + [(100, "again"), (None, "null")]
+    named = spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    shown = lambda df: sorted((str(r.doc_id).lstrip("d"), *r[1:]) for r in df.collect())
+    assert shown(fp.fingerprints(named)) == shown(fp.fingerprints(docs_of(rows)))

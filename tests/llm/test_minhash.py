@@ -134,3 +134,17 @@ def test_tiles_and_shuffled_hubs_lose_no_link(docs_of, monkeypatch):
 def test_drop_on_an_empty_table(docs_of):
     df = docs_of([], extra=True)
     assert minhash.drop_near_duplicates(df).collect() == [] and minhash.drop_near_duplicates(df).columns == df.columns
+
+
+def test_ids_of_any_type(spark, docs_of):
+    """Text ids give the groups that integers give."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(5)]
+    rows = [(10 + i, " ".join(edited(rng, base[i % 5], i % 2))) for i in range(40)] + [(60, ""), (61, None)]
+    named = spark.createDataFrame([(f"id-{i}", t) for i, t in rows] + [(None, rows[0][1])], "doc_id string, text string")
+    want = {f"id-{r.doc_id}": (r.n_shingles, f"id-{r.component_id}", r.kept) for r in minhash.near_duplicates(docs_of(rows)).collect()}
+    got = minhash.near_duplicates(named).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id} == want and sum(not k for _, _, k in want.values()) > 10
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    stays = {r.doc_id for r in minhash.drop_near_duplicates(named).collect()}
+    assert stays == {i for i, (_, _, k) in want.items() if k} | {None}

@@ -78,6 +78,16 @@ def test_edges_of_all_stages(spark, docs_of):
     assert out and {r.doc_id for r in out} <= {i for i, *_ in rows}
 
 
+def test_text_ids_lose_no_stage(spark, docs_of):
+    """Near copies under text ids go, as they do under numbers."""
+    plain = [r.text for r in common.documents(spark, DATA).orderBy("doc_id").limit(30).collect()]
+    near = [" ".join([*t.split(" ")[:-1], "other"]) for t in plain if len(t.split()) > 60]
+    docs = docs_of([(1000 + i, t, "en", "s") for i, t in enumerate([*plain, *near])])
+    kept = lambda df: {str(r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()}
+    want = kept(docs)
+    assert kept(docs.withColumn("doc_id", docs["doc_id"].cast("string"))) == want and len(want) < len(plain) + len(near)
+
+
 def test_run_leaves_only_the_last_tables(spark):
     before = set(common._written)
     corpus_pipeline.run(spark, DATA).count()
