@@ -101,19 +101,31 @@ def kappa(df: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
 RANGES = 256
 
 
+def _value_ranks(sizes: DataFrame, out: str) -> DataFrame:
+    """_v and its rank, ties at their mean, of counts by value (_v, _c).
+
+    Values are cut into ranges by quantiles; what lies before a range is a number of the driver's, of RANGES at most, and a window ranks the
+    values of one range only.
+    """
+    cuts = sorted(set(sizes.select(F.percentile_approx("_v", [i / RANGES for i in range(RANGES)], 10 * RANGES)).first()[0] or []))
+    kind = sizes.schema["_v"].dataType
+    at = F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c <= F.col("_v")))
+    ranged = sizes.withColumn("_r", at)
+    heads, total = {}, 0
+    for r in sorted(ranged.groupBy("_r").agg(F.sum("_c").alias("h")).collect()):  # at most RANGES + 1 rows
+        heads[r["_r"]], total = total, total + r["h"]
+    head = F.get(F.array(*[F.lit(heads.get(i, 0)).cast("bigint") for i in range(len(cuts) + 1)]), F.col("_r"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.select("_v", (head + before + (F.col("_c") + 1) / 2).alias(out))
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the rank of a number, ties at their mean. Rows without it go.
 
     Ranks come from counts by value, and values are cut into ranges, so neither equal values nor all of them meet in one task's window.
     """
     sizes = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = sorted(set(sizes.select(F.percentile_approx("_v", [i / RANGES for i in range(RANGES)], 10 * RANGES)).first()[0] or []))
-    kind = df.schema[value].dataType
-    sizes = sizes.withColumn("_r", F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(f"array<{kind.simpleString()}>"), lambda c: c <= F.col("_v"))))
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    heads = sizes.groupBy("_r").agg(F.sum("_c").alias("_h")).select("_r", F.coalesce(F.sum("_h").over(before().orderBy("_r")), F.lit(0)).alias("_h"))
-    ranks = sizes.join(heads, "_r").select("_v", (F.col("_h") + F.coalesce(F.sum("_c").over(before("_r").orderBy("_v")), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    return df.join(_value_ranks(sizes, out), F.col(value) == F.col("_v")).drop("_v")
 
 
 def _tail_probability(rho: float | None, n: int | None) -> float | None:
@@ -141,8 +153,14 @@ def _tail_probability(rho: float | None, n: int | None) -> float | None:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, rho and its two-sided p over rows with both values; one row. p is worked out from the other two by one call."""
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    out = average_rank(average_rank(both, a, "_ra"), b, "_rb").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("rho"))
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    of = lambda c: _value_ranks(pairs.groupBy(F.col(c).alias("_v")).agg(F.sum("c").alias("_c")), f"r{c}").withColumnRenamed("_v", c)
+    # Ranks are joined to the counts of pairs; their mean is (n + 1) / 2, so what is left are two sums of squares and one of products.
+    ranked = pairs.join(of("a"), "a").join(of("b"), "b")
+    n = F.sum("c")
+    sums = ranked.agg(n.alias("n"), F.sum(F.col("c") * F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("c") * F.col("rb") * F.col("rb")).alias("bb"), F.sum(F.col("c") * F.col("ra") * F.col("rb")).alias("ab"))
+    mean = F.col("n") * (F.col("n") + 1) / 2 * ((F.col("n") + 1) / 2)
+    out = sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.col("ab") - mean, F.sqrt(F.col("aa") - mean) * F.sqrt(F.col("bb") - mean)).alias("rho"))
     return out.withColumn("p", F.udf(lambda rho, n: _tail_probability(rho, n), "double")("rho", "n"))
 
 

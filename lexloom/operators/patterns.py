@@ -232,8 +232,13 @@ def _framed_by(seeds: Column, i: int, t: Template, words: list[str], known: int)
 
 
 def _apart(hits: Column) -> Column:
-    """Matches in order without those that begin inside one that stays; seldom any does, so all are walked only then."""
-    none = F.array().cast(FOUND)
+    """Matches in order without those that begin inside one that stays."""
+    return _leftmost(hits, FOUND)
+
+
+def _leftmost(hits: Column, kind: str) -> Column:
+    """Hits (of kind, with start and end) in order without those that begin inside one that stays; seldom any does, so all are walked only then."""
+    none = F.array().cast(kind)
 
     def walk(h: Column) -> Column:
         kept = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out")))
@@ -328,13 +333,60 @@ def verify_spans(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES, m
     return out.withColumn("masked_text", T.mask_span(F.col("text"), F.col("seed_word_start"), F.col("seed_word_end"))).drop("_fold", "_shape")
 
 
+def _pair_scan(verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> tuple[str, int]:
+    """An expression that matches the empty string before each verb that begins a pair, and how many readings of the pair it captures.
+
+    A reading is four groups: the whole pair, its verb, x and y. There is one with an intensifier before x and one without; and in each x is
+    a whole word, or a word to whose end the conjunction is glued. Readings come in the order in which an alternation of known words tries them.
+    """
+    every = "|".join(verbs)
+    begins = [modifier[:-1], ""] if modifier.endswith(")?") else [modifier]
+    rest = rf"\s+{modifier}({word})"
+    readings = [rf"(?=((?:nu\s+)?({every})\s+{m}({x}){rest}))" for m in begins for x in (rf"{WORD}++)\s*,?\s*(?:{conjunctions}|,", rf"{WORD}+?)(?:{conjunctions}")]
+    any_ = rf"(?=(?:nu\s+)?(?:{every})\s+{modifier}{WORD}+?\s*,?\s*(?:{conjunctions}|,)\s+{modifier}{word})"
+    return rf"(?<!{WORD}){any_}" + "".join(f"(?:{r})?" for r in readings), len(readings)
+
+
+def _first_known(n: int, known: list[str], kind: str):
+    """Of a place's n readings (see ``_pair_scan``) the first whose x is known, as a struct of kind; null if there is none."""
+
+    def one(h: Column) -> Column:
+        part = lambda k, i: F.get(h["parts"], F.lit(4 * k + i))
+        out = F.lit(None).cast(kind)
+        for k in reversed(range(n)):
+            found = F.struct(h["start"].alias("start"), (h["start"] + F.length(part(k, 1))).alias("end"), part(k, 2).alias("verb_form"), part(k, 3).alias("x"), part(k, 4).alias("y"))
+            out = F.when(part(k, 3).isin(known), found.cast(kind)).otherwise(out)
+        return out
+
+    return one
+
+
+def _by_verb(verbs: tuple[str, ...], kind: str):
+    """Hits of several verbs, each verb's leftmost ones that don't overlap."""
+
+    def of(hits: Column, verb: str) -> Column:
+        return _leftmost(F.filter(hits, lambda h: h["verb_form"].rlike(rf"^(?:{verb})$")) if len(verbs) > 1 else hits, kind)
+
+    return lambda hits: F.flatten(F.array(*[of(hits, v) for v in verbs]))
+
+
 def _pairs(fold: Column, seeds: list[str], verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> Column:
-    """array<struct<verb_form, x, y>>."""
+    """array<struct<verb_form, x, y>>: of each verb the leftmost pairs that don't overlap, whose x is among seeds.
+
+    One scan finds the pairs of all verbs with any word as x, which is then looked up in a hash set. Verbs of which one begins another
+    are told apart by scans of their own.
+    """
+    kind = "array<struct<start:int,end:int,verb_form:string,x:string,y:string>>"
+    if not seeds or not verbs:
+        return F.array().cast("array<struct<verb_form:string,x:string,y:string>>")
+    known = sorted({*seeds})
+    apart = not any(a != b and re.match(rf"{re.escape(a)}(?:\\s|\s)", b) for a in verbs for b in verbs)
     each = []
-    for verb in verbs:
-        shape = rf"(?<!{WORD})(?:nu\s+)?({verb})\s+{modifier}({alternation(seeds)})\s*,?\s*(?:{conjunctions}|,)\s+{modifier}({word})"
-        each.append(F.transform(T.found(fold, shape, 1, 2, 3), lambda h: F.struct(F.left(h["parts"][1], F.lit(30)).alias("verb_form"), h["parts"][2].alias("x"), h["parts"][3].alias("y"))))
-    return F.flatten(F.array(*each))
+    for some in [verbs] if apart else [(v,) for v in verbs]:
+        shape, n = _pair_scan(some, conjunctions, modifier, word)
+        hits = F.filter(F.transform(T.found(fold, shape, *range(1, 4 * n + 1)), _first_known(n, known, kind[6:-1])), lambda h: h.isNotNull())
+        each.append(T.let(hits, _by_verb(some, kind)))
+    return F.transform(F.flatten(F.array(*each)), lambda h: F.struct(F.left(h["verb_form"], F.lit(30)).alias("verb_form"), h["x"].alias("x"), h["y"].alias("y")))
 
 
 def _named(fold: Column, frames: tuple[tuple[str, str], ...]) -> Column:

@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -150,3 +152,19 @@ def test_bootstrap_stops_when_no_word_is_new(spark):
     rounds = history.orderBy("round").collect()
     assert [r.accepted for r in rounds] == [1, 1, 0] and rounds[0].rejected_reasons["too_short"] == 1
     assert {r.word: r.emotions for r in found.collect()}["obosit"] == ["sadness", "trust"]
+
+
+def test_pairs_in_one_scan_equal_a_scan_for_each_verb(spark):
+    """Glued conjunctions, intensifiers that are seeds, verbs within verbs, on random texts."""
+    rng = random.Random(5)
+    words = ("ma simt", "m-am simtit", "ma", "simt", "trist", "calm", "foarte", "mai", "si", "dar si", "nu", "o sa ma simt", "sa ma simt", ",", "insa", "bine", "tristsi", "calm,", "xdar", "destul de", "asa", "tristdar", "fericit")
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(4, 60)))) for i in range(400)]
+    seeds = ["trist", "calm", "bine", "foarte", "fericit", "x"]
+    want = []
+    for verb in patterns.CONJUNCTION_VERBS:
+        shape = rf"(?<!{patterns.WORD})(?:nu\s+)?({verb})\s+{patterns.MODIFIER}({patterns.alternation(seeds)})\s*,?\s*(?:{patterns.CONJUNCTIONS}|,)\s+{patterns.MODIFIER}({patterns.WORD}+)"
+        want += [(i, m[1], m[2], m[3]) for i, t in docs for m in regex.finditer(shape, t)]
+    got = [(r.id, r.verb_form, r.x, r.y) for r in patterns.conjunction_pairs(spark.createDataFrame(docs, "id int, text string"), seeds).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 500
+    one, two = (patterns.conjunction_pairs(spark.createDataFrame([(1, "a b trist si calm")], "id int, text string"), seeds, verbs=v, modifier="").collect() for v in (("a", "a b"), ("a b",)))
+    assert [r.y for r in one] == [r.y for r in two] == ["calm"]
