@@ -13,6 +13,8 @@ DIACRITICS, FOLDED = "ăâîșțĂÂÎȘȚşţŞŢ", "aaistAAISTstST"
 # a feminine form, in order.
 FEMININE = ("a", "oasa", "easca", "ica", "ita", "ata", "uta")
 MASCULINE = ("os", "esc", "ic", "it", "at", "ut", "iu")
+# The archived miner's suffixes, feminine and masculine (folded), in order.
+ARCHIVED_ENDINGS = (("a", "ata", "ita", "uta", "oasa", "easa"), ("t", "s", "c", "l", "r", "os", "at", "it", "ut"))
 FEMININE_FORMS = (("it", 2, "ită"), ("at", 2, "ată"), ("ut", 2, "ută"), ("os", 2, "oasă"), ("nic", 2, "ică"), ("t", 1, "tă"))
 
 # Kinds of domains in order of precedence, each with the expressions that show it.
@@ -208,17 +210,22 @@ def window_around(x: Column, part: Column, most: int = 5000, margin: int = 2400,
     return F.when(F.length(x) <= most, x).when(at > 0, cut).otherwise(F.left(x, F.lit(most)))
 
 
+def prompt_context(x: Column, sentence: Column, most: int = 1200, margin: int = 500) -> Column:
+    """What a model that validates a match gets to see of a text: all of it up to most code points, else margin on either side of the sentence."""
+    return window_around(x, sentence, most, margin)
+
+
 def original_word(x: Column, start: Column, normal: Column, reach: int = 50) -> Column:
     """The first word within reach of a match's start whose normal form is normal; normal itself if there is none."""
     near = F.substring(x, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)) + reach)
     return F.coalesce(F.get(F.filter(F.regexp_extract_all(near, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: normalize(w) == normal), F.lit(0)), normal)
 
 
-def infer_gender(word: Column) -> Column:
+def infer_gender(word: Column, feminine: tuple[str, ...] = FEMININE, masculine: tuple[str, ...] = MASCULINE) -> Column:
     """f, m or null by the folded word's end; a final consonant is m."""
     w = normalize(word)
     ends = lambda suffixes: F.reduce(F.array(*[F.endswith(w, F.lit(s)) for s in suffixes]), F.lit(False), lambda a, b: a | b)
-    return F.when(ends(FEMININE), "f").when(ends(MASCULINE), "m").when((F.length(w) > 0) & ~w.rlike("[aeiou]$"), "m")
+    return F.when(ends(feminine), "f").when(ends(masculine), "m").when((F.length(w) > 0) & ~w.rlike("[aeiou]$"), "m")
 
 
 def feminine_form(lemma: Column) -> Column:

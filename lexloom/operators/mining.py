@@ -16,17 +16,36 @@ EXAMPLES = 10
 # Verb forms (folded) of which one must be among a word's for the bonus.
 PRIMARY = ("ma simt", "m-am simtit", "ma simteam", "o sa ma simt")
 # Closed-class words (folded) that are no states: pronouns, articles, prepositions, conjunctions, auxiliaries, verbs, adverbs, numerals, others.
-STOPWORDS = tuple(dict.fromkeys((
-    "eu tu el ea noi voi ei ele mine tine sine mie tie sie meu mea mei mele tau ta tai tale sau sa sai sale lor nostru noastra vostru voastra se ma te ne va imi iti ii ni vi le care ce cine unde cand cum cat cate cati "
-    "un una niste al ai ale cel cea cei cele acest aceasta acesta aceste acesti acel acea acei acele acela aceea fiecare oricare orice niciun nicio tot toata toti toate alt alta alti alte altul altceva "
-    "la de pe cu in din prin pentru fara despre peste intre pana dupa spre sub langa contra "
-    "si dar sau ori nici ca daca insa deci asadar totusi ba chiar macar oare nu da "
-    "am ai are avem aveti au sunt esti este suntem sunteti era eram erai erau fost fi fiu fii fie fim fiti pot poti poate putem puteti putea vrea vreau vrei vrem vreti vor trebuie trebui "
-    "face fac faci facem faceti facut zice zis spune spus stiu stie stim stiti cred crede credem avea aveau vin vine veni "
-    "acum apoi atunci ieri azi maine aici acolo unde doar deja inca mai foarte prea cam destul tocmai asa probabil poate "
-    "doi doua trei patru cinci "
-    "nimic nimeni nicaieri ceva asta aia"
-).split()))
+STOPWORDS = (
+    "eu", "tu", "el", "ea", "noi", "voi", "ei", "ele", "mine", "tine", "sine", "mie", "tie", "sie", "meu", "mea", "mei", "mele",
+    "tau", "ta", "tai", "tale", "sau", "sa", "sai", "sale", "lor", "nostru", "noastra", "vostru", "voastra", "se", "ma", "te", "ne", "va",
+    "imi", "iti", "ii", "ni", "vi", "le", "care", "ce", "cine", "unde", "cand", "cum", "cat", "cate", "cati",
+    "un", "una", "niste", "al", "ai", "ale", "cel", "cea", "cei", "cele", "acest", "aceasta", "acesta", "aceste", "acesti", "acel", "acea", "acei",
+    "acele", "acela", "aceea", "fiecare", "oricare", "orice", "niciun", "nicio", "tot", "toata", "toti", "toate", "alt", "alta", "alti", "alte", "altul", "altceva",
+    "la", "de", "pe", "cu", "in", "din", "prin", "pentru", "fara", "despre", "peste", "intre", "pana", "dupa", "spre", "sub", "langa", "contra",
+    "si", "dar", "ori", "nici", "ca", "daca", "insa", "deci", "asadar", "totusi", "ba", "chiar", "macar", "oare", "nu", "da",
+    "am", "are", "avem", "aveti", "au", "sunt", "esti", "este", "suntem", "sunteti", "era", "eram", "erai", "erau", "fost", "fi", "fiu", "fii",
+    "fie", "fim", "fiti", "pot", "poti", "poate", "putem", "puteti", "putea", "vrea", "vreau", "vrei", "vrem", "vreti", "vor", "trebuie", "trebui",
+    "face", "fac", "faci", "facem", "faceti", "facut", "zice", "zis", "spune", "spus", "stiu", "stie", "stim", "stiti", "cred", "crede", "credem", "avea",
+    "aveau", "vin", "vine", "veni",
+    "acum", "apoi", "atunci", "ieri", "azi", "maine", "aici", "acolo", "doar", "deja", "inca", "mai", "foarte", "prea", "cam", "destul", "tocmai", "asa",
+    "probabil",
+    "doi", "doua", "trei", "patru", "cinci",
+    "nimic", "nimeni", "nicaieri", "ceva", "asta", "aia",
+)
+# The archived verb forms of pairs, and the archived closed-class words (folded), in order.
+ARCHIVED_VERBS = (r"ma\s+simt", r"m-?am\s+simtit", r"ma\s+simteam", r"sunt", r"eram", r"am\s+fost", r"suntem", r"ne\s+simtim", r"ne-?am\s+simtit")
+ARCHIVED_STOPWORDS = (
+    "eu", "tu", "el", "ea", "noi", "voi", "ei", "ele", "meu", "mea", "mei", "mele", "tau", "ta", "tai", "tale", "sau", "sa", "sai", "sale", "lor", "nostru", "noastra",
+    "mine", "tine", "sine", "mie", "tie", "sie", "care", "ce", "cine", "unde", "cand", "cum", "cat", "cate", "cati", "un", "una", "niste", "al", "ai", "ale",
+    "acest", "aceasta", "acesta", "aceste", "acesti", "acel", "acea", "acei", "acele", "acela", "aceea", "cel", "cea", "cei", "cele", "tot", "toata", "toti", "toate", "toat",
+    "alt", "alta", "alti", "alte", "altul", "altceva", "fiecare", "oricare", "orice", "niciun", "nicio", "la", "de", "pe", "cu", "in", "din", "prin", "pentru",
+    "ca", "daca", "dar", "si", "ori", "nici", "fara", "despre", "peste", "intre", "pana", "dupa", "nu", "mai", "doar", "chiar", "deja", "inca",
+    "asa", "asta", "atat", "atata", "apoi", "acum", "aici", "acolo", "sus", "jos", "bine", "rau", "mult", "putin", "des", "rar", "mereu", "niciodata",
+    "foarte", "probabil", "sigur", "poate", "oricum", "atunci", "totusi", "insa", "deci", "asadar", "cam", "prea", "destul", "tocmai", "macar", "oare",
+    "am", "sunt", "este", "era", "eram", "fost", "are", "avea", "avem", "aveti", "aveau", "face", "fac", "facut", "faci", "facem", "pot", "putea", "putem", "poti",
+    "vrea", "vreau", "vrei", "vrem", "vor", "zice", "zis", "spune", "spus", "stiu", "stie", "stim", "stiti", "cred", "crede", "credem", "trebuie", "trebui", "nimic", "nimeni", "nicaieri",
+)
 
 
 def conjunction_evidence(pairs: DataFrame, seeds: DataFrame, source: str | None = None) -> DataFrame:
@@ -54,14 +73,14 @@ def has_primary(verbs: Column, primary: tuple[str, ...] = PRIMARY) -> Column:
     return F.reduce(F.array(*[F.contains(joined, F.lit(p)) for p in primary]), F.lit(False), lambda a, b: a | b)
 
 
-def validate(evidence: DataFrame, seeds: DataFrame, stopwords: DataFrame, least: int = 2, primary: tuple[str, ...] = PRIMARY) -> DataFrame:
+def validate(evidence: DataFrame, seeds: DataFrame, stopwords: DataFrame, least: int = 2, primary: tuple[str, ...] = PRIMARY, endings: tuple = (T.FEMININE, T.MASCULINE)) -> DataFrame:
     """evidence with gender, reason (the first of the cascade, ``passed`` if none) and confidence.
 
     too_short, already_in_seed, gender_mismatch (its gender isn't among its co-seeds', or these have none), stopword, low_co_occurrence.
     """
     known = seeds.select("word").distinct().withColumn("_seed", F.lit(True))
     stop = stopwords.select("word").distinct().withColumn("_stop", F.lit(True))
-    rows = evidence.join(known, "word", "left").join(stop, "word", "left").withColumn("gender", T.infer_gender(F.col("word")))
+    rows = evidence.join(known, "word", "left").join(stop, "word", "left").withColumn("gender", T.infer_gender(F.col("word"), *endings))
     rules = [
         ("too_short", F.length("word") < 3), ("already_in_seed", F.col("_seed")), ("gender_mismatch", F.col("gender").isNotNull() & ~F.array_contains("genders", F.col("gender"))),
         ("stopword", F.col("_stop")), ("low_co_occurrence", F.size("co_seeds") < least),
@@ -89,7 +108,7 @@ def discovered(found: DataFrame, stopwords: DataFrame, least: int = 3, order: tu
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_set("frame")).alias("frames"), F.slice(F.array_sort(F.collect_set(example)), 1, 3).alias("examples")).filter(F.col("frequency") >= least)
 
 
-def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, least: int = 2, primary: tuple[str, ...] = PRIMARY, **frames) -> tuple[DataFrame, DataFrame]:
+def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, least: int = 2, primary: tuple[str, ...] = PRIMARY, endings: tuple = (T.FEMININE, T.MASCULINE), **frames) -> tuple[DataFrame, DataFrame]:
     """(lexicon, provenance) after at most that many rounds, or the first one that adds no word.
 
     seeds: word (folded), gender, emotions. A round scans docs with the current words, validates what it finds, and adds what passes with
@@ -101,7 +120,7 @@ def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: i
     for i in range(1, rounds + 1):
         words = sorted(r["word"] for r in current.select("word").distinct().collect())
         pairs = patterns.conjunction_pairs(docs, words, **frames)
-        checked = validate(conjunction_evidence(pairs, current), current, stopwords, least, primary)
+        checked = validate(conjunction_evidence(pairs, current), current, stopwords, least, primary, endings)
         checked.write.parquet(f"{folder}/checked-{i}")
         checked = spark.read.parquet(f"{folder}/checked-{i}")
         new = checked.filter("reason = 'passed'").select("word", F.coalesce("gender", F.lit("m")).alias("gender"), vote(F.col("emotions")).alias("emotions"))
@@ -119,3 +138,8 @@ def bootstrap_and_extract(docs: DataFrame, seeds: DataFrame, stopwords: DataFram
     """(candidates, lexicon, provenance): the rounds of ``bootstrap``, then all matches of the templates with the grown lexicon."""
     grown, history = bootstrap(docs, seeds, stopwords, rounds)
     return patterns.candidates(docs, patterns.with_nouns(grown), **options), grown, history
+
+
+def archived_bootstrap(docs: DataFrame, seeds: DataFrame, rounds: int = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """``bootstrap`` with the archived miner's verb forms, closed-class words and gender endings."""
+    return bootstrap(docs, seeds, stopword_table(docs.sparkSession, ARCHIVED_STOPWORDS), rounds, verbs=ARCHIVED_VERBS, endings=T.ARCHIVED_ENDINGS, **options)

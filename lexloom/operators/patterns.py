@@ -62,7 +62,6 @@ TRIGGERS = (
 # Phrases to search subtitles by, with and without diacritics.
 QUERIES = ('"mă simt"', '"mi-e"', '"m-am simțit"', '"îmi este"', '"mă simțeam"', '"simt că"', '"îmi era"', '"mă voi simți"', '"o să mă simt"', '"m-aș simți"', '"să mă simt"')
 PLAIN_QUERIES = ('"ma simt"', '"m-am simtit"', '"imi este"', '"imi era"', '"ma simteam"', '"o sa ma simt"', '"m-as simti"', '"sa ma simt"', '"o sa fiu"', '"o să fiu"')
-# Frames of two coordinated states, and frames that name one.
 # Names of the archived set of templates, in order, and the archived frames that name one state.
 ARCHIVED = (
     "ma_simt_present", "ma_simteam_imperfect", "mam_simtit_perfect", "ma_voi_simti_future", "simt_ca", "simt_noun", "simteam_noun", "ne_simtim_present", "neam_simtit_perfect",
@@ -72,6 +71,7 @@ ARCHIVED_DISCOVERY = (
     ("sentiment_de", r"un\s+sentiment\s+de\s+"), ("sentimentul_de", r"sentimentul\s+de\s+"), ("stare_de", r"o\s+stare\s+de\s+"), ("starea_de", r"starea\s+de\s+"), ("emotie_de", r"emoti[ae]\s+de\s+"),
     ("senzatie_de", r"o\s+senzatie\s+de\s+"), ("plin_de", r"plina?\s+de\s+"), ("cuprins_de", r"cuprinsa?\s+de\s+"), ("coplesit_de", r"coplesita?\s+de\s+"),
 )
+# Verbs and conjunctions of two coordinated states, and frames that name one.
 CONJUNCTION_VERBS = (r"ma\s+simt", r"m-?am\s+simtit", r"ma\s+simteam", r"o\s+sa\s+ma\s+simt", r"m-?as\s+simti", r"sa\s+ma\s+simt")
 CONJUNCTIONS = r"(?:dar\s+si|ba\s+chiar|si|dar|insa)"
 DISCOVERY = (("sentiment_de", r"un\s+sentiment\s+de\s+"), ("sentimentul_de", r"sentimentul\s+de\s+"), ("emotie_de", r"emoti[ae]\s+de\s+"), ("senzatie_de", r"o\s+senzatie\s+de\s+"), ("coplesit_de", r"coplesita?\s+de\s+"))

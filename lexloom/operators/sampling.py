@@ -21,16 +21,16 @@ def ranked(df: DataFrame, by: list[str], key: str, seed: int = 42, out: str = "_
     The digest's first digits cut a group into buckets, whose counts say where their numbers begin; a window numbers the rows of one
     bucket only. So a group may hold any share of all rows, or be the whole table. Null groups are a group.
     """
-    names = [f"_by{i}" for i in range(len(by))]
-    rows = df.withColumn("_digest", shuffled_by(key, seed=seed)).withColumn("_bucket", F.substring("_digest", 1, 4))
-    sizes = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_bucket").alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sizes.select(*names, "_at", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
-    same = F.col("_bucket") == F.col("_at")
-    for c, n in zip(by, names, strict=True):
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    within = Window.partitionBy(*by, "_bucket").orderBy("_digest", key)
-    return rows.join(heads, same).withColumn(out, F.col("_head") + F.row_number().over(within)).drop(*names, "_digest", "_bucket", "_at", "_head")
+    names = [f"_by{i}" for i in range(len(by))] + [f"_null{i}" for i in range(len(by))]
+    told = {f"_by{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(by)} | {f"_null{i}": F.col(c).isNull() for i, c in enumerate(by)}
+    digest = shuffled_by(key, seed=seed)
+    rows = df.withColumns(told | {"_digest": digest, "_bucket": F.substring(digest, 1, 4)})
+    sizes = rows.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sizes.select(*names, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
+    # Join and window have the same keys, so rows move once.
+    within = Window.partitionBy(*names, "_bucket").orderBy("_digest", key)
+    return rows.join(heads, [*names, "_bucket"]).withColumn(out, F.col("_head") + F.row_number().over(within)).drop(*names, "_digest", "_bucket", "_head")
 
 
 def per_group(df: DataFrame, n: int | Column, by: list[str], key: str, seed: int = 42) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, lexicon, metrics, models, patterns, sampling, vector
+from ..operators import corpus, lexicon, metrics, mining, models, patterns, sampling, vector
 from ..scratch import scratch
 from ..sources import readers, sinks
-from .catalog import _FOLD, SEEDS, _folded, _in, _read, query
+from .catalog import _FOLD, _MATCH_SQL, FRAMES, NOUNS, SEEDS, _folded, _in, _lexicon, _read, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -80,6 +80,24 @@ def tolerant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(count(rows, "kept")).unionByName(count(readers.jsonl(spark, path, most=25), "first")).unionByName(count(rows, "ids", F.count_distinct(F.concat("source", "id"))))
 
 
+@query("SELECT 'fulg_' || CASE WHEN doc_id % 3 = 0 THEN substr(md5(text), 1, 12) ELSE ((row_number() OVER (ORDER BY doc_id)) - 1)::VARCHAR END AS id, lang AS source_domain, n_chars AS n FROM documents QUALIFY n_chars >= 300")
+def crawl_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SRC-09: a landed crawl; records without digest are named by their place among all records, also those that are too short."""
+    docs = _read(spark, sf_dir, "documents").orderBy("doc_id").coalesce(1)
+    path = _folder(spark, "crawl")
+    digest = F.when(F.col("doc_id") % 3 == 0, F.md5(F.col("text").cast("binary")))
+    docs.select(F.col("text").alias("raw_content"), F.lit("u").alias("url"), F.col("lang").alias("source_domain"), F.length("text").alias("length"), digest.alias("digest")).write.json(path)
+    return readers.crawl_files(spark, path, shortest=300).select("id", "source_domain", F.col("full_text_length").alias("n"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) <= 1200 THEN text WHEN strpos(text, s) > 0 THEN text[greatest(strpos(text, s) - 500, 1) : strpos(text, s) + length(s) + 499] ELSE text[1:1200] END) AS context FROM (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'no such part' ELSE text[length(text) // 2 : length(text) // 2 + 30] END AS s FROM documents)")
+def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEP-11: what of a text a validating model sees: 500 code points on either side of the match if it is longer than 1200."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    sentence = F.when(F.col("doc_id") % 4 == 0, F.lit("no such part")).otherwise(F.substring(F.col("text"), half, F.lit(31)))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.prompt_context(F.col("text"), sentence).cast("binary")).alias("context"))
+
+
 # --- Readers of lexicons and results
 
 
@@ -376,3 +394,76 @@ def searched_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _read(spark, sf_dir, "benchmark").select(F.lower("text").alias("x"))
     hits = texts.select(F.explode(F.array(*[F.when(F.contains("x", F.lit(q.strip('"'))), q) for q in patterns.query_grid(["the", "of"], list(SEEDS), 3)])).alias("phrase")).filter("phrase IS NOT NULL")
     return sampling.head_sample(grid, 100, "phrase").join(hits.distinct(), "phrase", "left_semi")
+
+
+# --- Words as written, forms, drivers of single functions
+
+_APART = r"[^\p{L}\p{M}\p{Nd}_]"
+
+
+@query(f"SELECT doc_id, regexp_extract(text, '(?i)(^|{_APART})(the)({_APART}|$)', 2) AS word FROM documents WHERE regexp_matches(text, '(?i)(^|{_APART})the({_APART}|$)')")
+def written_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-06: the word of a match as it is written, found near the match's start by its normal form."""
+    start = F.length(F.get(F.split("text", rf"(?i)(?U)(?<!\w)the(?!\w)", 2), F.lit(0)))
+    rows = _read(spark, sf_dir, "documents").withColumn("start", start).filter(F.col("start") < F.length("text"))
+    return rows.select("doc_id", T.original_word(F.col("text"), F.col("start"), F.lit("the")).alias("word"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_id % 2 = 0) AS had_speaker_change, count(*) AS had_leading_fragment, round_even(avg(CASE WHEN event_id % 2 = 0 THEN 33 ELSE 26 END + length(event_type)), 0) AS avg_chars_before, round_even(avg(11 + length(event_type)), 0) AS avg_chars_after, sum(11 + length(event_type))::BIGINT AS light FROM events")
+def light_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-14, PRJ-04: captions as sentences, with what was found in them: of several speakers' parts the one with the seed, without tags and leading fragments."""
+    said = F.concat(F.lit("Start "), "event_type", F.lit(" end"))
+    x = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(">> Nothing here >> #m# "), said)).otherwise(F.concat(F.lit("so it goes. #m# "), said))
+    out, counts = corpus.light_captions(_read(spark, sf_dir, "events").select(x.alias("text"), F.col("event_type").alias("seed_word")))
+    return counts.join(F.broadcast(out.agg(F.sum(F.length("text_light")).alias("light"))))  # a row on either side
+
+
+@query("SELECT item_id, 'name-' || item_id || 'b' AS model, replace(text, 'the', '<mask>') AS asked FROM benchmark")
+def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-06: a model's short name, and its own mask in the place of the corpus'."""
+    rows = _read(spark, sf_dir, "benchmark")
+    return rows.select("item_id", models.short_name(F.concat(F.lit("owner/name-"), "item_id", F.lit("b"))).alias("model"), models.with_mask_of(F.col("text"), "<mask>", own="the").alias("asked"))
+
+
+@query("SELECT DISTINCT lower(p_brand) AS word, true AS noun, 'e' || (p_brand LIKE '%1')::INT AS emotions FROM part UNION ALL SELECT DISTINCT lower(p_brand) || 'x', false, 'e' || (p_brand LIKE '%1')::INT FROM part")
+def expanded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-07, PAT-08, TXT-39, FLT-14: words with the forms that a morphology gives them; nouns count as nouns in their own form only."""
+    words = _read(spark, sf_dir, "part").select(F.lower("p_brand").alias("word"), F.lit("noun").alias("pos"), F.array(F.concat(F.lit("e"), F.col("p_brand").endswith("1").cast("int"))).alias("emotions")).distinct()
+    forms = words.select(F.concat("word", F.lit("x")).alias("form"), F.col("word").alias("lemma"), F.lit("Ncfssn").alias("msd")).unionByName(words.select(F.concat("word", F.lit("y")).alias("form"), F.col("word").alias("lemma"), F.lit("Ncfpsy").alias("msd")))
+    return lexicon.expand(words, forms).select("word", "noun", F.array_join("emotions", ",").alias("emotions"))
+
+
+@query("SELECT regexp_extract(url, '://([^/]+)', 1) AS domain, count(*) AS n, max(length(html))::INTEGER AS longest FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY md5(html) ORDER BY page_id) = 1) GROUP BY 1")
+def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEP-06: pages distinct by the digest of their whole text, counted by domain."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("domain"), F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("key"))
+    return corpus.first_by(pages, ["key"], ["page_id"]).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"))
+
+
+@query(f"SELECT CASE WHEN seed IN ({_in(NOUNS)}) THEN 0.9 WHEN pattern IN ('the_state', 'of_state') THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence, count(*) AS n FROM ({_MATCH_SQL}) GROUP BY 1")
+def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEP-12: confidence of matches: known words, else words of primary templates, else the others."""
+    found = patterns.find_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, most=None, modifier="")
+    return corpus.counts(found.select(mining.frame_confidence(F.col("seed").isin(*NOUNS), F.col("category")).cast("double").alias("confidence")), "confidence")
+
+
+@query(f"SELECT doc_id, regexp_replace(x, '(^| )the( |$)', '\\1[MASK]\\2') AS masked FROM (SELECT doc_id, 'so ' || {_FOLD} AS x FROM documents) WHERE regexp_matches(x, '(^| )the( |$)')")
+def translated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-03, TXT-27: texts translated by an injected model, and the translated word masked in a second pass."""
+    done = models.generated(_folded(spark, sf_dir), "text", lambda xs: [f"so {x}" for x in xs], "translated")
+    return done.select("doc_id", T.mask_word(F.col("translated"), F.lit("the")).alias("masked")).filter("masked IS NOT NULL")
+
+
+@query("SELECT c_custkey AS custkey, p AS pattern, w AS seed FROM customer, (VALUES ('ne_simtim_present', 'bine'), ('suntem_adj_present', 'calm')) t(p, w)")
+def archived_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-16, DEP-01: the archived templates, with the plural that the others lack, on a sentence behind each customer's name."""
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": ne simțim bine și suntem foarte calm.")).alias("text"))
+    words = spark.createDataFrame([("bine", False, ["joy"]), ("calm", False, ["trust"])], "word string, noun boolean, emotions array<string>")
+    return patterns.find_matches(rows, words, templates=patterns.archived_templates()).select("custkey", "pattern", "seed")
+
+
+@query("SELECT c_custkey AS custkey, f AS frame, w AS word FROM customer, (VALUES ('plin_de', 'dor'), ('sentiment_de', 'teama')) t(f, w)")
+def archived_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT-17: the archived frames that name states, on a sentence behind each customer's name."""
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": plin de dor, cu un sentiment de teamă.")).alias("text"))
+    return patterns.discover(rows, frames=patterns.ARCHIVED_DISCOVERY).select("custkey", "frame", "word")

@@ -60,14 +60,16 @@ def _few_splits(df: DataFrame) -> bool:
     return (size // max(1, most) + len(df.inputFiles())) * SPLIT_ROW * 2 <= SPLITS_BYTES
 
 
-def numbered(df: DataFrame, out: str = "_n", keep: bool = False) -> DataFrame:
+def numbered(df: DataFrame, out: str = "_n", keep: bool = False, across: bool = False) -> DataFrame:
     """df (see ``placed``) with each row's number among the rows of its file, from 0, however the file is split. The place columns go, unless keep.
+    across: numbers go on from file to file, by their names.
 
     A split's rows lie side by side in a task, so a row's number in it is its distance from the split's first row; where a split begins
     follows from the counts of those before it. Rows don't move: they meet a table of one row per split.
     """
     sizes = df.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_f", "_b") if across else Window.partitionBy("_f").orderBy("_b")  # over a row for each split
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
     heads = sizes.select("_f", "_b", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_head"))
     heads = F.broadcast(heads) if _few_splits(df) else heads
     rows = df.join(heads, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")), "left").withColumn(out, F.col("_head") + F.col("_at") - F.col("_first"))
@@ -172,8 +174,9 @@ def forum(spark: SparkSession, path: str, source: str = "reddit_roap") -> DataFr
     return _rows(df, source, F.col("_n").cast("string"), F.col("TEXT"), F.lit(None).cast("string"), _labels(subdialect=F.col("SUBDIALECT"), status=F.col("STATUS"), labels=F.col("LABELS"), inclination=F.col("`PERSONAL INCLINATION`")))
 
 
-def crawl(df: DataFrame, least_score: float = 0.0, shortest: int = 0, longest: int = 0, most: int | None = None) -> DataFrame:
-    """Rows of a crawl (see CRAWL), batch or stream, in corpus form; thresholds of 0 are off; id by digest, else by url."""
+def crawl(df: DataFrame, least_score: float = 0.0, shortest: int = 0, longest: int = 0, most: int | None = None, number: str | None = None) -> DataFrame:
+    """Rows of a crawl (see CRAWL), batch or stream, in corpus form; thresholds of 0 are off; id by digest, else by number, a column of the
+    row's place in the crawl (see ``numbered``), if there is one, else by url."""
     keep = F.lit(True)
     if least_score:
         keep = keep & (F.coalesce("language_score", F.lit(0.0)) >= least_score)
@@ -181,11 +184,21 @@ def crawl(df: DataFrame, least_score: float = 0.0, shortest: int = 0, longest: i
         keep = keep & (F.length("raw_content") >= shortest)
     if longest:
         keep = keep & (F.length("raw_content") <= longest)
-    ident = F.concat(F.lit("fulg_"), F.coalesce(T.non_empty(F.substring("digest", 1, 12)), F.substring(F.md5(F.col("url").cast("binary")), 1, 12)))
+    place = [F.col(number).cast("string")] if number else []
+    ident = F.concat(F.lit("fulg_"), F.coalesce(T.non_empty(F.substring("digest", 1, 12)), *place, F.substring(F.md5(F.col("url").cast("binary")), 1, 12)))
     out = df.filter(keep & (F.length(T.strip(F.col("raw_content"))) > 0)).select(ident.alias("id"), F.col("raw_content").alias("text"), F.lit("fulg").alias("source"), "url", "title", "source_domain", F.col("length").alias("full_text_length"), "language_score")
     return out.limit(most) if most is not None else out
 
 
+def crawl_files(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Landed crawl records (JSON lines) in corpus form; a record without digest is named by its place among all records, also those that go.
+
+    options: of ``crawl``.
+    """
+    rows = numbered(placed(spark.read.schema(CRAWL).json(path)), across=True)
+    return crawl(rows, number="_n", **options)
+
+
 def parsed_page(body: Column) -> Column:
     """An API page (see PAGE) from JSON, with the fields' other names read as well."""
     for other, name in (("channelName", "channelname"), ("viewCount", "viewcount"), ("publishDate", "uploaddate")):

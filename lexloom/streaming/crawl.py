@@ -45,20 +45,22 @@ def collect_until(stream: DataFrame, path: str, checkpoint: str, most: int, tran
     """
     spark = stream.sparkSession
 
-    def there() -> int:
+    def there(folder: str) -> int:
         try:
-            return spark.read.parquet(path).count()
+            return spark.read.parquet(folder).count()
         except AnalysisException:
             return 0
 
-    state = {"rows": there(), "enough": False}
+    state = {"rows": there(path), "enough": False}
 
     def write(batch: DataFrame, number: int) -> None:
         state["enough"] = state["rows"] >= most
         if state["enough"]:
             raise RuntimeError("enough rows")
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        state["rows"] = there()
+        own = f"{path}/batch={number}"
+        before = there(own)  # of a run that stopped before it could commit this batch
+        transform(batch).write.mode("overwrite").parquet(own)
+        state["rows"] += there(own) - before
 
     query: StreamingQuery = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:

@@ -61,7 +61,7 @@ def test_classification_scores(spark):
     assert {r.label: (r.tp, r.fp) for r in metrics.per_label_scores(df, "g", "p", ["a", "b", "c"]).collect()} == {"a": (1, 0), "b": (0, 1), "c": (1, 0)}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), min_size=3, max_size=30))
 def test_spearman(spark, rows):
     got = metrics.spearman(spark.createDataFrame(rows, "a int, b int"), "a", "b").first().rho
@@ -73,7 +73,7 @@ def test_spearman(spark, rows):
         assert got is None or math.isnan(got)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(0, 10**6)), min_size=1, max_size=80, unique_by=lambda r: r[1]), st.integers(1, 5))
 def test_splits_are_disjoint_and_whole(spark, rows, parts):
     df = spark.createDataFrame(rows, "g string, k int").repartition(parts)
@@ -242,3 +242,13 @@ def test_bootstrap_and_extract(spark):
     found, grown, _ = mining.bootstrap_and_extract(docs, seeds, mining.stopword_table(spark))
     assert {r.word for r in grown.collect()} == {"trist", "calm", "obosit"}
     assert {(r.id, r.pattern, r.seed) for r in found.collect()} == {(1, "ma_simt_present", "trist"), (2, "ma_simt_present", "calm"), (3, "sunt_adj_present", "obosit")}
+
+
+def test_archived_tables(spark):
+    """Verbs that only the archived miner knows, and words that only its list leaves out."""
+    docs = spark.createDataFrame([(1, "Sunt trist și obosit"), (2, "Suntem calm, obosit și"), (3, "eram trist și rar"), (4, "am fost calm și rar"), (5, "ne simțim trist și voios"), (6, "eram calm, voios")], "id int, text string")
+    seeds = spark.createDataFrame([("trist", "m", ["sadness"]), ("calm", "m", ["trust"])], "word string, gender string, emotions array<string>")
+    grown, _ = mining.archived_bootstrap(docs, seeds, 1)
+    assert {r.word for r in grown.collect()} == {"trist", "calm", "obosit", "voios"}
+    plain, _ = mining.bootstrap(docs, seeds, mining.stopword_table(spark), 1)
+    assert {r.word for r in plain.collect()} == {"trist", "calm"}
