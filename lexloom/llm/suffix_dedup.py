@@ -455,7 +455,8 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB looks at every string of 50 bytes, written in hexadecimal digits.
 OP12_SQL = """WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-windows AS MATERIALIZED (SELECT doc_id, i, md5_number(x[2 * i + 1 : 2 * i + 100]) AS w FROM texts, range(0, len(x) // 2 - 49) r(i)),
+pieces AS MATERIALIZED (SELECT doc_id, p, x[2 * p + 1 : 2 * p + 1122] AS y FROM texts, range(0, len(x) // 2, 512) r(p)),
+windows AS MATERIALIZED (SELECT doc_id, p + i AS i, md5_number(y[2 * i + 1 : 2 * i + 100]) AS w FROM pieces, range(0, least(512, len(y) // 2 - 49)) q(i)),
 firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE doc_id > first),
 ends AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 50, true) AS new FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
