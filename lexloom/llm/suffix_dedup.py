@@ -103,9 +103,16 @@ def phrases(body: np.ndarray, ends: np.ndarray, span: int = SPAN) -> tuple[np.nd
     out, start, i = [], 0, 0
     while i < len(ends):
         j = max(i + 1, int(np.searchsorted(ends, start + PIECE_BYTES, "right")))
-        a, b, h, x = _parsed(body[start : ends[j - 1]], ends[i:j] - start, span)
-        out.append((a + start, b + start, h, x))
-        start, i = int(ends[j - 1]), j
+        stop = int(ends[j - 1])
+        if stop - start <= 2 * PIECE_BYTES:
+            pieces = [(start, stop, ends[i:j] - start)]
+        else:  # a long text: a phrase may end where a piece does, but each window still lies in one
+            cuts = range(start, max(start + 1, stop - span + 1), PIECE_BYTES)
+            pieces = [(c, min(stop, c + PIECE_BYTES + span - 1), np.array([min(stop - c, PIECE_BYTES + span - 1)])) for c in cuts]
+        for c, e, own in pieces:
+            a, b, h, x = _parsed(body[c:e], own, span)
+            out.append((a + c, b + c, h, x))
+        start, i = stop, j
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64 if k < 2 else np.uint64) for k in range(4))
 
 

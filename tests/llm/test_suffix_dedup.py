@@ -99,6 +99,7 @@ def test_small_tables(docs_of):
 
 def test_very_long_text(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK_BYTES", 1 << 12)
+    monkeypatch.setattr(sd, "PIECE_BYTES", 1 << 13)
     rng = np.random.default_rng(2)
     long = "".join(map(chr, rng.integers(97, 123, 60_000)))
     rows = [(1, long[20_000:20_080]), (2, long), (3, long[:30_000])]
@@ -128,6 +129,17 @@ def test_windows_lie_in_one_phrase_each():
     assert (b - a).max() < sd.lengths(50)[1]
 
 
+def test_pieces_of_a_long_text_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(sd, "PIECE_BYTES", 100)
+    rng = np.random.default_rng(6)
+    body = rng.integers(97, 100, 2000).astype(np.uint8)
+    for ends in ([2000], [30, 1500, 2000], [249, 299, 2000], [10, 11, 211, 411, 2000]):
+        ends = np.array(ends)
+        a, b, h, _ = sd.phrases(body, ends)
+        starts = np.concatenate(([0], ends[:-1]))
+        assert [s for i, j in zip(a, b, strict=True) for s in range(i, j + 1)] == [s for i, j in zip(starts, ends, strict=True) for s in range(i, j - 49)]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(4)
     body = rng.integers(97, 99, 500).astype(np.uint8)
