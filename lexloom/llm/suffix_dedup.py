@@ -47,6 +47,15 @@ _FACTORS = _rng.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _u = np.uint64
 
 
+def packed(body: bytes) -> bytes:
+    """Texts move between tasks compressed; Spark's own codec for that leaves them a good deal larger."""
+    return pa.Codec("zstd").compress(body, asbytes=True) if body else b""
+
+
+def unpacked(body: pa.Buffer | bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(body, size) if size else b"", np.uint8)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _u(30))) * _u(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _u(27))) * _u(0x94D049BB133111EB)
@@ -176,7 +185,7 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _chunks(docs: DataFrame) -> tuple[DataFrame, str]:
-    """chunk, doc_ids, places, sizes, body: the documents in rows of bounded size, as they lie in the input."""
+    """chunk, doc_ids, places, sizes, body (packed): the documents in rows of bounded size, as they lie in the input."""
     rows, kind = _ordered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +196,7 @@ def _chunks(docs: DataFrame) -> tuple[DataFrame, str]:
             one = lambda c: pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), c)
             ids, places, texts = (table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0) for c in ("doc_id", "place", "text"))
             sizes = pc.binary_length(texts).cast(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([part + turn], pa.int64()), one(ids), one(places), one(sizes), pa.array([b"".join(texts.to_pylist())], pa.binary())], ["chunk", "doc_ids", "places", "sizes", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([part + turn], pa.int64()), one(ids), one(places), one(sizes), pa.array([packed(b"".join(texts.to_pylist()))], pa.binary())], ["chunk", "doc_ids", "places", "sizes", "body"])
 
         for batch in batches:
             ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -214,8 +223,8 @@ class _Chunk:
     def __init__(self, batch: pa.RecordBatch, i: int, span: int, bits: int) -> None:
         col = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
         self.id, self.bits, self.span = col["chunk"].as_py(), bits, span
-        self.body = np.frombuffer(col["body"].as_buffer(), np.uint8)
         self.ends = np.cumsum(col["sizes"].values.to_numpy())
+        self.body = unpacked(col["body"].as_buffer(), int(self.ends[-1]))
         places = col["places"].values.to_numpy()
         self.a, self.b, self.h, self.x = phrases(self.body, self.ends, span)
         self.place = places[np.searchsorted(self.ends, self.a, "right")]
@@ -304,7 +313,7 @@ _OPEN = "kind int, bucket bigint, chunk bigint, p binary, q binary, r binary, s
 def _open_phrases(span: int, bits: int, base: int, kind: str):
     """Rows of kind 0, one a chunk: p, q: runs of windows that are repeats as whole phrases; r, s: the first windows of the phrases that stay open, with their numbers.
 
-    Rows of kind 1, one a chunk and bucket: p: numbers of open phrases, q: their first window here and how many follow, r: places, body: the bytes.
+    Rows of kind 1, one a chunk and bucket: p: numbers of open phrases, q: their first window here and how many follow, r: places, body: the bytes (packed).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +357,7 @@ def _open_phrases(span: int, bits: int, base: int, kind: str):
                 first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)]
                 stops = [*first[1:], len(bucket)][: len(first)]
                 cols = (number[row].astype("<u4"), (shift << 8 | n).astype("<u2"), (least[number[row]] - base).astype(kind))
-                rows = [(1, int(bucket[f]), c.id, *[x[f:e].tobytes() for x in cols], b"", body[ends[f] - n[f] - span + 1 : ends[e - 1]].tobytes()) for f, e in zip(first, stops, strict=True)]
+                rows = [(1, int(bucket[f]), c.id, *[x[f:e].tobytes() for x in cols], b"", packed(body[ends[f] - n[f] - span + 1 : ends[e - 1]].tobytes())) for f, e in zip(first, stops, strict=True)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -360,8 +369,9 @@ def _window_answers(span: int, kind: str):
         """The windows of a bucket's phrases that a document before has, too: per chunk, phrase number << 8 | window of the phrase."""
         number, shape, place = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("p", "<u4"), ("q", "<u2"), ("r", kind)))
         n, shift = (shape & 255).astype(np.int64), (shape >> 8).astype(np.int64)
-        body = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
         sizes = [len(x) // 4 for x in table["p"].to_pylist()]
+        bytes_ = np.add.reduceat(n + span - 1, np.cumsum([0, *sizes[:-1]]))  # no row is empty
+        body = np.concatenate([unpacked(x, int(k)) for x, k in zip(table["body"].to_pylist(), bytes_, strict=True)])
         chunk = np.repeat(np.arange(len(sizes)), sizes)
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -381,8 +391,8 @@ def _removed(span: int, kind: pa.DataType | None = None):
         for batch in batches:
             for i in range(batch.num_rows):
                 col = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
-                body = np.frombuffer(col["body"].as_buffer(), np.uint8)
                 ends = np.cumsum(col["sizes"].values.to_numpy())
+                body = unpacked(col["body"].as_buffer(), int(ends[-1]))
                 starts = np.concatenate(([0], ends[:-1]))
                 edge = np.zeros(len(body) + 1, np.int32)
                 number = lambda name, col=col: np.frombuffer(col[name].as_py() or b"", np.int64)
