@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -83,10 +82,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Has the driver look for shuffles that no table needs any more, so that Spark removes their files now and not at some later time."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each write inside as it ends, and not at some later time; only written tables are read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is not None:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -451,17 +451,16 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def told(entries: DataFrame, answer, label: str, name: str) -> DataFrame:
         answers = entries.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, answer binary")
-        out = common.materialize(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name)), label)
-        common.let_go(spark)  # each exchange is about as large as the input
-        return out
+        with common.shuffles_removed(spark):  # each exchange is about as large as the input
+            return common.materialize(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias(name)), label)
 
     entries = chunks.mapInArrow(_trigger_entries(span, bits), "bucket bigint, chunk bigint, entries binary")
     triggers = told(entries, _trigger_answers, "suffix-triggers", "triggers")
     asked = chunks.join(triggers, "chunk")
     entries = asked.mapInArrow(_phrase_entries(span, bits, base, numbers), "bucket bigint, chunk bigint, entries binary, places binary")
     first = told(entries, _phrase_answers(numbers), "suffix-phrases", "phrases")
-    left = common.materialize(asked.join(first, "chunk").mapInArrow(_open_phrases(span, bits, base, numbers), _OPEN), "suffix-open")
-    common.let_go(spark)
+    with common.shuffles_removed(spark):
+        left = common.materialize(asked.join(first, "chunk").mapInArrow(_open_phrases(span, bits, base, numbers), _OPEN), "suffix-open")
     windows = told(left.filter("kind = 1"), _window_answers(span, numbers), "suffix-windows", "windows")
     marks = left.filter("kind = 0").select("chunk", "p", "q", "r", "s").join(windows.select("chunk", F.transform("windows", lambda w: w["answer"]).alias("windows")), "chunk", "left")
     return chunks.drop("places").join(marks, "chunk", "left").mapInArrow(_removed(span), shape)
