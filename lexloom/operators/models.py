@@ -151,8 +151,18 @@ def weights(model, words: list[str]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"word": list(words), "weight": values.astype(float)}), "word string, weight double")  # as many as the model has
 
 
-def top_words(weighed: DataFrame, known: DataFrame, k: int, out: str = "place") -> DataFrame:
-    """The k words of known (word) with the largest weight on either side, with their place: +1, +2, … and -1, -2, …"""
-    own = weighed.join(known.select("word").distinct(), "word", "left_semi")
+def word_weights(rows: DataFrame, words: str = "words", label: str = "label", smoothing: float = 1.0) -> DataFrame:
+    """word, weight of a naive Bayes model of two classes (label 0 and 1) over counts of words, fitted on all rows (words array, label): the log
+    ratios of ``weights``, for vocabularies of any size. Each word's counts are one row; only the classes' totals meet all of them.
+    """
+    counts = rows.select(F.col(label).alias("_label"), F.explode(words).alias("word")).groupBy("word").agg(F.count_if(F.col("_label") == 0).alias("_c0"), F.count_if(F.col("_label") == 1).alias("_c1"))
+    totals = counts.agg(F.sum("_c0").alias("_n0"), F.sum("_c1").alias("_n1"), F.count(F.lit(1)).alias("_v"))
+    log = lambda k: F.log((F.col(f"_c{k}") + smoothing) / (F.col(f"_n{k}") + smoothing * F.col("_v")))
+    return counts.join(F.broadcast(totals)).select("word", (log(1) - log(0)).alias("weight"))
+
+
+def top_words(weighed: DataFrame, known: DataFrame | None, k: int, out: str = "place") -> DataFrame:
+    """The k words of known (word; None: all) with the largest weight on either side, with their place: +1, +2, … and -1, -2, …"""
+    own = weighed if known is None else weighed.join(known.select("word").distinct(), "word", "left_semi")
     side = lambda order, sign: own.orderBy(order, "word").limit(k).withColumn(out, F.lit(sign) * F.row_number().over(Window.orderBy(order, "word")))  # noqa: E731  k rows
     return side(F.desc("weight"), 1).unionByName(side(F.asc("weight"), -1))

@@ -7,8 +7,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,11 +164,8 @@ def top_model_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-17: the words that weigh most, on either side, in a linear model of quality fitted on all labelled documents; of words with four letters or more."""
     words = _folded(spark, sf_dir).select("doc_id", F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
     rows = words.join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    counter = CountVectorizer(inputCol="words", outputCol="features", minDF=1.0).fit(rows)
-    model = NaiveBayes(smoothing=1.0).fit(counter.transform(rows))
-    weighed = models.weights(model, counter.vocabulary).withColumn("weight", F.round("weight", 9))
-    known = rows.select(F.explode("words").alias("word")).filter(F.length("word") >= 4)
-    return models.top_words(weighed, known, 20)
+    weighed = models.word_weights(rows).filter(F.length("word") >= 4).withColumn("weight", F.round("weight", 9))
+    return models.top_words(weighed, None, 20)
 
 
 # --- Anchors

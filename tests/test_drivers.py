@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import corpus, lexicon, metrics, models, patterns, vector
+from lexloom.plans import catalog
 from lexloom.sources import counted, paged
 from lexloom.streaming import state
 
@@ -134,6 +135,19 @@ def test_top_words(spark):
     assert sorted((r.place, r.word) for r in models.top_words(weighed, known, 2).collect()) == [(-2, "c"), (-1, "b"), (1, "a"), (2, "d")]
 
 
+def test_word_weights_of_any_vocabulary(spark, tmp_path):
+    """Words that are rarer than the first 2^18 count, too."""
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    many, rare = [letters(i) for i in range(1_000_000, 1_270_000)], [f"zzz{letters(i)}" for i in range(10, 30)]
+    docs = [(0, " ".join(many)), (1, " ".join(many)), (2, " ".join(rare))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.place: (r.word, r.weight) for r in catalog.queries()["top_model_words"](spark, str(tmp_path)).collect()}
+    v = len(many) + len(rare)
+    weight = math.log(2 / (len(rare) + v)) - math.log(1 / (2 * len(many) + v))
+    assert len(got) == 40 and [got[i][0] for i in range(1, 21)] == sorted(rare) and got[1][1] == pytest.approx(weight, abs=1e-8)
+
+
 def test_video_plan(spark):
     hits = spark.createDataFrame([("q", i % 9, i) for i in range(40)] + [("r", 3, 1), ("r", 3, 0)], "query string, video_id int, place int")
     videos = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(8)], "video_id int, channel_name string, views int")
