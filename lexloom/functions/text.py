@@ -216,8 +216,14 @@ def prompt_context(x: Column, sentence: Column, most: int = 1200, margin: int =
 
 
 def original_word(x: Column, start: Column, normal: Column, reach: int = 50) -> Column:
-    """The first word within reach of a match's start whose normal form is normal; normal itself if there is none."""
-    near = F.substring(x, F.greatest(start - reach + 1, F.lit(1)), F.least(start, F.lit(reach)) + reach)
+    """The first word within reach of a match's start whose normal form is normal; normal itself if there is none.
+
+    Words that reach across an edge of that stretch are left out: what lies within of them is no word.
+    """
+    low = F.greatest(start - reach, F.lit(0))
+    wide = F.substring(x, F.greatest(low, F.lit(1)), start + reach + 2 - F.greatest(low, F.lit(1)))  # and a code point on either side, if there is one
+    head = F.when(low > 0, F.regexp_replace(wide, r"(?U)^\w+", "")).otherwise(wide)
+    near = F.when(F.length(x) > start + reach, F.regexp_replace(head, r"(?U)\w+$", "")).otherwise(head)
     return F.coalesce(F.get(F.filter(F.regexp_extract_all(near, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: normalize(w) == normal), F.lit(0)), normal)
 
 

@@ -78,6 +78,11 @@ def test_words(run):
     assert [run(T.infer_gender, w) for w in ("fericită", "fericit", "calm", "bine")] == ["f", "m", "m", None]
     assert [run(T.feminine_form, w) for w in ("fericit", "curios", "puternic", "trist", "bun")] == ["fericită", "curioasă", "puternică", "tristă", None]
     assert run(lambda x: T.original_word(x, L(8), L("fericita")), "Mă simt Fericită azi") == "Fericită"
+    for before in (42, 43, 44, 45, 46, 47, 48):  # what an edge cuts off is no word
+        x = f"Bathe {'.' * before}The end"
+        assert run(lambda y: T.original_word(y, L(x.index("The")), L("the")), x) == "The"
+    assert run(lambda x: T.original_word(x, L(0), L("the")), f"The{'.' * 44}thesis") == "The" and run(lambda x: T.original_word(x, L(0), L("the")), f"Zhe{'.' * 44}thesis") == "the"
+    assert run(lambda x: T.original_word(x, L(0), L("the")), "The") == "The" and run(lambda x: T.original_word(x, L(50), L("the")), f"{'.' * 50}The") == "The"
     assert run(lambda x: T.wrap_first(x, L("BINE"), "<", ">"), "Sunt bine, bine") == "Sunt <bine>, bine"
     assert run(lambda x: T.mask_word(x, L("bine")), "Binefăcut, Bine!") == "Binefăcut, [MASK]!" and run(lambda x: T.mask_word(x, L("rau")), "bine") is None
     assert run(lambda x: T.mask_token_with(x, L("feric")), "El e (nefericit).") == "El e ([MASK])."
