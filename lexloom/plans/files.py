@@ -49,15 +49,15 @@ def small_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviewed = [readers.reviews(spark, {k: f"{folder}/reviews/key={k}-*"}) for k in ("positive", "negative")]
     stars = [r.withColumn("labels", F.concat_ws("/", F.col("original_labels")["label"], F.col("original_labels")["stars"])) for r in reviewed]
     news = readers.news(spark, {"train": _to_csv(rows.select(i.cast("string").alias("index"), F.col("text").alias("full_text"), F.concat(F.lit("l"), i % 4).alias("label")), f"{folder}/news")}).withColumn("labels", F.col("original_labels")["label"])
-    one_file = rows.orderBy("item_id").coalesce(1)
-    tweets = readers.tweets(spark, {"val": _to_csv(one_file.select(F.col("text").alias("Tweet"), F.concat(F.lit("e"), i % 7).alias("Emotion")), f"{folder}/tweets")}).withColumn("labels", F.col("original_labels")["emotion"])
+    ordered = readers.in_order(rows, "item_id")
+    tweets = readers.tweets(spark, {"val": _to_csv(ordered.select(F.col("text").alias("Tweet"), F.concat(F.lit("e"), i % 7).alias("Emotion")), f"{folder}/tweets")}, across=True).withColumn("labels", F.col("original_labels")["emotion"])
     bits = F.array(*[(i % m == 1).cast("int") if m else F.lit(0) for m in (2, 3, 0, 0, 0, 0, 5)])
     tagged = rows.select((i % 8).alias("part"), F.struct("text", i.cast("string").alias("text_id"), bits.alias("agreed_labels")).alias("r")).groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
     many = readers.multilabel_tweets(spark, {"test": _each(tagged, "part", f"{folder}/many")}).withColumn("labels", F.col("original_labels")["emotions"])
     felt = readers.sentiment(spark, {"train": _to_csv(rows.select(i.cast("string").alias("index"), "text", F.when(i % 3 == 0, "none").otherwise((i % 2).cast("string")).alias("label")), f"{folder}/felt")}).withColumn("labels", F.coalesce(F.col("original_labels")["label"], F.lit("")))
     none = F.lit(None).cast("string")
-    one_file.select(F.col("text").alias("TEXT"), F.concat(F.lit("RO"), i % 2).alias("SUBDIALECT"), F.when(i % 4 == 0, "s").alias("STATUS"), none.alias("LABELS"), none.alias("PERSONAL INCLINATION")).write.parquet(f"{folder}/forum")
-    forum = readers.forum(spark, f"{folder}/forum").withColumn("labels", F.concat(F.col("original_labels")["subdialect"], F.lit("/"), F.coalesce(F.col("original_labels")["status"], F.lit(""))))
+    ordered.select(F.col("text").alias("TEXT"), F.concat(F.lit("RO"), i % 2).alias("SUBDIALECT"), F.when(i % 4 == 0, "s").alias("STATUS"), none.alias("LABELS"), none.alias("PERSONAL INCLINATION")).write.parquet(f"{folder}/forum")
+    forum = readers.forum(spark, f"{folder}/forum", across=True).withColumn("labels", F.concat(F.col("original_labels")["subdialect"], F.lit("/"), F.coalesce(F.col("original_labels")["status"], F.lit(""))))
     out = None
     for part in (*stars, news, tweets, many, felt, forum):
         part = part.select("id", "text", "split", "labels")
@@ -143,7 +143,7 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "results")
     as_ = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.cast("string").alias("b"))
     e, names = F.col("event_id"), ("not_affect", "unlike_affect", "like_affect", "is_affect")
-    events = _read(spark, sf_dir, "events").orderBy("event_id").coalesce(1)
+    events = readers.in_order(_read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
     ticked = [F.when((e % 2 == 0) & (e % 4 == i), "true").otherwise("false").alias(f"Answer.affect.{n}") for i, n in enumerate(names)]
     said = F.when(e % 2 == 1, F.get(F.array(*map(F.lit, names)), (e % 4).cast("int"))).alias("Answer.affect")
     scores = readers.annotations(spark, _to_csv(events.select(F.col("user_id").alias("Input.id"), *ticked, said), f"{folder}/answers"))
@@ -156,7 +156,7 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(as_(readers.translated(twins, ["text", "other"]), "translated", F.col("item_id"), F.col("text")))
     part, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
     word = F.concat_ws("-", F.lower("p_brand"), k)
-    maps = part.groupBy((k % 8).alias("part")).agg(
+    maps = part.groupBy(F.expr("p_partkey div 10000").alias("part")).agg(  # a file for so many words
         F.to_json(F.struct(
             F.map_from_entries(F.collect_list(F.when(k % 2 == 0, F.struct(word, F.lit("joy"))))).alias("adjectives"), F.map_from_entries(F.collect_list(F.when(k % 2 == 1, F.struct(word, F.array(F.lit("fear"), F.lit("x")))))).alias("nouns"), F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("adverbs"),
         )).alias("value")

@@ -38,6 +38,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
+def in_order(df: DataFrame, key: str) -> DataFrame:
+    """df sorted by key in pieces of which a core holds many: a writer's files, by their names, are in that order, and none is the whole table.
+
+    Read them with numbers that go on from file to file (see ``numbered``).
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, size // (SPLIT_BYTES // 4) + 1)  # rows as text are several times as large as in a columnar file
+    return df.repartitionByRange(pieces, key).sortWithinPartitions(key)
+
+
 def stem() -> Column:
     """The file's name without folder and ending."""
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", 1)
@@ -136,11 +146,11 @@ def news(spark: SparkSession, paths: dict[str, str], source: str = "poprero") ->
     return out
 
 
-def tweets(spark: SparkSession, paths: dict[str, str], source: str = "red_v1") -> DataFrame:
-    """The row's number in its file counts from 0 and makes the id; split val is validation."""
+def tweets(spark: SparkSession, paths: dict[str, str], source: str = "red_v1", across: bool = False) -> DataFrame:
+    """The row's number in its file counts from 0 and makes the id (across: see ``numbered``); split val is validation."""
     out = None
     for split, path in paths.items():
-        df = numbered(placed(_csv(spark, path, TWEETS)))
+        df = numbered(placed(_csv(spark, path, TWEETS)), across=across)
         name = "validation" if split == "val" else split
         rows = _rows(df, source, F.concat_ws("_", F.lit(name), F.col("_n").cast("string")), F.col("Tweet"), F.lit(name), _labels(emotion=F.col("Emotion")))
         out = rows if out is None else out.unionByName(rows)
@@ -169,8 +179,10 @@ def sentiment(spark: SparkSession, paths: dict[str, str], source: str = "ro_sent
     return out
 
 
-def forum(spark: SparkSession, path: str, source: str = "reddit_roap") -> DataFrame:
-    df = spark.read.schema(FORUM).parquet(path).withColumn("_n", F.col("_metadata.row_index"))
+def forum(spark: SparkSession, path: str, source: str = "reddit_roap", across: bool = False) -> DataFrame:
+    """The row's number in its file counts from 0 and makes the id; across: see ``numbered``."""
+    df = spark.read.schema(FORUM).parquet(path)
+    df = numbered(placed(df), across=True) if across else df.withColumn("_n", F.col("_metadata.row_index"))
     return _rows(df, source, F.col("_n").cast("string"), F.col("TEXT"), F.lit(None).cast("string"), _labels(subdialect=F.col("SUBDIALECT"), status=F.col("STATUS"), labels=F.col("LABELS"), inclination=F.col("`PERSONAL INCLINATION`")))
 
 
@@ -265,9 +277,9 @@ def truthy(x: Column) -> Column:
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """id, score of an annotator's CSV: the set one of four columns, else the text column; an id's last row counts."""
+    """id, score of an annotator's CSV, perhaps in several files: the set one of four columns, else the text column; an id's last row counts, by the files' names and its place."""
     names = ("not_affect", "unlike_affect", "like_affect", "is_affect")
-    df = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    df = numbered(placed(spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)), across=True)
     have = set(df.columns)
     score = F.lit(None).cast("int")
     fallback = F.col("`Answer.affect`") if "Answer.affect" in have else F.lit(None).cast("string")
@@ -317,12 +329,12 @@ def preferred(df: DataFrame, key: str, kind: str, order: list[str], text: str =
     return df.filter((place > 0) & (F.length(text) >= shortest)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def masked_pool(spark: SparkSession, path: str, prefix: str = "hindi") -> DataFrame:
+def masked_pool(spark: SparkSession, path: str, prefix: str = "hindi", across: bool = False) -> DataFrame:
     """id, input, labels of a CSV (sentence, emotion_word, source): the token that holds the word is masked and is the only label.
 
-    id: prefix, the source up to its first hyphen in small letters, and the row's number in the file.
+    id: prefix, the source up to its first hyphen in small letters, and the row's number in the file; across: see ``numbered``.
     """
-    df = numbered(placed(_csv(spark, path, "sentence string, emotion_word string, source string")))
+    df = numbered(placed(_csv(spark, path, "sentence string, emotion_word string, source string")), across=across)
     sentence, word = F.col("sentence"), F.col("emotion_word")
     ident = F.concat_ws("_", F.lit(prefix), F.lower(F.substring_index("source", "-", 1)), F.col("_n").cast("string"))
     return df.select(ident.alias("id"), T.mask_token_with(sentence, word).alias("input"), F.array(T.token_with(sentence, word)).alias("labels"))

@@ -48,6 +48,19 @@ def test_masked_pool_and_cache(spark, tmp_path):
     assert sorted(map(tuple, full.collect())) == [("a", "A"), ("b", "B")]
 
 
+def test_files_in_order(spark, tmp_path):
+    """What one file held lies in several, and places go on from file to file by their names, not by their sizes."""
+    readers.in_order(spark.range(1000).select((999 - F.col("id")).alias("n")), "n").select(F.concat(F.lit("a"), "n").alias("sentence"), F.col("n").cast("string").alias("emotion_word"), F.lit("S").alias("source")).write.option("header", True).csv(f"{tmp_path}/pool")
+    assert len(list((tmp_path / "pool").glob("part-*.csv"))) > 1
+    got = readers.masked_pool(spark, f"{tmp_path}/pool", across=True).collect()
+    assert len(got) == 1000 and all(r.id == f"hindi_s_{r.labels[0][1:]}" for r in got)
+    head = "Input.id,Answer.affect.not_affect,Answer.affect.is_affect,Answer.affect\n"
+    (tmp_path / "said").mkdir()
+    write(tmp_path / "said" / "part-0.csv", head + "1,false,true,\n")
+    write(tmp_path / "said" / "part-1.csv", head + "1,true,false,\n" + "2,false,true,\n" * 500)
+    assert {(r.id, r.score) for r in readers.annotations(spark, f"{tmp_path}/said").collect()} == {("1", 0), ("2", 3)}
+
+
 def test_small_corpora(spark, tmp_path):
     path = write(tmp_path / "r.json", json.dumps({"reviews": [{"index": "1", "title": "Bun", "content": "Chiar", "starRating": 5}, {"index": "2", "title": "", "content": "Doar", "starRating": 1}, {"index": "3", "title": "", "content": " "}]}))
     got = readers.reviews(spark, {"positive": path}).collect()
