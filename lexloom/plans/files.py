@@ -168,9 +168,10 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'pool_' || lower(lang) || '_' || (row_number() OVER (ORDER BY doc_id) - 1) AS id, CASE WHEN strpos(s, 'the') > 0 THEN regexp_replace(s, '[^ ]*the[^ ]*', '[MASK]') END AS input, CASE WHEN strpos(s, 'the') > 0 THEN regexp_extract(s, '[^ ]*the[^ ]*') END AS label FROM (SELECT doc_id, lang, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') s FROM documents)")
 def masked_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-30, TXT-32, PRJ-03: a pool of sentences whose token with the word is masked; the row's number in the file makes the id."""
-    rows = _folded(spark, sf_dir).join(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").orderBy("doc_id").coalesce(1)
+    docs = readers.in_order(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    rows = docs.withColumn("text", F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     path = _to_csv(rows.select(F.col("text").alias("sentence"), F.lit("the").alias("emotion_word"), F.concat_ws("-", F.upper("lang"), F.lit("x")).alias("source")), _folder(spark, "pool"))
-    return readers.masked_pool(spark, path, "pool").select("id", "input", F.get("labels", F.lit(0)).alias("label"))
+    return readers.masked_pool(spark, path, "pool", across=True).select("id", "input", F.get("labels", F.lit(0)).alias("label"))
 
 
 @query("SELECT user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'cached ' ELSE 'fetched ' END || user_id AS text FROM (SELECT DISTINCT user_id FROM events)")
