@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import scratch
+from ..scratch import BATCH_BYTES, bound_batches, scratch  # noqa: F401  BATCH_BYTES for callers
 
 #: A word of the operators that count or shingle words: a run of anything but space and the five ASCII controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,9 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest side, in bytes as counted from its rows, that an operator here broadcasts by hint. Beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 8 << 20
 ENTRY_BYTES = 48
-#: Bytes of an Arrow batch between the JVM and Python, at most.
-BATCH_BYTES = 16 << 20
-
 
 #: Folders that materialize has written and nothing has removed.
 _written: list[str] = []
@@ -44,18 +40,6 @@ def materialize_only(make, spark: SparkSession, label: str) -> tuple[DataFrame,
     return out, path
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES, where Spark has one, for this and later stages.
-
-    Documents are large rows, some very large, and each task holds a batch twice, in the JVM and in Python.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", (spark.conf.get(key, None) or "").strip().lower())
-    size = int(now[1]) << 10 * " kmgtp".index(now[2] or " ") if now else 0
-    if size < 0 or size > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of at most so many rows for what runs inside."""

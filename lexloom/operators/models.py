@@ -12,16 +12,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import bound_batches
 from .corpus import pending
 
 
+#: Characters of prompts that a model gets at a time, unless one is longer: what a task's Python holds of them and of the replies is bounded.
+PROMPT_CHARS = 1 << 20
+
+
+def _in_slices(parts: Iterator[pd.Series], run: Callable[[list[str]], list], most: int) -> Iterator[pd.Series]:
+    """The results of run on slices of the parts in order, of at most so many characters each, if one text isn't longer."""
+    for part in parts:
+        texts, low, held = part.to_numpy(dtype=object), 0, 0
+        for i, x in enumerate(texts):
+            n = len(x) if isinstance(x, str) else 0
+            if held and held + n > most:
+                yield _replies(run, part.index[low:i], texts[low:i])
+                low, held = i, 0
+            held += n
+        yield _replies(run, part.index[low:], texts[low:])
+
+
+def _replies(run: Callable[[list[str]], list], index: pd.Index, texts) -> pd.Series:
+    return pd.Series(run([x if isinstance(x, str) else "" for x in texts]), index=index, dtype=object)
+
+
 def generated(df: DataFrame, prompt: str, reply: Callable[[list[str]], list[str]], out: str = "raw") -> DataFrame:
-    """df with the replies of a model to a prompt column."""
+    """df with the replies of a model to a prompt column. It gets prompts of at most PROMPT_CHARS at a time, if one isn't longer."""
+    bound_batches(df.sparkSession)
+    most = PROMPT_CHARS
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(reply(part.fillna("").tolist()), index=part.index, dtype=object)
+        yield from _in_slices(parts, reply, most)
 
     return df.withColumn(out, run(prompt))
 
@@ -46,14 +69,14 @@ def persons(df: DataFrame, parts: str, tag: Callable[[list[str]], list[int]], ou
 def completed(df: DataFrame, prompt: str, complete: Callable[[list[str]], list[list[tuple[str, float]]]], out: str = "completions") -> DataFrame:
     """df with a model's completions of a prompt column, array<struct<text, score>>, by a hook that gets batches of prompts.
 
-    A hook that knows no scores (sampling, greedy) gives equal ones; its order then stays.
+    A hook that knows no scores (sampling, greedy) gives equal ones; its order then stays. It gets prompts as in ``generated``.
     """
+    bound_batches(df.sparkSession)
+    most = PROMPT_CHARS
 
     @F.pandas_udf("array<struct<text:string,score:double>>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            got = complete(part.fillna("").tolist())
-            yield pd.Series([[{"text": t, "score": float(s)} for t, s in one] for one in got], index=part.index, dtype=object)
+        yield from _in_slices(parts, lambda prompts: [[{"text": t, "score": float(s)} for t, s in one] for one in complete(prompts)], most)
 
     return df.withColumn(out, run(prompt))
 

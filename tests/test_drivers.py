@@ -129,6 +129,17 @@ def test_completions_to_metrics(spark):
     assert got == {("all", None): (3, 1 / 3, 2 / 3, round(4 / 9, 4)), ("source", "x"): (2, 0.5, 0.5, 0.5), ("source", "y"): (1, 0.0, 1.0, 0.3333), ("tags", "t"): (1, 1.0, 1.0, 1.0), ("tags", "t,u"): (1, 0.0, 1.0, 0.3333), ("tags", "unknown"): (1, 0.0, 0.0, 0.0)}
 
 
+def test_models_get_bounded_prompts(spark, monkeypatch):
+    """However many rows a batch has, a model's hook gets few characters at a time; replies stay with their rows."""
+    monkeypatch.setattr(models, "PROMPT_CHARS", 1000)
+    df = spark.range(500, numPartitions=1).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("x"), (F.col("id") % 400).cast("int"))).alias("p"))
+    sized = lambda ps: [f"{len(p)} {sum(map(len, ps))}" for p in ps]
+    got = {r.id: tuple(map(int, r.raw.split())) for r in models.generated(df, "p", sized).collect()}
+    assert len(got) == 500 and all(n == (i % 400 if i % 9 else 0) and whole <= 1000 for i, (n, whole) in got.items())
+    got = {r.id: r.completions for r in models.completed(df, "p", lambda ps: [[(f"{len(p)}", sum(map(len, ps)))] for p in ps]).collect()}
+    assert len(got) == 500 and all(int(c[0].text) == (i % 400 if i % 9 else 0) and c[0].score <= 1000 for i, c in got.items())
+
+
 def test_top_words(spark):
     weighed = spark.createDataFrame([("a", 3.0), ("b", -2.0), ("c", 1.0), ("d", 3.0), ("e", -5.0)], "word string, weight double")
     known = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("d",)], "word string")
