@@ -101,7 +101,7 @@ def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-07."""
     words = _folded(spark, sf_dir).select(F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word"))
-    return corpus.counts(words.withColumn("gender", T.infer_gender(F.col("word"))), "word", "gender")
+    return corpus.counts(words, "word").select("word", T.infer_gender(F.col("word")).alias("gender"), "n")  # a word's gender is worked out once
 
 
 @query("SELECT event_id, try_cast(nullif(regexp_extract(props, '[0-3]'), '') AS INT) AS score FROM events")
