@@ -292,6 +292,18 @@ def exploded(rows: DataFrame, words: list, keep: list[str], templates: tuple[Tem
     return _exploded(rows, F.col("_hits"), words, templates, keep)
 
 
+def distinct_matches(docs: DataFrame, lexicon: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, strategy: str = "tokens", modifier: str = MODIFIER) -> DataFrame:
+    """docs' columns, pattern_used, seed_word_normalized, n: a row for each template and seed that match in a row, and how often they do.
+
+    They are counted within the row, so rows stay where they are and nothing is joined.
+    """
+    rows = with_hits(docs, lexicon_words(lexicon), text, templates, strategy, None, modifier)
+    names = F.array(*[F.lit(t.name) for t in templates])
+    own = F.transform("_hits", lambda h: F.struct(F.get(names, h["ord"]).alias("pattern_used"), h["seed"].alias("seed_word_normalized")))
+    counted = T.let(own, lambda all_: F.transform(F.array_distinct(all_), lambda k: k.withField("n", F.size(F.filter(all_, lambda h: h == k)).cast("bigint"))))
+    return rows.select(*docs.columns, F.explode(counted).alias("_m")).select(*docs.columns, "_m.*")
+
+
 def first_match(docs: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
     """The first match of each row."""
     return find_matches(docs, lexicon, most=1, **options)
@@ -325,12 +337,11 @@ def verify_spans(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES, m
     fold = T.normalize(F.col("text"))
     frame = F.create_map(*[x for t in templates for x in (F.lit(t.name), F.lit(t.frame))])[F.col("pattern_used")]
     shape = F.concat(F.lit(rf"(?<!{WORD})(?:"), frame, F.lit(rf")\s+{modifier}"), F.lit(r"\Q"), F.col("seed_word_normalized"), F.lit(rf"\E(?!{WORD})"))
-    hit, start = F.regexp_substr(F.col("_fold"), F.col("_shape")), F.regexp_instr(F.col("_fold"), F.col("_shape"))
-    out = rows.withColumn("_fold", fold).withColumn("_shape", shape)
-    ok = F.coalesce((F.length("_fold") == F.length("text")) & (start > 0) & (F.length("seed_word_normalized") > 0), F.lit(False))
-    end = F.length(F.split("_fold", F.col("_shape"), 2)[0]) + F.length(hit)
+    out = rows.withColumn("_fold", fold).withColumn("_gaps", F.split(F.col("_fold"), shape, 2))  # one scan, up to the first hit
+    ok = F.coalesce((F.length("_fold") == F.length("text")) & (F.size("_gaps") > 1) & (F.length("seed_word_normalized") > 0), F.lit(False))
+    end = F.length("_fold") - F.length(F.get("_gaps", F.lit(1)))
     out = out.withColumn("verified", ok).withColumn("seed_word_end", F.when(F.col("verified"), end)).withColumn("seed_word_start", F.col("seed_word_end") - F.length("seed_word_normalized"))
-    return out.withColumn("masked_text", T.mask_span(F.col("text"), F.col("seed_word_start"), F.col("seed_word_end"))).drop("_fold", "_shape")
+    return out.withColumn("masked_text", T.mask_span(F.col("text"), F.col("seed_word_start"), F.col("seed_word_end"))).drop("_fold", "_gaps")
 
 
 def _pair_scan(verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> tuple[str, int]:

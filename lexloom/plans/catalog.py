@@ -227,9 +227,7 @@ def discovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT pattern AS pattern_used, count(*) AS ok, 0 AS failed, count(*) AS masked FROM ({_MATCH_SQL}) GROUP BY pattern")
 def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-14, TXT-27: matches matched again by their own template and masked. Equal ones of a document are verified once and count as often as they are."""
-    docs = _folded(spark, sf_dir)
-    found = patterns.find_matches(docs, _lexicon(spark), templates=FRAMES, most=None, modifier="").groupBy("doc_id", F.col("pattern").alias("pattern_used"), F.col("seed").alias("seed_word_normalized")).agg(F.count(F.lit(1)).alias("n"))
-    checked = patterns.verify_spans(docs.join(found, "doc_id"), FRAMES, "")
+    checked = patterns.verify_spans(patterns.distinct_matches(_folded(spark, sf_dir), _lexicon(spark), templates=FRAMES, modifier=""), FRAMES, "")
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return checked.groupBy("pattern_used").agg(total(F.col("verified")).alias("ok"), total(~F.col("verified")).alias("failed"), total(F.contains("masked_text", F.lit(T.MASK))).alias("masked"))
 
