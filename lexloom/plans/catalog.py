@@ -249,6 +249,11 @@ _GOLDEN_ROWS = ", ".join(f"({i}, '{p}', {a}, {b}, {c}, '{w}')" for i, (_, found)
 STATES = (("fericit", "joy", "adjective"), ("trist", "sadness", "adjective"), ("bine", "joy", "adverb"), ("relaxat", "trust", "adjective"), ("calm", "trust", "adjective"), ("frică", "fear", "noun"), ("teamă", "fear", "noun"))
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and names of customer, dealt in small pieces, as each short row becomes a sentence that all templates work on."""
+    return readers.spread(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), readers.SHORT_BYTES)
+
+
 def _states(spark: SparkSession) -> DataFrame:
     """A lexicon expanded to word forms, with the nouns that only noun templates take."""
     words = spark.createDataFrame([(w, p, [e]) for w, e, p in STATES], "word string, pos string, emotions array<string>")
@@ -259,7 +264,7 @@ def _states(spark: SparkSession) -> DataFrame:
 def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-01, PAT-02, PAT-04, PAT-05, PAT-06, PAT-07: all templates, intensifiers, an expanded lexicon and the noun table, on sentences after a customer's name."""
     texts = F.array(*[F.lit(t) for t, _ in GOLDEN])
-    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
+    rows = _customers(spark, sf_dir).select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
     return patterns.find_matches(rows, _states(spark)).select("custkey", "pattern", "start", "end", "seed_start", "seed")
 
 
@@ -267,7 +272,7 @@ def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-04, PAT-05, TXT-05: of a sentence only the earliest template's match stays."""
     texts = F.array(*[F.lit(t.replace("; ", " ").replace(" și eram", " și nu")) for t, _ in GOLDEN])
-    rows = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % len(GOLDEN)).alias("kind"), F.concat("c_name", F.lit(". "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
+    rows = _customers(spark, sf_dir).select((F.col("c_custkey") % len(GOLDEN)).alias("kind"), F.concat("c_name", F.lit(". "), F.get(texts, (F.col("c_custkey") % len(GOLDEN)).cast("int"))).alias("text"))
     return patterns.candidates(rows, _states(spark)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("pattern").alias("pattern"))
 
 
@@ -747,7 +752,7 @@ def subtitle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.get(single, (F.col("c_custkey") % len(GOLDEN)).cast("int"))
     hit = F.struct((F.col("c_custkey") + 0.5).cast("string").alias("start"), F.lit("1").alias("dur"), F.lit("").alias("ctx_before"), token.alias("token"), F.lit(" ").alias("ctx_after"))
     video = F.struct(F.concat(F.lit("v"), "c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit("c").alias("channelName"), F.lit(5).alias("viewCount"), F.array(hit).alias("hits"))
-    pages = _read(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(video).alias("result"))).alias("body")).select(readers.parsed_page(F.col("body")).alias("p")).select("p.*")
+    pages = _customers(spark, sf_dir).select(F.to_json(F.struct(F.array(video).alias("result"))).alias("body")).select(readers.parsed_page(F.col("body")).alias("p")).select("p.*")
     return patterns.candidates(readers.subtitle_hits(pages), _states(spark), text="full_context").select("video_id", "pattern", "youtube_url")
 
 

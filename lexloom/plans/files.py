@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import corpus, lexicon, metrics, mining, models, patterns, sampling, vector
 from ..scratch import scratch
 from ..sources import readers, sinks
-from .catalog import _FOLD, _MATCH_SQL, FRAMES, NOUNS, SEEDS, _folded, _in, _lexicon, _read, query
+from .catalog import _FOLD, _MATCH_SQL, FRAMES, NOUNS, SEEDS, _customers, _folded, _in, _lexicon, _read, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -458,7 +458,7 @@ def translated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS custkey, p AS pattern, w AS seed FROM customer, (VALUES ('ne_simtim_present', 'bine'), ('suntem_adj_present', 'calm')) t(p, w)")
 def archived_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-16, DEP-01: the archived templates, with the plural that the others lack, on a sentence behind each customer's name."""
-    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": ne simțim bine și suntem foarte calm.")).alias("text"))
+    rows = _customers(spark, sf_dir).select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": ne simțim bine și suntem foarte calm.")).alias("text"))
     words = spark.createDataFrame([("bine", False, ["joy"]), ("calm", False, ["trust"])], "word string, noun boolean, emotions array<string>")
     return patterns.find_matches(rows, words, templates=patterns.archived_templates()).select("custkey", "pattern", "seed")
 
@@ -466,5 +466,5 @@ def archived_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS custkey, f AS frame, w AS word FROM customer, (VALUES ('plin_de', 'dor'), ('sentiment_de', 'teama')) t(f, w)")
 def archived_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT-17: the archived frames that name states, on a sentence behind each customer's name."""
-    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": plin de dor, cu un sentiment de teamă.")).alias("text"))
+    rows = _customers(spark, sf_dir).select(F.col("c_custkey").alias("custkey"), F.concat("c_name", F.lit(": plin de dor, cu un sentiment de teamă.")).alias("text"))
     return patterns.discover(rows, frames=patterns.ARCHIVED_DISCOVERY).select("custkey", "frame", "word")

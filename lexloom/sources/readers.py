@@ -26,8 +26,13 @@ RECORD = "id string, text string, full_context string, raw_content string, sourc
 SPLIT_BYTES = 16 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: As SPLIT_BYTES, of tables whose rows are so short that many of them fill a piece.
+SHORT_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, piece: int | None = None) -> DataFrame:
     """df dealt to all cores if it is small, as a small file may be one piece that one task reads; larger tables come in pieces enough.
+    piece: df dealt in pieces of about so many bytes, however large it is.
 
     For operators that work hard on each row. Only the layout changes, never the rows.
     """
@@ -35,6 +40,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if piece is not None:
+        return df.repartition(max(cores, size // piece + 1))
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 

@@ -5,6 +5,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexloom.plans import catalog
@@ -72,3 +73,15 @@ def test_verified_spans_counts_all_matches_of_a_document(spark, tmp_path):
     pd.DataFrame({"doc_id": [1], "text": [text]}).to_parquet(tmp_path / "documents.parquet")
     got = {r.pattern_used: r.ok + r.failed for r in catalog.queries()["verified_spans"](spark, str(tmp_path)).collect()}
     assert got == {"the_state": len(re.findall("the and", text)), "of_state": 1}
+
+
+def test_layout_of_hard_rows(spark, tmp_path):
+    """Short rows that much work is done on are dealt; verified spans join nothing, and a word's gender is worked out after counting."""
+    rows = spark.range(3).select(F.col("id").alias("c_custkey"), F.lit("C").alias("c_name"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalog._customers(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    spark.createDataFrame([(1, "the that, the that of it"), (1, "the and")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    checked = catalog.queries()["verified_spans"](spark, str(tmp_path))
+    assert {r.pattern_used: (r.ok, r.failed, r.masked) for r in checked.collect()} == {"the_state": (3, 0, 3), "of_state": (1, 0, 1)}
+    words = catalog.queries()["word_genders"](spark, str(tmp_path))
+    assert re.search(r"Aggregate \[word#\d+\],", words._jdf.queryExecution().optimizedPlan().toString())
