@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.corpus import PASSED, with_reason
 
@@ -16,48 +17,82 @@ from ..operators.corpus import PASSED, with_reason
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that keys are hashed to; each holds its keys' state as one value. It is part of a checkpoint's state.
+BUCKETS = 64
+_HELD = pa.schema([("key", pa.string()), ("at", pa.int64())])
+
+
 class _Sightings(StatefulProcessor):
-    """Keeps a key's last event time until nothing that comes can still lie within expiry of it."""
+    """Keeps the last event times of a bucket's keys, each until nothing that comes can still lie within expiry of it.
+
+    A call of a processor costs far more than a row, so keys share calls: a bucket's rows are judged together.
+    """
 
-    def __init__(self, time: str, expiry: int) -> None:
-        self.time, self.expiry = time, expiry
+    def __init__(self, time: str, expiry: int, columns: list[str]) -> None:
+        self.time, self.expiry, self.columns = time, expiry, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("at", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("held", BinaryType())]))
+
+    def _held(self) -> pd.Series:
+        if not self.last.exists():
+            return pd.Series([], index=pd.Index([], dtype=object), dtype="int64")
+        held = pa.ipc.open_stream(bytes(self.last.get()[0])).read_all()
+        return pd.Series(held["at"].to_numpy(), index=pd.Index(held["key"].to_pylist(), dtype=object))
+
+    def _keep(self, held: pd.Series, now: int) -> None:
+        """Forgets the keys that the watermark (now, in ms) has left behind; a timer stands for the next that it will."""
+        ends = (held + self.expiry) // 1000 + 1
+        held, ends = held[ends > now], ends[ends > now]
+        if held.empty:
+            self.last.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD) as out:
+            out.write_table(pa.table([pa.array(held.index, pa.string()), pa.array(held.to_numpy(), pa.int64())], schema=_HELD))
+        self.last.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(ends.min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        every = pd.concat(list(rows)).sort_values(self.time, kind="stable")
-        at = every[self.time].astype("datetime64[us]").astype("int64")
-        seen = self.last.get()[0] if self.last.exists() else None
-        before = at.shift()
-        if seen is not None:
-            before.iloc[0] = seen
-        fresh = before.isna() | (at - before > self.expiry)
-        last = int(at.iloc[-1]) if seen is None else max(int(at.iloc[-1]), seen)
-        self.last.update((last,))
+        every = pd.concat(list(rows), ignore_index=True).sort_values(["sighting_key", self.time], kind="stable", ignore_index=True)
+        at, keys = every[self.time].astype("datetime64[us]").astype("int64"), every["sighting_key"]
+        held = self._held()
+        first, latest = keys != keys.shift(), keys != keys.shift(-1)
+        before = at.shift().where(~first).astype("Int64")  # whole numbers: a double can't tell all microseconds
+        before[first] = held.reindex(keys[first]).astype("Int64").to_numpy() if len(held) else pd.NA
+        fresh = before.isna() | (at - before > self.expiry).fillna(True).astype(bool)
+        seen = pd.Series(at[latest].to_numpy(), index=pd.Index(keys[latest], dtype=object))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max((last + self.expiry) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield every[fresh.to_numpy()]
+        both = pd.concat([held, seen])
+        self._keep(both.groupby(level=0, sort=False).max() if len(held) else seen, timerValues.getCurrentWatermarkInMs())
+        yield every.loc[fresh.to_numpy(dtype=bool), self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        self._keep(self._held(), timerValues.getCurrentWatermarkInMs())
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def first_seen_expiring(stream: DataFrame, keys: list[str], time: str, expiry_seconds: int, delay: str = "0 seconds") -> DataFrame:
+def _one_key(df: DataFrame, keys: list[str]) -> Column:
+    """Keys (of atomic types) as one string, equal where all of them are: each with its length before it."""
+    strings = [F.hex(k) if t == "binary" else F.col(k).cast("string") for k, t in df.select(*keys).dtypes]
+    return F.concat(*[F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")) for s in strings])
+
+
+def first_seen_expiring(stream: DataFrame, keys: list[str], time: str, expiry_seconds: int, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Rows whose keys haven't been seen within expiry_seconds of event time before; any sighting counts, also of a row that goes.
 
-    State holds one number per key, and a timer clears it once the watermark (delay behind the latest event) is past its expiry, so
-    state is as large as what was seen in that time. Rows are judged in the order of their event times within a batch. The session's
-    state store must be RocksDB (``STORE``).
+    State holds one number per key, in as many values as there are buckets, and timers clear a key once the watermark (delay behind the
+    latest event) is past its expiry, so state is as large as what was seen in that time. Rows are judged in the order of their event
+    times within a batch. The session's state store must be RocksDB (``STORE``). A task holds a bucket's rows of a batch at a time.
     """
-    marked = stream.withWatermark(time, delay)
-    return marked.groupBy(*keys).transformWithStateInPandas(_Sightings(time, expiry_seconds * 1_000_000), stream.schema, "Append", "EventTime")
+    key = _one_key(stream, keys)  # names that begin with _ are lost on the way to Python
+    marked = stream.withWatermark(time, delay).withColumn("sighting_key", key).withColumn("sighting_bucket", F.pmod(F.xxhash64("sighting_key"), F.lit(buckets)).cast("int"))
+    return marked.groupBy("sighting_bucket").transformWithStateInPandas(_Sightings(time, expiry_seconds * 1_000_000, stream.columns), stream.schema, "Append", "EventTime")
 
 
 def revisits(df: DataFrame, keys: list[str], time: str, expiry_seconds: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import corpus, lexicon, metrics, models, patterns, vector
-from lexloom.plans import catalog
+from lexloom.plans import catalog, drivers
 from lexloom.sources import counted, paged
 from lexloom.streaming import state
 
@@ -71,6 +71,22 @@ def test_state_expires(spark, tmp_path):
     assert held < 5
 
 
+def test_keys_share_state(spark, tmp_path):
+    """State is one value for each bucket of keys, null ones included, and a stream goes on from its checkpoint with it."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(None if k == 7 else k, "a:" if k % 2 else None, start + datetime.timedelta(hours=h, microseconds=k)) for k in range(200) for h in ((0, 20) if k % 3 else (0, 3, 20))]
+    df = spark.createDataFrame(rows, "k bigint, l string, ts timestamp")
+    with drivers._store(spark):
+        for low, high in ((0, 10), (10, 30)):
+            df.filter(F.hour("ts").between(low, high)).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+            query = state.first_seen_expiring(stream, ["k", "l"], "ts", 18 * 3600, buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            query.awaitTermination()
+    got = sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(str, state.revisits(df, ["k", "l"], "ts", 18 * 3600).collect())) and len(got) > 300
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 3  # a value and its timer
+
+
 def test_counted_writes(spark, tmp_path):
     rows = spark.createDataFrame([(1, "[MASK] a. b c. d"), (2, "x y. z [MASK]"), (3, "no mask. here"), (4, "[MASK]"), (5, None)], "id int, text string")
     cut = lambda df: models.truncated(df, "text", lambda ts: [len(t.split()) for t in ts], 2, lambda t: t.split(". "))
