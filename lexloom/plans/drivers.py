@@ -38,16 +38,19 @@ SELECT 'q' || q AS query, 'v' || page_id AS video_id, url AS full_context FROM p
 def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-12, SRC-13: a paged API as a data source: each query's pages until two empty ones in a row, flattened to hits.
 
-    The table pages plays the API: fifty rows answer a query, a page each, and lie in the shared folder, from which tasks fetch.
+    The table pages plays the API: fifty rows answer a query, a page each, and lie in the shared folder, in a file for many queries, from
+    which tasks fetch.
     """
     folder, rows = _folder(spark, "api"), _read(spark, sf_dir, "pages")
     hit = F.struct(F.lit("1.5").alias("start"), F.lit("1").alias("dur"), F.lit("").alias("ctx_before"), F.col("url").alias("token"), F.lit("").alias("ctx_after"))
     video = F.array(F.struct(F.concat(F.lit("v"), "page_id").alias("id"), F.col("url").alias("title"), F.array(hit).alias("hits")))
     found = F.when(F.length("html") % 3 == 0, F.slice(video, 1, 0)).otherwise(video)
     landed = rows.select(F.concat(F.lit("q"), F.expr("page_id div 50")).alias("query"), (F.col("page_id") % 50 + 1).alias("page"), F.to_json(F.struct(found.alias("result"))).alias("value"))
-    landed.write.partitionBy("query", "page").text(folder)
-    names = [r["query"] for r in landed.select("query").distinct().orderBy("query").collect()]  # the list of searches is a parameter
-    pages = paged.fetched_pages(spark, paged.store_fetch(folder), names, most=40)
+    buckets = readers.pieces(landed)
+    paged.land(landed, folder, buckets)
+    asked = landed.select("query", paged.bucket_of(F.col("query"), buckets).alias("bucket")).distinct().orderBy("bucket", "query")
+    names = [r["query"] for r in asked.collect()]  # the list of searches is a parameter
+    pages = paged.fetched_pages(spark, paged.bucket_fetch(folder, buckets), names, most=40)
     return readers.subtitle_hits(pages.select("query", readers.parsed_page(F.col("body")).alias("p")).select("query", "p.*")).select("query", "video_id", "full_context")
 
 

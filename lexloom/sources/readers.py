@@ -45,6 +45,12 @@ def spread(df: DataFrame, piece: int | None = None) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
+def pieces(df: DataFrame, piece: int = SHORT_BYTES) -> int:
+    """How many pieces of about so many bytes df makes; one for each core at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, size // piece + 1)
+
+
 def in_order(df: DataFrame, key: str) -> DataFrame:
     """df sorted by key in pieces of which a core holds many: a writer's files, by their names, are in that order, and none is the whole table.
 

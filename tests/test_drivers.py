@@ -49,6 +49,19 @@ def test_store_fetch(spark, tmp_path):
     assert [get("x y", k) for k in (1, 2, 3)] == [FULL, NONE, None]
 
 
+def test_bucket_fetch(spark, tmp_path, monkeypatch):
+    """Files and partitions don't grow in number with pages and queries; a page that is there twice is broken, and a query without pages ends."""
+    rows = [(f"q {i}", k, NONE if k == 2 else FULL) for i in range(40) for k in (1, 2, 3)] + [("q 7", 3, FULL)]
+    paged.land(spark.createDataFrame(rows, "query string, page int, value string"), f"file://{tmp_path}/api", 3)
+    assert len(list((tmp_path / "api").rglob("part-*.parquet"))) == 3
+    get = paged.bucket_fetch(f"file://{tmp_path}/api", 3)
+    assert [get("q 9", k) for k in (1, 2, 3, 4)] == [FULL, NONE, FULL, None] and get("other", 1) is None
+    monkeypatch.setattr(paged, "PARTITIONS", 8)
+    got = paged.fetched_pages(spark, get, [f"q {i}" for i in range(41)], name="paged_buckets")
+    assert len(paged._dealt([f"q {i}" for i in range(41)])) <= 8
+    assert sorted((r.query, r.page) for r in got.collect()) == sorted((q, k) for q, k, v in rows if v == FULL and (q, k) != ("q 7", 3))
+
+
 def test_state_expires(spark, tmp_path):
     """Sightings renew a key; a key that was away for longer is new again, and its state is gone from the store."""
     start = datetime.datetime(2024, 1, 1)
