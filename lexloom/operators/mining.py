@@ -111,15 +111,18 @@ def discovered(found: DataFrame, stopwords: DataFrame, least: int = 3, order: tu
 def bootstrap(docs: DataFrame, seeds: DataFrame, stopwords: DataFrame, rounds: int = 4, least: int = 2, primary: tuple[str, ...] = PRIMARY, endings: tuple = (T.FEMININE, T.MASCULINE), **frames) -> tuple[DataFrame, DataFrame]:
     """(lexicon, provenance) after at most that many rounds, or the first one that adds no word.
 
-    seeds: word (folded), gender, emotions. A round scans docs with the current words, validates what it finds, and adds what passes with
-    its voted emotions. The words of a round are written to the shared folder and read again, so plans don't grow; a lexicon is small
-    by nature and its words become parameters of the next scan.
+    seeds: word (folded), gender, emotions. The texts are scanned once, for pairs of any words, which are written to the shared folder. A
+    round looks the current words up in them, validates what it finds, and adds what passes with its voted emotions. The words of a round
+    are written and read again, too, so plans don't grow; a lexicon is small by nature and its words become parameters of the next look-up.
     """
     spark, folder, history = docs.sparkSession, f"{scratch(docs.sparkSession)}/bootstrap-{uuid.uuid4().hex}", []
     current = seeds.select("word", "gender", "emotions")
+    text = frames.get("text", "text")
+    patterns.pair_places(docs.select(text), **frames).write.parquet(f"{folder}/places")
+    places = spark.read.parquet(f"{folder}/places")
     for i in range(1, rounds + 1):
         words = sorted(r["word"] for r in current.select("word").distinct().collect())
-        pairs = patterns.conjunction_pairs(docs, words, **frames)
+        pairs = patterns.pairs_at(places, words, **frames)
         checked = validate(conjunction_evidence(pairs, current), current, stopwords, least, primary, endings)
         checked.write.parquet(f"{folder}/checked-{i}")
         checked = spark.read.parquet(f"{folder}/checked-{i}")

@@ -358,20 +358,6 @@ def _pair_scan(verbs: tuple[str, ...], conjunctions: str, modifier: str, word: s
     return rf"(?<!{WORD}){any_}" + "".join(f"(?:{r})?" for r in readings), len(readings)
 
 
-def _first_known(n: int, known: list[str], kind: str):
-    """Of a place's n readings (see ``_pair_scan``) the first whose x is known, as a struct of kind; null if there is none."""
-
-    def one(h: Column) -> Column:
-        part = lambda k, i: F.get(h["parts"], F.lit(4 * k + i))
-        out = F.lit(None).cast(kind)
-        for k in reversed(range(n)):
-            found = F.struct(h["start"].alias("start"), (h["start"] + F.length(part(k, 1))).alias("end"), part(k, 2).alias("verb_form"), part(k, 3).alias("x"), part(k, 4).alias("y"))
-            out = F.when(part(k, 3).isin(known), found.cast(kind)).otherwise(out)
-        return out
-
-    return one
-
-
 def _by_verb(verbs: tuple[str, ...], kind: str):
     """Hits of several verbs, each verb's leftmost ones that don't overlap."""
 
@@ -381,25 +367,50 @@ def _by_verb(verbs: tuple[str, ...], kind: str):
     return lambda hits: F.flatten(F.array(*[of(hits, v) for v in verbs]))
 
 
-def _pairs(fold: Column, seeds: list[str], verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> Column:
-    """array<struct<verb_form, x, y>>: of each verb the leftmost pairs that don't overlap, whose x is among seeds.
+def _scans(verbs: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Verbs by the scan that finds their pairs: one for all, but verbs of which one begins another are told apart by scans of their own."""
+    apart = not any(a != b and re.match(rf"{re.escape(a)}(?:\\s|\s)", b) for a in verbs for b in verbs)
+    return [verbs] if apart else [(v,) for v in verbs]
+
+
+def _readings(fold: Column, verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> Column:
+    """array<array<struct<start, readings>>>: by scan (see ``_scans``) the places of pairs with any word as x, and each place's readings in order."""
+
+    def scan(some: tuple[str, ...]) -> Column:
+        shape, n = _pair_scan(some, conjunctions, modifier, word)
+
+        def one(h: Column) -> Column:
+            part = lambda k, i: F.get(h["parts"], F.lit(4 * k + i))
+            each = F.array(*[F.struct((h["start"] + F.length(part(k, 1))).alias("end"), part(k, 2).alias("verb_form"), part(k, 3).alias("x"), part(k, 4).alias("y")) for k in range(n)])
+            return F.struct(h["start"].alias("start"), F.filter(each, lambda r: r["x"] != "").alias("readings"))
+
+        return F.transform(T.found(fold, shape, *range(1, 4 * n + 1)), one)
+
+    return F.array(*[scan(some) for some in _scans(verbs)])
+
 
-    One scan finds the pairs of all verbs with any word as x, which is then looked up in a hash set. Verbs of which one begins another
-    are told apart by scans of their own.
+def _paired(places: Column, seeds: list[str], verbs: tuple[str, ...]) -> Column:
+    """array<struct<verb_form, x, y>> of places (see ``_readings``): of each verb the leftmost pairs that don't overlap, whose x is among seeds.
+
+    x is looked up in a hash set; of a place's readings the first whose x is known counts.
     """
     kind = "array<struct<start:int,end:int,verb_form:string,x:string,y:string>>"
     if not seeds or not verbs:
         return F.array().cast("array<struct<verb_form:string,x:string,y:string>>")
     known = sorted({*seeds})
-    apart = not any(a != b and re.match(rf"{re.escape(a)}(?:\\s|\s)", b) for a in verbs for b in verbs)
-    each = []
-    for some in [verbs] if apart else [(v,) for v in verbs]:
-        shape, n = _pair_scan(some, conjunctions, modifier, word)
-        hits = F.filter(F.transform(T.found(fold, shape, *range(1, 4 * n + 1)), _first_known(n, known, kind[6:-1])), lambda h: h.isNotNull())
-        each.append(T.let(hits, _by_verb(some, kind)))
+
+    def first(h: Column) -> Column:
+        own = F.get(F.filter(h["readings"], lambda r: r["x"].isin(known)), F.lit(0))
+        return T.let(own, lambda r: F.when(r.isNotNull(), F.struct(h["start"].alias("start"), *[r[n].alias(n) for n in ("end", "verb_form", "x", "y")]).cast(kind[6:-1])))
+
+    each = [T.let(F.filter(F.transform(F.get(places, F.lit(i)), first), lambda h: h.isNotNull()), _by_verb(some, kind)) for i, some in enumerate(_scans(verbs))]
     return F.transform(F.flatten(F.array(*each)), lambda h: F.struct(F.left(h["verb_form"], F.lit(30)).alias("verb_form"), h["x"].alias("x"), h["y"].alias("y")))
 
 
+def _pairs(fold: Column, seeds: list[str], verbs: tuple[str, ...], conjunctions: str, modifier: str, word: str) -> Column:
+    return _paired(_readings(fold, verbs, conjunctions, modifier, word), seeds, verbs) if verbs else _paired(F.lit(None), seeds, verbs)
+
+
 def _named(fold: Column, frames: tuple[tuple[str, str], ...]) -> Column:
     """array<struct<frame, word, start, end>>."""
     found = lambda name, shape: F.transform(T.found(fold, rf"(?<!{WORD})(?:{shape})({WORD}+)(?!{WORD})", 1), lambda h: F.struct(F.lit(name).alias("frame"), h["parts"][1].alias("word"), h["start"].alias("start"), h["end"].alias("end")))
@@ -418,6 +429,21 @@ def conjunction_pairs(docs: DataFrame, seeds: list[str], text: str = "text", ver
     return rows.select(*docs.columns, F.explode(_pairs(F.col("_fold"), seeds, verbs, conjunctions, modifier, word)).alias("_p")).select(*docs.columns, "_p.*")
 
 
+def pair_places(docs: DataFrame, text: str = "text", verbs: tuple[str, ...] = CONJUNCTION_VERBS, conjunctions: str = CONJUNCTIONS, modifier: str = MODIFIER, word: str = f"{WORD}+") -> DataFrame:
+    """docs' other columns, _places: where pairs with any x are; ``pairs_at`` finds those of a lexicon without the texts.
+
+    Every row stays: a filter on what was found would be pushed below it, and scan twice.
+    """
+    places = _readings(T.searchable(F.col(text)), verbs, conjunctions, modifier, word)
+    return docs.select(*[c for c in docs.columns if c != text], places.alias("_places"))
+
+
+def pairs_at(places: DataFrame, seeds: list[str], verbs: tuple[str, ...] = CONJUNCTION_VERBS, **_) -> DataFrame:
+    """The rows of ``conjunction_pairs``, without the text, of what ``pair_places`` found with the same options."""
+    keep = [c for c in places.columns if c != "_places"]
+    return places.select(*keep, F.explode(_paired(F.col("_places"), seeds, verbs)).alias("_p")).select(*keep, "_p.*")
+
+
 def discover(docs: DataFrame, text: str = "text", frames: tuple[tuple[str, str], ...] = DISCOVERY) -> DataFrame:
     """docs' columns, frame, word, context (40 code points around): a row for each word that a frame names."""
     rows = docs.withColumn("_fold", T.searchable(F.col(text)))

@@ -170,3 +170,24 @@ def test_pairs_in_one_scan_equal_a_scan_for_each_verb(spark):
     assert sorted(got) == sorted(want) and len(want) > 500
     one, two = (patterns.conjunction_pairs(spark.createDataFrame([(1, "a b trist si calm")], "id int, text string"), seeds, verbs=v, modifier="").collect() for v in (("a", "a b"), ("a b",)))
     assert [r.y for r in one] == [r.y for r in two] == ["calm"]
+
+
+def test_bootstrap_scans_texts_once(spark, tmp_path):
+    """Rounds look words up in the places of pairs, which are as those of a scan with the words; the texts are read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    pairs = [("bine", "nou"), ("liber", "nou"), ("nou", "vechi"), ("bine", "vechi"), ("vechi", "greu"), ("nou", "greu")]
+    texts = [f"Ma simt {x} si {y}, m-am simtit foarte {x}, {y}. Ma simt ma simt {x} si {y} si {x}." for x, y in pairs]
+    docs = spark.createDataFrame([(t,) for t in texts], "raw string").select(F.udf(counted, "string").asNondeterministic()("raw").alias("text"))
+    seeds = spark.createDataFrame([(w, "m", ["joy"]) for w in ("bine", "liber")], "word string, gender string, emotions array<string>")
+    found, history = mining.bootstrap(docs, seeds, spark.createDataFrame([("si",)], "word string"))
+    assert {r.word for r in found.collect()} == {"bine", "liber", "nou", "vechi", "greu"} and history.count() == 4
+    assert read.value == len(texts)
+    plain = spark.createDataFrame([(t,) for t in texts], "text string")
+    for words in (["bine"], ["bine", "nou", "si"], []):
+        at = patterns.pairs_at(patterns.pair_places(plain), words).collect()
+        assert sorted(map(tuple, at)) == sorted(tuple(r)[1:] for r in patterns.conjunction_pairs(plain, words).collect())
