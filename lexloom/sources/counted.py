@@ -1,8 +1,10 @@
-"""Writes that count what went in and what came out, in the pass that writes: metrics are observed, nothing is read twice."""
+"""Writes that count what went in and what came out: metrics are observed in a pass that is made anyway, none is made to count."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import patterns
+from ..scratch import scratch
 
 Write = Callable[[DataFrame], None]
 
@@ -61,6 +64,9 @@ def extract(docs: DataFrame, lexicon: DataFrame, write: Write, key: Column | Non
 
     docs: with text. Texts shorter than least are too short. key: what makes a match a repeat, the digest of its sentence by default;
     it enters the dedup only once something matched, and of equal ones the first by row and place stays. options: of ``patterns.find_matches``.
+
+    A sentence may be as long as its text, so matches are compared by key and place alone. The first of each key are landed, and only
+    the documents that hold one are matched again, for their sentences.
     """
     text = options.get("text", "text")
     counters = Counters()
@@ -71,12 +77,25 @@ def extract(docs: DataFrame, lexicon: DataFrame, write: Write, key: Column | Non
     found = counters.at(
         found, n_scanned=F.count(F.lit(1)), n_too_short=F.count_if(short), n_no_match=F.count_if(~short & (hits == 0)), n_matched=F.count_if(hits > 0), n_matches=F.sum(hits.cast("bigint")),
     )
-    rows = patterns.exploded(found.filter(~short), words, docs.columns, **options)
-    rows = rows.withColumn("matched_sentence", T.sentence_around(F.col(text), F.col("start"), F.col("end")))
-    rows = rows.withColumn("_key", F.md5(F.col("matched_sentence").cast("binary")) if key is None else key).drop(text)
+    ids = [c for c in docs.columns if c != text]
+
+    def matched(hits: DataFrame) -> DataFrame:
+        rows = patterns.exploded(hits, words, docs.columns, **options)
+        rows = rows.withColumn("matched_sentence", T.sentence_around(F.col(text), F.col("start"), F.col("end")))
+        return rows.withColumn("_key", F.md5(F.col("matched_sentence").cast("binary")) if key is None else key).drop(text)
+
     # Of a key's matches the least by row stays; the rows behind a key are compared, not gathered.
-    place = F.struct(*[F.col(c) for c in docs.columns if c != text], F.col("ord"), F.col("start"))
-    firsts = rows.groupBy("_key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "_key"]), place).alias("_row")).select("_row.*")
+    spark, path = docs.sparkSession, f"{scratch(docs.sparkSession)}/firsts-{uuid4().hex}"
+    place = F.struct(*ids, "ord", "start")
+    matched(found.filter(~short)).select("_key", place.alias("_place")).groupBy("_key").agg(F.min("_place").alias("_place")).write.parquet(path)
+    least_ = spark.read.parquet(path)
+    holding = [F.col(f"_place.{c}").alias(f"_id{i}") for i, c in enumerate(ids)]
+    own = [F.col(c).eqNullSafe(F.col(f"_id{i}")) for i, c in enumerate(ids)]
+    again = docs.join(least_.select(*holding).distinct(), reduce(and_, own, F.lit(True)), "left_semi") if ids else docs
+    again = patterns.with_hits(again.filter(F.length(text) >= least), words, **options)
+    chosen = least_.select(F.col("_key").alias("_k"), F.col("_place").alias("_p"))
+    rows = matched(again).join(chosen, F.col("_key").eqNullSafe(F.col("_k")) & place.eqNullSafe(F.col("_p")), "left_semi")
+    firsts = rows.dropDuplicates(["_key"]).drop("_key")  # rows that repeat all ids may hold the same place
     write(counters.at(firsts, n_kept=F.count(F.lit(1))))
     out = counters.read()
-    return out | {"n_duplicates": out["n_matches"] - out["n_kept"], "match_rate": 100 * _rate(out["n_matched"], out["n_scanned"])}
+    return out | {"n_duplicates": out["n_matches"] - out["n_kept"], "match_rate": _rate(100 * out["n_matched"], out["n_scanned"])}

@@ -114,6 +114,23 @@ def test_counted_writes(spark, tmp_path):
     assert (r.id, r.matched_sentence, r.seed) == (1, "Mă simt bine.", "bine")
 
 
+def test_extraction_compares_places_not_sentences(spark, tmp_path):
+    """Sentences as long as their texts don't enter the comparison of a key's matches; null ids and repeated ones hold their place."""
+    words = spark.createDataFrame([("bine", False, ["joy"]), ("rau", False, ["fear"])], "word string, noun boolean, emotions array<string>")
+    docs = spark.createDataFrame([(2, "ma simt rau " * 50), (1, "ma simt bine " * 50), (1, "ma simt bine " * 50), (None, "nu ma simt rau"), (3, "scurt")], "id int, text string")
+    plans = []
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        df.write.parquet(f"{tmp_path}/x")
+
+    got = counted.extract(docs, words, write, F.concat_ws("|", "pattern", "seed"), least=6, most=None)
+    assert (got["n_scanned"], got["n_too_short"], got["n_matched"], got["n_matches"], got["n_kept"], got["n_duplicates"]) == (5, 1, 4, 151, 2, 149)
+    rows = {r.seed: (r.id, r.start, r.matched_sentence) for r in spark.read.parquet(f"{tmp_path}/x").collect()}
+    assert rows == {"bine": (1, 0, ("ma simt bine " * 50).strip()), "rau": (None, 3, "nu ma simt rau")}
+    assert "min_by" not in plans[0] and "max_by" not in plans[0]
+
+
 def test_truncation_equals_dropping_one_by_one(spark):
     def brute(text, most):
         parts, end = text.split(". "), True
