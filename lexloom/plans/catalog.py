@@ -58,8 +58,8 @@ _FOLD = "regexp_replace(lower(text), '[^a-z]+', ' ', 'g')"
 _WORDS = f"(SELECT doc_id, w, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) p1, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) p2 FROM (SELECT doc_id, unnest(ws) w, generate_subscripts(ws, 1) i FROM (SELECT doc_id, list_filter(string_split({_FOLD}, ' '), lambda x: x <> '') ws FROM documents)))"
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = readers.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+def _folded(spark: SparkSession, sf_dir: str, piece: int | None = None) -> DataFrame:
+    docs = readers.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"), piece)
     return docs.select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text"))
 
 

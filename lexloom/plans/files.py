@@ -294,11 +294,15 @@ def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", T.affect_verdict(said).alias("v")).select("event_id", "v.*")
 
 
+#: Bytes of documents, as their file has them, of a task that cuts windows: a second or more of work each, however large a file's row groups are.
+WINDOW_BYTES = readers.SHORT_BYTES
+
+
 @query(f"SELECT doc_id, array_to_string(ws[i - 2 : i - 1], ' ') AS before, ws[i] AS matched, array_to_string(ws[i + 1 : i + 2], ' ') AS after FROM (SELECT doc_id, ws, list_position(ws, list_filter(ws, lambda w: w LIKE 'and%')[1]) i FROM (SELECT doc_id, list_transform(list_filter(string_split({_FOLD}, ' '), lambda w: length(w) > 2 AND w NOT LIKE '%and%' OR w LIKE 'and%'), lambda w: w || ' sentence.') ws FROM documents)) WHERE i > 0")
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-04: two sentences on either side of a match's. Each word of a document makes a sentence here."""
     ws = F.filter(F.split("text", " "), lambda w: ((F.length(w) > 2) & ~F.contains(w, F.lit("and"))) | F.startswith(w, F.lit("and")))
-    rows = _folded(spark, sf_dir).select("doc_id", F.array_join(F.transform(ws, lambda w: F.concat(w, F.lit(" sentence."))), " ").alias("x"))
+    rows = _folded(spark, sf_dir, WINDOW_BYTES).select("doc_id", F.array_join(F.transform(ws, lambda w: F.concat(w, F.lit(" sentence."))), " ").alias("x"))
     at = (F.position(F.lit(" and"), F.concat(F.lit(" "), "x")) - 1).cast("int")
     return rows.withColumn("at", at).filter("at >= 0").select("doc_id", T.context_window(F.col("x"), F.col("at"), F.col("at") + 3, most=1_000_000).alias("w")).select("doc_id", "w.*")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexloom.plans import catalog
+from lexloom.plans import catalog, files
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,3 +85,13 @@ def test_layout_of_hard_rows(spark, tmp_path):
     assert {r.pattern_used: (r.ok, r.failed, r.masked) for r in checked.collect()} == {"the_state": (3, 0, 3), "of_state": (1, 0, 1)}
     words = catalog.queries()["word_genders"](spark, str(tmp_path))
     assert re.search(r"Aggregate \[word#\d+\],", words._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_context_windows_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    """The tasks that cut windows are of bounded size, so more documents make more tasks, not longer ones."""
+    rows = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.sha2(F.col("id").cast("string"), 512), F.lit(" more")).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(files, "WINDOW_BYTES", 1 << 9)
+    got = catalog.queries()["context_windows"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert got.count() == 64 and {r.matched for r in got.collect()} == {"and sentence."}
