@@ -53,14 +53,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int = 2000) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns its scan.
 
     It cuts the lineage in a way that outlives lost executors, makes values such as row numbers final, and gives the planner a
     true size, from which it picks broadcast or shuffle joins. The table stays until ``remove`` or until the folder is emptied.
+    rows: of an Arrow batch on the way, at most.
     """
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows):
         df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -228,7 +228,7 @@ def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, weights:
     ranked = docs.select(source).groupBy("source").count().orderBy(F.desc("count"), F.col("source").asc_nulls_first()).limit(most).collect()
     named = [x for x in weights if x != "*"]
     names = list(dict.fromkeys([*named, *(r["source"] for r in ranked)]))[: max(most, len(named))]
-    table = materialize(tokenized(docs, names, vocabulary, end_id), "pack-ids")
+    table = materialize(tokenized(docs, names, vocabulary, end_id), "pack-ids", rows=256)
     totals = table.groupBy("queue", "part").agg(F.sum("n").alias("total"))
     base = materialize(running_base(totals, "part", "total", "base", ["queue"]).select("queue", "part", "base", "total"), "pack-base")
     sizes = [0] * len(names)

@@ -20,9 +20,11 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words in each of the cache's two generations; of words without a space before them, a quarter. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
-CACHE_WORDS = 550_000
-#: Marks of words met once: only words that come again are worth a place in the cache.
-MARKS = 1 << 22
+CACHE_WORDS = 350_000
+#: Code points of a word that is kept, at most: longer runs without a space seldom come again, and one may be a whole text.
+LONGEST = 64
+#: Counts of words met: only words that come so many times are worth a place in the cache.
+MARKS, MEETINGS = 1 << 22, 3
 #: Turns of the cache after which marks are taken back.
 TURNS = 4
 PUNCTUATION = ".,;:!?$&%*#|"
@@ -40,21 +42,22 @@ def _byte_table() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of words, learnt when missed. Holds words met before, in two generations."""
+    """Ids of words, learnt when missed. Holds words met before, in two generations of at most so many words, none of them long."""
 
     def __init__(self, owner: WordTokenizer, lead: str, most: int):
         super().__init__()
         self.most = most
         self.owner, self.lead, self.old, self.met, self.turns = owner, lead, {}, bytearray(MARKS), 0
 
-    def turn(self) -> None:
-        """Makes room once the younger generation is full."""
-        if len(self) > self.most:
+    def keep(self, w: str, ids: bytes) -> None:
+        """Makes room first if the younger generation is full, in the middle of a text, too."""
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
             self.turns += 1
             if self.turns % TURNS == 0:
                 self.met = bytearray(MARKS)
+        self[w] = ids
 
     def forget(self) -> None:
         self.clear()
@@ -63,7 +66,7 @@ class _Words(dict):
     def __missing__(self, w: str) -> bytes:
         ids = self.old.get(w)
         if ids is not None:
-            self[w] = ids
+            self.keep(w, ids)
             return ids
         owner = self.owner
         if "\n" in w and not owner.word_ends:
@@ -78,11 +81,12 @@ class _Words(dict):
             ids = self.get(stem) or owner.merged(piece, self.lead)
             if len(stem) < len(w):
                 ids += owner.end(w[len(stem) :])
-        mark = hash(w) & (MARKS - 1)
-        if self.met[mark]:
-            self[w] = ids
-        else:
-            self.met[mark] = 1
+        if len(w) <= LONGEST:
+            mark = hash(w) & (MARKS - 1)
+            if self.met[mark] >= MEETINGS - 1:
+                self.keep(w, ids)
+            else:
+                self.met[mark] += 1
         return ids
 
 
@@ -127,6 +131,8 @@ class WordTokenizer:
 
     def end(self, marks: str) -> bytes:
         """The ids of the punctuation that ends a word."""
+        if len(marks) > LONGEST:
+            return self.merged(marks, "")
         if marks not in self.ends:
             if len(self.ends) > 10_000:
                 self.ends.clear()
@@ -134,8 +140,6 @@ class WordTokenizer:
         return self.ends[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.turn()
-        self.heads.turn()
         odd, get, out = _separators if self.word_ends else _blank_runs, self.words.__getitem__, []
         special = self.special
         for text in texts:

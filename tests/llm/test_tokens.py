@@ -38,3 +38,17 @@ def test_the_operators_tokenizer_equals_the_untouched_library(name):
     for _ in range(2):
         for text, ids in zip(texts, cached.encode(texts), strict=True):
             assert np.frombuffer(ids, cached.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_the_cache_is_bounded_within_a_call_and_holds_no_long_words(name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 400)
+    plain, cached = Tokenizer.from_file(public_tokenizers.path(name)), tokens.WordTokenizer(public_tokenizers.path(name), special=True)
+    words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(3000)]
+    texts = [" ".join(w for w in words for _ in range(4)), *["start " + "x" * 5000 + "\u65e5" * 5000] * 4, *["a " + "b" * 70 + "." * 70] * 4]
+    for text, ids in zip(texts, cached.encode(texts), strict=True):
+        assert np.frombuffer(ids, cached.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    for cache in (cached.words, cached.heads):
+        assert len(cache) <= cache.most and len(cache.old) <= cache.most
+        assert all(len(w) <= 64 for x in (cache, cache.old) for w in x)
+    assert all(len(x) <= 64 for x in cached.ends) and cached.words.turns
