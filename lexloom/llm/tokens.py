@@ -20,7 +20,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Words in each of the cache's two generations; of words without a space before them, a quarter. When the younger is full, it becomes the older, and the older goes. Bounds memory, never results.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 450_000
 #: Code points of a word that is kept, at most: longer runs without a space seldom come again, and one may be a whole text.
 LONGEST = 64
 #: Counts of words met: only words that come so many times are worth a place in the cache.
